@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from adweave.llm import language_id
+from adweave.llm import chat_format, language_id, line_cleaning, paragraph_sketch, secrets, toxicity
 
 
 def queries() -> dict:
-    return {"op1_language_id": language_id.op1_language_id}
+    return {
+        "op1_language_id": language_id.op1_language_id,
+        "op2_paragraph_sketch": paragraph_sketch.op2_paragraph_sketch,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op5_chat_format": chat_format.op5_chat_format,
+        "op7_line_cleaning": line_cleaning.op7_line_cleaning,
+        "op10_secrets": secrets.op10_secrets,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_format": chat_format.ORACLE}
