@@ -54,7 +54,7 @@ class ToxicityModel:
         return float(1.0 / (1.0 + np.exp(-np.clip(z, -40, 40))))
 
 
-def _regress(rows: list[np.ndarray], y: np.ndarray, decay: float = 1e-4, epochs: int = 60, rate: float = 1.0) -> tuple[np.ndarray, float]:
+def _regress(rows: list[np.ndarray], y: np.ndarray, decay: float = 1e-6, epochs: int = 30) -> tuple[np.ndarray, float]:
     """Weights and bias from feature sets and 0/1 labels, in double precision.
 
     Steps are Adam's over mini-batches in a fixed order, so that a fit on the
@@ -70,29 +70,44 @@ def _regress(rows: list[np.ndarray], y: np.ndarray, decay: float = 1e-4, epochs:
     order = np.random.default_rng(7).permutation(len(rows))
     step = 0
     for _ in range(epochs):
-        for k in range(0, len(order), 512):
-            batch = [rows[i] for i in order[k : k + 512]]
+        for k in range(0, len(order), 256):
+            batch = [rows[i] for i in order[k : k + 256]]
             lengths = np.array([len(x) for x in batch])
             ids, doc = np.concatenate(batch), np.repeat(np.arange(len(batch)), lengths)
             x = ratio[ids] / np.sqrt(np.maximum(1, lengths))[doc]
             z = np.bincount(doc, weights=x * w[ids], minlength=len(batch)) + b
-            error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[order[k : k + 512]]
+            error = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[order[k : k + 256]]
             grad = np.bincount(ids, weights=x * error[doc], minlength=size) / len(batch) + decay * w
             step += 1
             mean += 0.1 * (grad - mean)
             square += 0.01 * (grad * grad - square)
-            w -= rate * 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
-            b -= rate * 0.5 * float(error.mean())
+            w -= 0.05 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + 1e-6)
+            b -= 0.5 * float(error.mean())
     return (w * ratio).astype(np.float32), float(b)
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows_per_class: int = 3000) -> ToxicityModel:
+def _calibrate(z: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and offset that turn raw scores into log-odds where a ``share`` is toxic."""
+    weight = np.where(y > 0, share / max(1, (y > 0).sum()), (1 - share) / max(1, (y == 0).sum()))
+    slope, offset = 1.0, 0.0
+    for _ in range(200):  # damped Newton steps on two numbers
+        p = 1 / (1 + np.exp(-np.clip(slope * z + offset, -40, 40)))
+        grad = np.array([(weight * (p - y) * z).sum() + 1e-3 * (slope - 1), (weight * (p - y)).sum() + 1e-5 * offset])
+        curve = weight * p * (1 - p)
+        hess = np.array([[(curve * z * z).sum() + 1e-3, (curve * z).sum()], [(curve * z).sum(), curve.sum() + 1e-5]])
+        move = np.linalg.solve(hess, grad)
+        slope, offset = slope - 0.5 * move[0], offset - 0.5 * move[1]
+    return max(float(slope), 1e-3), float(offset)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", rows_per_class: int = 2000) -> ToxicityModel:
     """A model from at most ``rows_per_class`` labelled texts of each class.
 
     Bound: those with the smallest key hashes are taken, so the choice is the
     same at every size and order of rows.  Rows with a null label, or whose key
     isn't in ``docs``, teach nothing; repeated rows count as often as they
-    stand.  The bias is moved to the share of toxic rows among all labels given.
+    stand.  A fifth of the sample sets slope and offset of the score, for the share
+    of toxic rows among all labels given.
     With no row of one class the model scores every text with that share.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), (F.col(label) > 0).cast("int").alias("y"))
@@ -113,8 +128,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", label:
     y = np.array([r[1] for r in rows], dtype=np.float64)
     if len(set(y)) < 2:
         return ToxicityModel(np.zeros(1 << BITS, dtype=np.float32), prior)
-    weights, bias = _regress([np.frombuffer(r[2], dtype=np.int32) for r in rows], y)
-    return ToxicityModel(weights, bias + prior - float(np.log(y.sum() / (len(y) - y.sum()))))
+    ids = [np.frombuffer(r[2], dtype=np.int32) for r in rows]
+    check = np.arange(len(rows)) % 5 == 0
+    if len(set(y[check])) < 2 or len(set(y[~check])) < 2:
+        check[:] = True
+        fitted = np.arange(len(rows))
+    else:
+        fitted = np.flatnonzero(~check)
+    weights, bias = _regress([ids[i] for i in fitted], y[fitted])
+    raw = np.array([bias + float(weights[ids[i]].sum()) / max(1.0, float(np.sqrt(len(ids[i])))) for i in np.flatnonzero(check)])
+    slope, offset = _calibrate(raw, y[check], share)
+    return ToxicityModel((weights * slope).astype(np.float32), bias * slope + offset)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
