@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adweave.functions.storage import materialise, shared_dir
+
+__all__ = ["held_out", "materialise", "shared_dir", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, by Spark's own reader, so that any store works."""
@@ -20,34 +21,3 @@ def held_out(key: Column) -> Column:
     A null key counts as the empty string, whose checksum is 0: held out.
     """
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 5 == 0
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    A cluster names it in ``spark.checkpoint.dir``.  Only where that is unset,
-    as in local tests, a folder of our own is taken.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("adweave.own.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="adweave-")
-        spark.conf.set("adweave.own.checkpoint.dir", path)
-    return path
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read back.
-
-    This cuts the lineage: what follows survives a lost executor without
-    running the earlier steps again, and is planned on a columnar table.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def split_parts(df: DataFrame, rows_per_part: int = 200_000) -> int:
-    """How many parts ``df`` should be dealt to: at least Spark's own number."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // rows_per_part + 1)

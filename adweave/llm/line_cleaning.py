@@ -51,28 +51,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(flat(text), " "), "")
 
 
-def repeated_word_count(words: Column) -> Column:
+def repeated_word_count(words: Column, low: Column) -> Column:
     """How many words stand in a 3-word window that occurs at least twice.
 
-    The windows are sorted by hash with their places; those with an equal
-    neighbour are repeated.  Each repeated window adds the words that the one
-    before it hasn't covered.
+    ``low`` is a power of two above the number of words, less one.  A window is
+    one long: its hash in the high bits, its place in the low ones.  Sorted,
+    the windows with a neighbour of the same hash are the repeated ones, and
+    each adds the words that the one before it hasn't covered.  Places take no
+    more bits than they need, which leaves 48 bits of hash at 30,000 words.
     """
     count = F.size(words)
-    windows = F.when(
-        count < 3,
-        F.array().cast("array<struct<h:bigint,i:int>>"),
-    ).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(count - 3, F.lit(0))), lambda i: F.struct(F.xxhash64(words[i], words[i + 1], words[i + 2]).alias("h"), i.alias("i")))
-    )
+    pack = lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]).bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("bigint"))
+    windows = F.when(count < 3, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(count - 3, F.lit(0))), pack))
 
     def covered(s: Column) -> Column:
-        # each place of a window with an equal neighbour in hash order
-        last = F.size(s) - 1
-        repeated = F.filter(s, lambda x, j: ((j > 0) & (s[F.greatest(j - 1, F.lit(0))]["h"] == x["h"])) | ((j < last) & (s[F.least(j + 1, last)]["h"] == x["h"])))
-        places = F.sort_array(F.transform(repeated, lambda x: x["i"]))
-        zero = F.struct(F.lit(-9).alias("at"), F.lit(0).cast("bigint").alias("n"))
-        return F.aggregate(places, zero, lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(F.lit(3), p - a["at"])).alias("n")), lambda a: a["n"])
+        same = lambda x, y: x.bitwiseXOR(y) <= low  # noqa: E731  # no high bit differs
+        near = lambda x, y: same(x, y) & (x.bitwiseXOR(y) >= 0)
+        repeated = F.filter(s, lambda x, j: near(x, F.get(s, j - 1)) | near(x, F.get(s, j + 1)))
+        places = F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(low)))
+        zero = F.struct(F.lit(-9).cast("bigint").alias("at"), F.lit(0).cast("bigint").alias("n"))
+        return F.aggregate(places, zero, lambda a, p: F.struct(p.alias("at"), (a["n"] + F.least(F.lit(3).cast("bigint"), p - a["at"])).alias("n")), lambda a: a["n"])
 
     # the sorted windows are bound to a name, so that they are made once
     return F.transform(F.array(F.sort_array(windows)), covered)[0]
@@ -94,9 +92,9 @@ def line_fails(line: Column, max_symbols: float = 0.12, max_marks: float = 0.18)
     judge = lambda bare: (bare > 0) & (
         (count_of(line, "#*$%&|<>^~=_{}[]\\") > max_symbols * bare)
         | ((bare > 12) & (count_of(line, "!?.,;:") > max_marks * bare))
-        | line.rlike(NAVIGATION)
+        | ((bare < 40) & line.rlike(NAVIGATION))
         | ((separators >= 3) & (separators * 12 >= bare))
-        | line.rlike(BOILERPLATE)
+        | F.substring(line, 1, 200).rlike(BOILERPLATE)
     )
     return F.transform(F.array(F.length(without(line, SPACE))), judge)[0]  # binds the length, so that it is taken once
 
@@ -115,21 +113,23 @@ def clean_lines(docs: DataFrame, text: str = "text", max_lost: float = 0.5) -> D
     body = F.coalesce(F.col(text), F.lit(""))
     bare = lambda c: F.length(without(c, SPACE))
     out = docs.drop(*(n for n in names if n != text)).withColumn("_words", words_of(body)).withColumn("_lines", F.split(body, "\n"))
+    worded = F.filter("_lines", lambda x: F.btrim(x, F.lit(SPACE)) != "")
+    low = F.pow(F.lit(2), F.ceil(F.log2(F.size("_words") + F.lit(2)))).cast("bigint") - 1
+    out = out.withColumn("_low", low)
     out = out.withColumn("_good", F.filter("_lines", lambda x: ~line_fails(x)))
-    worded = F.filter("_lines", lambda x: bare(x) > 0)
     out = out.withColumns(
         {
             "n_words": F.size("_words").cast("long"),
             "word_chars": bare(body).cast("long"),
             "n_symbols": count_of(body, SYMBOLS).cast("long"),
             "n_dup_lines": (F.size(worded) - F.size(F.array_distinct(worded))).cast("long"),
-            "n_repeat_words": repeated_word_count(F.col("_words")),
+            "n_repeat_words": repeated_word_count(F.col("_words"), F.col("_low")),
             "_left": F.array_join("_good", "\n"),
         }
     )
     out = out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & (bare(F.col("_left")) >= (1 - max_lost) * F.col("word_chars")))
-    return out.withColumn("cleaned_text", F.when(F.col("kept"), F.col("_left"))).drop("_words", "_lines", "_good", "_left")
+    return out.withColumn("cleaned_text", F.when(F.col("kept"), F.col("_left"))).drop("_words", "_low", "_lines", "_good", "_left")
 
 
 def op7_line_cleaning(spark, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adweave.llm import chat_format, language_id, line_cleaning, paragraph_sketch, secrets, toxicity
+from adweave.llm import chat_format, language_id, line_cleaning, ngram_join, paragraph_sketch, secrets, toxicity
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op5_chat_format": chat_format.op5_chat_format,
         "op7_line_cleaning": line_cleaning.op7_line_cleaning,
+        "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_secrets": secrets.op10_secrets,
     }
 
