@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from adweave.llm import chat_format, language_id, line_cleaning, ngram_join, paragraph_sketch, secrets, toxicity
+from adweave.llm import chat_format, language_id, line_cleaning, mixing, ngram_join, packing, paragraph_sketch, secrets, sharding, toxicity
+
+
+def _pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
@@ -10,10 +16,14 @@ def queries() -> dict:
         "op1_language_id": language_id.op1_language_id,
         "op2_paragraph_sketch": paragraph_sketch.op2_paragraph_sketch,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_sharding": sharding.op4_sharding,
         "op5_chat_format": chat_format.op5_chat_format,
+        "op6_mixing": mixing.op6_mixing,
         "op7_line_cleaning": line_cleaning.op7_line_cleaning,
+        "op8_packing": packing.op8_packing,
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_secrets": secrets.op10_secrets,
+        "pipeline": _pipeline,
     }
 
 
