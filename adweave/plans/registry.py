@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from adweave.plans import job_queries, place_queries, report_queries, source_queries, text_queries
+
+MODULES = (text_queries, job_queries, place_queries, report_queries, source_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for m in MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
