@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adweave.functions.geo import cell, haversine_km, reach_km
-from adweave.functions.text import normalise, postcodes, region_key
+from adweave.functions.text import bound, normalise, postcodes, region_key
 
 MAX_NAME_WORDS = 4
 #: Degrees of a grid cell.
@@ -31,12 +31,13 @@ def town_names(towns: DataFrame) -> DataFrame:
 
 def name_runs(text: Column) -> Column:
     """Runs of one to four words with the place of the first: ``array<struct<n, at, name>>``."""
+
+    def run(words: Column, n: int) -> Column:
+        places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice(words, i, n), " ").alias("name")))
+
     words = F.filter(F.split(normalise(text), " "), lambda w: w != "")
-    run = lambda n: F.transform(
-        F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.lit(n).alias("n"), i.alias("at"), F.array_join(F.slice(words, i, n), " ").alias("name")),
-    )
-    return F.concat(*(run(n) for n in range(1, MAX_NAME_WORDS + 1)))
+    return bound(words, lambda w: F.concat(*(run(w, n) for n in range(1, MAX_NAME_WORDS + 1))))
 
 
 def locate(texts: DataFrame, towns: DataFrame, regions: DataFrame, codes: DataFrame | None = None) -> DataFrame:
@@ -97,7 +98,9 @@ def town_at(points: DataFrame, towns: DataFrame) -> DataFrame:
     inside = within(points, circles).groupBy("point_id").agg(F.max_by("circle_id", F.struct("people", (-F.col("circle_id")).alias("o"))).alias("town_id"))
     rest = points.join(inside, "point_id", "left_anti")
     near = within(rest, circles.withColumn("km", F.lit(100.0))).groupBy("point_id").agg(F.min_by("circle_id", F.struct("distance", "circle_id")).alias("town_id"))
-    far = rest.join(near, "point_id", "left_anti").join(F.broadcast(circles), "country").select("point_id", "circle_id", haversine_km(rest["latitude"], rest["longitude"], circles["latitude"], circles["longitude"]).alias("distance"))
+    distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("q_lat"), F.col("q_lon"))
+    centres = circles.select("circle_id", "country", F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"))
+    far = rest.join(near, "point_id", "left_anti").join(F.broadcast(centres), "country").select("point_id", "circle_id", distance.alias("distance"))
     return inside.unionByName(near).unionByName(far.groupBy("point_id").agg(F.min_by("circle_id", F.struct("distance", "circle_id")).alias("town_id")))
 
 

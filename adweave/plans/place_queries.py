@@ -158,7 +158,7 @@ def i5(spark, d):
     return towns(spark, d).select("town_id", answer("town_size").alias("size"), answer("towns_that_fit").alias("fit"), answer("towns_to_avoid").alias("avoid"))
 
 
-@query("h4_narrow_countries", "SELECT c_custkey, array_to_string(list_filter(['C0', 'C1', 'C2', 'C3'], x -> (c_custkey % 3 = 0 OR x IN ('C1', 'C' || CAST(c_custkey % 5 AS VARCHAR))) AND x <> 'C' || CAST(c_nationkey % 4 AS VARCHAR)), ',') AS left_over FROM customer")
+@query("h4_narrow_countries", "SELECT c_custkey, array_to_string(list_filter(['C0', 'C1', 'C2', 'C3'], lambda x: (c_custkey % 3 = 0 OR x IN ('C1', 'C' || CAST(c_custkey % 5 AS VARCHAR))) AND x <> 'C' || CAST(c_nationkey % 4 AS VARCHAR)), ',') AS left_over FROM customer")
 def h4(spark, d):
     k = F.col("c_custkey")
     only = F.when(k % 3 != 0, F.array(F.lit("C1"), F.concat(F.lit("C"), (k % 5).cast("string"))))

@@ -82,13 +82,13 @@ def f4(spark, d):
 
 @query(
     "f2_cap_terms",
-    """WITH t AS (SELECT l_orderkey * 10 + l_linenumber AS ordinal, p_name AS text, p_brand AS language, CASE WHEN l_returnflag = 'R' THEN 'field_or_skill' ELSE 'job_title' END AS kind FROM lineitem JOIN part ON p_partkey = l_partkey),
+    """WITH t AS (SELECT (l_orderkey * 10 + l_linenumber) * 100000 + l_partkey AS ordinal, p_name AS text, p_brand AS language, CASE WHEN l_returnflag = 'R' THEN 'field_or_skill' ELSE 'job_title' END AS kind FROM lineitem JOIN part ON p_partkey = l_partkey),
     f AS (SELECT language, kind, lower(text) AS l, min(ordinal) AS ordinal, arg_min(text, ordinal) AS text FROM t GROUP BY ALL)
     SELECT language, kind, ordinal, text, CAST(row_number() OVER (PARTITION BY language, kind ORDER BY ordinal) AS INTEGER) AS place FROM f QUALIFY place <= CASE kind WHEN 'job_title' THEN 16 ELSE 8 END""",
 )
 def f2(spark, d):
     t = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
-    t = t.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"), F.col("p_name").alias("text"), F.col("p_brand").alias("language"), F.when(F.col("l_returnflag") == "R", "field_or_skill").otherwise("job_title").alias("kind"))
+    t = t.select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")).alias("ordinal"), F.col("p_name").alias("text"), F.col("p_brand").alias("language"), F.when(F.col("l_returnflag") == "R", "field_or_skill").otherwise("job_title").alias("kind"))
     t = t.groupBy("ordinal", "text", "language", "kind").count().drop("count")
     return R.cap_terms(t, {"job_title": 16, "field_or_skill": 8})
 

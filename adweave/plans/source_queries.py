@@ -30,9 +30,9 @@ def base(spark, d):
 
 
 BASE = """base AS (SELECT o_orderkey AS k, 'Job ' || o_orderpriority AS title, c_name AS company, 'Town ' || CAST(o_orderkey % 50 AS VARCHAR) AS town, CAST(floor(o_totalprice) AS BIGINT) AS low,
-  strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderdate AS at, o_orderstatus AS status, 'https://jobs.example.org/' || CAST(o_orderkey AS VARCHAR) AS url FROM orders JOIN customer ON c_custkey = o_custkey)"""
+  strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderdate AS dt, o_orderstatus AS status, 'https://jobs.example.org/' || CAST(o_orderkey AS VARCHAR) AS url FROM orders JOIN customer ON c_custkey = o_custkey)"""
 MONEY = "format('{:,}', low)"
-NOON = "CAST(epoch(date_trunc('day', at)) AS BIGINT) + 43200"
+NOON = "CAST(epoch(date_trunc('day', dt)) AS BIGINT) + 43200"
 SHOWN = ("source_job_id", "title", "company", "location_text", "country", "posted", "date_precision", "types", "work_mode", "salary_text")
 
 
@@ -61,47 +61,48 @@ def st(**fields):
     return F.struct(*(v.alias(k) for k, v in fields.items()))
 
 
-K, S = F.col("k"), F.col("status")
-TEXT = F.lit("<p>Do this.</p><ul><li>And that</li></ul>")
-pick = lambda *v: by_key(K, list(v))
 psql = lambda *v: by_key_sql("k", list(v))
 some = lambda c: F.nullif(c, F.lit(""))
 
+
+def pick(*values):
+    return by_key(F.col("k"), list(values))
+
 add(
     "a1_adzuna", "adzuna",
-    lambda: doc(id=K.cast("string"), title=F.concat(F.lit("<b>"), "title", F.lit("</b>")), company=st(display_name=F.col("company")), location=st(display_name=F.col("town")), country=pick("GB", "DE"), created=F.concat("day", F.lit("T08:30:00Z")), description=TEXT, contract_type=some(pick("permanent", "contract", "")), contract_time=some(pick("full_time", "part_time", "full_time", "")), salary_min=F.col("low").cast("double"), salary_max=(F.col("low") + 1000).cast("double"), salary_is_predicted=pick("0", "1", "0")),
-    expected(country=psql("GB", "DE"), posted="epoch(date_trunc('day', at)) + 30600", precision="'exact'", types="CASE WHEN k % 4 = 1 THEN CASE k % 3 WHEN 1 THEN 'part_time,freelance_or_contract,fixed_term' ELSE 'part_time' END WHEN k % 3 = 0 THEN 'full_time_permanent' WHEN k % 3 = 1 THEN 'freelance_or_contract,fixed_term' WHEN k % 4 IN (0, 2) THEN 'full_time_permanent,fixed_term' END",
+    lambda: doc(id=F.col("k").cast("string"), title=F.concat(F.lit("<b>"), "title", F.lit("</b>")), company=st(display_name=F.col("company")), location=st(display_name=F.col("town")), country=pick("GB", "DE"), created=F.concat("day", F.lit("T08:30:00Z")), description=F.lit("<p>Do this.</p><ul><li>And that</li></ul>"), contract_type=some(pick("permanent", "contract", "")), contract_time=some(pick("full_time", "part_time", "full_time", "")), salary_min=F.col("low").cast("double"), salary_max=(F.col("low") + 1000).cast("double"), salary_is_predicted=pick("0", "1", "0")),
+    expected(country=psql("GB", "DE"), posted="epoch(date_trunc('day', dt)) + 30600", precision="'exact'", types="CASE WHEN k % 4 = 1 THEN CASE k % 3 WHEN 1 THEN 'part_time,freelance_or_contract,fixed_term' ELSE 'part_time' END WHEN k % 3 = 0 THEN 'full_time_permanent' WHEN k % 3 = 1 THEN 'freelance_or_contract,fixed_term' WHEN k % 4 IN (0, 2) THEN 'full_time_permanent,fixed_term' END",
              salary=f"CASE WHEN k % 3 <> 1 THEN {psql('GBP', 'EUR')} || ' ' || {MONEY} || '-' || format('{{:,}}', low + 1000) END"),
 )
-add("a2_arbeitnow", "arbeitnow", lambda: doc(slug=K.cast("string"), title=F.col("title"), company_name=F.col("company"), location=F.col("town"), created_at=F.unix_seconds("at"), description=TEXT, job_types=F.array(pick("Full time permanent", "Part time", "berufserfahren")), remote=S == "O"),
-    expected(posted="epoch(at)", precision="'exact'", types=psql("full_time_permanent", "part_time", ""), mode="CASE WHEN status = 'O' THEN 'remote' END"))
-add("a3_jobtech", "jobtech", lambda: doc(id=K.cast("string"), headline=F.col("title"), publication_date=F.concat("day", F.lit("T12:00:00")), removed=S == "P", employer=st(name=F.col("company")), workplace_address=st(city=F.upper("town"), municipality=F.col("town"), region=F.lit("Skåne"), country=pick("Sverige", "Norge", "Sverige")), working_hours_type=st(label=pick("Heltid", "Deltid")), duration=st(label=pick("Tillsvidare", "6 månader"))),
-    expected(place="town || ', Skåne'", country="'SE'", posted="epoch(timezone('Europe/Stockholm', date_trunc('day', at) + INTERVAL 12 HOUR))", precision="'exact'", types=psql("full_time_permanent", "part_time,fixed_term"), where="status <> 'P' AND k % 3 <> 1"))
-add("a4_bundesagentur", "bundesagentur", lambda: doc(referenznummer=K.cast("string"), stellenangebotsTitel=F.col("title"), firma=F.col("company"), stellenlokationen=F.array(st(adresse=st(ort=F.col("town"), region=F.lit("SACHSEN"), land=F.lit("Deutschland"))), st(adresse=st(ort=F.col("town"), region=F.lit("SACHSEN"), land=F.lit("Deutschland")))), datumErsteVeroeffentlichung=F.col("day"), gehaltsspanneVon=F.col("low").cast("double"), stellenangebotsart=pick("ARBEIT", "AUSBILDUNG"), arbeitszeitVollzeit=K % 3 > 0, vertragsdauer=F.lit("UNBEFRISTET")),
+add("a2_arbeitnow", "arbeitnow", lambda: doc(slug=F.col("k").cast("string"), title=F.col("title"), company_name=F.col("company"), location=F.col("town"), created_at=F.unix_seconds("at"), description=F.lit("<p>Do this.</p><ul><li>And that</li></ul>"), job_types=F.array(pick("Full time permanent", "Part time", "berufserfahren")), remote=F.col("status") == "O"),
+    expected(posted="epoch(dt)", precision="'exact'", types=psql("full_time_permanent", "part_time", ""), mode="CASE WHEN status = 'O' THEN 'remote' END"))
+add("a3_jobtech", "jobtech", lambda: doc(id=F.col("k").cast("string"), headline=F.col("title"), publication_date=F.concat("day", F.lit("T12:00:00")), removed=F.col("status") == "P", employer=st(name=F.col("company")), workplace_address=st(city=F.upper("town"), municipality=F.col("town"), region=F.lit("Skåne"), country=pick("Sverige", "Norge", "Sverige")), working_hours_type=st(label=pick("Heltid", "Deltid")), duration=st(label=pick("Tillsvidare", "6 månader"))),
+    expected(place="town || ', Skåne'", country="'SE'", posted="epoch(timezone('Europe/Stockholm', date_trunc('day', dt) + INTERVAL 12 HOUR))", precision="'exact'", types=psql("full_time_permanent", "part_time,fixed_term"), where="status <> 'P' AND k % 3 <> 1"))
+add("a4_bundesagentur", "bundesagentur", lambda: doc(referenznummer=F.col("k").cast("string"), stellenangebotsTitel=F.col("title"), firma=F.col("company"), stellenlokationen=F.array(st(adresse=st(ort=F.col("town"), region=F.lit("SACHSEN"), land=F.lit("Deutschland"))), st(adresse=st(ort=F.col("town"), region=F.lit("SACHSEN"), land=F.lit("Deutschland")))), datumErsteVeroeffentlichung=F.col("day"), gehaltsspanneVon=F.col("low").cast("double"), stellenangebotsart=pick("ARBEIT", "AUSBILDUNG"), arbeitszeitVollzeit=F.col("k") % 3 > 0, vertragsdauer=F.lit("UNBEFRISTET")),
     expected(country="'DE'", types="concat_ws(',', CASE WHEN k % 2 = 1 THEN 'internship_or_working_student' END, CASE WHEN k % 3 = 0 THEN 'part_time' ELSE 'full_time_permanent' END)", salary=f"'EUR ' || {MONEY}"))
-add("a9_reed", "reed", lambda: doc(jobId=K, jobTitle=F.col("title"), employerName=F.col("company"), locationName=F.col("town"), date=F.date_format("at", "dd/MM/yyyy"), minimumSalary=F.col("low").cast("double"), maximumSalary=F.col("low").cast("double"), jobDescription=TEXT, contractType=some(pick("Permanent", "Contract", "Temporary", "")), partTime=K % 5 == 0, fullTime=K % 5 > 0),
+add("a9_reed", "reed", lambda: doc(jobId=F.col("k"), jobTitle=F.col("title"), employerName=F.col("company"), locationName=F.col("town"), date=F.date_format("at", "dd/MM/yyyy"), minimumSalary=F.col("low").cast("double"), maximumSalary=F.col("low").cast("double"), jobDescription=F.lit("<p>Do this.</p><ul><li>And that</li></ul>"), contractType=some(pick("Permanent", "Contract", "Temporary", "")), partTime=F.col("k") % 5 == 0, fullTime=F.col("k") % 5 > 0),
     expected(country="'GB'", types="nullif(concat_ws(',', CASE WHEN k % 5 = 0 THEN 'part_time' END, CASE WHEN k % 4 = 0 AND k % 5 > 0 THEN 'full_time_permanent' END, CASE WHEN k % 4 = 1 THEN 'freelance_or_contract' END, CASE WHEN k % 4 IN (1, 2) THEN 'fixed_term' END), '')", salary=f"'GBP ' || {MONEY}"))
-add("a10_teachingvacancies", "teachingvacancies", lambda: doc(url=F.col("url"), title=F.col("title"), jobLocation=F.array(st(address=st(addressLocality=F.col("town"), postalCode=F.lit("CB1 1AA")))), datePosted=F.col("day"), hiringOrganization=st(name=F.col("company")), description=TEXT, employmentType=F.when(K % 2 == 0, F.array(F.lit("FULL_TIME"), F.lit("TEMPORARY"))).otherwise(F.array(F.lit("FULL_TIME"))), validThrough=F.col("day")),
+add("a10_teachingvacancies", "teachingvacancies", lambda: doc(url=F.col("url"), title=F.col("title"), jobLocation=F.array(st(address=st(addressLocality=F.col("town"), postalCode=F.lit("CB1 1AA")))), datePosted=F.col("day"), hiringOrganization=st(name=F.col("company")), description=F.lit("<p>Do this.</p><ul><li>And that</li></ul>"), employmentType=F.when(F.col("k") % 2 == 0, F.array(F.lit("FULL_TIME"), F.lit("TEMPORARY"))).otherwise(F.array(F.lit("FULL_TIME"))), validThrough=F.col("day")),
     expected(place="town || ' CB1 1AA'", country="'GB'", types=psql("fixed_term", "full_time_permanent")))
-add("a12_leforem", "leforem", lambda: doc(numerooffreforem=K.cast("string"), titreoffre=F.col("title"), lieuxtravailregionnuts=F.array(F.lit("BE21")), lieuxtravaillocalite=F.array(F.upper("town")), datedebutdiffusion=F.col("day"), nomemployeur=F.col("company"), typecontrat=pick("Durée indéterminée", "Durée déterminée"), regimetravail=pick("Temps plein", "Temps plein", "Temps partiel")),
+add("a12_leforem", "leforem", lambda: doc(numerooffreforem=F.col("k").cast("string"), titreoffre=F.col("title"), lieuxtravailregionnuts=F.array(F.lit("BE21")), lieuxtravaillocalite=F.array(F.upper("town")), datedebutdiffusion=F.col("day"), nomemployeur=F.col("company"), typecontrat=pick("Durée indéterminée", "Durée déterminée"), regimetravail=pick("Temps plein", "Temps plein", "Temps partiel")),
     expected(country="'BE'", types="nullif(concat_ws(',', CASE WHEN k % 3 = 2 THEN 'part_time' END, CASE WHEN k % 2 = 0 AND k % 3 <> 2 THEN 'full_time_permanent' END, CASE WHEN k % 2 = 1 THEN 'fixed_term' END), '')"))
-add("a14_nav", "nav", lambda: doc(status=F.when(S == "P", "INACTIVE").otherwise("ACTIVE"), ad_content=st(uuid=K.cast("string"), title=F.col("title"), published=F.concat("day", F.lit("T00:00:00")), applicationDue=F.lit("Snarest"), workLocations=F.array(st(city=F.upper("town"), country=pick("NORGE", "SVERIGE"))), employer=st(name=F.col("company")), engagementtype=pick("Fast", "Vikariat"), extent=pick("Heltid", "Deltid", "Heltid"), description=TEXT, contactList=F.array(st(name=F.lit("x"))))),
+add("a14_nav", "nav", lambda: doc(status=F.when(F.col("status") == "P", "INACTIVE").otherwise("ACTIVE"), ad_content=st(uuid=F.col("k").cast("string"), title=F.col("title"), published=F.concat("day", F.lit("T00:00:00")), applicationDue=F.lit("Snarest"), workLocations=F.array(st(city=F.upper("town"), country=pick("NORGE", "SVERIGE"))), employer=st(name=F.col("company")), engagementtype=pick("Fast", "Vikariat"), extent=pick("Heltid", "Deltid", "Heltid"), description=F.lit("<p>Do this.</p><ul><li>And that</li></ul>"), contactList=F.array(st(name=F.lit("x"))))),
     expected(country="CASE WHEN k % 2 = 0 THEN 'NO' END", types="nullif(concat_ws(',', CASE WHEN k % 3 = 1 THEN 'part_time' END, CASE WHEN k % 2 = 0 AND k % 3 <> 1 THEN 'full_time_permanent' END, CASE WHEN k % 2 = 1 THEN 'fixed_term' END), '')", where="status <> 'P'"))
-add("a15_ashby", "ashby", lambda: doc(id=K.cast("string"), title=F.col("title"), company=F.col("company"), isListed=S != "P", location=F.col("town"), address=st(postalAddress=st(addressCountry=F.lit("France"))), secondaryLocations=F.array(st(location=F.lit("Lyon"))), publishedAt=F.concat("day", F.lit("T01:02:03.123+02:00")), employmentType=pick("FullTime", "PartTime", "Intern"), workplaceType=some(pick("Remote", "", "Hybrid")), isRemote=K % 3 == 1),
-    expected(place="town || ', France; Lyon'", posted="epoch(date_trunc('day', at)) - 7200 + 3723", precision="'exact'", types=psql("full_time_permanent,fixed_term", "part_time", "internship_or_working_student"), mode=psql("remote", "remote", "hybrid"), where="status <> 'P'"))
-add("a16_greenhouse", "greenhouse", lambda: doc(id=K, title=F.col("title"), company=F.col("company"), location=st(name=F.concat(F.lit("Remote "), "town")), updated_at=F.concat("day", F.lit("T00:00:00-04:00")), content=F.lit("&lt;p&gt;Text&lt;/p&gt;")),
-    expected(place="'Remote ' || town", posted="epoch(date_trunc('day', at)) + 14400", precision="'exact'", mode="'remote'"))
-add("a17_lever", "lever", lambda: doc(id=K.cast("string"), text=F.col("title"), company=F.col("company"), categories=st(allLocations=F.when(K % 2 == 0, F.array("town", F.lit("Oslo"))).otherwise(F.array("town")), commitment=pick("Full-time", "Contractor")), createdAt=F.unix_millis("at"), country=F.lit("fr"), workplaceType=pick("remote", "on-site", "hybrid")),
-    expected(place="CASE WHEN k % 2 = 0 THEN town || '; Oslo' ELSE town END", country="CASE WHEN k % 2 = 1 THEN 'FR' END", posted="epoch(at)", precision="'exact'", types=psql("full_time_permanent,fixed_term", "freelance_or_contract,fixed_term"), mode=psql("remote", "on_site", "hybrid")))
-add("a18_recruitee", "recruitee", lambda: doc(id=K, title=F.col("title"), company_name=F.col("company"), locations=F.array(st(city=F.col("town"), country=F.lit("Spain"), country_code=F.lit("es")), st(city=F.lit("Faro"), country=pick("Spain", "Portugal"), country_code=pick("es", "pt"))), published_at=F.concat("day", F.lit(" 10:00:00 UTC")), remote=K % 3 == 0, hybrid=K % 2 == 0, on_site=F.lit(False)),
-    expected(place="town || ', Spain; Faro, ' || " + psql("Spain", "Portugal"), country="CASE WHEN k % 2 = 0 THEN 'ES' END", posted="epoch(date_trunc('day', at)) + 36000", precision="'exact'", types="''", mode="CASE WHEN k % 3 = 0 THEN 'remote' WHEN k % 2 = 0 THEN 'hybrid' END"))
-add("a19_workable", "workable", lambda: doc(shortcode=K.cast("string"), title=F.col("title"), company=F.col("company"), locations=F.array(st(city=F.col("town"), country=F.lit("Italy"), countryCode=F.lit("IT"))), published_on=F.col("day"), employment_type=F.lit("Temporary"), telecommuting=K % 2 == 0),
+add("a15_ashby", "ashby", lambda: doc(id=F.col("k").cast("string"), title=F.col("title"), company=F.col("company"), isListed=F.col("status") != "P", location=F.col("town"), address=st(postalAddress=st(addressCountry=F.lit("France"))), secondaryLocations=F.array(st(location=F.lit("Lyon"))), publishedAt=F.concat("day", F.lit("T01:02:03.123+02:00")), employmentType=pick("FullTime", "PartTime", "Intern"), workplaceType=some(pick("Remote", "", "Hybrid")), isRemote=F.col("k") % 3 == 1),
+    expected(place="town || ', France; Lyon'", posted="epoch(date_trunc('day', dt)) - 7200 + 3723", precision="'exact'", types=psql("full_time_permanent,fixed_term", "part_time", "internship_or_working_student"), mode=psql("remote", "remote", "hybrid"), where="status <> 'P'"))
+add("a16_greenhouse", "greenhouse", lambda: doc(id=F.col("k"), title=F.col("title"), company=F.col("company"), location=st(name=F.concat(F.lit("Remote "), "town")), updated_at=F.concat("day", F.lit("T00:00:00-04:00")), content=F.lit("&lt;p&gt;Text&lt;/p&gt;")),
+    expected(place="'Remote ' || town", posted="epoch(date_trunc('day', dt)) + 14400", precision="'exact'", mode="'remote'"))
+add("a17_lever", "lever", lambda: doc(id=F.col("k").cast("string"), text=F.col("title"), company=F.col("company"), categories=st(allLocations=F.when(F.col("k") % 2 == 0, F.array("town", F.lit("Oslo"))).otherwise(F.array("town")), commitment=pick("Full-time", "Contractor")), createdAt=F.unix_millis("at"), country=F.lit("fr"), workplaceType=pick("remote", "on-site", "hybrid")),
+    expected(place="CASE WHEN k % 2 = 0 THEN town || '; Oslo' ELSE town END", country="CASE WHEN k % 2 = 1 THEN 'FR' END", posted="epoch(dt)", precision="'exact'", types=psql("full_time_permanent,fixed_term", "freelance_or_contract,fixed_term"), mode=psql("remote", "on_site", "hybrid")))
+add("a18_recruitee", "recruitee", lambda: doc(id=F.col("k"), title=F.col("title"), company_name=F.col("company"), locations=F.array(st(city=F.col("town"), country=F.lit("Spain"), country_code=F.lit("es")), st(city=F.lit("Faro"), country=pick("Spain", "Portugal"), country_code=pick("es", "pt"))), published_at=F.concat("day", F.lit(" 10:00:00 UTC")), remote=F.col("k") % 3 == 0, hybrid=F.col("k") % 2 == 0, on_site=F.lit(False)),
+    expected(place="town || ', Spain; Faro, ' || " + psql("Spain", "Portugal"), country="CASE WHEN k % 2 = 0 THEN 'ES' END", posted="epoch(date_trunc('day', dt)) + 36000", precision="'exact'", types="''", mode="CASE WHEN k % 3 = 0 THEN 'remote' WHEN k % 2 = 0 THEN 'hybrid' END"))
+add("a19_workable", "workable", lambda: doc(shortcode=F.col("k").cast("string"), title=F.col("title"), company=F.col("company"), locations=F.array(st(city=F.col("town"), country=F.lit("Italy"), countryCode=F.lit("IT"))), published_on=F.col("day"), employment_type=F.lit("Temporary"), telecommuting=F.col("k") % 2 == 0),
     expected(place="town || ', Italy'", country="'IT'", types="'fixed_term'", mode="CASE WHEN k % 2 = 0 THEN 'remote' END"))
-add("a21_dvinci", "dvinci", lambda: doc(id=K, position=F.col("title"), company=F.col("company"), jobOpening=st(createdDate=F.col("day"), type=pick("Festanstellung", "Praktikum"), contractPeriod=pick("unlimited", "unlimited", "fixed"), workingTimes=F.array(F.lit("full_time")), locations=F.array(st(name=F.col("town"), latitude=F.lit(1.5), longitude=F.lit(2.5))))),
+add("a21_dvinci", "dvinci", lambda: doc(id=F.col("k"), position=F.col("title"), company=F.col("company"), jobOpening=st(createdDate=F.col("day"), type=pick("Festanstellung", "Praktikum"), contractPeriod=pick("unlimited", "unlimited", "fixed"), workingTimes=F.array(F.lit("full_time")), locations=F.array(st(name=F.col("town"), latitude=F.lit(1.5), longitude=F.lit(2.5))))),
     expected(types="CASE WHEN k % 2 = 1 THEN 'internship_or_working_student' WHEN k % 3 = 2 THEN 'fixed_term' ELSE 'full_time_permanent' END"))
-add("a22_prospective", "prospective", lambda: doc(id=K.cast("string"), title=F.col("title"), company=F.col("company"), start_date=F.col("day"), szas=st(pensum_min=(K % 101).cast("int"), pensum_max=F.lit(100), city=F.when(K % 2 == 0, F.col("town")))),
+add("a22_prospective", "prospective", lambda: doc(id=F.col("k").cast("string"), title=F.col("title"), company=F.col("company"), start_date=F.col("day"), szas=st(pensum_min=(F.col("k") % 101).cast("int"), pensum_max=F.lit(100), city=F.when(F.col("k") % 2 == 0, F.col("town")))),
     expected(place="CASE WHEN k % 2 = 0 THEN town END", country="CASE WHEN k % 2 = 1 THEN 'CH' END", types="CASE WHEN k % 101 < 90 THEN 'part_time,full_time_permanent' ELSE 'full_time_permanent' END"))
-add("a25_workday", "workday", lambda: doc(title=F.col("title"), company=F.col("company"), externalPath=F.concat(F.lit("/job/x/"), K.cast("string")), locationsText=F.when(K % 2 == 0, F.lit("5 Locations")).otherwise(F.col("town")), postedOn=F.lit("Posted 3 Days Ago"), seen_on=F.col("day")),
+add("a25_workday", "workday", lambda: doc(title=F.col("title"), company=F.col("company"), externalPath=F.concat(F.lit("/job/x/"), F.col("k").cast("string")), locationsText=F.when(F.col("k") % 2 == 0, F.lit("5 Locations")).otherwise(F.col("town")), postedOn=F.lit("Posted 3 Days Ago"), seen_on=F.col("day")),
     expected(place="CASE WHEN k % 2 = 1 THEN town END", posted=NOON + " - 3 * 86400", types="''"))
 
 
@@ -111,17 +112,17 @@ def rss(**fields):
 
 add("a5_servicebund", "servicebund", lambda: rss(title=F.col("title"), link=F.concat("url", F.lit(".html#x")), pubDate=F.concat(F.lit("Mon, "), F.date_format("at", "dd MMM yyyy"), F.lit(" 00:00:00 +0100")), description=F.concat(F.lit("&lt;p&gt;Arbeitgeber: "), "company", F.lit("&lt;/p&gt;&lt;p&gt;Ort: 01069 "), "town", F.lit("&lt;/p&gt;&lt;p&gt;Bewerbungsfrist: 1.2.2000&lt;/p&gt;"))),
     expected(place="'01069 ' || town", country="'DE'"))
-add("a11_nhsjobs", "nhsjobs", lambda: rss(id=K.cast("string"), title=F.col("title"), employer=F.col("company"), locations=F.concat(F.lit("<location>"), "town", F.lit("</location><location>Leeds</location>")), postDate=F.concat("day", F.lit("T12:00:00.123456789")), type=F.lit("Permanent"), salary=F.concat(F.lit("£"), F.col("low").cast("string"), F.lit(".00"))),
-    expected(place="town || '; Leeds'", country="'GB'", posted="floor(epoch(timezone('Europe/London', date_trunc('day', at) + INTERVAL 12 HOUR)))", precision="'exact'", types="'full_time_permanent'", salary="'£' || CAST(low AS VARCHAR)"))
-add("a20_teamtailor", "teamtailor", lambda: rss(title=F.col("title"), link=F.col("url"), guid=K.cast("string"), pubDate=F.concat(F.lit("Tue, "), F.date_format("at", "dd MMM yyyy"), F.lit(" 10:00:00"), pick(" +0200", "")), remoteStatus=F.lit("fully"), locations=F.concat(F.lit("<location><city>"), "town", F.lit("</city><country>Sweden</country></location>"))),
-    expected(company="NULL", place="town || ', Sweden'", posted="CASE WHEN k % 2 = 0 THEN epoch(date_trunc('day', at)) + 28800 END", precision="CASE WHEN k % 2 = 0 THEN 'exact' ELSE 'unknown' END", mode="'remote'"))
-add("a24_successfactors", "successfactors", lambda: rss(title=F.concat("title", F.lit(" (Berlin, DE)")), id=K.cast("string"), link=F.col("url"), location=F.concat("town", F.lit(", "), pick("DE", "UK"), F.lit(", 10115")), employer=F.col("company")),
+add("a11_nhsjobs", "nhsjobs", lambda: rss(id=F.col("k").cast("string"), title=F.col("title"), employer=F.col("company"), locations=F.concat(F.lit("<location>"), "town", F.lit("</location><location>Leeds</location>")), postDate=F.concat("day", F.lit("T12:00:00.123456789")), type=F.lit("Permanent"), salary=F.concat(F.lit("£"), F.col("low").cast("string"), F.lit(".00"))),
+    expected(place="town || '; Leeds'", country="'GB'", posted="floor(epoch(timezone('Europe/London', date_trunc('day', dt) + INTERVAL 12 HOUR)))", precision="'exact'", types="'full_time_permanent'", salary="'£' || CAST(low AS VARCHAR)"))
+add("a20_teamtailor", "teamtailor", lambda: rss(title=F.col("title"), link=F.col("url"), guid=F.col("k").cast("string"), pubDate=F.concat(F.lit("Tue, "), F.date_format("at", "dd MMM yyyy"), F.lit(" 10:00:00"), pick(" +0200", "")), remoteStatus=F.lit("fully"), locations=F.concat(F.lit("<location><city>"), "town", F.lit("</city><country>Sweden</country></location>"))),
+    expected(company="NULL", place="town || ', Sweden'", posted="CASE WHEN k % 2 = 0 THEN epoch(date_trunc('day', dt)) + 28800 END", precision="CASE WHEN k % 2 = 0 THEN 'exact' ELSE 'unknown' END", mode="'remote'"))
+add("a24_successfactors", "successfactors", lambda: rss(title=F.concat("title", F.lit(" (Berlin, DE)")), id=F.col("k").cast("string"), link=F.col("url"), location=F.concat("town", F.lit(", "), pick("DE", "UK"), F.lit(", 10115")), employer=F.col("company")),
     expected(place="town || ', ' || " + psql("DE", "UK"), country=psql("DE", "GB"), posted="NULL", precision="'unknown'"))
 
 
 def _page(spark, d):
-    posting = doc(**{"@type": F.lit("JobPosting"), "title": F.col("title"), "datePosted": F.col("day"), "hiringOrganization": st(name=F.col("company")), "jobLocation": st(address=st(addressLocality=F.col("town"), addressCountry=F.lit("NL"))), "employmentType": F.lit("FULL_TIME"), "jobLocationType": F.when(K % 2 == 0, "TELECOMMUTE")})
-    graph = F.when(K % 3 == 0, F.concat(F.lit('{"@graph":[{"@type":"Organization"},'), posting, F.lit("]}"))).when(K % 3 == 1, F.concat(F.lit("["), posting, F.lit("]"))).otherwise(posting)
+    posting = doc(**{"@type": F.lit("JobPosting"), "title": F.col("title"), "datePosted": F.col("day"), "hiringOrganization": st(name=F.col("company")), "jobLocation": st(address=st(addressLocality=F.col("town"), addressCountry=F.lit("NL"))), "employmentType": F.lit("FULL_TIME"), "jobLocationType": F.when(F.col("k") % 2 == 0, "TELECOMMUTE")})
+    graph = F.when(F.col("k") % 3 == 0, F.concat(F.lit('{"@graph":[{"@type":"Organization"},'), posting, F.lit("]}"))).when(F.col("k") % 3 == 1, F.concat(F.lit("["), posting, F.lit("]"))).otherwise(posting)
     html = F.concat(F.lit('<html><script type="application/ld+json">{broken</script><script type="application/ld+json">'), graph, F.lit("</script><p>Whole page</p></html>"))
     return base(spark, d).select(html.alias("payload"), "url")
 
@@ -137,39 +138,28 @@ def a26b(spark, d):
     return p.select("url", fact(F.col("p"), "$.title").alias("title"), fact(F.col("p"), "$.jobLocation.address.addressLocality").alias("town"))
 
 
-def _strip_sql(s):
-    tags = "p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav"
-    out = s
-    for tag in ("script", "style", "noscript"):
-        out = f"regexp_replace({out}, '(?is)<{tag}\\b.*?</{tag}\\s*>', ' ', 'g')"
-    out = f"regexp_replace({out}, '(?is)<!--.*?-->|<![^>]*>', ' ', 'g')"
-    out = f"regexp_replace({out}, '(?i)<li\\b[^>]*>', chr(10) || '• ', 'g')"
-    out = f"regexp_replace({out}, '(?i)</?(?:{tags})\\b[^>]*>', chr(10), 'g')"
-    return f"regexp_replace({out}, '<[^<>]*>', '', 'g')"
-
-
 @query("a27_html_to_text")
 def a27(spark, d):
     return table(spark, d, "pages").select("page_id", html_to_text(F.col("html")).alias("text"))
 
 
-@query("a28_sitemap", f"WITH {BASE} SELECT url, CASE WHEN k % 4 > 0 THEN CAST(epoch(date_trunc('day', at)) AS BIGINT) END AS lastmod FROM base WHERE k % 4 = 0 OR at >= TIMESTAMP '1998-01-01'")
+@query("a28_sitemap", f"WITH {BASE} SELECT url, CASE WHEN k % 4 > 0 THEN CAST(epoch(date_trunc('day', dt)) AS BIGINT) END AS lastmod FROM base WHERE k % 4 = 0 OR dt >= TIMESTAMP '1998-01-01'")
 def a28(spark, d):
-    entry = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc>"), F.when(K % 4 > 0, F.concat(F.lit("<lastmod>"), "day", F.lit("</lastmod>"))).otherwise(F.lit("")), F.lit("</url>"))
-    maps = base(spark, d).groupBy((K % 200).alias("part")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("payload"))
+    entry = F.concat(F.lit("<url><loc>"), "url", F.lit("</loc>"), F.when(F.col("k") % 4 > 0, F.concat(F.lit("<lastmod>"), "day", F.lit("</lastmod>"))).otherwise(F.lit("")), F.lit("</url>"))
+    maps = base(spark, d).groupBy((F.col("k") % 200).alias("part")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(entry), ""), F.lit("</urlset>")).alias("payload"))
     return sitemap_changed_since(maps, F.to_timestamp(F.lit("1998-01-01"))).select("url", F.unix_seconds("lastmod").alias("lastmod"))
 
 
 @query("a32_wanted_list", f"WITH {BASE} SELECT company, title, CASE WHEN k % 2 = 0 THEN town END AS place, CAST(NULL AS VARCHAR) AS url FROM base WHERE k % 5 > 0")
 def a32(spark, d):
-    line = F.when(K % 5 == 0, F.concat(F.lit("# "), "company")).otherwise(F.concat_ws(" | ", "company", "title", F.when(K % 2 == 0, F.col("town"))))
+    line = F.when(F.col("k") % 5 == 0, F.concat(F.lit("# "), "company")).otherwise(F.concat_ws(" | ", "company", "title", F.when(F.col("k") % 2 == 0, F.col("town"))))
     return read_wanted(base(spark, d).select(line.alias("value")))
 
 
 @query("a33_union_sources", f"WITH {BASE} SELECT source, count(*) AS n FROM (SELECT 'greenhouse' AS source FROM base UNION ALL SELECT 'workable' FROM base) GROUP BY 1")
 def a33(spark, d):
-    g = NORMALISERS["greenhouse"](base(spark, d).select(doc(id=K, title=F.col("title")).alias("payload")))
-    w = NORMALISERS["workable"](base(spark, d).select(doc(shortcode=K.cast("string"), title=F.col("title")).alias("payload")))
+    g = NORMALISERS["greenhouse"](base(spark, d).select(doc(id=F.col("k"), title=F.col("title")).alias("payload")))
+    w = NORMALISERS["workable"](base(spark, d).select(doc(shortcode=F.col("k").cast("string"), title=F.col("title")).alias("payload")))
     return union_sources([g, w]).groupBy("source").agg(F.count("*").alias("n"))
 
 
@@ -182,8 +172,8 @@ def a35(spark, d):
 
 @query("a37_merge_details", f"WITH {BASE} SELECT CAST(k AS VARCHAR) AS source_job_id, CASE WHEN k % 3 = 0 THEN 'a much longer text' ELSE 'short text' END AS description, CASE WHEN k % 2 = 0 THEN 'part_time' WHEN k % 3 = 0 THEN 'from page' END AS kind FROM base")
 def a37(spark, d):
-    a = base(spark, d).select(F.lit("s").alias("source"), K.cast("string").alias("source_job_id"), F.lit("short text").alias("description"), F.when(K % 2 == 0, "part_time").alias("kind"))
-    page = base(spark, d).where(K % 3 == 0).select(F.lit("s").alias("source"), K.cast("string").alias("source_job_id"), F.lit("a much longer text").alias("description"), F.lit("from page").alias("kind"))
+    a = base(spark, d).select(F.lit("s").alias("source"), F.col("k").cast("string").alias("source_job_id"), F.lit("short text").alias("description"), F.when(F.col("k") % 2 == 0, "part_time").alias("kind"))
+    page = base(spark, d).where(F.col("k") % 3 == 0).select(F.lit("s").alias("source"), F.col("k").cast("string").alias("source_job_id"), F.lit("a much longer text").alias("description"), F.lit("from page").alias("kind"))
     return merge_details(a, page).select("source_job_id", "description", "kind")
 
 

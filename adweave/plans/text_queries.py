@@ -23,7 +23,7 @@ TITLES = ["Senior Engineer (m/w/d)", "Sachbearbeiter*in", "Data Analyst (all gen
 CITIES = ["München, Bayern", "Köln", "Wien, AT", "Graz", "Praha 1", "Roma"]
 WORDING = ["Full-time", "Part time, permanent", "Internship", "Freelance contract", "Teilzeit und Vollzeit", "befristet", "regular", "", "Full time or part time"]
 PLACES = ["Remote - EMEA", "Hybrid in Berlin", "On-site", "Home office", "Europe", "the office", "Paris"]
-CODES = ["CB22 4QR", "T12 X70A", "in sw1a 1aa and EC1", "CB22", "none", "D6W AB12"]
+CODES = ["CB22 4QR", "T12 X70A", "in sw1a 1aa and EC1", "CB22", "none", "D6W XY12"]
 
 QUERIES: dict = {}
 
@@ -153,8 +153,8 @@ def b21(spark, d):
 
 @query(
     "b23_shingles",
-    f"""WITH w AS (SELECT doc_id, list_filter(string_split({FOLD.format('text')}, ' '), x -> x <> '') AS w FROM documents)
-    SELECT doc_id, CASE WHEN len(w) < 5 THEN 0 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')))) END AS n FROM w""",
+    f"""WITH w AS (SELECT doc_id, list_filter(string_split({FOLD.format('text')}, ' '), lambda x: x <> '') AS w FROM documents)
+    SELECT doc_id, CASE WHEN len(w) < 5 THEN 0 ELSE len(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))) END AS n FROM w""",
 )
 def b23(spark, d):
     return docs(spark, d).select("doc_id", F.size(T.shingles(F.col("text"))).cast("bigint").alias("n"))
@@ -162,9 +162,9 @@ def b23(spark, d):
 
 @query(
     "b24_containment",
-    f"""WITH w AS (SELECT source, list_distinct(list_filter(string_split({FOLD.format('text')}, ' '), x -> x <> '')) AS w FROM documents WHERE doc_id % 2 = 0),
-    b AS (SELECT list_distinct(list_filter(string_split({FOLD.format('text')}, ' '), x -> x <> '')) AS w, item_id FROM benchmark),
-    p AS (SELECT doc_id, item_id, dw.w AS a, b.w AS b FROM (SELECT doc_id, list_distinct(list_filter(string_split({FOLD.format('text')}, ' '), x -> x <> '')) AS w FROM documents) dw JOIN b ON b.item_id = dw.doc_id % 40)
+    f"""WITH w AS (SELECT source, list_distinct(list_filter(string_split({FOLD.format('text')}, ' '), lambda x: x <> '')) AS w FROM documents WHERE doc_id % 2 = 0),
+    b AS (SELECT list_distinct(list_filter(string_split({FOLD.format('text')}, ' '), lambda x: x <> '')) AS w, item_id FROM benchmark),
+    p AS (SELECT doc_id, item_id, dw.w AS a, b.w AS b FROM (SELECT doc_id, list_distinct(list_filter(string_split({FOLD.format('text')}, ' '), lambda x: x <> '')) AS w FROM documents) dw JOIN b ON b.item_id = dw.doc_id % 40)
     SELECT doc_id, item_id, round(CASE WHEN least(len(a), len(b)) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / least(len(a), len(b)) END, 6) AS share FROM p""",
 )
 def b24(spark, d):

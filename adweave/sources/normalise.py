@@ -193,7 +193,7 @@ def leforem(payloads):
     fine = lambda c: F.when(~F.isnan(c) & (F.abs(c) <= 180), c)
     contract = F.lower("typecontrat")
     return r, {
-        "source_job_id": F.col("numerooffreforem"), "url": F.col("url"), "title": F.col("titreoffre"), "company": F.col("nomemployeur"), "location_text": joined(F.transform("lieuxtravaillocalite", title_case_if_caps)), "country": F.substring(F.try_element_at("lieuxtravailregionnuts", F.lit(1)), 1, 2),
+        "source_job_id": F.col("numerooffreforem"), "url": F.col("url"), "title": F.col("titreoffre"), "company": F.col("nomemployeur"), "location_text": joined(F.transform("lieuxtravaillocalite", lambda x: title_case_if_caps(x))), "country": F.substring(F.try_element_at("lieuxtravailregionnuts", F.lit(1)), 1, 2),
         "latitude": fine(point["lat"]), "longitude": fine(point["lon"]), **day(F.substring("datedebutdiffusion", 1, 10)), "description": F.concat_ws("\n", "typecontrat", "regimetravail"), "description_is_complete": F.lit(False),
         "job_types": types((part, PART), (contract.contains("indéterminée") & ~F.coalesce(part, F.lit(False)), FULL), (contract.contains("déterminée") & ~contract.contains("indéterminée"), FIXED), (contract.contains("stage"), INTERN)),
     }
@@ -372,7 +372,7 @@ def sitemap_changed_since(sitemaps: DataFrame, since: Column) -> DataFrame:
 
 def read_wanted(lines: DataFrame) -> DataFrame:
     """``company, title, place, url`` from lines ``company | title | place | url``."""
-    parts = F.transform(F.split("value", "\\|"), F.trim)
+    parts = F.transform(F.split("value", "\\|"), lambda x: F.trim(x))
     rows = lines.where(~F.ltrim("value").startswith("#")).select(parts.alias("p")).where(F.size("p") >= 2)
     field = lambda i: F.nullif(F.coalesce(F.get("p", F.lit(i)), F.lit("")), F.lit(""))
     return rows.select(*(field(i).alias(n) for i, n in enumerate(("company", "title", "place", "url"))))
