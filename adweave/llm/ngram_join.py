@@ -33,6 +33,8 @@ WORDS = 5
 DOWN, UP = 75, 100
 #: Order of a shingle that is too frequent to index: after all others.
 FREQUENT = 65535
+#: Entries in a query's lists from which they are counted as arrays, not on a heap.
+HEAP_ENTRIES = 20_000
 #: Shingles of a cluster that one task takes at most, and of an index bucket.
 CLUSTER_TOKENS = 4_000_000
 BUCKET_TOKENS = 4_000_000
@@ -213,7 +215,8 @@ def divide_skip(keys: list[np.ndarray], sizes: list[int], queries: list[int], in
     query is connected with already.  For a query that needs T shingles in
     common, the L longest of its inverted lists are set aside; sets that occur
     T - L times in the short lists, merged on a heap, are probed in the long
-    ones.  L is T / (merge_cost * log2(longest list) + 1).
+    ones.  L is T / (merge_cost * log2(longest list) + 1).  Lists with over
+    HEAP_ENTRIES entries in all are counted together as arrays.
     """
     forest, links = _Forest(len(keys)), []
     flat = np.concatenate([keys[i] for i in indexed]) if indexed else np.empty(0, np.uint64)
@@ -230,10 +233,10 @@ def divide_skip(keys: list[np.ndarray], sizes: list[int], queries: list[int], in
         pivot = keys[indexed[0]]
         for x in {*queries, *indexed} - {indexed[0]}:
             accept(x, indexed[0], len(np.intersect1d(keys[x], pivot, assume_unique=True)))
-        counts: dict[int, int] = {}
+        trees: dict[int, int] = {}
         for x in {*queries, *indexed}:
-            counts[forest.root(x)] = counts.get(forest.root(x), 0) + 1
-        largest = max(counts, key=counts.get)
+            trees[forest.root(x)] = trees.get(forest.root(x), 0) + 1
+        largest = max(trees, key=trees.get)
         if {*indexed} <= {*queries}:  # a link is found from either end
             queries = [x for x in queries if forest.root(x) != largest]
     for x in sorted(queries, key=lambda q: sizes[q]):
@@ -246,6 +249,13 @@ def divide_skip(keys: list[np.ndarray], sizes: list[int], queries: list[int], in
         need = int(least_overlap(sizes[x]))
         if len(by_length) < need:
             continue
+        if int(lengths.sum()) > HEAP_ENTRIES:
+            # hot lists: one count over all of them is the merge and the probes at once
+            counts = np.bincount(np.concatenate([owner[low[k] : high[k]] for k in by_length]))
+            for y in np.flatnonzero(counts >= need).tolist():
+                if y != x and forest.root(y) != forest.root(x):
+                    accept(x, y, int(counts[y]))
+            continue
         longest = max(2, int(lengths[by_length[-1]]))
         aside = min(need - 1, int(need / (merge_cost * float(np.log2(longest)) + 1)))
         short, long = by_length[: len(by_length) - aside], by_length[len(by_length) - aside :]
