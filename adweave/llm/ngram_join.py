@@ -134,52 +134,74 @@ def _postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
     return docs.mapInPandas(run, "bucket int, kind int, high binary, low binary, place binary, classes binary, sizes binary, width int")
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: each class with those of its shingles that another class has too."""
-    out: list[tuple[int, int, int, bytes]] = []
-    tokens, owners, sizes = [], [], []
-    for r in pdf.itertuples():
-        names, n = np.frombuffer(r.classes, dtype=np.int64), np.frombuffer(r.sizes, dtype=np.int32)
-        if r.kind == 1:
-            out.append((int(names[0]), int(n[0]), len(r.high) // 8, r.high))
-            continue
-        place = np.frombuffer(r.place, dtype=np.uint16 if r.width == 2 else np.uint32)
-        tokens.append((np.frombuffer(r.high, dtype=np.uint16).astype(np.uint64) << np.uint64(32)) | np.frombuffer(r.low, dtype=np.uint32))
-        owners.append(names[place])
-        sizes.append(n[place])
-    if tokens:
-        t, c, n = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes)
-        del tokens, owners, sizes
-        order = np.argsort(t, kind="stable")
-        t, c, n = t[order], c[order], n[order]
-        # copies come from several blocks: one posting of each class and shingle
-        starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        if (np.diff(np.r_[starts, len(t)]) > 1).any():
-            many = np.repeat(np.diff(np.r_[starts, len(t)]) > 1, np.diff(np.r_[starts, len(t)]))
+def _shared(groups: int):
+    """Of one bucket: each class with those of its shingles that another class has too.
+
+    One row for each group of classes, its classes' keys one after the other.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, owners, sizes = [], [], []
+        tokens, token_owners, token_sizes = [], [], []
+        seen: set[int] = set()
+        for r in pdf.itertuples():
+            names, n = np.frombuffer(r.classes, dtype=np.int64), np.frombuffer(r.sizes, dtype=np.int32)
+            if r.kind == 1:  # copies in several blocks bring equal rows
+                if (c := int(names[0])) not in seen:
+                    seen.add(c)
+                    keys.append(np.frombuffer(r.high, dtype=np.uint64))
+                    owners.append(np.repeat(names, len(keys[-1])))
+                    sizes.append(np.repeat(n, len(keys[-1])))
+                continue
+            place = np.frombuffer(r.place, dtype=np.uint16 if r.width == 2 else np.uint32)
+            tokens.append((np.frombuffer(r.high, dtype=np.uint16).astype(np.uint64) << np.uint64(32)) | np.frombuffer(r.low, dtype=np.uint32))
+            token_owners.append(names[place])
+            token_sizes.append(n[place])
+        if tokens:
+            t, c, n = np.concatenate(tokens), np.concatenate(token_owners), np.concatenate(token_sizes)
+            del tokens, token_owners, token_sizes
+            order = np.argsort(t, kind="stable")
+            t, c, n = t[order], c[order], n[order]
+            lengths = np.diff(np.r_[np.flatnonzero(np.r_[True, t[1:] != t[:-1]]), len(t)])
+            many = np.repeat(lengths > 1, lengths)
             t, c, n = t[many], c[many], n[many]
+            # copies come from several blocks: one posting of each class and shingle
             order = np.lexsort((c, t))
             t, c, n = t[order], c[order], n[order]
-            first = np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])]
+            first = np.r_[True, (t[1:] != t[:-1]) | (c[1:] != c[:-1])][: len(t)]
             t, c, n = t[first], c[first], n[first]
-            starts = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            lengths = np.diff(np.r_[starts, len(t)])
+            lengths = np.diff(np.r_[np.flatnonzero(np.r_[True, t[1:] != t[:-1]][: len(t)]), len(t)])
             df = np.repeat(lengths, lengths)
             t, c, n, df = t[df > 1], c[df > 1], n[df > 1], df[df > 1]
-            keys = t | (np.minimum(df, FREQUENT - 1).astype(np.uint64) << np.uint64(48))
-            order = np.argsort(c, kind="stable")
-            keys, c, n = keys[order], c[order], n[order]
-            if len(c):
-                cuts = np.flatnonzero(c[1:] != c[:-1]) + 1
-                for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(c)], strict=True):
-                    out.append((int(c[a]), int(n[a]), int(b - a), keys[a:b].tobytes()))
-    return pd.DataFrame(out, columns=["class", "n", "s", "keys"])
-
-
-def _ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        keys = [np.unique(np.frombuffer(b"".join(parts), dtype=np.uint64)) for parts in pdf["keys"]]
-        keep = [len(k) >= least_overlap(n) for k, n in zip(keys, pdf.n, strict=True)]
-        yield pd.DataFrame({"class": pdf["class"], "n": pdf.n, "s": [len(k) for k in keys], "keys": [k.tobytes() for k in keys]})[keep]
+            keys.append(t | (np.minimum(df, FREQUENT - 1).astype(np.uint64) << np.uint64(48)))
+            owners.append(c)
+            sizes.append(n)
+        out = []
+        if keys:
+            k, c, n = np.concatenate(keys), np.concatenate(owners), np.concatenate(sizes)
+            group = c % groups
+            order = np.lexsort((c, group))
+            k, c, n, group = k[order], c[order], n[order], group[order]
+            cuts = np.r_[np.flatnonzero(np.r_[True, group[1:] != group[:-1]][: len(group)]), len(group)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                starts = np.flatnonzero(np.r_[True, c[a + 1 : b] != c[a : b - 1]])
+                counts = np.diff(np.r_[starts, b - a]).astype(np.int32)
+                out.append((int(group[a]), c[a:b][starts].tobytes(), n[a:b][starts].tobytes(), counts.tobytes(), k[a:b].tobytes()))
+        return pd.DataFrame(out, columns=["group", "classes", "sizes", "counts", "keys"])
+
+    return run
+
+
+def _gathered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of one group: the classes that share enough shingles to link, their keys in order."""
+    c = np.concatenate([np.repeat(np.frombuffer(a, np.int64), np.frombuffer(b, np.int32)) for a, b in zip(pdf.classes, pdf["counts"], strict=True)])
+    n = np.concatenate([np.repeat(np.frombuffer(a, np.int32), np.frombuffer(b, np.int32)) for a, b in zip(pdf.sizes, pdf["counts"], strict=True)])
+    k = np.frombuffer(b"".join(pdf["keys"]), dtype=np.uint64)
+    order = np.lexsort((k, c))
+    c, n, k = c[order], n[order], k[order]
+    cuts = np.r_[np.flatnonzero(np.r_[True, c[1:] != c[:-1]]), len(c)]
+    able = [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a >= least_overlap(int(n[a]))]
+    return pd.DataFrame([(int(c[a]), int(n[a]), b - a, k[a:b].tobytes()) for a, b in able], columns=["class", "n", "s", "keys"])
 
 
 def _first_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -356,11 +378,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     frequent = np.sort(np.array([r[0] for r in often.select("class").collect()], dtype=np.int64).astype(np.uint64))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total[0] or 0) // BUCKET_TOKENS + 1)
     index = _postings(texts, spark.sparkContext.broadcast(frequent.tobytes()), buckets)
-    shared = index.groupBy("bucket").applyInPandas(_shared, "class long, n long, s long, keys binary")
-    # equal rows of frequent shingles come from several blocks: the lists are made distinct in _ordered
-    gathered = shared.groupBy("class").agg(F.first("n").alias("n"), F.sum("s").alias("s"), F.collect_set("keys").alias("keys"))
-    able = gathered.where(UP * F.col("s") >= DOWN * F.col("n")).select("class", "n", "keys")
-    rows = materialise(able.mapInPandas(_ordered, "class long, n long, s long, keys binary"), "join-candidates")
+    shared = index.groupBy("bucket").applyInPandas(_shared(buckets), "group int, classes binary, sizes binary, counts binary, keys binary")
+    able = shared.groupBy("group").applyInPandas(_gathered, "class long, n long, s long, keys binary")
+    rows = materialise(able, "join-candidates")
     firsts = rows.mapInPandas(_first_keys, "key long, class long")
     named = firsts.groupBy("key").agg(F.min("class").alias("rep"), F.count("*").alias("size")).where("size > 1")
     stars = firsts.join(named, "key").select(F.col("class").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
