@@ -317,7 +317,7 @@ def _search(pdf: pd.DataFrame) -> pd.DataFrame:
 def _against_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         ok = [linked(len(np.intersect1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)), n, m) for a, b, n, m in zip(pdf["keys"], pdf.pivot_keys, pdf.n, pdf.pivot_n, strict=True)]
-        yield pd.DataFrame({"class": pdf["class"], "pivot": pdf.pivot, "ok": ok})
+        yield pd.DataFrame({"class": pdf["class"], "pivot": pdf["pivot"], "ok": ok})
 
 
 def _cluster_links(rows: DataFrame) -> DataFrame:
