@@ -10,8 +10,9 @@ of its length.  Only the histogram reaches the driver.
 
 from __future__ import annotations
 
+import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,8 +27,8 @@ from adweave.llm.common import materialise, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 600_000
 
 
 def default_tokenizer() -> str:
@@ -36,30 +37,50 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class WordIds(dict):
+    """Ids of words as little-endian unsigned 32-bit, found when first asked for.
+
+    Two generations: when the younger holds REMEMBERED words it becomes the
+    older, from which words that are asked for again are taken over.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = np.array(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self[word] = ids
+        return ids
+
+    def settle(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
-    return Tokenizer.from_file(path), {}
+
+#: A comma or point that ends a word of letters or digits is a token of its own.
+ENDS = re.compile(rb"(?<=[a-z0-9])([,.])(?=[ \n])")
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
     """Each whole text's ids as little-endian unsigned 32-bit, the end id last.
 
-    The tokenizer never joins what a space or line end parts, so the pieces
-    between those are encoded one by one and remembered.
+    The tokenizer lower-cases, and never joins what white space parts, so words
+    are encoded one by one and remembered.
     """
-    tokenizer, known = _tokenizer(path)
-    split = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-    fresh = list({w for words in split for w in words if w not in known})
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = list({w for words in split for w in words})
-    for k in range(0, len(fresh), 50_000):
-        part = fresh[k : k + 50_000]
-        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-    end = np.array([END_ID], dtype="<u4").tobytes()
-    return [b"".join(map(known.__getitem__, words)) + end for words in split]
+    known, end = word_ids(path), np.array([END_ID], dtype="<u4").tobytes()
+    out = [b"".join(map(known.__getitem__, ENDS.sub(rb" \1", (t or "").encode("utf-8", "surrogatepass").lower()).split())) + end for t in texts]
+    known.settle()
+    return out
 
 
 def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, tokenizer: str = "") -> DataFrame:
