@@ -67,8 +67,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-#: A comma or point that ends a word of letters or digits is a token of its own.
-ENDS = re.compile(rb"(?<=[a-z0-9])([,.])(?=[ \n])")
+#: Marks that end a word of letters or digits are a token of their own.  Left out
+#: are the apostrophe, which may begin one, and the marks of special tokens.
+ENDS = re.compile(rb"(?<=[a-z0-9])([!-&(-/:;=?@\[-`{}~]+)(?=[ \n])")
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
