@@ -115,45 +115,44 @@ def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = 60, tole
 
     ``members`` has ``tokens`` and ``posterior``.  From rate 1 on, each step moves
     every rate against the gradient of the squared residual, measured in the
-    inverse of the documents' Gram matrix so that the step length 1 is safe, and
-    cuts it at 0.  Each step is one distributed sum of a vector as long as there
-    are domains; the steps, not the rates, are kept.  It stops when the largest
-    residual is under ``tolerance`` of all targets, or after ``max_steps``.
+    inverse Gram matrix of the documents whose rate isn't 0, and cuts it at 0.
+    Each step is one distributed sum as long as there are domains squared; the
+    steps, not the rates, are kept.  It stops when the largest residual is under
+    ``tolerance`` of all targets, or after ``max_steps``, with the best so far.
     Targets that no rates reach are met as nearly as least squares can.
     """
     scale = max(1.0, float(members.agg(F.max("tokens")).first()[0] or 1))
     k = len(targets)
 
-    def sums(batches: Iterator[pd.DataFrame], rates: Rates, gram: bool) -> Iterator[pd.DataFrame]:
+    def sums(batches: Iterator[pd.DataFrame], rates: Rates) -> Iterator[pd.DataFrame]:
         total, square = np.zeros(k), np.zeros((k, k))
         for pdf in batches:
             tokens, posterior = pdf.tokens.to_numpy(dtype=float), np.stack(pdf.posterior.to_numpy()) if len(pdf) else np.zeros((0, k))
             share = (tokens / scale)[:, None] * posterior
-            total += rates.of(tokens, posterior) @ share
-            if gram:
-                square += share.T @ share
+            rate = rates.of(tokens, posterior)
+            total += rate @ share
+            moves = share[rate > 0]
+            square += moves.T @ moves
         yield pd.DataFrame([[*total, *square.ravel()]], columns=[f"v{i}" for i in range(k + k * k)])
 
-    def summed(rates: Rates, gram: bool) -> np.ndarray:
+    def summed(rates: Rates) -> np.ndarray:
         schema = ", ".join(f"v{i} double" for i in range(k + k * k))
-        rows = members.select("tokens", "posterior").mapInPandas(lambda b: sums(b, rates, gram), schema)
+        rows = members.select("tokens", "posterior").mapInPandas(lambda b: sums(b, rates), schema)
         return np.array([x or 0.0 for x in rows.agg(*(F.sum(c).alias(c) for c in rows.columns)).first()])
 
     wanted = np.asarray(targets, dtype=float) / scale
     rates = Rates(np.zeros((0, k)), scale, 0.0)
-    inverse, best = None, None
+    best = None
     for _ in range(max_steps):
-        got = summed(rates, inverse is None)
-        if inverse is None:
-            gram = got[k:].reshape(k, k)
-            inverse = np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k))
+        got = summed(rates)
+        gram = got[k:].reshape(k, k)
         residual = got[:k] - wanted
         size = float(np.abs(residual).max() / max(wanted.sum(), 1e-12))
         if best is None or size < best.residual:
             best = Rates(rates.steps, scale, size)
         if size < tolerance:
             break
-        rates = Rates(np.vstack([rates.steps, inverse @ residual]), scale, size)
+        rates = Rates(np.vstack([rates.steps, np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k)) @ residual]), scale, size)
     return best
 
 
@@ -166,34 +165,50 @@ def copies(rate: Column, *keys: Column, snap: float = 0.1) -> Column:
     return F.when(F.abs(rate - F.round(rate)) <= snap, F.round(rate)).otherwise(F.floor(rate + chance)).cast("int")
 
 
-def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], key: str = "doc_id", text: str = "text", keep: float | None = None) -> DataFrame:
-    """``docs`` with ``tokens``, ``posterior``, ``rate`` and ``copies``.
-
-    ``weights`` gives each domain's target share of the tokens, or, where
-    ``keep`` is given, is multiplied with the domain's present expected tokens
-    (and ``keep`` holds for domains without a weight).  Equal rows get equal
-    rates; an empty table stays empty; null texts have no tokens and rate 1.
-    Columns with these four names are replaced.
-    """
-    docs = docs.drop("tokens", "posterior", "rate", "copies")
-    members = materialise(soft_membership(docs.select(F.col(text).alias("text")), model).select("tokens", "posterior"), "mix-members")
+def rates_for(members: DataFrame, model: DomainModel, weights: dict[str, float], keep: float | None = None) -> Rates:
+    """The rates of ``members`` (tokens, posterior) for the weights that ``mix`` describes."""
     k = len(model.domains)
-    now = np.array([x or 0.0 for x in members.agg(*(F.sum(F.col("tokens") * F.col("posterior")[i]) for i in range(k))).first()])
+    # with ``keep``, what each document should keep by its likeliest domain; else all of it
+    kept = F.lit(1.0)
+    if keep is not None:
+        shares = F.array(*(F.lit(float(weights.get(d, keep))) for d in model.domains))
+        kept = F.get(shares, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
+    now = np.array([x or 0.0 for x in members.agg(*(F.sum(F.col("tokens") * kept * F.col("posterior")[i]) for i in range(k))).first()])
+    targets = now
     if keep is None:
         share = np.array([weights.get(d, 0.0) for d in model.domains])
         targets = now.sum() * share / max(share.sum(), 1e-12)
-    else:
-        targets = now * np.array([weights.get(d, keep) for d in model.domains])
-    rates = fit_rates(members, targets)
-    shared = docs.sparkSession.sparkContext.broadcast(rates)
+    return fit_rates(members, targets)
+
+
+def with_rates(members: DataFrame, rates: Rates, *keys: Column) -> DataFrame:
+    """``members`` with ``rate`` and ``copies``."""
+    shared = members.sparkSession.sparkContext.broadcast(rates)
 
     @F.pandas_udf("double")
     def rate(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for tokens, posterior in batches:
             yield pd.Series(shared.value.of(tokens.to_numpy(dtype=float), np.stack(posterior.to_numpy())) if len(tokens) else [], dtype="float64")
 
-    out = soft_membership(docs, model, text).withColumn("rate", rate("tokens", "posterior"))
-    return out.withColumn("copies", copies(F.col("rate"), F.col(key), F.col(text)))
+    return members.withColumn("rate", rate("tokens", "posterior")).withColumn("copies", copies(F.col("rate"), *keys))
+
+
+def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], key: str = "doc_id", text: str = "text", keep: float | None = None) -> DataFrame:
+    """``docs`` with ``tokens``, ``posterior``, ``rate`` and ``copies``.
+
+    ``weights`` gives each domain's target share of the tokens.  Where ``keep`` is
+    given, the targets are instead what is left of the domains' expected tokens
+    if documents kept the weight of their likeliest domain (``keep`` where it has
+    none).  Equal rows get equal rates; an empty table stays empty; null texts
+    have no tokens and rate 1.  Columns with these four names are replaced.
+
+    The texts are classified twice, once for the fit and once for the result, so
+    that they are neither written nor shuffled in between.
+    """
+    docs = docs.drop("tokens", "posterior", "rate", "copies")
+    members = materialise(soft_membership(docs.select(F.col(text).alias("text")), model).select("tokens", "posterior"), "mix-members")
+    rates = rates_for(members, model, weights, keep)
+    return with_rates(soft_membership(docs, model, text), rates, F.col(key), F.xxhash64(text))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
@@ -208,7 +223,9 @@ TARGETS = {"good": 0.9, "poor": 0.08, "toxic": 0.02}
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_domains(docs, quality_domains(table(spark, sf_dir, "labels")))
-    out = mix(docs, model, TARGETS)
+    # the result has no text, so the documents' memberships are kept and nothing is classified twice
+    members = materialise(soft_membership(docs, model).select("doc_id", F.xxhash64("text").alias("h"), "tokens", "posterior"), "mix-members")
+    out = with_rates(members, rates_for(members, model, TARGETS), F.col("doc_id"), F.col("h"))
     return out.select("doc_id", "tokens", *(F.col("posterior")[i].alias(f"p_{d}") for i, d in enumerate(model.domains)), "rate", "copies")
 
 
