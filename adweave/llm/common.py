@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adweave.functions.storage import materialise, shared_dir
+from adweave.functions.storage import materialise, materialise_dealt, shared_dir
 
-__all__ = ["held_out", "materialise", "shared_dir", "table"]
+__all__ = ["held_out", "materialise", "materialise_dealt", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

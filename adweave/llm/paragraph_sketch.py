@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adweave.llm.common import materialise, table
+from adweave.llm.common import materialise, materialise_dealt, table
 
 #: A longer paragraph counts as pieces of this many characters.
 PIECE_CHARS = 160
@@ -62,10 +62,10 @@ def _place(digest: Column, part: Column | int, cells: Column, seed: int) -> Colu
     return part * cells + F.pmod(F.xxhash64(digest, part, F.lit(seed)), cells)
 
 
-def _peeled(pairs: DataFrame, key: str, factor: int, seed: int, steps: int) -> DataFrame:
+def _peeled(pairs: DataFrame, keys: list[str], factor: int, seed: int, steps: int) -> DataFrame:
     """One attempt: what is left of the subtracted cells, and what was recovered.
 
-    ``pairs`` is dealt by ``key``, so that no aggregation here shuffles again.
+    ``pairs`` is dealt by the first of ``keys``, so that no aggregation here shuffles again.
     Rows with ``tag`` null are cells that aren't empty; those with a tag are
     recovered digests, ``c`` telling the side (1: only in a, -1: only in b).
     """
@@ -73,9 +73,9 @@ def _peeled(pairs: DataFrame, key: str, factor: int, seed: int, steps: int) -> D
     number = (F.size("a") + F.size("b")) * factor
     cells = F.greatest(F.lit(32), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(number, F.lit(1)))))).cast("bigint")
     sides = F.explode(F.array(F.struct(F.lit(1).cast("bigint").alias("c"), F.col("a").alias("d")), F.struct(F.lit(-1).cast("bigint").alias("c"), F.col("b").alias("d"))))
-    rows = pairs.select(key, cells.alias("m"), sides.alias("s")).select(key, "m", F.col("s.c").alias("c"), F.explode("s.d").alias("d"))
-    rows = rows.select(key, "m", "c", "d", F.explode(F.array(*(F.lit(j) for j in range(PARTS)))).alias("j"))
-    state = rows.groupBy(key, "m", _place(F.col("d"), F.col("j"), F.col("m"), seed).alias("cell"), F.lit(None).cast("bigint").alias("tag")).agg(
+    rows = pairs.select(*keys, cells.alias("m"), sides.alias("s")).select(*keys, "m", F.col("s.c").alias("c"), F.explode("s.d").alias("d"))
+    rows = rows.select(*keys, "m", "c", "d", F.explode(F.array(*(F.lit(j) for j in range(PARTS)))).alias("j"))
+    state = rows.groupBy(*keys, "m", _place(F.col("d"), F.col("j"), F.col("m"), seed).alias("cell"), F.lit(None).cast("bigint").alias("tag")).agg(
         F.sum("c").alias("c"), F.bit_xor("d").alias("k"), F.bit_xor(checksum(F.col("d"))).alias("h")
     )
     filled = (F.col("c") != 0) | (F.col("k") != 0) | (F.col("h") != 0)
@@ -89,28 +89,30 @@ def _peeled(pairs: DataFrame, key: str, factor: int, seed: int, steps: int) -> D
         same = row(F.col("cell"), F.col("tag"), F.col("c"), F.col("k"), F.col("h"))
         others = [row(_place(F.col("k"), i, F.col("m"), seed), none, -F.col("c"), F.col("k"), F.col("h")) for i in range(PARTS) if i != j]
         found = row(F.lit(-1), F.col("k"), F.col("c"), F.col("k"), F.col("h"))
-        state = state.where(filled).select(key, "m", F.explode(F.when(single, F.array(*others, found)).otherwise(F.array(same))).alias("r")).select(key, "m", "r.*")
-        state = state.groupBy(key, "m", "cell", "tag").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
-    return state.where(filled).select(key, "tag", "c")
+        state = state.where(filled).select(*keys, "m", F.explode(F.when(single, F.array(*others, found)).otherwise(F.array(same))).alias("r")).select(*keys, "m", "r.*")
+        state = state.groupBy(*keys, "m", "cell", "tag").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+    return state.where(filled).select(*keys, "tag", "c")
 
 
-def count_differences(pairs: DataFrame, key: str = "pair", attempts: int = 4) -> DataFrame:
-    """How many digests differ in each pair: ``key, only_a, only_b``.
+def count_differences(pairs: DataFrame, keys: tuple[str, ...] = ("pair",), attempts: int = 4, dealt: bool = False) -> DataFrame:
+    """How many digests differ in each pair: ``keys, only_a, only_b``.
 
-    ``pairs`` has one row for each ``key`` (a long, never null) with the digest
-    arrays ``a`` and ``b``.  Pairs without a difference have no row.  A pair whose
-    sketch doesn't peel is tried again with one four times as large and other
-    places; what is stuck after ``attempts`` (about one pair in 10**9) is
-    compared digest by digest, so that every pair gets its exact counts.
+    ``pairs`` has one row for each value of ``keys`` (never null) with the digest
+    arrays ``a`` and ``b``; ``dealt`` says that it is dealt by the first key
+    already.  Pairs without a difference have no row.  A pair whose sketch doesn't
+    peel is tried again with one four times as large and other places; what is
+    stuck after ``attempts`` (about one pair in 10**9) is compared digest by
+    digest, so that every pair gets its exact counts.
     """
-    total = pairs.select(F.sum((F.size("a") + F.size("b")).cast("bigint"))).first()[0] or 0
-    spark = pairs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 300_000 + 1)
-    todo, done = pairs.select(key, "a", "b"), None
+    keys = list(keys)
+    todo, done = pairs.select(*keys, "a", "b"), None
     for n in range(attempts):
+        if n or not dealt:
+            total = todo.select(F.sum((F.size("a") + F.size("b")).cast("bigint"))).first()[0] or 0
+            todo = todo.repartition(sketch_parts(todo, total), keys[0])
         state = materialise(
-            _peeled(todo.repartition(parts, key), key, 2 * 4**n, n, 7)
-            .groupBy(key)
+            _peeled(todo, keys, 2 * 4**n, n, 7)
+            .groupBy(*keys)
             .agg(
                 F.count_if(F.col("tag").isNull()).alias("stuck"),
                 F.count_if(F.col("tag").isNotNull() & (F.col("c") == 1)).alias("only_a"),
@@ -120,21 +122,27 @@ def count_differences(pairs: DataFrame, key: str = "pair", attempts: int = 4) ->
         )
         good = state.where("stuck = 0").drop("stuck")
         done = good if done is None else done.unionByName(good)
-        stuck = state.where("stuck > 0").select(key)
+        stuck = state.where("stuck > 0").select(*keys)
         if stuck.isEmpty():
             return done
-        todo = todo.join(stuck, key, "left_semi")
-    rest = todo.select(key, F.size(F.array_except("a", "b")).cast("bigint").alias("only_a"), F.size(F.array_except("b", "a")).cast("bigint").alias("only_b"))
+        todo = todo.join(stuck, keys, "left_semi")
+    rest = todo.select(*keys, F.size(F.array_except("a", "b")).cast("bigint").alias("only_a"), F.size(F.array_except("b", "a")).cast("bigint").alias("only_b"))
     return done.unionByName(rest)
 
 
+def sketch_parts(df: DataFrame, digests: int) -> int:
+    """A multiple of the session's shuffle partitions, for some 300,000 digests each."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return own * (digests // 300_000 // own + 1)
+
+
 def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
     """Shared digests over all digests of two texts; 1 for two empty ones."""
     return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - differing) / (n_a + n_b + differing))
 
 
-def with_next(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
-    """``docs`` as ``key, text, pos, want, total``, and whether rows repeat.
+def with_next(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool, int]:
+    """``docs`` as ``key, text, pos, want, total``; whether rows repeat; all characters.
 
     ``pos`` counts the distinct (key, text) in descending order, null keys last;
     ``want`` is half the characters of the one before, which is what that one
@@ -147,7 +155,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
     order = [F.col("key").desc_nulls_last(), F.col("th").desc()]
     ids = materialise(ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sketch-order")
     # a row for each part, so these stay few
-    sizes = ids.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("size"), F.sum("copies").alias("copies")).orderBy("part").collect()
+    sizes = ids.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("size"), F.sum("copies").alias("copies"), F.sum("n").alias("chars")).orderBy("part").collect()
     total, repeats, before, offsets = sum(r["size"] for r in sizes), sum(r["copies"] for r in sizes) > sum(r["size"] for r in sizes), 0, []
     for r in sizes:
         offsets.append((r["part"], before))
@@ -157,7 +165,7 @@ def with_next(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
     wants = ids.select(F.pmod(F.col("pos") + 1, F.lit(max(total, 1))).alias("pos"), F.floor(F.col("n") / 2).cast("int").alias("want"))
     ids = ids.join(wants, "pos").select(F.col("key").alias("k"), F.col("th").alias("t"), "pos", "want")
     out = rows.join(ids, rows["key"].eqNullSafe(ids["k"]) & (rows["th"] == ids["t"]))
-    return out.select("key", "text", "pos", "want", F.lit(max(total, 1)).cast("bigint").alias("total")), repeats
+    return out.select("key", "text", "pos", "want", F.lit(max(total, 1)).cast("bigint").alias("total")), repeats, sum(r["chars"] for r in sizes)
 
 
 def fingerprint_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -169,20 +177,25 @@ def fingerprint_versions(docs: DataFrame, key: str = "doc_id", text: str = "text
     rows get equal results; with one row, that row is its own next.  Whole texts
     are read.  Other columns of ``docs`` are left out.
     """
-    placed, repeats = with_next(docs, key, text)
+    placed, repeats, chars = with_next(docs, key, text)
     half = F.floor(F.length("text") / 2).cast("int")
     mine = placed.select("pos", "key", F.length("text").cast("bigint").alias("n_chars"), F.substr(F.col("text"), F.lit(1), F.length("text") - half).alias("head"), paragraph_digests(F.col("text")).alias("own"))
     gives = placed.select(F.pmod(F.col("pos") - 1, F.col("total")).alias("pos"), F.substr(F.col("text"), F.lit(1), F.col("want")).alias("tail"), paragraph_digests(F.col("text")).alias("next"))
     if repeats:
         gives = gives.dropDuplicates(["pos"])
     edited = F.concat("head", "tail")
-    rows = materialise(
+    # four digest arrays meet in the comparisons, and lines are mostly shorter than a piece's limit
+    parts = sketch_parts(docs, 6 * chars // PIECE_CHARS)
+    rows = materialise_dealt(
         mine.join(gives, "pos").withColumn("text", edited).select("pos", "key", "n_chars", F.sha2("text", 256).alias("edited_sha256"), "own", paragraph_digests(F.col("text")).alias("edited"), "next"),
         "sketch-digests",
+        "pos",
+        parts,
     )
     one = rows.dropDuplicates(["pos"]) if repeats else rows
-    pairs = one.select(F.explode(F.array(F.struct((2 * F.col("pos")).alias("pair"), F.col("own").alias("a"), F.col("edited").alias("b")), F.struct((2 * F.col("pos") + 1).alias("pair"), F.col("own").alias("a"), F.col("next").alias("b")))).alias("p")).select("p.*")
-    found = count_differences(pairs).select(F.shiftright("pair", 1).alias("pos"), F.pmod("pair", F.lit(2)).alias("which"), (F.col("only_a") + F.col("only_b")).alias("d"))
+    compared = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("own").alias("a"), F.col("edited").alias("b")), F.struct(F.lit(1).alias("which"), F.col("own").alias("a"), F.col("next").alias("b"))))
+    pairs = one.select("pos", compared.alias("p")).select("pos", "p.*")
+    found = count_differences(pairs, ("pos", "which"), dealt=True).withColumn("d", F.col("only_a") + F.col("only_b"))
     found = found.groupBy("pos").agg(F.sum(F.when(F.col("which") == 0, F.col("d"))).alias("d_edited"), F.sum(F.when(F.col("which") == 1, F.col("d"))).alias("d_next"))
     none = F.lit(0).cast("bigint")
     return rows.join(found, "pos", "left").select(
