@@ -38,6 +38,8 @@ HEAP_ENTRIES = 20_000
 #: Shingles of a cluster that one task takes at most, and of an index bucket.
 CLUSTER_TOKENS = 4_000_000
 BUCKET_TOKENS = 4_000_000
+#: Documents whose sets a task holds at once.
+BLOCK_DOCUMENTS = 3_000
 
 
 def shingle_set(text: str | None, width: int = WORDS) -> np.ndarray:
@@ -73,15 +75,21 @@ def linked(shared: int, n: int, m: int) -> bool:
     return UP * shared >= DOWN * (n + m - shared) and shared > 0
 
 
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for k in range(0, len(pdf), BLOCK_DOCUMENTS):
+            yield pdf.iloc[k : k + BLOCK_DOCUMENTS]
+
+
 def _describe(docs: DataFrame) -> DataFrame:
     """``kind`` 0: each document with the size and class of its set; ``kind`` 1:
     shingles that a block of texts has often, with how many of its classes."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in _blocks(batches):
             sets = [shingle_set(t) for t in pdf.text]
             classes = [class_of(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"kind": 0, "doc_id": pdf.doc_id.astype("Int64"), "n": [len(s) for s in sets], "class": pd.array(classes, dtype="Int64")})
+            yield pd.DataFrame({"kind": 0, "doc_id": pdf.doc_id.astype("Int64").array, "n": [len(s) for s in sets], "class": pd.array(classes, dtype="Int64")})
             own = {c: s for c, s in zip(classes, sets, strict=True) if c is not None}
             if own:
                 tokens, counts = np.unique(np.concatenate(list(own.values())) >> np.uint64(16), return_counts=True)
@@ -102,7 +110,7 @@ def _postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         often = np.frombuffer(frequent.value, dtype=np.uint64)
-        for pdf in batches:
+        for pdf in _blocks(batches):
             own: dict[int, np.ndarray] = {}
             for t in pdf.text:
                 s = shingle_set(t)
