@@ -4,7 +4,8 @@ A classifier fitted on a labelled table gives each document's probability of
 each domain.  A document's expected tokens in a domain are its tokens times that
 probability; projected gradient steps on a least-squares objective find a
 nonnegative rate for every document, so that the expected totals meet the
-targets.
+targets.  Copies are the rates rounded up or down by chance alone, so that their
+totals meet the targets too.
 """
 
 from __future__ import annotations
@@ -101,21 +102,31 @@ class Rates:
     steps: np.ndarray  # steps x domains
     scale: float
     residual: float
+    lower: np.ndarray  # a bound for each likeliest domain; at most 1
+    upper: np.ndarray  # at least 1
 
     def of(self, tokens: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+        return self.moved(tokens, posterior)[0]
+
+    def moved(self, tokens: np.ndarray, posterior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rates, and which of them a bound neither fixes nor cut in the last step."""
         share = (tokens / self.scale)[:, None] * posterior
-        rate = np.ones(len(tokens))
+        likeliest = posterior.argmax(axis=1)
+        low, high = self.lower[likeliest], self.upper[likeliest]
+        rate = aim = np.ones(len(tokens))
         for u in self.steps:
-            rate = np.maximum(0.0, rate - share @ u)
-        return rate
+            aim = rate - share @ u
+            rate = np.clip(aim, low, high)
+        return rate, (low < high) & (aim >= low) & (aim <= high)
 
 
-def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = 60, tolerance: float = 1e-4) -> Rates:
+def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = 60, tolerance: float = 1e-4, lower: np.ndarray | None = None, upper: np.ndarray | None = None) -> Rates:
     """Rates whose expected token totals meet ``targets`` (tokens of each domain).
 
     ``members`` has ``tokens`` and ``posterior``.  From rate 1 on, each step moves
     every rate against the gradient of the squared residual, measured in the
-    inverse Gram matrix of the documents whose rate isn't 0, and cuts it at 0.
+    inverse Gram matrix of the documents whose rate isn't at a bound, and cuts it
+    at its bounds: ``lower`` (0) and ``upper`` (none) of its likeliest domain.
     Each step is one distributed sum as long as there are domains squared; the
     steps, not the rates, are kept.  It stops when the largest residual is under
     ``tolerance`` of all targets, or after ``max_steps``, with the best so far.
@@ -129,9 +140,9 @@ def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = 60, tole
         for pdf in batches:
             tokens, posterior = pdf.tokens.to_numpy(dtype=float), np.stack(pdf.posterior.to_numpy()) if len(pdf) else np.zeros((0, k))
             share = (tokens / scale)[:, None] * posterior
-            rate = rates.of(tokens, posterior)
+            rate, free = rates.moved(tokens, posterior)
             total += rate @ share
-            moves = share[rate > 0]
+            moves = share[free]
             square += moves.T @ moves
         yield pd.DataFrame([[*total, *square.ravel()]], columns=[f"v{i}" for i in range(k + k * k)])
 
@@ -141,7 +152,8 @@ def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = 60, tole
         return np.array([x or 0.0 for x in rows.agg(*(F.sum(c).alias(c) for c in rows.columns)).first()])
 
     wanted = np.asarray(targets, dtype=float) / scale
-    rates = Rates(np.zeros((0, k)), scale, 0.0)
+    lower, upper = np.zeros(k) if lower is None else lower, np.full(k, np.inf) if upper is None else upper
+    rates = Rates(np.zeros((0, k)), scale, 0.0, lower, upper)
     best = None
     for _ in range(max_steps):
         got = summed(rates)
@@ -149,20 +161,20 @@ def fit_rates(members: DataFrame, targets: np.ndarray, max_steps: int = 60, tole
         residual = got[:k] - wanted
         size = float(np.abs(residual).max() / max(wanted.sum(), 1e-12))
         if best is None or size < best.residual:
-            best = Rates(rates.steps, scale, size)
+            best = Rates(rates.steps, scale, size, lower, upper)
         if size < tolerance:
             break
-        rates = Rates(np.vstack([rates.steps, np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k)) @ residual]), scale, size)
+        rates = Rates(np.vstack([rates.steps, np.linalg.pinv(gram + 1e-9 * np.trace(gram) * np.eye(k)) @ residual]), scale, size, lower, upper)
     return best
 
 
-def copies(rate: Column, *keys: Column, snap: float = 0.1) -> Column:
+def copies(rate: Column, *keys: Column) -> Column:
     """How often a document is taken: its rate, rounded by a hash of ``keys``.
 
-    Rates within ``snap`` of a whole number take that number.
+    The part after the point is the chance of one more copy, however small it is.
     """
     chance = F.pmod(F.xxhash64(*keys), F.lit(1_000_000)) / 1_000_000
-    return F.when(F.abs(rate - F.round(rate)) <= snap, F.round(rate)).otherwise(F.floor(rate + chance)).cast("int")
+    return F.floor(rate + chance).cast("int")
 
 
 def rates_for(members: DataFrame, model: DomainModel, weights: dict[str, float], keep: float | None = None) -> Rates:
@@ -174,11 +186,15 @@ def rates_for(members: DataFrame, model: DomainModel, weights: dict[str, float],
         shares = F.array(*(F.lit(float(weights.get(d, keep))) for d in model.domains))
         kept = F.get(shares, (F.array_position("posterior", F.array_max("posterior")) - 1).cast("int"))
     now = np.array([x or 0.0 for x in members.agg(*(F.sum(F.col("tokens") * kept * F.col("posterior")[i]) for i in range(k))).first()])
-    targets = now
-    if keep is None:
+    targets, lower, upper = now, None, None
+    if keep is not None:
+        # what each document should keep lies within these bounds, so they leave the targets in reach
+        own = np.array([float(weights.get(d, keep)) for d in model.domains])
+        lower, upper = np.where(own < 1, 0.0, 1.0), np.where(own > 1, np.inf, 1.0)
+    else:
         share = np.array([weights.get(d, 0.0) for d in model.domains])
         targets = now.sum() * share / max(share.sum(), 1e-12)
-    return fit_rates(members, targets)
+    return fit_rates(members, targets, lower=lower, upper=upper)
 
 
 def with_rates(members: DataFrame, rates: Rates, *keys: Column) -> DataFrame:
@@ -199,7 +215,8 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], key: str
     ``weights`` gives each domain's target share of the tokens.  Where ``keep`` is
     given, the targets are instead what is left of the domains' expected tokens
     if documents kept the weight of their likeliest domain (``keep`` where it has
-    none).  Equal rows get equal rates; an empty table stays empty; null texts
+    none); a weight of 1 leaves these documents at rate 1, a smaller one at 0 to 1,
+    a larger one at 1 or more.  Equal rows get equal rates; an empty table stays empty; null texts
     have no tokens and rate 1.  Columns with these four names are replaced.
 
     The texts are classified twice, once for the fit and once for the result, so

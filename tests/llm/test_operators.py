@@ -164,6 +164,25 @@ def test_mixing(spark):
     assert rows(mixing.mix(table(spark, ODD).limit(0), model, {"a": 1.0})) == []
 
 
+def test_mixing_copies_meet_targets(spark):
+    docs = table(spark, [(i, prose(i, 60, ["good", "fine"] if i % 2 else ["bad", "ugly"])) for i in range(4000)])
+    labelled = spark.createDataFrame([(i, "ab"[i % 2 == 0]) for i in range(200)], "doc_id long, domain string")
+    model = mixing.fit_domains(docs, labelled)
+
+    def share(out):
+        total = sum(r["copies"] * r["tokens"] * np.array(r["posterior"]) for r in out)
+        return total[1] / total.sum()
+
+    for b in (0.04, 0.46):  # rates under 0.1, and rates within 0.1 of 1
+        assert abs(share(rows(mixing.mix(docs, model, {"a": 1 - b, "b": b}))) - b) < 0.012
+    # rates held at bounds: a stays whole, b keeps a share within the old snap
+    out = rows(mixing.mix(docs, model, {"a": 1.0, "b": 0.08}, keep=1.0))
+    assert all(r["copies"] == 1 for r in out if r["posterior"][0] > 0.5) and all(0 <= r["rate"] <= 1 for r in out)
+    aim = sum(r["tokens"] * (1.0 if r["posterior"][0] > 0.5 else 0.08) * np.array(r["posterior"]) for r in out)
+    assert np.allclose(sum(r["rate"] * r["tokens"] * np.array(r["posterior"]) for r in out), aim, atol=2e-4 * aim.sum())
+    assert abs(share(out) - aim[1] / aim.sum()) < 0.012
+
+
 def line_brute(t):
     words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     at, seen = {}, set()
