@@ -174,6 +174,23 @@ def b24(spark, d):
     return a.join(b, "item_id").select("doc_id", "item_id", F.round(T.containment(F.col("a"), F.col("b")), 6).alias("share"))
 
 
+WORD_SET = f"list_distinct(list_filter(string_split({FOLD.format('text')}, ' '), lambda x: x <> ''))"
+
+
+@query(
+    "b24_containment_all",
+    f"""WITH a AS (SELECT doc_id, {WORD_SET} AS a FROM documents), b AS (SELECT item_id, {WORD_SET} AS b FROM benchmark)
+    SELECT doc_id, item_id, round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) AS share FROM a, b WHERE len(list_intersect(a, b)) > 0""",
+)
+def b24_all(spark, d):
+    """Every document with every passage; b24_containment takes one passage of the first 40 for each."""
+    from adweave.operators.dedupe import containments
+
+    words = F.array_distinct(F.filter(F.split(T.fold(F.col("text")), " "), lambda x: x != "")).alias("words")
+    out = containments(docs(spark, d).select("doc_id", words), table(spark, d, "benchmark").select("item_id", words), "doc_id", "item_id")
+    return out.withColumn("share", F.round("share", 6))
+
+
 @query(
     "b27_identity_keys",
     f"""WITH s AS (SELECT s_suppkey, {by_key_sql('s_suppkey', COMPANIES)} AS company, {by_key_sql('s_suppkey', TITLES)} AS title, {by_key_sql('s_suppkey', CITIES)} AS place FROM supplier),
