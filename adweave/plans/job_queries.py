@@ -94,6 +94,22 @@ def c17(spark, d):
     return rules.broadest_titles(p.select(k.alias("id"), F.concat("p_name", tail).alias("title")))
 
 
+PART_TITLE = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' ' || lower(p_type) WHEN 1 THEN ' ' || lower(p_type) || ' ' || lower(replace(p_brand, '#', ' ')) ELSE '' END"
+
+
+@query(
+    "c17_broadest_titles_all",
+    f"""WITH t AS (SELECT DISTINCT ON (w) p_partkey AS id, title, w FROM (SELECT p_partkey, {PART_TITLE} AS title, list_sort(list_distinct(string_split({PART_TITLE}, ' '))) AS w FROM part) ORDER BY w, p_partkey)
+    SELECT id, title FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.id <> a.id AND len(b.w) < len(a.w) AND list_has_all(a.w, b.w))""",
+)
+def c17_all(spark, d):
+    """Every part has a title; c17_broadest_titles leaves every fourth part out."""
+    k = F.col("p_partkey")
+    kind, brand = F.lower("p_type"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(" ")))
+    title = F.when(k % 4 == 0, F.concat_ws(" ", "p_name", kind)).when(k % 4 == 1, F.concat_ws(" ", "p_name", kind, brand)).otherwise(F.col("p_name"))
+    return rules.broadest_titles(table(spark, d, "part").select(k.alias("id"), title.alias("title")))
+
+
 @query("e14_tri_state", "SELECT l_orderkey AS job_key, CASE WHEN bool_or(l_partkey % 5 = 0) THEN 'yes' WHEN bool_or(l_partkey % 5 = 1) THEN 'no' ELSE 'unknown' END AS answer FROM lineitem GROUP BY 1")
 def e14(spark, d):
     k = F.col("l_partkey") % 5

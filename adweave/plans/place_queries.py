@@ -98,6 +98,25 @@ def d16(spark, d):
     return C.travel_candidates(points(spark, d), anchors(spark, d), 30, "car").withColumn("distance", F.round("distance", 6))
 
 
+@query(
+    "d14_near_km_all",
+    f"""WITH {TOWNS}, {POINTS} SELECT point_id, CASE WHEN EXISTS (SELECT 1 FROM towns a WHERE a.country = points.country AND greatest(0.0, {km_sql('points', 'a')} - {reach_sql('a.people')}) <= 12) THEN 'yes' ELSE 'no' END AS answer FROM points""",
+)
+def d14_all(spark, d):
+    """Near any town; d14_near_km measures to one town in fifty."""
+    return C.near_km(points(spark, d), towns(spark, d), 12.0)
+
+
+@query(
+    "d16_travel_candidates_all",
+    f"""WITH {TOWNS}, {POINTS}, k AS (SELECT point_id, town_id, {km_sql('points', 'a')} AS km FROM points JOIN towns a USING (country))
+    SELECT point_id, town_id, round(km, 6) AS distance, CAST(row_number() OVER (PARTITION BY point_id ORDER BY km, town_id) AS INTEGER) AS place FROM k WHERE km <= 30 / 60.0 * 120 QUALIFY place <= 2""",
+)
+def d16_all(spark, d):
+    """The nearest of all towns; d16_travel_candidates knows one in fifty."""
+    return C.travel_candidates(points(spark, d), towns(spark, d), 30, "car").withColumn("distance", F.round("distance", 6))
+
+
 @query("d15_near_minutes", "WITH m AS (SELECT l_orderkey, bool_or(coalesce(l_quantity <= 10, false)) AS ok FROM lineitem WHERE l_linenumber = 1 OR l_quantity > 40 GROUP BY 1) SELECT o_orderkey AS job_key, CASE WHEN ok IS NULL THEN 'unknown' WHEN ok THEN 'yes' ELSE 'no' END AS answer FROM orders LEFT JOIN m ON l_orderkey = o_orderkey")
 def d15(spark, d):
     measured = table(spark, d, "lineitem").where("l_linenumber = 1 OR l_quantity > 40").select(F.col("l_orderkey").alias("job_key"), F.col("l_quantity").alias("minutes"))

@@ -25,3 +25,17 @@ def test_containments_of_all_pairs(spark):
 def test_containment_query_has_more_than_one_item_a_document(spark):
     out = pairs(registry.queries()["b24_containment_all"](spark, DATA), "doc_id", "item_id")
     assert len({d for d, i in out if i != d % 40}) > 100
+
+
+@given
+def test_places_are_measured_to_every_town(spark):
+    q = registry.queries()
+    nearest = pairs(q["d16_travel_candidates_all"](spark, DATA), "point_id", "town_id")
+    assert {t for _, t in nearest} - {t for t in range(1000) if t % 50 == 7}
+    some, every = ({r["point_id"] for r in q[n](spark, DATA).where("answer = 'yes'").collect()} for n in ("d14_near_km", "d14_near_km_all"))
+    assert some < every
+
+
+@given
+def test_broadest_titles_of_every_part(spark):
+    assert any(r["id"] % 4 == 3 for r in registry.queries()["c17_broadest_titles_all"](spark, DATA).collect())
