@@ -258,6 +258,22 @@ def i11(spark, d):
     return merged.select("job_id", "saved", "dismissed", F.unix_micros("updated_at").alias("at"))
 
 
+@query(
+    "i11_set_states_all",
+    """WITH e AS (SELECT *, EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) AS known FROM events)
+    SELECT user_id AS job_id, coalesce(arg_max(value > 50, ts) FILTER (event_type = 'view'), false) AS saved, coalesce(arg_max(value > 50, ts) FILTER (event_type = 'error'), false) AS dismissed, CAST(epoch_us(max(ts)) AS BIGINT) AS at, false AS refused FROM e WHERE known GROUP BY 1
+    UNION ALL SELECT user_id, CASE WHEN event_type = 'view' THEN value > 50 END, CASE WHEN event_type = 'error' THEN value > 50 END, CAST(epoch_us(ts) AS BIGINT), true FROM e WHERE NOT known""",
+)
+def i11_all(spark, d):
+    """The customers are the known jobs, and refused changes are rows; i11_set_states knows jobs under 100."""
+    e = table(spark, d, "events")
+    flag = lambda kind: F.when(F.col("event_type") == kind, F.col("value") > 50)
+    changes = e.select(F.col("user_id").alias("job_id"), flag("view").alias("saved"), F.lit(None).cast("boolean").alias("applied"), flag("error").alias("dismissed"), utc("ts").alias("updated_at"))
+    merged, refused = memory.set_states(changes.limit(0), changes, table(spark, d, "customer").select(F.col("c_custkey").alias("job_id")))
+    rows = lambda x, mark: x.select("job_id", "saved", "dismissed", F.unix_micros("updated_at").alias("at"), F.lit(mark).alias("refused"))
+    return rows(merged, False).unionByName(rows(refused, True))
+
+
 @query("i10_remember")
 def i10(spark, d):
     e = table(spark, d, "events")

@@ -39,3 +39,12 @@ def test_places_are_measured_to_every_town(spark):
 @given
 def test_broadest_titles_of_every_part(spark):
     assert any(r["id"] % 4 == 3 for r in registry.queries()["c17_broadest_titles_all"](spark, DATA).collect())
+
+
+@given
+def test_states_of_all_jobs(spark):
+    events, known = spark.read.parquet(f"{DATA}/events.parquet"), {r[0] for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()}
+    users = [r["user_id"] for r in events.select("user_id").collect()]
+    out = registry.queries()["i11_set_states_all"](spark, DATA).collect()
+    assert sorted(r["job_id"] for r in out if not r["refused"]) == sorted(set(users) & known)
+    assert sorted(r["job_id"] for r in out if r["refused"]) == sorted(u for u in users if u not in known)
