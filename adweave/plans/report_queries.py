@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from adweave.operators import reports as R
+from adweave.operators import rules
 from adweave.plans.adapters import COPIES, EVENTS, copies, events, table, utc
+from adweave.plans.text_queries import NORMALISE
 from adweave.streaming import feeds
 
 QUERIES: dict = {}
@@ -140,6 +142,20 @@ def e16(spark, d):
     return table(spark, d, "documents").select("lang", first("text").alias("w")).join(known, "w", "left_anti").groupBy("lang").agg(F.count("*").alias("n"))
 
 
+NORMAL_WORDS = f"list_distinct(list_filter(string_split({NORMALISE.format('text')}, ' '), lambda x: x <> ''))"
+
+
+@query(
+    "e16_unmatched_names_all",
+    f"""WITH n AS (SELECT lang, {NORMAL_WORDS} AS w FROM documents), t AS (SELECT {NORMAL_WORDS} AS t FROM benchmark)
+    SELECT lang, count(*) AS n FROM n WHERE NOT EXISTS (SELECT 1 FROM t WHERE len(t) > 0 AND list_has_all(w, t)) GROUP BY 1""",
+)
+def e16_all(spark, d):
+    """Terms by all their words anywhere in a text; e16_unmatched_names compares first words."""
+    terms = table(spark, d, "benchmark").select(F.col("text").alias("term"))
+    return rules.unmatched_names(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("name")), terms)
+
+
 def _feed(spark, d):
     schema = table(spark, d, "events").schema.simpleString()[7:-1].replace(":", " ")
     return feeds.read_feed(spark, d, schema, pattern="events.parquet").withColumn("ts", utc("ts"))

@@ -4,7 +4,7 @@ from pathlib import Path
 
 import pytest
 
-from adweave.operators import dedupe
+from adweave.operators import dedupe, rules
 from adweave.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -48,3 +48,9 @@ def test_states_of_all_jobs(spark):
     out = registry.queries()["i11_set_states_all"](spark, DATA).collect()
     assert sorted(r["job_id"] for r in out if not r["refused"]) == sorted(set(users) & known)
     assert sorted(r["job_id"] for r in out if r["refused"]) == sorted(u for u in users if u not in known)
+
+
+def test_unmatched_names_by_all_words_of_a_term(spark):
+    names = spark.createDataFrame([(1, "en", "senior Data engineer"), (2, "en", "data clerk"), (3, "de", "Koch"), (4, "de", None), (5, "en", "engineer of data")], "id long, lang string, name string")
+    terms = spark.createDataFrame([("data engineer",), ("data",), ("",), (None,), ("data absent",)], "term string").where("term IS NULL OR term <> 'data'")
+    assert pairs(rules.unmatched_names(names, terms), "lang", "n") == {("en", 1), ("de", 2)}
