@@ -54,3 +54,11 @@ def test_unmatched_names_by_all_words_of_a_term(spark):
     names = spark.createDataFrame([(1, "en", "senior Data engineer"), (2, "en", "data clerk"), (3, "de", "Koch"), (4, "de", None), (5, "en", "engineer of data")], "id long, lang string, name string")
     terms = spark.createDataFrame([("data engineer",), ("data",), ("",), (None,), ("data absent",)], "term string").where("term IS NULL OR term <> 'data'")
     assert pairs(rules.unmatched_names(names, terms), "lang", "n") == {("en", 1), ("de", 2)}
+
+
+def test_long_words_may_differ_by_more_than_two_letters(spark):
+    long = "abcdefghijklmnopqrstuvwxyz"
+    titles = ["abcdefghijklmnopq", "abdefgijklmnpq", long, long[1:5] + long[6:12] + long[13:20] + long[21:], "Koch", "qponmlkjihgfedcba"]
+    rows = [(i, i, f"s{i}", str(i), t, "Acme", "de", None, None, None, "x", True) for i, t in enumerate(titles)]
+    ads = spark.createDataFrame(rows, "ad_id long, ordinal long, source string, source_job_id string, title string, company string, country string, town string, latitude double, longitude double, description string, complete boolean")
+    assert pairs(dedupe.duplicate_edges(ads), "a", "b") == {(0, 1), (2, 3)}
