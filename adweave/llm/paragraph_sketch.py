@@ -9,26 +9,33 @@ sketches are taken.  Built-in functions only.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from adweave.llm.common import materialise, materialise_dealt, table
 
-#: A longer paragraph counts as pieces of this many characters.
+#: A sentence without an end counts as pieces of this many characters.
 PIECE_CHARS = 160
-#: Cells in each of the three parts of a stored fingerprint.
-STORED_CELLS = 8
+#: Parts of a sketch: a digest has one cell in each.
 PARTS = 3
+LEAST_CELLS = 8
+#: Digests of all three texts of a row that a bucket holds, about, and the most buckets.
+BUCKET_DIGESTS, MOST_BUCKETS = 600_000, 50_000
 
 
 def paragraph_digests(text: Column) -> Column:
     """The distinct 64-bit digests of a text's paragraphs, sorted.
 
-    A paragraph is a line; one of over 160 characters is cut into pieces of 160
-    from its start on, so that a change leaves what stands before it alone.
-    Null and empty texts have none.
+    A paragraph is a line, cut after its sentence marks and at every 160
+    characters without one, so that a change leaves the pieces before and after
+    it alone.  Null and empty texts have none.
     """
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"[^\n]{{1,{PIECE_CHARS}}}"), F.lit(0))
+    pattern = f"[^\n.!?]{{0,{PIECE_CHARS}}}+[.!?]+|[^\n.!?]{{1,{PIECE_CHARS}}}"
+    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0))
     return F.array_sort(F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p))))
 
 
@@ -36,104 +43,139 @@ def checksum(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(-1))
 
 
-def fingerprint(digests: Column) -> Column:
-    """The stored sketch as a string: ``count:digests:checksums`` of each cell.
+def power_of_two(n: Column) -> Column:
+    """The least power of two from ``n`` on."""
+    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1))))).cast("bigint")
+
+
+def cells_for(n: Column) -> Column:
+    """Cells in each part of the stored sketch of ``n`` digests: twice as many in all, or more.
 
-    It has 3 x 8 cells at every text length, so two stored fingerprints can be
-    subtracted cell by cell.
+    Always a power of two, so a sketch is folded to a smaller one by dropping
+    high bits of its cells' places.
     """
+    return F.greatest(F.lit(LEAST_CELLS), power_of_two(n * 2 / PARTS)).cast("bigint")
 
-    def cell(c: Column) -> Column:
-        here = F.filter(digests, lambda d: _stored_place(d, c) == c % STORED_CELLS)
-        zero = F.struct(F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
-        sums = F.aggregate(here, zero, lambda a, d: F.struct(a["k"].bitwiseXOR(d).alias("k"), a["h"].bitwiseXOR(checksum(d)).alias("h")))
-        return F.concat_ws(":", F.size(here).cast("string"), F.hex(sums["k"]), F.hex(sums["h"]))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(PARTS * STORED_CELLS - 1)), cell), ",")
+def place(digest: Column, part: Column, cells: Column) -> Column:
+    return F.xxhash64(digest, part).bitwiseAND(cells - 1)
 
 
-def _stored_place(digest: Column, cell: Column) -> Column:
-    shifted = F.when(cell < STORED_CELLS, digest).when(cell < 2 * STORED_CELLS, F.shiftright(digest, 20)).otherwise(F.shiftright(digest, 40))
-    return shifted.bitwiseAND(F.lit(STORED_CELLS - 1).cast("bigint"))
+def sketch_cells(rows: DataFrame, keys: list[str], carried: list[str]) -> DataFrame:
+    """The cells that aren't empty: ``keys, carried, part, spot, c, k, h``.
 
+    ``rows`` has ``digests`` (an array) and ``cells`` (of each part).  ``carried``
+    are columns that depend on ``keys`` alone.
+    """
+    each = rows.select(*keys, *carried, "cells", F.explode("digests").alias("d"))
+    each = each.select(*keys, *carried, "cells", "d", F.explode(F.array(*(F.lit(j) for j in range(PARTS)))).alias("part"))
+    return each.groupBy(*keys, *carried, "part", place(F.col("d"), F.col("part"), F.col("cells")).alias("spot")).agg(
+        F.count("*").alias("c"), F.bit_xor("d").alias("k"), F.bit_xor(checksum(F.col("d"))).alias("h")
+    )
 
-def _place(digest: Column, part: Column | int, cells: Column, seed: int) -> Column:
-    part = F.lit(part) if isinstance(part, int) else part
-    return part * cells + F.pmod(F.xxhash64(digest, part, F.lit(seed)), cells)
 
+def fingerprint(cells: Column, found: Column) -> Column:
+    """A stored sketch as a string: its cells in each part, then the filled ones.
+
+    ``found`` is an array of ``part, spot, c, k, h``; each becomes
+    ``place:count:digests:checksums`` in the order of places.
+    """
+    one = lambda x: F.concat_ws(":", (x["part"] * cells + x["spot"]).cast("string"), x["c"].cast("string"), F.hex(x["k"]), F.hex(x["h"]))
+    return F.concat(cells.cast("string"), F.lit(";"), F.array_join(F.transform(F.array_sort(found), one), ","))
 
-def _peeled(pairs: DataFrame, keys: list[str], factor: int, seed: int, steps: int) -> DataFrame:
-    """One attempt: what is left of the subtracted cells, and what was recovered.
 
-    ``pairs`` is dealt by the first of ``keys``, so that no aggregation here shuffles again.
-    Rows with ``tag`` null are cells that aren't empty; those with a tag are
-    recovered digests, ``c`` telling the side (1: only in a, -1: only in b).
+def peel(state: DataFrame, keys: list[str], steps: int = 9) -> DataFrame:
+    """What subtracted cells give up: ``keys, stuck, only_a, only_b``.
+
+    ``state`` has ``keys, m`` (cells of each part), ``cell`` (part * m + place) and
+    ``c, k, h``, where ``c`` is the count of the one side less that of the other.
+    Each step takes one part, in which a digest stands in one cell only.  Pairs
+    without any difference have no row; ``stuck`` counts the cells left over.
     """
-    # cells of a part: a power of two from factor times the digests of both sides on
-    number = (F.size("a") + F.size("b")) * factor
-    cells = F.greatest(F.lit(32), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(number, F.lit(1)))))).cast("bigint")
-    sides = F.explode(F.array(F.struct(F.lit(1).cast("bigint").alias("c"), F.col("a").alias("d")), F.struct(F.lit(-1).cast("bigint").alias("c"), F.col("b").alias("d"))))
-    rows = pairs.select(*keys, cells.alias("m"), sides.alias("s")).select(*keys, "m", F.col("s.c").alias("c"), F.explode("s.d").alias("d"))
-    rows = rows.select(*keys, "m", "c", "d", F.explode(F.array(*(F.lit(j) for j in range(PARTS)))).alias("j"))
-    state = rows.groupBy(*keys, "m", _place(F.col("d"), F.col("j"), F.col("m"), seed).alias("cell"), F.lit(None).cast("bigint").alias("tag")).agg(
-        F.sum("c").alias("c"), F.bit_xor("d").alias("k"), F.bit_xor(checksum(F.col("d"))).alias("h")
-    )
+    state = state.withColumn("tag", F.lit(None).cast("bigint"))
     filled = (F.col("c") != 0) | (F.col("k") != 0) | (F.col("h") != 0)
     for step in range(steps):
-        # one part at a time: there each digest stands in one cell only
         j = step % PARTS
         here = F.col("tag").isNull() & F.col("cell").between(j * F.col("m"), (j + 1) * F.col("m") - 1)
-        single = here & (F.abs("c") == 1) & (F.col("h") == checksum(F.col("k"))) & (F.col("cell") == _place(F.col("k"), j, F.col("m"), seed))
-        row = lambda cell, tag, c, k, h: F.struct(cell.cast("bigint").alias("cell"), tag.cast("bigint").alias("tag"), c.alias("c"), k.alias("k"), h.alias("h"))
-        none = F.lit(None)
-        same = row(F.col("cell"), F.col("tag"), F.col("c"), F.col("k"), F.col("h"))
-        others = [row(_place(F.col("k"), i, F.col("m"), seed), none, -F.col("c"), F.col("k"), F.col("h")) for i in range(PARTS) if i != j]
-        found = row(F.lit(-1), F.col("k"), F.col("c"), F.col("k"), F.col("h"))
+        single = here & (F.abs("c") == 1) & (F.col("h") == checksum(F.col("k"))) & (F.col("cell") == j * F.col("m") + place(F.col("k"), F.lit(j), F.col("m")))
+        row = lambda cell, tag, c: F.struct(cell.cast("bigint").alias("cell"), tag.cast("bigint").alias("tag"), c.alias("c"), F.col("k").alias("k"), F.col("h").alias("h"))
+        same = row(F.col("cell"), F.col("tag"), F.col("c"))
+        others = [row(i * F.col("m") + place(F.col("k"), F.lit(i), F.col("m")), F.lit(None), -F.col("c")) for i in range(PARTS) if i != j]
+        found = row(F.lit(-1), F.col("k"), F.col("c"))
         state = state.where(filled).select(*keys, "m", F.explode(F.when(single, F.array(*others, found)).otherwise(F.array(same))).alias("r")).select(*keys, "m", "r.*")
         state = state.groupBy(*keys, "m", "cell", "tag").agg(F.sum("c").alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
-    return state.where(filled).select(*keys, "tag", "c")
+    tagged = F.col("tag").isNotNull()
+    return state.where(filled).groupBy(*keys).agg(
+        F.count_if(~tagged).alias("stuck"), F.count_if(tagged & (F.col("c") == 1)).alias("only_a"), F.count_if(tagged & (F.col("c") == -1)).alias("only_b")
+    )
+
+
+def subtract(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of both sides folded to ``m`` cells a part and subtracted by ``sign``."""
+    cell = F.col("part") * F.col("m") + F.col("spot").bitwiseAND(F.col("m") - 1)
+    return cells.groupBy(*keys, "m", cell.alias("cell")).agg(F.sum(F.col("sign") * F.col("c")).alias("c"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h"))
+
 
+def retried(pairs: DataFrame, keys: list[str], times: int) -> DataFrame:
+    """Like ``peel``, for pairs whose stored sketches were too small.
+
+    ``pairs`` has the digest arrays ``a`` and ``b``; their sketches are made anew,
+    4 ** ``times`` as large as the smaller stored one, and large enough for the
+    difference that the counts alone show.
+    """
+    na, nb = F.size("a"), F.size("b")
+    m = F.greatest(F.least(cells_for(na), cells_for(nb)) * 4**times, power_of_two(F.abs(na - nb) / 2))
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("a").alias("d")), F.struct(F.lit(-1).alias("sign"), F.col("b").alias("d"))))
+    rows = pairs.select(*keys, m.alias("m"), sides.alias("s")).select(*keys, "m", F.col("m").alias("cells"), "s.sign", F.col("s.d").alias("digests"))
+    return peel(subtract(sketch_cells(rows, [*keys, "sign"], ["m"]), keys), keys)
 
-def count_differences(pairs: DataFrame, keys: tuple[str, ...] = ("pair",), attempts: int = 4, dealt: bool = False) -> DataFrame:
-    """How many digests differ in each pair: ``keys, only_a, only_b``.
 
-    ``pairs`` has one row for each value of ``keys`` (never null) with the digest
-    arrays ``a`` and ``b``; ``dealt`` says that it is dealt by the first key
-    already.  Pairs without a difference have no row.  A pair whose sketch doesn't
-    peel is tried again with one four times as large and other places; what is
-    stuck after ``attempts`` (about one pair in 10**9) is compared digest by
-    digest, so that every pair gets its exact counts.
+def stored_sketches(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Cells of the stored sketch of each digest array that ``pairs`` names.
+
+    ``keys, side`` (its place among the names), ``cells``, ``m0, m1, ...`` (the smaller
+    sketch's cells of each pair) and ``part, spot, c, k, h``.
+    """
+    names = list(dict.fromkeys(n for p in pairs for n in p))
+    size = {n: cells_for(F.size(n)) for n in names}
+    least = [F.least(size[a], size[b]).alias(f"m{w}") for w, (a, b) in enumerate(pairs)]
+    sides = F.array(*(F.struct(F.lit(i).alias("side"), size[n].alias("cells"), F.col(n).alias("digests")) for i, n in enumerate(names)))
+    each = rows.select(*keys, *least, F.explode(sides).alias("s")).select(*keys, *(f"m{w}" for w in range(len(pairs))), "s.*")
+    return sketch_cells(each, [*keys, "side"], ["cells", *(f"m{w}" for w in range(len(pairs)))])
+
+
+def stored_differences(stored: DataFrame, keys: list[str], pairs: list[tuple[str, str]]) -> DataFrame:
+    """Each pair's stored sketches subtracted and peeled: ``keys, which, stuck, only_a, only_b``."""
+    names = list(dict.fromkeys(n for p in pairs for n in p))
+    use = lambda n: F.array(*(F.struct(F.lit(w).alias("which"), F.lit(1 if p[0] == n else -1).cast("bigint").alias("sign"), F.col(f"m{w}").alias("m")) for w, p in enumerate(pairs) if n in p))
+    uses = F.lit(None)
+    for i, n in enumerate(names):
+        uses = F.when(F.col("side") == i, use(n)).otherwise(uses)
+    halves = stored.select(*keys, F.explode(uses).alias("u"), "part", "spot", "c", "k", "h").select(*keys, "u.*", "part", "spot", "c", "k", "h")
+    return peel(subtract(halves, [*keys, "which"]), [*keys, "which"])
+
+
+def count_differences(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]], buckets: int) -> DataFrame:
+    """How many digests differ: ``keys, which, only_a, only_b, retries``.
+
+    ``rows`` has one row for each value of ``keys`` (never null) with digest arrays
+    (distinct values); ``pairs`` names the arrays to compare and ``which`` numbers
+    them.  Equal arrays have no row.  The stored sketches of a pair are subtracted
+    and peeled; a pair that gets stuck is tried again with sketches four times as
+    large, until none is: each digest has a cell of its own in one that is large
+    enough.  Where ``rows`` is dealt into ``buckets`` by the first of ``keys``,
+    nothing is shuffled.
     """
-    keys = list(keys)
-    todo, done = pairs.select(*keys, "a", "b"), None
-    for n in range(attempts):
-        if n or not dealt:
-            total = todo.select(F.sum((F.size("a") + F.size("b")).cast("bigint"))).first()[0] or 0
-            todo = todo.repartition(sketch_parts(todo, total), keys[0])
-        state = materialise(
-            _peeled(todo, keys, 2 * 4**n, n, 7)
-            .groupBy(*keys)
-            .agg(
-                F.count_if(F.col("tag").isNull()).alias("stuck"),
-                F.count_if(F.col("tag").isNotNull() & (F.col("c") == 1)).alias("only_a"),
-                F.count_if(F.col("tag").isNotNull() & (F.col("c") == -1)).alias("only_b"),
-            ),
-            "sketch-differences",
-        )
-        good = state.where("stuck = 0").drop("stuck")
-        done = good if done is None else done.unionByName(good)
-        stuck = state.where("stuck > 0").select(*keys)
-        if stuck.isEmpty():
-            return done
-        todo = todo.join(stuck, keys, "left_semi")
-    rest = todo.select(*keys, F.size(F.array_except("a", "b")).cast("bigint").alias("only_a"), F.size(F.array_except("b", "a")).cast("bigint").alias("only_b"))
-    return done.unionByName(rest)
-
-
-def sketch_parts(df: DataFrame, digests: int) -> int:
-    """A multiple of the session's shuffle partitions, for some 300,000 digests each."""
-    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return own * (digests // 300_000 // own + 1)
+    found = materialise_dealt(stored_differences(stored_sketches(rows, keys, pairs), keys, pairs), "sketch-differences", keys[0], buckets)
+    done, times, whole = found.where("stuck = 0").withColumn("retries", F.lit(0)), 0, [*keys, "which"]
+    names = list(dict.fromkeys(n for p in pairs for n in p))
+    every = F.explode(F.array(*(F.struct(F.lit(w).alias("which"), F.col(a).alias("a"), F.col(b).alias("b")) for w, (a, b) in enumerate(pairs))))
+    while not (stuck := found.where("stuck > 0").select(*whole)).isEmpty():
+        times += 1
+        todo = rows.select(*keys, *names).select(*keys, every.alias("p")).select(*keys, "p.*").join(stuck, whole, "left_semi")
+        found = materialise_dealt(retried(todo, whole, times), "sketch-differences", keys[0], buckets)
+        done = done.unionByName(found.where("stuck = 0").withColumn("retries", F.lit(times)))
+    return done.drop("stuck")
 
 
 def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
@@ -141,31 +183,43 @@ def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
     return F.when(n_a + n_b == 0, F.lit(1.0)).otherwise((n_a + n_b - differing) / (n_a + n_b + differing))
 
 
-def with_next(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool, int]:
-    """``docs`` as ``key, text, pos, want, total``; whether rows repeat; all characters.
+def with_next(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int, bool]:
+    """Each distinct (key, text) with the text that follows in descending order; buckets; whether rows repeat.
 
-    ``pos`` counts the distinct (key, text) in descending order, null keys last;
-    ``want`` is half the characters of the one before, which is what that one
-    takes from this text.  The last is followed by the first.  Repeated rows
-    share a place.  Only keys, hashes and lengths are sorted, by range.
+    ``range, pos, key, th, text, own, next_text, next`` (digests); null keys come last, the last row is
+    followed by the first.  The order is cut into ranges of some rows, and a
+    range's first row goes to the range before it as well, so the texts are
+    shuffled once and no window spans more than a range.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    ids = rows.groupBy("key", "th").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("key").desc_nulls_last(), F.col("th").desc()]
-    ids = materialise(ids.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sketch-order")
-    # a row for each part, so these stay few
-    sizes = ids.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("size"), F.sum("copies").alias("copies"), F.sum("n").alias("chars")).orderBy("part").collect()
-    total, repeats, before, offsets = sum(r["size"] for r in sizes), sum(r["copies"] for r in sizes) > sum(r["size"] for r in sizes), 0, []
-    for r in sizes:
-        offsets.append((r["part"], before))
-        before += r["size"]
-    offset = F.broadcast(docs.sparkSession.createDataFrame(offsets, "part long, before long"))
-    ids = ids.join(offset, F.shiftright("at", 33) == F.col("part")).select("key", "th", "n", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("pos"))
-    wants = ids.select(F.pmod(F.col("pos") + 1, F.lit(max(total, 1))).alias("pos"), F.floor(F.col("n") / 2).cast("int").alias("want"))
-    ids = ids.join(wants, "pos").select(F.col("key").alias("k"), F.col("th").alias("t"), "pos", "want")
-    out = rows.join(ids, rows["key"].eqNullSafe(ids["k"]) & (rows["th"] == ids["t"]))
-    return out.select("key", "text", "pos", "want", F.lit(max(total, 1)).cast("bigint").alias("total")), repeats, sum(r["chars"] for r in sizes)
+    ids = rows.groupBy("key", "th").agg(F.count("*").alias("copies"), F.max(F.length("text")).alias("n"))
+    ids = materialise(ids.repartitionByRange(own, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "sketch-order")
+    total, copies, chars = (x or 0 for x in ids.agg(F.count("*"), F.sum("copies"), F.sum("n")).first())
+    buckets = min(own * (chars // 20 // BUCKET_DIGESTS // own + 1), max(own, MOST_BUCKETS))
+    step = total // (4 * buckets) + 1
+    # at most own + 4 * buckets rows: where the ranges begin, in order
+    firsts = ids.where(F.col("at").bitwiseAND((1 << 33) - 1) % step == 0).select("key", "th").orderBy(*order).collect()
+    if copies > total:  # the same row again: one of each is enough here
+        rows = rows.groupBy("key", "th").agg(F.first("text").alias("text")).select("key", "text", "th")
+    group = math.isqrt(len(firsts)) + 1
+    pairs = [{"k": r[0], "t": r[1]} for r in firsts]
+    kind = f"array<struct<k:{dict(rows.dtypes)['key']},t:bigint>>"
+    upper = F.from_json(F.lit(json.dumps(pairs[::group], default=str)), kind)
+    lower = F.from_json(F.lit(json.dumps([pairs[i : i + group] for i in range(0, len(pairs), group)], default=str)), f"array<{kind}>")
+    here = F.struct(F.col("key").alias("k"), F.col("th").alias("t"))  # null keys are the smallest
+    rows = rows.withColumn("_group", F.size(F.filter(upper, lambda f: f >= here)) - 1)
+    rows = rows.withColumn("_own", F.get(lower, F.col("_group"))).withColumn("_in", F.size(F.filter("_own", lambda f: f >= here)) - 1)
+    rows = rows.withColumn("range", (F.col("_group") * group + F.col("_in")).cast("bigint")).withColumn("_first", F.get("_own", F.col("_in")).eqNullSafe(here))
+    mine = F.struct(F.col("range"), F.lit(False).alias("guest"))
+    guest = F.struct(F.pmod(F.col("range") - 1, F.lit(max(1, len(firsts)))).alias("range"), F.lit(True).alias("guest"))
+    rows = rows.select("key", "th", "text", F.explode(F.when(F.col("_first"), F.array(mine, guest)).otherwise(F.array(mine))).alias("r")).select("r.*", "key", "th", "text")
+    rows = rows.repartition(buckets, "range").withColumn("own", paragraph_digests(F.col("text")))
+    along = Window.partitionBy("range").orderBy("guest", *order)
+    rows = rows.withColumns({"next_text": F.lead("text").over(along), "next": F.lead("own").over(along), "pos": F.row_number().over(along)})
+    return rows.where(~F.col("guest")).drop("guest"), buckets, copies > total
 
 
 def fingerprint_versions(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -173,40 +227,47 @@ def fingerprint_versions(docs: DataFrame, key: str = "doc_id", text: str = "text
 
     The edited version keeps the first half (rounded up) of a text's code points
     and takes as many as went from the start of the next text in descending
-    order of ``key``.  A null text is an empty one; null keys come last; repeated
-    rows get equal results; with one row, that row is its own next.  Whole texts
-    are read.  Other columns of ``docs`` are left out.
+    order of ``key``.  ``near_edited`` and ``near_next`` are the shared digests over
+    all digests, from the peeled difference of the fingerprints; ``retries_edited``
+    and ``retries_next`` tell how often larger sketches were needed.  A null text
+    is an empty one; null keys come last; repeated rows get equal results; with
+    one row, that row is its own next.  Whole texts are read.  Other columns of
+    ``docs`` are left out.
     """
-    placed, repeats, chars = with_next(docs, key, text)
+    placed, buckets, repeats = with_next(docs, key, text)
     half = F.floor(F.length("text") / 2).cast("int")
-    mine = placed.select("pos", "key", F.length("text").cast("bigint").alias("n_chars"), F.substr(F.col("text"), F.lit(1), F.length("text") - half).alias("head"), paragraph_digests(F.col("text")).alias("own"))
-    gives = placed.select(F.pmod(F.col("pos") - 1, F.col("total")).alias("pos"), F.substr(F.col("text"), F.lit(1), F.col("want")).alias("tail"), paragraph_digests(F.col("text")).alias("next"))
-    if repeats:
-        gives = gives.dropDuplicates(["pos"])
-    edited = F.concat("head", "tail")
-    # four digest arrays meet in the comparisons, and lines are mostly shorter than a piece's limit
-    parts = sketch_parts(docs, 6 * chars // PIECE_CHARS)
+    edited = F.concat(F.substr(F.col("text"), F.lit(1), F.length("text") - half), F.substr(F.col("next_text"), F.lit(1), half))
+    placed = placed.withColumn("edited_text", edited)
     rows = materialise_dealt(
-        mine.join(gives, "pos").withColumn("text", edited).select("pos", "key", "n_chars", F.sha2("text", 256).alias("edited_sha256"), "own", paragraph_digests(F.col("text")).alias("edited"), "next"),
+        placed.select("range", "pos", "key", "th", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited_text", 256).alias("edited_sha256"), "own", paragraph_digests(F.col("edited_text")).alias("edited"), "next"),
         "sketch-digests",
-        "pos",
-        parts,
+        "range",
+        buckets,
     )
-    one = rows.dropDuplicates(["pos"]) if repeats else rows
-    compared = F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("own").alias("a"), F.col("edited").alias("b")), F.struct(F.lit(1).alias("which"), F.col("own").alias("a"), F.col("next").alias("b"))))
-    pairs = one.select("pos", compared.alias("p")).select("pos", "p.*")
-    found = count_differences(pairs, ("pos", "which"), dealt=True).withColumn("d", F.col("only_a") + F.col("only_b"))
-    found = found.groupBy("pos").agg(F.sum(F.when(F.col("which") == 0, F.col("d"))).alias("d_edited"), F.sum(F.when(F.col("which") == 1, F.col("d"))).alias("d_next"))
+    keys, pairs = ["range", "pos"], [("own", "edited"), ("own", "next")]
+    found = count_differences(rows, keys, pairs, buckets).withColumn("d", F.col("only_a") + F.col("only_b"))
+    of = lambda c, which: F.max(F.when(F.col("which") == which, F.col(c)))
+    found = found.groupBy(*keys).agg(of("d", 0).alias("d_edited"), of("d", 1).alias("d_next"), of("retries", 0).alias("retries_edited"), of("retries", 1).alias("retries_next"))
+    cells = stored_sketches(rows.select(*keys, "own", "edited"), keys, pairs[:1]).groupBy(*keys).agg(F.collect_list(F.struct("side", "part", "spot", "c", "k", "h")).alias("found"))
+    of_side = lambda i: F.filter("found", lambda x: x["side"] == i)
+    out = rows.join(found, keys, "left").join(cells, keys, "left")
     none = F.lit(0).cast("bigint")
-    return rows.join(found, "pos", "left").select(
-        F.col("key").alias(key),
+    out = out.select(
+        "key",
+        "th",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("own")).alias("fingerprint"),
-        fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        fingerprint(cells_for(F.size("own")), F.coalesce(of_side(0), F.array())).alias("fingerprint"),
+        fingerprint(cells_for(F.size("edited")), F.coalesce(of_side(1), F.array())).alias("edited_fingerprint"),
         likeness(F.size("own"), F.size("edited"), F.coalesce("d_edited", none)).alias("near_edited"),
         likeness(F.size("own"), F.size("next"), F.coalesce("d_next", none)).alias("near_next"),
+        F.coalesce("retries_edited", F.lit(0)).alias("retries_edited"),
+        F.coalesce("retries_next", F.lit(0)).alias("retries_next"),
     )
+    if repeats:  # each of the equal rows gets the result of its place
+        every = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+        out = every.join(out, every["k"].eqNullSafe(out["key"]) & (every["t"] == out["th"])).drop("k", "t")
+    return out.withColumnRenamed("key", key).drop("th")
 
 
 def op2_paragraph_sketch(spark, sf_dir: str) -> DataFrame:
