@@ -25,6 +25,8 @@ PARTS = 3
 LEAST_CELLS = 8
 #: Digests of all three texts of a row that a bucket holds, about, and the most buckets.
 BUCKET_DIGESTS, MOST_BUCKETS = 600_000, 50_000
+#: Places of a range that a look-up takes together: 2 ** this.
+CHUNK_BITS = 9
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -74,14 +76,34 @@ def sketch_cells(rows: DataFrame, keys: list[str], carried: list[str]) -> DataFr
     )
 
 
-def fingerprint(cells: Column, found: Column) -> Column:
-    """A stored sketch as a string: its cells in each part, then the filled ones.
+def _bind(value: Column, f) -> Column:
+    """``f(value)``, with ``value`` computed once."""
+    return F.transform(F.array(value), f)[0]
 
-    ``found`` is an array of ``part, spot, c, k, h``; each becomes
-    ``place:count:digests:checksums`` in the order of places.
+
+def fingerprint(digests: Column) -> Column:
+    """The stored sketch of a text's digests as a string.
+
+    Its cells in each part, then ``cell:count:digests:checksums`` of each filled cell
+    in order.  Made within the row: the digests are sorted by cell, and each run of
+    the same cell is summed up.
     """
-    one = lambda x: F.concat_ws(":", (x["part"] * cells + x["spot"]).cast("string"), x["c"].cast("string"), F.hex(x["k"]), F.hex(x["h"]))
-    return F.concat(cells.cast("string"), F.lit(";"), F.array_join(F.transform(F.array_sort(found), one), ","))
+
+    def summed(s: Column, first: Column, end: Column) -> Column:
+        zero = F.struct(F.lit(0).cast("bigint").alias("k"), F.lit(0).cast("bigint").alias("h"))
+        run = F.slice(s, first + 1, end - first)
+        sums = F.aggregate(run, zero, lambda a, x: F.struct(a["k"].bitwiseXOR(x["d"]).alias("k"), a["h"].bitwiseXOR(checksum(x["d"])).alias("h")))
+        return F.concat_ws(":", F.get(s, first)["cell"].cast("string"), (end - first).cast("string"), F.hex(sums["k"]), F.hex(sums["h"]))
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.transform(s, lambda x, i: F.when(F.get(s, i - 1)["cell"].eqNullSafe(x["cell"]), F.lit(-1)).otherwise(i)), lambda i: i >= 0)
+        return _bind(starts, lambda b: F.array_join(F.transform(b, lambda first, r: _bind(F.coalesce(F.get(b, r + 1), F.size(s)), lambda end: summed(s, first, end))), ","))
+
+    def whole(cells: Column) -> Column:
+        each = F.flatten(F.transform(digests, lambda d: F.array(*(F.struct((j * cells + place(d, F.lit(j), cells)).alias("cell"), d.alias("d")) for j in range(PARTS)))))
+        return F.concat(cells.cast("string"), F.lit(";"), _bind(F.array_sort(each), runs))
+
+    return _bind(cells_for(F.size(digests)), whole)
 
 
 def peel(state: DataFrame, keys: list[str], steps: int = 9) -> DataFrame:
@@ -155,27 +177,41 @@ def stored_differences(stored: DataFrame, keys: list[str], pairs: list[tuple[str
     return peel(subtract(halves, [*keys, "which"]), [*keys, "which"])
 
 
-def count_differences(rows: DataFrame, keys: list[str], pairs: list[tuple[str, str]], buckets: int) -> DataFrame:
-    """How many digests differ: ``keys, which, only_a, only_b, retries``.
+def by_chunk(entries: DataFrame, value: Column, gather) -> DataFrame:
+    """``range, found``: for each range a map from a chunk of places to its gathered values."""
+    chunks = entries.groupBy("range", F.shiftright("pos", CHUNK_BITS).alias("chunk")).agg(gather(F.collect_list(value)).alias("own"))
+    return chunks.groupBy("range").agg(F.map_from_entries(F.collect_list(F.struct("chunk", "own"))).alias("found"))
 
-    ``rows`` has one row for each value of ``keys`` (never null) with digest arrays
-    (distinct values); ``pairs`` names the arrays to compare and ``which`` numbers
-    them.  Equal arrays have no row.  The stored sketches of a pair are subtracted
-    and peeled; a pair that gets stuck is tried again with sketches four times as
-    large, until none is: each digest has a cell of its own in one that is large
-    enough.  Where ``rows`` is dealt into ``buckets`` by the first of ``keys``,
-    nothing is shuffled.
+
+def chunk_of(found: str) -> Column:
+    return F.try_element_at(found, F.shiftright("pos", CHUNK_BITS))
+
+
+def count_differences(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """How many digests differ: ``range, found``, a map from chunk and ``code`` to ``only_a, only_b, retries``.
+
+    ``rows`` has one row for each ``range, pos`` (never null) with digest arrays
+    (distinct values); ``pairs`` names the arrays to compare.  ``code`` is pos times
+    the number of pairs plus the pair's number; equal arrays have no entry.  The
+    stored sketches of a pair are subtracted and peeled; a pair that gets stuck is
+    tried again with sketches four times as large, until none is: each digest has
+    a cell of its own in one that is large enough.  Where ``rows`` is dealt by
+    ``range``, only counts are shuffled; they meet the rows by range, in chunks of
+    2 ** CHUNK_BITS places, so that a look-up stays short in a range of any length.
     """
-    found = materialise_dealt(stored_differences(stored_sketches(rows, keys, pairs), keys, pairs), "sketch-differences", keys[0], buckets)
-    done, times, whole = found.where("stuck = 0").withColumn("retries", F.lit(0)), 0, [*keys, "which"]
-    names = list(dict.fromkeys(n for p in pairs for n in p))
-    every = F.explode(F.array(*(F.struct(F.lit(w).alias("which"), F.col(a).alias("a"), F.col(b).alias("b")) for w, (a, b) in enumerate(pairs))))
-    while not (stuck := found.where("stuck > 0").select(*whole)).isEmpty():
+    keys, n = ["range", "pos"], len(pairs)
+    code = (F.col("pos") * n + F.col("which")).alias("code")
+    found = materialise(stored_differences(stored_sketches(rows, keys, pairs), keys, pairs).select(*keys, code, "stuck", "only_a", "only_b"), "sketch-differences")
+    done, times = found.where("stuck = 0").withColumn("retries", F.lit(0)), 0
+    names = list(dict.fromkeys(x for p in pairs for x in p))
+    every = F.array(*(F.struct(F.lit(w).alias("which"), F.col(a).alias("a"), F.col(b).alias("b")) for w, (a, b) in enumerate(pairs)))
+    while not (stuck := found.where("stuck > 0")).isEmpty():
         times += 1
-        todo = rows.select(*keys, *names).select(*keys, every.alias("p")).select(*keys, "p.*").join(stuck, whole, "left_semi")
-        found = materialise_dealt(retried(todo, whole, times), "sketch-differences", keys[0], buckets)
+        left = F.filter(every, lambda p: F.array_contains(chunk_of("found"), F.col("pos") * n + p["which"]))
+        todo = rows.select(*keys, *names).join(by_chunk(stuck, F.col("code"), lambda x: x), "range").select(*keys, F.explode(left).alias("p")).select(*keys, "p.*")
+        found = materialise(retried(todo, [*keys, "which"], times).select(*keys, code, "stuck", "only_a", "only_b"), "sketch-differences")
         done = done.unionByName(found.where("stuck = 0").withColumn("retries", F.lit(times)))
-    return done.drop("stuck")
+    return by_chunk(done, F.struct("code", F.struct("only_a", "only_b", "retries")), F.map_from_entries)
 
 
 def likeness(n_a: Column, n_b: Column, differing: Column) -> Column:
@@ -244,25 +280,20 @@ def fingerprint_versions(docs: DataFrame, key: str = "doc_id", text: str = "text
         "range",
         buckets,
     )
-    keys, pairs = ["range", "pos"], [("own", "edited"), ("own", "next")]
-    found = count_differences(rows, keys, pairs, buckets).withColumn("d", F.col("only_a") + F.col("only_b"))
-    of = lambda c, which: F.max(F.when(F.col("which") == which, F.col(c)))
-    found = found.groupBy(*keys).agg(of("d", 0).alias("d_edited"), of("d", 1).alias("d_next"), of("retries", 0).alias("retries_edited"), of("retries", 1).alias("retries_next"))
-    cells = stored_sketches(rows.select(*keys, "own", "edited"), keys, pairs[:1]).groupBy(*keys).agg(F.collect_list(F.struct("side", "part", "spot", "c", "k", "h")).alias("found"))
-    of_side = lambda i: F.filter("found", lambda x: x["side"] == i)
-    out = rows.join(found, keys, "left").join(cells, keys, "left")
-    none = F.lit(0).cast("bigint")
+    found = count_differences(rows, [("own", "edited"), ("own", "next")])
+    out = rows.join(found, "range", "left").withColumns({f"_{w}": F.try_element_at(chunk_of("found"), F.col("pos") * 2 + w) for w in (0, 1)})
+    differing = lambda w: F.coalesce(F.col(f"_{w}.only_a") + F.col(f"_{w}.only_b"), F.lit(0).cast("bigint"))
     out = out.select(
         "key",
         "th",
         "n_chars",
         "edited_sha256",
-        fingerprint(cells_for(F.size("own")), F.coalesce(of_side(0), F.array())).alias("fingerprint"),
-        fingerprint(cells_for(F.size("edited")), F.coalesce(of_side(1), F.array())).alias("edited_fingerprint"),
-        likeness(F.size("own"), F.size("edited"), F.coalesce("d_edited", none)).alias("near_edited"),
-        likeness(F.size("own"), F.size("next"), F.coalesce("d_next", none)).alias("near_next"),
-        F.coalesce("retries_edited", F.lit(0)).alias("retries_edited"),
-        F.coalesce("retries_next", F.lit(0)).alias("retries_next"),
+        fingerprint(F.col("own")).alias("fingerprint"),
+        fingerprint(F.col("edited")).alias("edited_fingerprint"),
+        likeness(F.size("own"), F.size("edited"), differing(0)).alias("near_edited"),
+        likeness(F.size("own"), F.size("next"), differing(1)).alias("near_next"),
+        F.coalesce("_0.retries", F.lit(0)).alias("retries_edited"),
+        F.coalesce("_1.retries", F.lit(0)).alias("retries_next"),
     )
     if repeats:  # each of the equal rows gets the result of its place
         every = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
