@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adweave.functions.storage import materialise, materialise_dealt, shared_dir
 
-__all__ = ["held_out", "materialise", "materialise_dealt", "shared_dir", "table"]
+__all__ = ["give_back", "held_out", "materialise", "materialise_dealt", "shared_dir", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,3 +25,17 @@ def held_out(key: Column) -> Column:
     A null key counts as the empty string, whose checksum is 0: held out.
     """
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % 5 == 0
+
+
+def give_back() -> None:
+    """Returns free memory of a Python worker to the machine.
+
+    Workers are used again by later tasks, of other operators too, and keep
+    what they once took.  Called where a task has held much.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library than glibc

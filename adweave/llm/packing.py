@@ -3,18 +3,17 @@
 The lengths of all pieces become a histogram.  Over it, the configuration
 program (how often to use each way of filling a sequence) is solved by
 multiplicative weights, where a knapsack dynamic program prices the next
-configuration.  The solution is rounded down, what is left is packed by best
-fit over the histogram, and every piece is placed by its rank among the pieces
-of its length.  Only the histogram reaches the driver.
+configuration.  The solution is rounded down, and the program is solved again
+in whole amounts for what that leaves.  Every piece is placed by its rank among
+the pieces of its length.  Only the histogram reaches the driver.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -23,12 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adweave.llm.common import materialise, table
+from adweave.llm.common import give_back, materialise, table
 
 CAPACITY = 2048
 END_ID = 0
-#: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 600_000
+#: Bytes of words and ids that a worker remembers, about, in each of two generations.
+REMEMBERED_BYTES = 64_000_000
+#: What a word takes besides its own bytes and those of its ids.
+ENTRY_BYTES = 170
+
+
+#: Marks that end a word of letters or digits are a token of their own.  Left out
+#: are the apostrophe, which may begin one, and the marks of special tokens.
+ENDS = re.compile(rb"(?<=[a-z0-9])([!-&(-/:;=?@\[-`{}~]+)(?=[ \n])")
 
 
 def default_tokenizer() -> str:
@@ -40,36 +46,43 @@ def default_tokenizer() -> str:
 class WordIds(dict):
     """Ids of words as little-endian unsigned 32-bit, found when first asked for.
 
-    Two generations: when the younger holds REMEMBERED words it becomes the
+    Two generations: when the younger holds REMEMBERED_BYTES it becomes the
     older, from which words that are asked for again are taken over.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.tokenizer, self.older, self.held = Tokenizer.from_file(path), {}, 0
+        words_apart(self.tokenizer)
 
     def __missing__(self, word: bytes) -> bytes:
         ids = self.older.get(word)
         if ids is None:
             ids = np.array(self.tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids, dtype="<u4").tobytes()
         self[word] = ids
+        self.held += len(word) + len(ids) + ENTRY_BYTES
         return ids
 
     def settle(self) -> None:
-        if len(self) > REMEMBERED:
-            self.older = dict(self)
+        if self.held > REMEMBERED_BYTES:
+            self.older, self.held = dict(self), 0
             self.clear()
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def words_apart(tokenizer) -> None:
+    """Refuses a tokenizer whose ids of a text aren't those of its lower-cased words."""
+    sample = "Ab'c, (De) f-g.  \nH1 i's! ÄÖ ß,\tx"
+    # the same split that ``token_bytes`` makes, compared with the whole text's ids
+    words = ENDS.sub(rb" \1", sample.encode().lower()).split()
+    apart = [i for w in words for i in tokenizer.encode(w.decode(), add_special_tokens=False).ids]
+    if apart != tokenizer.encode(sample, add_special_tokens=False).ids:
+        raise ValueError("this tokenizer doesn't lower-case, or joins what white space parts: it can't be used word by word")
 
 
-#: Marks that end a word of letters or digits are a token of their own.  Left out
-#: are the apostrophe, which may begin one, and the marks of special tokens.
-ENDS = re.compile(rb"(?<=[a-z0-9])([!-&(-/:;=?@\[-`{}~]+)(?=[ \n])")
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
@@ -103,118 +116,134 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
                 frame = pd.DataFrame(out, columns=["key", "row", "piece", "start", "length", "ids_crc32"])
                 frame["key"] = frame["key"].astype("Int64")
                 yield frame
+        give_back()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     return rows.mapInPandas(run, "key long, row long, piece int, start long, length long, ids_crc32 long")
 
 
-def price(values: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int) -> np.ndarray:
-    """The most valuable configuration: how many pieces of each length.
+def price(values: np.ndarray, lengths: np.ndarray, limits: np.ndarray, capacity: int, tolerance: float) -> tuple[np.ndarray, float]:
+    """A most valuable configuration, and a bound that no configuration's value exceeds.
 
-    A knapsack dynamic program over the filled tokens, with any number of each
-    length; numbers over ``limits`` are cut afterwards.
+    A bounded knapsack: of each length at most ``limits`` pieces.  The dynamic
+    program takes the lengths in the order of value per token and ends where its
+    value comes within ``tolerance`` of a sequence filled at the best value per
+    token; otherwise it takes all, and the configuration is the best one.
     """
-    best = np.zeros(capacity + 1)
-    last = np.full(capacity + 1, -1, dtype=np.int64)
-    order = np.argsort(lengths)
-    sizes, worth = lengths[order], values[order]
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(sizes, c, "right")
-        if n:
-            options = best[c - sizes[:n]] + worth[:n]
-            k = int(options.argmax())
-            best[c], last[c] = options[k], order[k]
-        if best[c - 1] >= best[c]:
-            best[c], last[c] = best[c - 1], -1
-    counts, c = np.zeros(len(lengths), dtype=np.int64), capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            counts[last[c]] += 1
-            c -= int(lengths[last[c]])
-    return np.minimum(counts, limits)
-
-
-def solve_configurations(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 400, rate: float = 0.08) -> list[tuple[np.ndarray, float]]:
-    """Configurations and how often to use each, covering all counts fractionally.
-
-    Multiplicative weights: each length has a weight, the knapsack finds the
-    configuration that covers most weight, it is used as far as it covers the
-    scarcest of its lengths, and the weights of what it covers fall.
+    open_ = np.flatnonzero((limits > 0) & (values > 0))
+    density = values[open_] / lengths[open_]
+    mixed = np.random.default_rng(5).permutation(len(lengths))[open_]  # ties in no order of length, so that few fill a sequence
+    order, top = open_[np.lexsort((mixed, -density))], capacity * float(density.max(initial=0.0))
+    best, taken = np.zeros(capacity + 1), []
+    for at in range(0, len(order), 32):
+        for i in order[at : at + 32].tolist():
+            left, some, length, value = min(int(limits[i]), capacity // int(lengths[i])), 1, int(lengths[i]), float(values[i])
+            while left > 0:  # numbers of pieces in powers of two make up any number
+                number = min(some, left)
+                with_it = best[: -number * length] + number * value
+                better = with_it > best[number * length :]
+                np.maximum(best[number * length :], with_it, out=best[number * length :])
+                taken.append((i, number, number * length, better))
+                left -= number
+                some *= 2
+        if best[-1] >= (1 - tolerance) * top:
+            break
+    else:
+        top = float(best[-1])
+    counts, room = np.zeros(len(lengths), dtype=np.int64), capacity
+    for i, number, tokens, better in reversed(taken):
+        if room >= tokens and better[room - tokens]:
+            counts[i] += number
+            room -= tokens
+    return counts, top
+
+
+def cover(lengths: np.ndarray, counts: np.ndarray, capacity: int, whole: bool, tilt: float = 0.0, rate: float = 0.5, tolerance: float = 0.01) -> tuple[list[tuple[np.ndarray, float]], float]:
+    """Configurations and amounts that cover ``counts`` exactly, and a lower bound on the amounts' sum.
+
+    Multiplicative weights: a length's weight is its tokens (to the power of
+    1 + ``tilt``, which favours long pieces) times exp(-rate * covered share).
+    The knapsack finds the configuration that covers most weight, it is used
+    until one of its lengths is covered, and the weights fall.  Covered
+    lengths have no weight any more, so nothing is covered twice.  The weights
+    of any round, divided by the price's bound, solve the dual program: the
+    largest of their values bounds the program from below.  With ``whole`` all
+    amounts are whole numbers.
     """
-    weight = lengths / capacity
-    used: dict[bytes, float] = {}
-    covered = np.zeros(len(lengths))
-    for _ in range(rounds):
-        config = price(weight, lengths, counts, capacity)
+    left, used, bound = counts.astype(float), [], 0.0
+    while (on := left > 1e-9).any():
+        weight = np.where(on, (lengths / capacity) ** (1 + tilt) * np.exp(-rate * (1 - left / counts)), 0.0)
+        limits = np.where(on, np.maximum(1.0, np.floor(left + 1e-9)), 0.0).astype(np.int64)
+        config, top = price(weight, lengths, limits, capacity, tolerance)
+        bound = max(bound, float((counts * weight).sum()) / top)
         has = config > 0
-        if not has.any():
-            break
-        step = float((counts[has] / config[has]).min())
-        used[config.tobytes()] = used.get(config.tobytes(), 0.0) + step
-        share = step * config / counts
-        covered += share
-        weight = weight * np.exp(-rate * share)
-        weight /= weight.max()
-    scale = covered[covered > 0].max() if (covered > 0).any() else 1.0
-    # scaled so that nothing is covered more than once; what is short is left to best fit
-    return [(np.frombuffer(k, dtype=np.int64), v / scale) for k, v in used.items()]
-
-
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Where the pieces of each length go: ``(length, rank, number, sequence, offset)``.
-
-    The pieces of ``length`` with ranks from ``rank`` on, ``number`` of them, go
-    to the sequences from ``sequence`` on, each at ``offset``.  The list's size
-    depends on the number of different lengths, not on the pieces.
+        amount = float((left[has] / config[has]).min())
+        if whole:
+            amount = max(1.0, np.floor(amount + 1e-9))
+        left[has] = np.maximum(0.0, left[has] - amount * config[has])
+        used.append((config, amount))
+    return used, bound
+
+
+@dataclass(frozen=True)
+class Plan:
+    """Where the pieces of each length go, and how good that is.
+
+    ``moves``: ``(length, rank, number, sequence, offset)``; the pieces of ``length``
+    with ranks from ``rank`` on, ``number`` of them, go to the sequences from
+    ``sequence`` on, each at ``offset``.  ``program`` is the value of the fractional
+    solution, ``bound`` a lower bound on any packing (from the dual), ``rounded``
+    the share of pieces that the rounded solution places; the rest is placed by
+    the whole amounts of the second solution.
     """
-    taken, out, sequence = Counter(), [], 0
 
-    def use(fill: list[int], times: int) -> None:
-        nonlocal sequence
-        offset = 0
-        for length in fill:
-            out.append((length, taken[length], times, sequence, offset))
-            taken[length] += times
-            offset += length
-        sequence += times
+    moves: list[tuple[int, int, int, int, int]]
+    sequences: int
+    program: float
+    bound: float
+    rounded: float
+
+
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = 0.002, tilts: tuple[float, ...] = (0.0, 0.03, 0.1, 0.3)) -> Plan:
+    """The plan for a histogram of lengths from 1 to ``capacity``.
 
-    full = histogram.get(capacity, 0)
-    if full:
-        use([capacity], full)
-    lengths = np.array(sorted(k for k, n in histogram.items() if n and k < capacity), dtype=np.int64)
+    The program is solved and rounded with one tilt of the weights after the
+    other until the sequences are within ``gap`` of the bound, or within one;
+    where none gets there, the plan with the fewest sequences is taken.  The plan's
+    size depends on the number of lengths, not on the pieces.
+    """
+    lengths = np.array(sorted(k for k, n in histogram.items() if n), dtype=np.int64)
+    counts = np.array([histogram[int(k)] for k in lengths], dtype=np.int64)
     if not len(lengths):
-        return out
-    left = Counter({int(k): histogram[int(k)] for k in lengths})
-    counts = np.array([left[int(k)] for k in lengths], dtype=np.int64)
-    for config, amount in sorted(solve_configurations(lengths, counts, capacity), key=lambda x: (-x[1], x[0].tobytes())):
-        fill = [int(k) for k, n in zip(lengths[::-1], config[::-1], strict=True) for _ in range(n)]
-        times = min(int(amount), *(left[k] // n for k, n in Counter(fill).items()))
-        if times:
-            use(fill, times)
-            left -= Counter({k: n * times for k, n in Counter(fill).items()})
-    # the rest: fill sequences greedily, the longest piece that still fits first
-    rest = sorted(k for k, n in left.items() if n)
-    while rest:
-        fill, room = [], capacity
-        spare = Counter()
-        while True:
-            at = bisect_left(rest, room + 1) - 1
-            while at >= 0 and left[rest[at]] - spare[rest[at]] <= 0:
-                at -= 1
-            if at < 0:
-                break
-            fill.append(rest[at])
-            spare[rest[at]] += 1
-            room -= rest[at]
-        times = min(left[k] // n for k, n in spare.items())
-        use(fill, times)
-        for k, n in spare.items():
-            left[k] -= n * times
-            if not left[k]:
-                rest.remove(k)
-    return out
+        return Plan([], 0, 0.0, 0.0, 1.0)
+    best, bound, program = None, 0.0, float("inf")
+    for tilt in tilts:
+        used, low = cover(lengths, counts, capacity, False, tilt)
+        bound, program = max(bound, low), min(program, float(sum(x for _, x in used)))
+        rounded = [(config, int(amount + 1e-9)) for config, amount in used]
+        left = counts - sum(config * times for config, times in rounded)
+        rest = np.flatnonzero(left)
+        for config, amount in cover(lengths[rest], left[rest], capacity, True, tilt)[0]:
+            full = np.zeros(len(lengths), dtype=np.int64)
+            full[rest] = config
+            rounded.append((full, int(amount)))
+        sequences = sum(times for _, times in rounded)
+        if best is None or sequences < best[0]:
+            best = sequences, rounded, 1 - float(left.sum() / counts.sum())
+        if best[0] <= max(np.ceil(bound - 1e-9) + 1, (1 + gap) * bound):
+            break
+    taken, moves, sequence = np.zeros(len(lengths), dtype=np.int64), [], 0
+    for config, times in best[1]:
+        if not times:
+            continue
+        offset = 0
+        for i in np.flatnonzero(config)[::-1].tolist():
+            for _ in range(int(config[i])):
+                moves.append((int(lengths[i]), int(taken[i]), times, sequence, offset))
+                taken[i] += times
+                offset += int(lengths[i])
+        sequence += times
+    return Plan(moves, sequence, program, bound, best[2])
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_rank: int = 100_000) -> DataFrame:
@@ -227,7 +256,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_rank: int = 100_0
     spark = pieces.sparkSession
     histogram = {int(r["length"]): int(r["n"]) for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     plan = plan_sequences(histogram, capacity)
-    if not plan:
+    if not plan.moves:
         return pieces.withColumn("sequence_id", F.lit(None).cast("bigint")).withColumn("offset", F.lit(None).cast("bigint"))
     salts = spark.createDataFrame([(k, n // rows_per_rank + 1) for k, n in histogram.items()], "length long, salts long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.col("salts")))
@@ -237,7 +266,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_rank: int = 100_0
     ranked = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
     # at most some slots for each length and configuration
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
-    for length, rank, number, sequence, offset in plan:
+    for length, rank, number, sequence, offset in plan.moves:
         slots.setdefault(length, []).append((rank, number, sequence, offset))
     places = spark.createDataFrame([(k, v) for k, v in slots.items()], "length long, slots array<struct<rank:long,number:long,sequence:long,offset:long>>")
     picked = F.filter("slots", lambda s: (F.col("rank") >= s["rank"]) & (F.col("rank") < s["rank"] + s["number"]))[0]

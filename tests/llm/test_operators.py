@@ -72,16 +72,54 @@ def test_sketch(spark):
     assert len(repeated) == len(ODD)
 
 
+def pieces_of(t):
+    return set(re.findall(r"[^\n.!?]{0,160}+[.!?]+|[^\n.!?]{1,160}", t or ""))
+
+
+def test_sketch_likeness_is_that_of_the_digests(spark):
+    texts = [(i, "\n".join(prose(r, random.Random(r).randint(1, 60)) for r in random.Random(i).sample(range(40), random.Random(i).randint(0, 25)))) for i in range(120)]
+    out = {r["doc_id"]: r for r in rows(paragraph_sketch.fingerprint_versions(table(spark, texts)))}
+    order = sorted(texts, reverse=True)
+    for i, (k, t) in enumerate(order):
+        nxt = order[(i + 1) % len(order)][1]
+        half = len(t) // 2
+        for name, other in (("near_edited", t[: len(t) - half] + nxt[:half]), ("near_next", nxt)):
+            a, b = pieces_of(t), pieces_of(other)
+            assert abs(out[k][name] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-9
+        assert out[k]["n_chars"] == len(t)
+    assert {r["retries_edited"] for r in out.values()} >= {0} and max(r["retries_next"] for r in out.values()) > 0
+    assert rows(paragraph_sketch.fingerprint_versions(table(spark, ODD).limit(0))) == []
+
+
+def test_stored_sketch_holds_what_it_says(spark):
+    df = spark.createDataFrame([(k, random.Random(k).sample(range(-(10**9), 10**9), n)) for k, n in enumerate([0, 1, 5, 300])], "k int, d array<long>")
+    df = df.select("d", paragraph_sketch.fingerprint(F.col("d")).alias("f"), F.transform("d", lambda d: paragraph_sketch.checksum(d)).alias("h"))
+    for r in df.collect():
+        cells, _, filled = r["f"].partition(";")
+        parsed = [[int(x[0]), int(x[1]), int(x[2], 16), int(x[3], 16)] for x in (c.split(":") for c in filled.split(",") if c)]
+        assert [c[0] for c in parsed] == sorted(c[0] for c in parsed) and 3 * int(cells) >= 2 * len(r["d"])
+        for j in range(3):
+            own = [c for c in parsed if c[0] // int(cells) == j]
+            assert sum(c[1] for c in own) == len(r["d"])
+            for at, values in ((2, r["d"]), (3, r["h"])):
+                want = got = 0
+                for v in values:
+                    want ^= v & (2**64 - 1)
+                for c in own:
+                    got ^= c[at]
+                assert want == got
+
+
 def test_sketch_differences_are_exact(spark):
     r = random.Random(3)
     data = []
     for k in range(60):
         a = {r.getrandbits(62) for _ in range(r.choice([0, 1, 3, 20, 400]))}
         b = set(r.sample(sorted(a), len(a) // 2)) | {r.getrandbits(62) for _ in range(r.choice([0, 2, 30]))}
-        data.append((k, sorted(a), sorted(b)))
-    df = spark.createDataFrame(data, "pair long, a array<long>, b array<long>")
-    got = {x["pair"]: (x["only_a"], x["only_b"]) for x in rows(paragraph_sketch.count_differences(df))}
-    assert all(got.get(k, (0, 0)) == (len(set(a) - set(b)), len(set(b) - set(a))) for k, a, b in data)
+        data.append((k % 3, k, sorted(a), sorted(b)))
+    df = spark.createDataFrame(data, "range long, pos int, a array<long>, b array<long>")
+    got = {code: (v["only_a"], v["only_b"]) for x in rows(paragraph_sketch.count_differences(df, [("a", "b")])) for chunk in x["found"].values() for code, v in chunk.items()}
+    assert all(got.get(k, (0, 0)) == (len(set(a) - set(b)), len(set(b) - set(a))) for _, k, a, b in data)
 
 
 def test_toxicity(spark):
@@ -225,6 +263,51 @@ def test_packing(spark):
     assert rows(packing.pack_documents(table(spark, ODD).limit(0))) == []
 
 
+def test_packing_plan_comes_from_the_program():
+    r = random.Random(4)
+    for histogram in ({k: r.randint(1, 40) for k in r.sample(range(1, 2049), 300)}, {1500: 7, 1: 3}, {2048: 3}, {1: 10_000}, {700: 10, 701: 11, 647: 12}):
+        plan = packing.plan_sequences(histogram)
+        placed, fill = {}, {}
+        for length, rank, number, sequence, offset in sorted(plan.moves, key=lambda m: (m[0], m[1])):
+            assert rank == placed.get(length, 0)
+            placed[length] = rank + number
+            for s in range(sequence, sequence + number):
+                fill.setdefault(s, []).append((offset, length))
+        assert placed == histogram and sorted(fill) == list(range(plan.sequences))
+        for own in fill.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        assert plan.bound <= plan.sequences + 1e-6 and plan.bound >= sum(k * n for k, n in histogram.items()) / 2048 - 1e-6
+        if plan.sequences > plan.bound + 2:  # the bound isn't reached by any packing of long pieces, so a search over single pieces is the measure
+            assert plan.sequences <= 1.005 * (max(sharding.best_fit_decreasing([k for k, n in histogram.items() for _ in range(n)], 2048)) + 1)
+    assert packing.plan_sequences({k: 50 + k % 7 for k in range(20, 900, 3)}).rounded > 0.9
+    assert packing.plan_sequences({}).moves == []
+
+
+def test_price_is_a_best_configuration():
+    r = random.Random(8)
+    for _ in range(20):
+        lengths = np.array(sorted(r.sample(range(1, 40), 8)))
+        limits, values = np.array([r.randint(0, 4) for _ in lengths]), np.array([r.random() * n for n in lengths])
+        best = {0: 0.0}
+        for length, limit, value in zip(lengths.tolist(), limits.tolist(), values.tolist(), strict=True):
+            best = _bounded(best, length, limit, value, 60)
+        counts, top = packing.price(values, lengths, limits, 60, 0.0)
+        assert (counts <= limits).all() and (counts * lengths).sum() <= 60 and abs((counts * values).sum() - max(best.values())) < 1e-9 and top >= max(best.values()) - 1e-9
+
+
+def _bounded(best, length, limit, value, capacity):
+    out = {}
+    for k, v in best.items():
+        for n in range(limit + 1):
+            if k + n * length <= capacity:
+                out[k + n * length] = max(out.get(k + n * length, 0.0), v + n * value)
+    return out
+
+
 def join_brute(texts):
     def grams(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
