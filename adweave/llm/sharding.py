@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -66,31 +66,43 @@ class RoomTree:
         return found
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
-    """The bin of each item; as few bins of ``capacity`` as best fit needs.
+def best_fit_classes(classes: list[tuple[int, int]], capacity: int) -> list[list[tuple[int, int]]]:
+    """For each class (size, count): the bins that take its items, as (bin, number).
 
+    Best-fit-decreasing: the largest size first, each item into the bin with the
+    least room that takes it.  A bin that took an item of a size is still the
+    tightest one for the next of that size, so it takes as many at once as fit.
     An item over the capacity gets a bin of its own.  Ties go by place.
     """
-    tree, bins, number = RoomTree(), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        spot = tree.tightest(sizes[i])
-        if spot is None:
-            spot, number = (max(capacity, sizes[i]), number), number + 1
-        else:
-            tree.remove(spot)
-        bins[i] = spot[1]
-        tree.insert((spot[0] - sizes[i], spot[1]))
-    return bins
+    tree, out, number = RoomTree(), [[] for _ in classes], 0
+    for i in sorted(range(len(classes)), key=lambda i: (-classes[i][0], i)):
+        size, left = classes[i]
+        while left:
+            spot = tree.tightest(size)
+            if spot is None:
+                spot, number = (max(capacity, size), number), number + 1
+            else:
+                tree.remove(spot)
+            fit = min(left, spot[0] // size) if size else left
+            out[i].append((spot[1], fit))
+            left -= fit
+            tree.insert((spot[0] - fit * size, spot[1]))
+    return out
+
+
+def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
+    """The bin of each item."""
+    return [bins[0][0] for bins in best_fit_classes([(size, 1) for size in sizes], capacity)]
 
 
-def pack_into(sizes: list[int], shards: int, tries: int = 12) -> list[int]:
-    """Bins 0 to ``shards`` - 1 with the largest as small as the search gets it."""
-    total = sum(sizes)
-    low = max(-(-total // shards), max(sizes, default=0))
+def pack_into(classes: list[tuple[int, int]], shards: int, tries: int = 8) -> list[list[tuple[int, int]]]:
+    """Bins 0 to ``shards`` - 1, the least capacity found that needs no more of them."""
+    total = sum(size * count for size, count in classes)
+    low = max(-(-total // shards), max((size for size, _ in classes), default=0))
     high, best = low, None
     while best is None:
-        bins = best_fit_decreasing(sizes, high)
-        if max(bins, default=-1) < shards:
+        bins = best_fit_classes(classes, high)
+        if max((b for own in bins for b, _ in own), default=-1) < shards:
             best = bins
         else:
             low, high = high + 1, high + max(1, high // 2000) * (1 if high < 1.02 * total / shards else 20)
@@ -98,14 +110,24 @@ def pack_into(sizes: list[int], shards: int, tries: int = 12) -> list[int]:
         if low >= high:
             break
         middle = (low + high) // 2
-        bins = best_fit_decreasing(sizes, middle)
-        if max(bins, default=-1) < shards:
+        bins = best_fit_classes(classes, middle)
+        if max((b for own in bins for b, _ in own), default=-1) < shards:
             best, high = bins, middle
         else:
             low = middle + 1
     return best
 
 
+#: Leading bits of a group's bytes that its size class keeps: classes differ by 1 in 2,048 at most.
+CLASS_BITS = 12
+
+
+def size_class(size: Column) -> Column:
+    """``size`` rounded up to CLASS_BITS leading bits; exact up to 4,095 bytes."""
+    step = F.pow(F.lit(2), F.greatest(F.lit(0), F.floor(F.log2(F.greatest(size, F.lit(1)))) - (CLASS_BITS - 1))).cast("bigint")
+    return (F.ceil(size / step) * step).cast("bigint")
+
+
 def rank_within(df: DataFrame, group: list[str], order: list[str], name: str, rows_per_part: int = 100_000) -> DataFrame:
     """``df`` with the row's rank in its group, from 0, as ``name``.
 
@@ -126,9 +148,12 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
     The law is ``bytes``: sizes (UTF-8 bytes of the text and ``overhead``) of the
     shards come out nearly equal, and rows with equal texts share a shard.  A
     group that alone is larger than an equal share can't do so; it is cut, by
-    rank, into pieces of at most a share.  Groups of under 1 / ``grain`` of a
-    share are first put into bundles of about that size by a hash of the text,
-    so at most some 2 * ``shards`` * ``grain`` items are packed, at any input.
+    rank, into pieces of at most a share.
+
+    What is packed is the histogram of the groups' size classes, at most 2 ** 11
+    for each doubling of size, and each group over 1 / ``grain`` of a share or of its
+    rows (fewer than 2 * ``shards`` * ``grain``).  A group of a class finds its shard by
+    its rank in the class.
 
     A null text is an empty one.  Null keys and repeated rows are placed like any
     others; other columns are left out; an empty table gives no rows.  ``slot``
@@ -138,37 +163,42 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), (F.octet_length(body) + overhead).cast("long").alias("size"), F.crc32(body).alias("crc"), F.xxhash64(body).alias("h"))
     rows = materialise(rows, "shard-rows")
-    groups = rows.groupBy("h", "crc", "size").agg(F.count("*").alias("n")).withColumn("bytes", F.col("n") * F.col("size"))
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
+    group = ["h", "crc", "size"]
+    groups = materialise(rows.groupBy(*group).agg(F.count("*").alias("n")).withColumn("bytes", F.col("n") * F.col("size")), "shard-groups")
+    total, count = (x or 0 for x in groups.agg(F.sum("bytes"), F.sum("n")).first())
     if not total:
         return rows.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     share = -(-total // shards)
-    unit = max(1, share // grain)
-    single = groups.where(F.col("bytes") > unit).select("h", "crc", "size", "n").orderBy("h", "crc", "size").collect()  # fewer than shards * grain
-    small = groups.where(F.col("bytes") <= unit)
-    bundles = int((small.agg(F.sum("bytes")).first()[0] or 0) // unit) + 1
-    bundle = F.pmod(F.xxhash64("h", "crc", "size", F.lit(3)), F.lit(bundles))
-    loads = small.groupBy(bundle.alias("bundle")).agg(F.sum("bytes").alias("bytes")).orderBy("bundle").collect()
-    items: list[tuple] = [(("bundle", r["bundle"]), int(r["bytes"])) for r in loads]
-    for g in single:
+    is_large = (F.col("bytes") > max(1, share // grain)) | (F.col("n") > max(1, count // (shards * grain)))
+    large = groups.where(is_large).select(*group, "n").orderBy(*group).collect()  # fewer than 2 * shards * grain
+    small = groups.where(~is_large).withColumn("class", size_class(F.col("bytes")))
+    histogram = small.groupBy("class").agg(F.count("*").alias("n")).orderBy("class").collect()
+    names, items = [], []
+    for g in large:
         per_piece = max(1, share // g["size"])
         for first in range(0, g["n"], per_piece):
-            items.append(((g["h"], g["crc"], g["size"], first), min(per_piece, g["n"] - first) * g["size"]))
-    bins = pack_into([size for _, size in items], shards)
-    to_bundle = [(name[1], int(b)) for (name, _), b in zip(items, bins, strict=True) if name[0] == "bundle" and len(name) == 2]
+            names.append((g["h"], g["crc"], g["size"], first))
+            items.append((min(per_piece, g["n"] - first) * g["size"], 1))
+    bins = pack_into(items + [(r["class"], r["n"]) for r in histogram], shards)
     pieces: dict[tuple, list[tuple[int, int]]] = {}
-    for (name, _), b in zip(items, bins, strict=True):
-        if len(name) == 4:
-            pieces.setdefault(name[:3], []).append((name[3], int(b)))
-    by_bundle = F.broadcast(spark.createDataFrame(to_bundle, "bundle long, shard int"))  # bounded by shards * grain
+    for name, own in zip(names, bins, strict=False):
+        pieces.setdefault(name[:3], []).append((name[3], own[0][0]))
+    spans = []
+    for r, own in zip(histogram, bins[len(names) :], strict=True):
+        ends = [sum(n for _, n in own[:i]) for i in range(len(own))]
+        spans.append((r["class"], [(first, b) for first, (b, _) in zip(ends, own, strict=True)]))
+    of_rank = lambda found: F.element_at(F.filter(found, lambda p: p["first"] <= F.col("rank")), -1)["shard"]
+    # both bounded as the docstring says
     by_group = F.broadcast(spark.createDataFrame([(*k, v) for k, v in pieces.items()], "h long, crc long, size long, pieces array<struct<first:long,shard:int>>"))
-    whole = rows.join(by_group, ["h", "crc", "size"], "left")
-    cut = rank_within(whole.where(F.size("pieces") > 1), ["h", "crc", "size"], ["key"], "rank")
-    names = ["key", "size", "crc", "h", "shard"]
+    by_class = F.broadcast(spark.createDataFrame(spans, "class long, spans array<struct<first:long,shard:int>>"))
+    ranked = rank_within(small.select(*group, "class"), ["class"], group, "rank").join(by_class, "class").select(*group, of_rank("spans").alias("shard"))
+    whole = rows.join(by_group, group, "left")
+    cut = rank_within(whole.where(F.size("pieces") > 1), group, ["key"], "rank")
+    columns = ["key", "size", "crc", "h", "shard"]
     placed = (
-        whole.where(F.col("pieces").isNull()).withColumn("bundle", bundle).join(by_bundle, "bundle").select(names)
-        .unionByName(whole.where(F.size("pieces") == 1).withColumn("shard", F.col("pieces")[0]["shard"]).select(names))
-        .unionByName(cut.withColumn("shard", F.element_at(F.filter("pieces", lambda p: p["first"] <= F.col("rank")), -1)["shard"]).select(names))
+        whole.where(F.col("pieces").isNull()).join(ranked, group).select(columns)
+        .unionByName(whole.where(F.size("pieces") == 1).withColumn("shard", F.col("pieces")[0]["shard"]).select(columns))
+        .unionByName(cut.withColumn("shard", of_rank("pieces")).select(columns))
     )
     out = rank_within(placed, ["shard"], ["key", "h"], "slot")
     return out.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
