@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adweave.llm.common import held_out, table
+from adweave.llm.common import give_back, held_out, table
 
 UNDETERMINED = "und"
 
@@ -34,11 +34,12 @@ class LanguageModel:
     block_bytes: int = 8192
 
 
-def fit_language_model(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", samples: int = 512, sample_chars: int = 512, max_languages: int = 128) -> LanguageModel:
+def fit_language_model(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", samples: int = 512, sample_chars: int = 512, all_samples: int = 65536) -> LanguageModel:
     """Dictionaries from a bounded sample of the labelled rows of ``docs``.
 
-    Bound: ``max_languages`` most frequent labels, ``samples`` texts of each,
-    ``sample_chars`` characters of each text.  For every label and each of
+    Bound: ``samples`` texts of each label, ``sample_chars`` characters of each text.
+    No label is left out: where there are many, each gets an equal part of
+    ``all_samples`` texts (one at least).  For every label and each of
     ``samples`` hash buckets of the key, the text with the smallest key hash is
     taken, so the sample is spread over all rows and doesn't depend on their
     order.  Rows without text or label teach nothing; with no labelled row the
@@ -48,11 +49,11 @@ def fit_language_model(docs: DataFrame, text: str = "text", label: str = "lang",
     rows = docs.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
         F.col(label).alias("label"), F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("h"), F.col(text).alias("text")
     )
-    labels = [r[0] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(max_languages).collect()]
-    picked = rows.where(F.col("label").isin(labels)).groupBy("label", F.pmod("h", F.lit(samples)).alias("b")).agg(F.min("h").alias("h")).select("label", "h").collect()
+    samples = max(1, min(samples, all_samples // max(1, rows.select("label").distinct().count())))
+    picked = rows.groupBy("label", F.pmod("h", F.lit(samples)).alias("b")).agg(F.min("h").alias("h")).select("label", "h").collect()
     if not picked:
         return LanguageModel((), ())
-    # at most max_languages * samples small rows, so this side may be broadcast
+    # at most all_samples small rows (or one for each label), so this side may be broadcast
     chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "label string, h long"))
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - sample_chars)).cast("int") + 1
     cut = rows.join(chosen, ["label", "h"]).select("label", "h", F.col("text").substr(start, F.lit(sample_chars)).alias("cut"))
@@ -106,6 +107,8 @@ def identify_language(docs: DataFrame, model: LanguageModel, text: str = "text",
         encoder = Encoder(model)
         for texts in batches:
             yield pd.DataFrame([encoder.classify(t) for t in texts], columns=["lang_pred", "score", "margin_bytes"])
+        encoder.coders.clear()
+        give_back()
 
     out = docs.drop("lang_pred", "score", "margin_bytes", "lang_accepted").withColumn("_decided", decide(F.col(text)))
     out = out.select("*", "_decided.*").drop("_decided")
