@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adweave.llm.common import materialise, table
+from adweave.llm.common import give_back, materialise, table
 from adweave.llm.toxicity import BITS, _regress, features
 
 
@@ -38,28 +38,26 @@ class DomainModel:
         return e / e.sum()
 
 
-def fit_domains(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", rows_per_domain: int = 1000, max_domains: int = 32) -> DomainModel:
+def fit_domains(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", domain: str = "domain", rows_per_domain: int = 1000, all_rows: int = 32_000) -> DomainModel:
     """A classifier from at most ``rows_per_domain`` labelled texts of each domain.
 
-    Bound: the ``max_domains`` most frequent domains; of each, the rows with the
-    smallest key hashes.  A fifth of them sets how sharp the probabilities are.  Null keys, domains and unknown keys teach nothing.
+    Bound: of each domain and each of ``rows_per_domain`` buckets of the key's hash,
+    the row with the smallest hash.  No domain is left out: where there are many,
+    each gets an equal part of ``all_rows``.  A fifth of the rows sets how sharp the
+    probabilities are.  Null keys, domains and unknown keys teach nothing.
     With no labelled row there is one domain, ``all``.
     """
     known = labelled.where(F.col(domain).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(domain).alias("domain"))
-    names = sorted(r[0] for r in known.groupBy("domain").count().orderBy(F.desc("count"), "domain").limit(max_domains).collect())
-    chosen = None
-    for name in names:  # a few
-        own = known.where(F.col("domain") == name).withColumn("h", F.xxhash64(F.col("k").cast("string"))).orderBy("h", "k").limit(rows_per_domain)
-        chosen = own if chosen is None else chosen.unionByName(own)
-    rows = []
-    if chosen is not None:
-        texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")  # a bounded side
-
-        def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pd.DataFrame({"h": pdf.h, "domain": pdf.domain, "ids": [features(t).tobytes() for t in pdf.text]})
-
-        rows = sorted((r["h"], r["domain"], bytes(r["ids"])) for r in texts.mapInPandas(gather, "h long, domain string, ids binary").collect())
+    known = known.withColumn("h", F.xxhash64(F.col("k").cast("string")))
+    buckets = max(1, min(rows_per_domain, all_rows // max(1, known.select("domain").distinct().count())))
+    chosen = known.groupBy("domain", F.pmod("h", F.lit(buckets)).alias("b")).agg(F.min(F.struct("h", "k")).alias("r")).select("r.h", "r.k", "domain")
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")  # a bounded side
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"h": pdf.h, "domain": pdf.domain, "ids": [features(t).tobytes() for t in pdf.text]})
+
+    rows = sorted((r["h"], r["domain"], bytes(r["ids"])) for r in texts.mapInPandas(gather, "h long, domain string, ids binary").collect())
     found = tuple(sorted({r[1] for r in rows}))
     if len(found) < 2:
         return DomainModel(found or ("all",), np.zeros((1 << BITS, 1), dtype=np.float32), np.zeros(1))
@@ -90,6 +88,7 @@ def soft_membership(docs: DataFrame, model: DomainModel, text: str = "text") ->
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame({"tokens": [len((t or "").split()) for t in texts], "posterior": [shared.value.posterior(t) for t in texts]})
+        give_back()
 
     out = docs.drop("tokens", "posterior").withColumn("_m", run(F.col(text)))
     return out.select("*", "_m.*").drop("_m")
