@@ -10,13 +10,11 @@ their sets reaches a threshold.  The join is exact:
 3. in the order from rare to frequent, two linked classes must share one of
    their first shingles; classes that do form clusters;
 4. inside a cluster, T-occurrence search (DivideSkip) finds the links: short
-   inverted lists are merged on a heap, long ones probed by binary search.
+   inverted lists are merged in sorted order, long ones probed by binary search.
 """
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from adweave.llm.common import materialise, table
+from adweave.llm.common import give_back, materialise, table
 from adweave.operators.components import connected_components
 
 WORDS = 5
@@ -33,8 +31,6 @@ WORDS = 5
 DOWN, UP = 75, 100
 #: Order of a shingle that is too frequent to index: after all others.
 FREQUENT = 65535
-#: Entries in a query's lists from which they are counted as arrays, not on a heap.
-HEAP_ENTRIES = 20_000
 #: Shingles of a cluster that one task takes at most, and of an index bucket.
 CLUSTER_TOKENS = 4_000_000
 BUCKET_TOKENS = 4_000_000
@@ -89,14 +85,16 @@ def _describe(docs: DataFrame) -> DataFrame:
         for pdf in _blocks(batches):
             sets = [shingle_set(t) for t in pdf.text]
             classes = [class_of(s) if len(s) else None for s in sets]
-            yield pd.DataFrame({"kind": 0, "doc_id": pdf.doc_id.astype("Int64").array, "n": [len(s) for s in sets], "class": pd.array(classes, dtype="Int64")})
+            yield pd.DataFrame({"kind": 0, "doc_id": pdf.doc_id.astype("Int64").array, "th": pdf.th.astype("Int64").array, "n": [len(s) for s in sets], "class": pd.array(classes, dtype="Int64")})
             own = {c: s for c, s in zip(classes, sets, strict=True) if c is not None}
             if own:
                 tokens, counts = np.unique(np.concatenate(list(own.values())) >> np.uint64(16), return_counts=True)
                 often = counts >= max(4, len(own) // 1000)
-                yield pd.DataFrame({"kind": 1, "doc_id": pd.array([None] * int(often.sum()), dtype="Int64"), "n": counts[often], "class": pd.array(tokens[often].astype(np.int64), dtype="Int64")})
+                none = pd.array([None] * int(often.sum()), dtype="Int64")
+                yield pd.DataFrame({"kind": 1, "doc_id": none, "th": none, "n": counts[often], "class": pd.array(tokens[often].astype(np.int64), dtype="Int64")})
+        give_back()
 
-    return docs.mapInPandas(run, "kind int, doc_id long, n long, class long")
+    return docs.mapInPandas(run, "kind int, doc_id long, th long, n long, class long")
 
 
 def _postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
@@ -138,6 +136,7 @@ def _postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
                 if len(t):
                     out.append((b, 0, (t >> np.uint64(32)).astype(np.uint16).tobytes(), t.astype(np.uint32).tobytes(), p.tobytes(), names.tobytes(), sizes.tobytes(), p.itemsize))
             yield pd.DataFrame(out, columns=["bucket", "kind", "high", "low", "place", "classes", "sizes", "width"])
+        give_back()
 
     return docs.mapInPandas(run, "bucket int, kind int, high binary, low binary, place binary, classes binary, sizes binary, width int")
 
@@ -195,6 +194,8 @@ def _shared(groups: int):
                 starts = np.flatnonzero(np.r_[True, c[a + 1 : b] != c[a : b - 1]])
                 counts = np.diff(np.r_[starts, b - a]).astype(np.int32)
                 out.append((int(group[a]), c[a:b][starts].tobytes(), n[a:b][starts].tobytes(), counts.tobytes(), k[a:b].tobytes()))
+        keys = owners = sizes = tokens = None
+        give_back()
         return pd.DataFrame(out, columns=["group", "classes", "sizes", "counts", "keys"])
 
     return run
@@ -244,9 +245,10 @@ def divide_skip(keys: list[np.ndarray], sizes: list[int], queries: list[int], in
     connect all that any links connect: a search leaves out the sets that its
     query is connected with already.  For a query that needs T shingles in
     common, the L longest of its inverted lists are set aside; sets that occur
-    T - L times in the short lists, merged on a heap, are probed in the long
-    ones.  L is T / (merge_cost * log2(longest list) + 1).  Lists with over
-    HEAP_ENTRIES entries in all are counted together as arrays.
+    T - L times in the short lists, merged in sorted order, are probed in the long
+    ones.  L is T / (merge_cost * log2(longest list) + 1).  The merge is a natural
+    merge sort of the sorted lists, which makes the same sequence as a heap, in
+    arrays.
     """
     forest, links = _Forest(len(keys)), []
     flat = np.concatenate([keys[i] for i in indexed]) if indexed else np.empty(0, np.uint64)
@@ -258,8 +260,8 @@ def divide_skip(keys: list[np.ndarray], sizes: list[int], queries: list[int], in
         if linked(shared, sizes[x], sizes[y]) and forest.join(x, y):
             links.append((x, y))
 
-    if len(indexed) > 64:
-        # many sets: first each against the first one, by probes alone
+    if indexed:
+        # first each against the first one, by probes alone
         pivot = keys[indexed[0]]
         for x in {*queries, *indexed} - {indexed[0]}:
             accept(x, indexed[0], len(np.intersect1d(keys[x], pivot, assume_unique=True)))
@@ -269,6 +271,7 @@ def divide_skip(keys: list[np.ndarray], sizes: list[int], queries: list[int], in
         largest = max(trees, key=trees.get)
         if {*indexed} <= {*queries}:  # a link is found from either end
             queries = [x for x in queries if forest.root(x) != largest]
+    size_of = np.array(sizes, dtype=np.int64)
     for x in sorted(queries, key=lambda q: sizes[q]):
         if forest.trees == 1:
             break
@@ -279,35 +282,27 @@ def divide_skip(keys: list[np.ndarray], sizes: list[int], queries: list[int], in
         need = int(least_overlap(sizes[x]))
         if len(by_length) < need:
             continue
-        if int(lengths.sum()) > HEAP_ENTRIES:
-            # hot lists: one count over all of them is the merge and the probes at once
-            counts = np.bincount(np.concatenate([owner[low[k] : high[k]] for k in by_length]))
-            for y in np.flatnonzero(counts >= need).tolist():
-                if y != x and forest.root(y) != forest.root(x):
-                    accept(x, y, int(counts[y]))
-            continue
         longest = max(2, int(lengths[by_length[-1]]))
         aside = min(need - 1, int(need / (merge_cost * float(np.log2(longest)) + 1)))
         short, long = by_length[: len(by_length) - aside], by_length[len(by_length) - aside :]
-        lists = [owner[low[k] : high[k]].tolist() for k in short]
-        mine, root = None, forest.root(x)
-        found: dict[int, int] = {}
-        for y in heapq.merge(*lists):
-            if y != mine:
-                mine, skip = y, y == x or forest.root(y) == root or not (DOWN * sizes[x] <= UP * sizes[y] and DOWN * sizes[y] <= UP * sizes[x])
-            if not skip:
-                found[y] = found.get(y, 0) + 1
-        rest = [owner[low[k] : high[k]] for k in long]
-        for y, count in found.items():
-            if count < need - aside or forest.root(y) == forest.root(x):
-                continue
-            wanted = -(-DOWN * (sizes[x] + sizes[y]) // (UP + DOWN))
-            for left, members in enumerate(rest):
-                if count + len(rest) - left < wanted:
-                    break
-                at = bisect_left(members, y)
-                count += bool(at < len(members) and members[at] == y)
-            accept(x, y, count)
+        merged = np.sort(np.concatenate([owner[low[k] : high[k]] for k in short]), kind="stable")
+        at = np.flatnonzero(np.r_[True, merged[1:] != merged[:-1]])
+        found, count = merged[at], np.diff(np.r_[at, len(merged)])
+        # as many as both sizes ask for; a set that the long lists can't bring there is left out at once
+        wanted = -(-DOWN * (sizes[x] + size_of[found]) // (UP + DOWN))
+        able = (count >= need - aside) & (count + aside >= wanted) & (found != x) & (DOWN * sizes[x] <= UP * size_of[found]) & (DOWN * size_of[found] <= UP * sizes[x])
+        found, count, wanted = found[able], count[able], wanted[able]
+        for left, k in enumerate(long):
+            if not len(found):
+                break
+            members = owner[low[k] : high[k]]
+            place = np.minimum(np.searchsorted(members, found), len(members) - 1)
+            count = count + (members[place] == found)
+            able = count + (len(long) - left - 1) >= wanted
+            found, count, wanted = found[able], count[able], wanted[able]
+        for y, shared in zip(found.tolist(), count.tolist(), strict=True):
+            if forest.root(y) != forest.root(x):
+                accept(x, y, shared)
     return links
 
 
@@ -361,6 +356,16 @@ def _cluster_links(rows: DataFrame) -> DataFrame:
     return found.unionByName(to_pivot).unionByName(rest)
 
 
+def grouped_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, th, n_shingles, component, component_id`` of every row of ``docs``.
+
+    ``th`` is the text's hash; ``component`` names the group also where keys are
+    null or repeat, and is null for texts without a set.  Otherwise as
+    ``jaccard_components``.
+    """
+    return _components(docs, key, text)
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_shingles, component_id`` of every row of ``docs``.
 
@@ -375,17 +380,21 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     them; two of the same set's shingles falling together is a matter of
     about one document in 10**9.
     """
+    return _components(docs, key, text).select(F.col("doc_id").alias(key), "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, key: str, text: str) -> DataFrame:
     spark = docs.sparkSession
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("th"))
     described = materialise(_describe(texts), "join-documents")
-    documents = described.where("kind = 0").select("doc_id", F.col("n").alias("n_shingles"), "class")
+    documents = described.where("kind = 0").select("doc_id", "th", F.col("n").alias("n_shingles"), "class")
     total = documents.select(F.sum("n_shingles"), F.count("*")).first()
     # at most some thousand shingles a document's own share times 1000: bounded, whatever the number of documents
     least = max(64, total[1] // 1000)
     often = described.where("kind = 1").groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     frequent = np.sort(np.array([r[0] for r in often.select("class").collect()], dtype=np.int64).astype(np.uint64))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total[0] or 0) // BUCKET_TOKENS + 1)
-    index = _postings(texts, spark.sparkContext.broadcast(frequent.tobytes()), buckets)
+    index = _postings(texts.select("text"), spark.sparkContext.broadcast(frequent.tobytes()), buckets)
     shared = index.groupBy("bucket").applyInPandas(_shared(buckets), "group int, classes binary, sizes binary, counts binary, keys binary")
     able = shared.groupBy("group").applyInPandas(_gathered, "class long, n long, s long, keys binary")
     rows = materialise(able, "join-candidates")
@@ -398,9 +407,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     least_ids = documents.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
     grouped = least_ids.join(components, "class", "left").withColumn("component", F.coalesce("component", "class"))
     roots = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    names = grouped.join(roots, "component").select(F.col("class").alias("c"), "component_id")
+    names = grouped.join(roots, "component").select(F.col("class").alias("c"), "component", "component_id")
     out = documents.join(names, F.col("class") == F.col("c"), "left")
-    return out.select(F.col("doc_id").alias(key), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "th", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
@@ -408,11 +417,20 @@ def op9_ngram_join(spark, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the document with the smallest id stays."""
-    found = materialise(jaccard_components(docs), "join-kept")
-    kept = found.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    names = kept.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    out = docs.join(names, "doc_id", "left_semi")
-    if kept.where("doc_id IS NOT NULL").count() > names.count():  # rows with the same id
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.where("doc_id IS NULL"))
+    """Pipeline stage: of each component, the document with the smallest id stays.
+
+    Ids may repeat or be null: of a component's rows the one with the smallest
+    (id, text hash) stays, null ids last, and rows that are equal in both count as
+    one.  Texts without a word belong to no component, so all of them stay.
+    """
+    found = materialise(grouped_documents(docs).where("component IS NOT NULL"), "join-kept")
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("r")).select("r.none", F.coalesce("r.doc_id", F.lit(0)).alias("k"), "r.th")
+    keys = {"none": F.col("doc_id").isNull(), "k": F.coalesce(F.col("doc_id"), F.lit(0)), "th": F.xxhash64("text")}
+    own = [f"_near_{c}" for c in keys]
+    named = docs.withColumns({f"_near_{c}": v for c, v in keys.items()})
+    kept = named.join(least.toDF(*own), own, "left_semi")
+    rows = found.select(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "th")
+    if rows.count() > rows.distinct().count():  # rows with the same id and text
+        kept = kept.dropDuplicates(own)
+    worded = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.drop(*own).unionByName(docs.where(~worded))

@@ -360,6 +360,71 @@ def test_join(spark, monkeypatch, limit):
     assert rows(ngram_join.jaccard_components(table(spark, ODD).limit(0))) == []
 
 
+def test_divide_skip_finds_all_links():
+    r = random.Random(2)
+    for trial in range(30):
+        base = [r.sample(range(60), 24) for _ in range(3)]
+        sets = []
+        for _ in range(r.randint(1, 60)):  # few and many sets, all with hot shingles
+            own = set(r.choice(base))
+            for _ in range(r.randint(0, 5)):
+                own.discard(r.choice(sorted(own)))
+                own.add(r.randint(0, 90))
+            sets.append(np.array(sorted(own), dtype=np.uint64))
+        sizes = [len(s) for s in sets]
+        every = list(range(len(sets)))
+        half = every if trial % 2 else every[::2]
+        links = ngram_join.divide_skip(sets, sizes, every if trial % 2 else every[1::2], half)
+        want = {(i, j) for i in every for j in half if i != j and (trial % 2 or i % 2) and ngram_join.linked(len(np.intersect1d(sets[i], sets[j])), sizes[i], sizes[j])}
+        assert all(ngram_join.linked(len(np.intersect1d(sets[a], sets[b])), sizes[a], sizes[b]) for a, b in links)
+        forest, reached = ngram_join._Forest(len(sets)), ngram_join._Forest(len(sets))
+        for a, b in links:
+            forest.join(a, b)
+        for a, b in want:
+            reached.join(a, b)
+            assert forest.root(a) == forest.root(b)
+
+
+def test_near_duplicate_stage_with_repeated_ids(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    texts = [(5, a), (5, b), (6, c), (7, a), (8, b), (None, c), (None, prose(4, 60)), (9, None), (9, None), (10, " "), (11, prose(5, 60)), (11, prose(5, 60))]
+    out = ngram_join.near_duplicate_stage(spark, table(spark, texts), "")
+    assert out.columns == table(spark, texts).columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in rows(out)), key=str)
+    assert kept == sorted([(5, a), (5, b), (6, c), (None, prose(4, 60)), (9, None), (9, None), (10, " "), (11, prose(5, 60))], key=str)
+
+
+def test_very_long_texts(spark):
+    long = prose(7, 30_000)
+    texts = [(1, long), (2, long + " end"), (3, "short text here")]
+    df = table(spark, texts)
+    assert {r["doc_id"]: r["component_id"] for r in rows(ngram_join.jaccard_components(df))} == {1: 1, 2: 1, 3: 3}
+    assert all((r["n_words"], r["n_repeat_words"]) == (line_brute(t)[0], line_brute(t)[4]) for r in rows(line_cleaning.clean_lines(df)) for k, t in texts if k == r["doc_id"])
+    out = rows(paragraph_sketch.fingerprint_versions(df))
+    assert {r["doc_id"]: r["edited_sha256"] for r in out} == sketch_brute(texts)
+    pieces = rows(packing.pack_documents(df))
+    assert sum(r["length"] for r in pieces if r["doc_id"] == 2) > 20 * 2048
+
+
+def test_size_classes_and_whole_histogram(spark):
+    sizes = [0, 1, 2047, 4095, 4096, 4097, 10**6 + 1, 2**40 + 1]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in sizes], "x long").select(sharding.size_class(F.col("x"))).collect()]
+    assert got[:5] == sizes[:5] and all(a >= b and a - b <= b / 2048 for a, b in zip(got, sizes, strict=True))
+    r = random.Random(6)
+    classes = [(s, r.randint(1, 30)) for s in r.sample(range(1, 90), 20)]
+    each = [s for s, n in classes for _ in range(n)]
+    bins = sharding.best_fit_decreasing(each, 100)
+    load = {}
+    for s, b in zip(each, bins, strict=True):
+        load[b] = load.get(b, 0) + s
+    by_class = {}
+    for (s, n), own in zip(classes, sharding.best_fit_classes(classes, 100), strict=True):
+        assert sum(k for _, k in own) == n
+        for b, k in own:
+            by_class[b] = by_class.get(b, 0) + s * k
+    assert by_class == load
+
+
 def test_secrets(spark):
     scanner = secrets.compile_rules()
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
