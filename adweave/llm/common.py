@@ -8,10 +8,12 @@ import gc
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from adweave.functions.storage import materialise, materialise_dealt, shared_dir
 
-__all__ = ["give_back", "held_out", "materialise", "materialise_dealt", "shared_dir", "table"]
+__all__ = ["give_back", "held_out", "materialise", "materialise_dealt", "shared_dir", "small_frame", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,3 +41,10 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
     except (AttributeError, OSError):
         pass  # another C library than glibc
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of some rows that the driver holds, sent as one Arrow table, so that
+    reading it takes no Python worker."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+    return spark.createDataFrame(pa.table([pa.array(list(column), kind.type) for column, kind in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], schema=kinds))

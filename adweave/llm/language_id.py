@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from adweave.llm.common import give_back, held_out, table
+from adweave.llm.common import give_back, held_out, small_frame, table
 
 UNDETERMINED = "und"
 
@@ -54,7 +54,7 @@ def fit_language_model(docs: DataFrame, text: str = "text", label: str = "lang",
     if not picked:
         return LanguageModel((), ())
     # at most all_samples small rows (or one for each label), so this side may be broadcast
-    chosen = F.broadcast(spark.createDataFrame([tuple(r) for r in picked], "label string, h long"))
+    chosen = F.broadcast(small_frame(spark, [tuple(r) for r in picked], "label string, h long"))
     start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - sample_chars)).cast("int") + 1
     cut = rows.join(chosen, ["label", "h"]).select("label", "h", F.col("text").substr(start, F.lit(sample_chars)).alias("cut"))
     parts: dict[str, dict[int, str]] = {}

@@ -205,7 +205,8 @@ def with_rates(members: DataFrame, rates: Rates, *keys: Column) -> DataFrame:
         for tokens, posterior in batches:
             yield pd.Series(shared.value.of(tokens.to_numpy(dtype=float), np.stack(posterior.to_numpy())) if len(tokens) else [], dtype="float64")
 
-    return members.withColumn("rate", rate("tokens", "posterior")).withColumn("copies", copies(F.col("rate"), *keys))
+    # a filter on the copies isn't to work the rates out a second time
+    return members.withColumn("rate", rate.asNondeterministic()("tokens", "posterior")).withColumn("copies", copies(F.col("rate"), *keys))
 
 
 def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], key: str = "doc_id", text: str = "text", keep: float | None = None) -> DataFrame:
@@ -218,13 +219,12 @@ def mix(docs: DataFrame, model: DomainModel, weights: dict[str, float], key: str
     a larger one at 1 or more.  Equal rows get equal rates; an empty table stays empty; null texts
     have no tokens and rate 1.  Columns with these four names are replaced.
 
-    The texts are classified twice, once for the fit and once for the result, so
-    that they are neither written nor shuffled in between.
+    The texts are classified once: they are written with their membership, which
+    is all that the fit reads.
     """
     docs = docs.drop("tokens", "posterior", "rate", "copies")
-    members = materialise(soft_membership(docs.select(F.col(text).alias("text")), model).select("tokens", "posterior"), "mix-members")
-    rates = rates_for(members, model, weights, keep)
-    return with_rates(soft_membership(docs, model, text), rates, F.col(key), F.xxhash64(text))
+    members = materialise(soft_membership(docs, model, text), "mix-members")
+    return with_rates(members, rates_for(members.select("tokens", "posterior"), model, weights, keep), F.col(key), F.xxhash64(text))
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adweave.llm.common import give_back, materialise, table
+from adweave.llm.common import give_back, materialise, small_frame, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -258,7 +258,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_rank: int = 100_0
     plan = plan_sequences(histogram, capacity)
     if not plan.moves:
         return pieces.withColumn("sequence_id", F.lit(None).cast("bigint")).withColumn("offset", F.lit(None).cast("bigint"))
-    salts = spark.createDataFrame([(k, n // rows_per_rank + 1) for k, n in histogram.items()], "length long, salts long")
+    salts = small_frame(spark, [(k, n // rows_per_rank + 1) for k, n in histogram.items()], "length long, salts long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.col("salts")))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).select("length", "salt", "before")
@@ -268,7 +268,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_per_rank: int = 100_0
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     for length, rank, number, sequence, offset in plan.moves:
         slots.setdefault(length, []).append((rank, number, sequence, offset))
-    places = spark.createDataFrame([(k, v) for k, v in slots.items()], "length long, slots array<struct<rank:long,number:long,sequence:long,offset:long>>")
+    places = small_frame(spark, [(k, v) for k, v in slots.items()], "length long, slots array<struct<rank:long,number:long,sequence:long,offset:long>>")
     picked = F.filter("slots", lambda s: (F.col("rank") >= s["rank"]) & (F.col("rank") < s["rank"] + s["number"]))[0]
     out = ranked.join(F.broadcast(places), "length").withColumn("_slot", picked)
     out = out.withColumn("sequence_id", F.col("_slot.sequence") + F.col("rank") - F.col("_slot.rank")).withColumn("offset", F.col("_slot.offset"))

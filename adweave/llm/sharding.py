@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adweave.llm.common import materialise, table
+from adweave.llm.common import materialise, small_frame, table
 
 
 class RoomTree:
@@ -189,8 +189,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
         spans.append((r["class"], [(first, b) for first, (b, _) in zip(ends, own, strict=True)]))
     of_rank = lambda found: F.element_at(F.filter(found, lambda p: p["first"] <= F.col("rank")), -1)["shard"]
     # both bounded as the docstring says
-    by_group = F.broadcast(spark.createDataFrame([(*k, v) for k, v in pieces.items()], "h long, crc long, size long, pieces array<struct<first:long,shard:int>>"))
-    by_class = F.broadcast(spark.createDataFrame(spans, "class long, spans array<struct<first:long,shard:int>>"))
+    by_group = F.broadcast(small_frame(spark, [(*k, v) for k, v in pieces.items()], "h long, crc long, size long, pieces array<struct<first:long,shard:int>>"))
+    by_class = F.broadcast(small_frame(spark, spans, "class long, spans array<struct<first:long,shard:int>>"))
     ranked = rank_within(small.select(*group, "class"), ["class"], group, "rank").join(by_class, "class").select(*group, of_rank("spans").alias("shard"))
     whole = rows.join(by_group, group, "left")
     cut = rank_within(whole.where(F.size("pieces") > 1), group, ["key"], "rank")
