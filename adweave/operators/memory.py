@@ -33,29 +33,43 @@ def find_job_ids(keyed: DataFrame, job_keys: DataFrame) -> DataFrame:
 def remember(keyed: DataFrame, job_keys: DataFrame, first_new_id: int) -> DataFrame:
     """``ordinal, job_id, is_new`` of a batch, taken in the order of ``ordinal``.
 
-    A row with a known key is the job with the least known id.  Otherwise a key
-    belongs to the first row of the batch that holds it, and a row is the job of
-    the least among its keys' first owners; it is a new job if that is itself.
-    An owner that is another job's row passes its id on, until nothing changes.
-    This isn't a closure: a row that joins two jobs doesn't merge them.
+    A row is the job with the least id that any of its keys has, by ``job_keys`` or by
+    an earlier row of the batch; a row whose keys are all new is a new job.  A key
+    stays with the job of the first row that holds it.  So a row's job is the
+    least among the known ids and new jobs that lead to it over first holders;
+    these values are passed on until nothing changes.  This isn't a closure: a
+    row that joins two jobs doesn't merge them.  Ordinals are unique; a row
+    without keys is a new job.
     """
     rows = materialise(find_job_ids(keyed, job_keys).join(keyed, "ordinal"), "memory-rows")
-    each = rows.select("ordinal", "job_id", F.explode("keys").alias("key"))
-    owners = each.groupBy("key").agg(F.min("ordinal").alias("owner"))
-    unknown = each.where("job_id IS NULL").select("ordinal", "key").join(owners, "key").groupBy("ordinal").agg(F.min("owner").alias("parent"))
-    links = materialise(unknown.unionByName(rows.where("job_id IS NOT NULL").select("ordinal", F.col("ordinal").alias("parent"))), "memory-links")
-    while True:  # pointer jumping: the paths halve each time
-        up = links.select(F.col("ordinal").alias("parent"), F.col("parent").alias("above"))
-        moved = materialise(links.join(up, "parent", "left").select("ordinal", F.coalesce("above", "parent").alias("parent"), (F.coalesce("above", "parent") != F.col("parent")).alias("moved")), "memory-links")
-        links = moved.drop("moved")
+    fresh_keys = rows.select("ordinal", F.explode("keys").alias("key")).join(job_keys.select("key").distinct(), "key", "left_anti")
+    holders = fresh_keys.groupBy("key").agg(F.min("ordinal").alias("parent"))
+    edges = materialise(fresh_keys.join(holders, "key").where("parent < ordinal").select("ordinal", "parent").distinct(), "memory-edges")
+    value = lambda new, number: F.struct(F.lit(new).alias("new"), F.col(number).cast("bigint").alias("id"))
+    linked = edges.select("ordinal").distinct().withColumn("linked", F.lit(True))
+    start = F.when(F.col("job_id").isNotNull(), value(1, "job_id").withField("new", F.lit(0))).when(F.col("linked").isNull(), value(1, "ordinal"))
+    values = materialise(rows.select("ordinal", "job_id").join(linked, "ordinal", "left").select("ordinal", start.alias("value")), "memory-values")
+    while True:
+        above = values.where("value IS NOT NULL").select(F.col("ordinal").alias("parent"), F.col("value").alias("offer"))
+        offers = edges.join(above, "parent").groupBy("ordinal").agg(F.min("offer").alias("offer"))
+        moved = values.join(offers, "ordinal", "left").select("ordinal", F.least("value", "offer").alias("value"), (~F.least("value", "offer").eqNullSafe(F.col("value"))).alias("moved"))
+        moved = materialise(moved, "memory-values")
+        values = moved.drop("moved")
         if moved.where("moved").isEmpty():
             break
-    known = rows.where("job_id IS NOT NULL").select(F.col("ordinal").alias("parent"), "job_id")
-    roots = links.where("ordinal = parent").select("parent").join(known, "parent", "left_anti")
+    roots = values.where("value.new = 1 AND value.id = ordinal").select("ordinal")
     # numbers by order within range-dealt parts would do as well; roots are few next to the rows
-    fresh = roots.withColumn("job_id", F.row_number().over(Window.partitionBy(F.floor(F.col("parent") / 1_000_000)).orderBy("parent")) + F.floor(F.col("parent") / 1_000_000) * 1_000_000 + first_new_id - 1)
-    ids = known.unionByName(fresh)
-    return links.join(ids, "parent").select("ordinal", "job_id", (F.col("job_id") >= first_new_id).alias("is_new"))
+    part = F.floor(F.col("ordinal") / 1_000_000)
+    fresh = roots.select(F.col("ordinal").alias("root"), (F.row_number().over(Window.partitionBy(part).orderBy("ordinal")) + part * 1_000_000 + first_new_id - 1).alias("fresh_id"))
+    out = values.join(fresh, (F.col("value.new") == 1) & (F.col("value.id") == F.col("root")), "left")
+    return out.select("ordinal", F.coalesce("fresh_id", "value.id").alias("job_id"), (F.col("value.new") == 1).alias("is_new"))
+
+
+def remembered_keys(keyed: DataFrame, job_keys: DataFrame, remembered: DataFrame) -> DataFrame:
+    """The next version of ``job_keys`` (key, job_id): new keys go to the first row that holds them."""
+    rows = keyed.join(remembered, "ordinal").select("ordinal", "job_id", F.explode("keys").alias("key"))
+    new = rows.groupBy("key").agg(F.min_by("job_id", "ordinal").alias("job_id")).join(job_keys.select("key"), "key", "left_anti")
+    return job_keys.select("key", "job_id").unionByName(new.select("key", "job_id"))
 
 
 def set_states(states: DataFrame, changes: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -65,20 +65,20 @@ TERMS = [("the", "en", "job_title"), ("thing ation", "en", "field_or_skill"), ("
 def _term_sql() -> str:
     tests = []
     for text, lang, kind in TERMS:
-        def has(c, text=text):
-            return " AND ".join(f"(' ' || {c} || ' ') LIKE '% {w} %'" if len(w) <= 3 else f"contains({c}, '{w}')" for w in text.lower().split())
+        words = [NORMALISE.format(f"'{w}'") for w in text.split()]
+
+        def has(c, words=words):
+            return " AND ".join(f"CASE WHEN length({w}) <= 3 THEN contains(' ' || {c} || ' ', ' ' || {w} || ' ') ELSE contains({c}, {w}) END" for w in words)
 
         hit = f"({has('t')})" + (f" OR ({has('b')})" if kind == "field_or_skill" else "")
-        tests.append(f"(lang IN ('{lang}') AND ({hit}))")
+        tests.append(f"(lang = '{lang}' AND ({hit}))")
     return " OR ".join(tests)
 
 
-@query("c9_c10_match_terms", f"WITH {ADS}, n AS (SELECT ad_id, country AS lang, {NORMALISE.format('title')} AS t, {NORMALISE.format('description')} AS b FROM ads) SELECT ad_id, ({_term_sql()}) AS matched FROM n".replace("ción", "ción"))
+@query("c9_c10_match_terms", f"WITH {ADS}, n AS (SELECT ad_id, country AS lang, {NORMALISE.format('title')} AS t, {NORMALISE.format('description')} AS b FROM ads) SELECT ad_id, ({_term_sql()}) AS matched FROM n")
 def c10(spark, d):
-    return rules.match_terms(ads(spark, d).withColumn("languages", F.array("country")), TERMS).select("ad_id", "matched")
-
-
-QUERIES["c9_c10_match_terms"] = (c10, f"WITH {ADS}, n AS (SELECT ad_id, country AS lang, {NORMALISE.format('title')} AS t, {NORMALISE.format('description')} AS b FROM ads) SELECT ad_id, ({_term_sql()}) AS matched FROM n")
+    terms = spark.createDataFrame(TERMS, "text string, language string, kind string")
+    return rules.match_terms(ads(spark, d).withColumn("languages", F.array("country")), terms).select("ad_id", "matched")
 
 
 @query(

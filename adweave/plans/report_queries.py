@@ -182,8 +182,11 @@ def k3(spark, d):
 
 
 def _closed(spark, d, rows):
-    e = table(spark, d, "events").withColumn("ts", utc("ts"))
-    rest = e.withColumn("day", F.date_trunc("day", "ts")).groupBy("day", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).join(rows.select("day", "event_type"), ["day", "event_type"], "left_anti")
+    """``rows`` and the days that the watermark hasn't passed; nothing else is added."""
+    e = table(spark, d, "events").withColumn("ts", utc("ts")).withColumn("day", F.date_trunc("day", "ts"))
+    last = e.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).alias("mark"))
+    still = e.join(last).where(F.col("day") + F.expr("INTERVAL 1 DAY") > F.col("mark"))
+    rest = still.groupBy("day", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).join(rows.select("day", "event_type"), ["day", "event_type"], "left_anti")
     return rows.unionByName(rest).select(F.unix_seconds("day").alias("day"), "event_type", "n", "total")
 
 

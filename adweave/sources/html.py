@@ -2,27 +2,49 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from adweave.functions.text import tidy
+from adweave.functions.text import bound, tidy
+
+#: The names of the HTML standard, and the characters that they stand for.
+ENTITIES = {name: chr(point) for name, point in sorted(name2codepoint.items())} | {"apos": "'"}
+#: Elements that the HTML standard shows as blocks, and the line break.
+BLOCKS = "address|article|aside|blockquote|br|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hgroup|hr|li|main|nav|ol|p|pre|section|table|tr|ul"
 
-#: Named entities that texts of ads hold; numbers are handled by rule.
-ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "eacute": "é", "euro": "€", "ndash": "–", "bull": "•", "amp": "&"}
-BLOCKS = "p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav"
+
+def _character(point: Column) -> Column:
+    """The character of a code point; the replacement character where there is none."""
+    valid = ((point >= 1) & (point <= 0xD7FF)) | ((point >= 0xE000) & (point <= 0x10FFFF))
+    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
 
 
 def unescape(s: Column) -> Column:
-    for name, char in ENTITIES.items():  # &amp; last, so that nothing is read twice
-        s = F.replace(s, F.lit(f"&{name};"), F.lit(char))
-    return F.replace(s, F.lit("&#39;"), F.lit("'"))
+    """Entities as characters: numbers by rule, names by table; each is read once.
+
+    What isn't an entity of the standard stays as it is.
+    """
+    names = F.create_map(*(F.lit(x) for kv in ENTITIES.items() for x in kv))
+
+    def decoded(part: Column) -> Column:
+        body = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});", 1)
+        number = F.when(body.rlike("^#[0-9]"), F.substring(body, 2, 9).cast("bigint")).when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10).cast("bigint"))
+        char = F.when(number.isNotNull(), _character(number)).otherwise(F.try_element_at(names, body))
+        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(body) + 2)))
+
+    def read(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded), ""))
+
+    return F.when(s.contains("&"), bound(F.split(s, "&"), read)).otherwise(s)
 
 
 def _strip(s: Column) -> Column:
-    s = F.regexp_replace(s, "(?is)<(script|style|noscript)\\b.*?</\\1\\s*>|<!--.*?-->|<![^>]*>", " ")
-    s = F.regexp_replace(s, "(?i)<li\\b[^>]*>", "\n• ")
-    s = F.regexp_replace(s, f"(?i)</?(?:{BLOCKS})\\b[^>]*>", "\n")
-    return F.regexp_replace(s, "<[^<>]*>", "")
+    bare = F.regexp_replace(s, "(?is)<(script|style|noscript)\\b.*?</\\1\\s*>|<!--.*?-->|<![^>]*>", " ")
+    bare = F.regexp_replace(bare, "(?i)<li\\b[^>]*>", "\n• ")
+    bare = F.regexp_replace(bare, f"(?i)</?(?:{BLOCKS})\\b[^>]*>", "\n")
+    return F.when(s.contains("<"), F.regexp_replace(bare, "<[^<>]*>", "")).otherwise(s)
 
 
 def html_to_text(s: Column) -> Column:
@@ -32,8 +54,8 @@ def html_to_text(s: Column) -> Column:
     second one.  A null page gives an empty text.
     """
     first = unescape(_strip(F.coalesce(s, F.lit(""))))
-    again = F.when(first.rlike("(?i)</?(?:p|div|br|li|ul|b|strong|span)\\b"), unescape(_strip(first))).otherwise(first)
-    return tidy(again)
+    again = lambda x: F.when(x.rlike("(?i)</?(?:p|div|br|li|ul|b|strong|span)\\b"), unescape(_strip(x))).otherwise(x)
+    return tidy(bound(first, again))
 
 
 def job_posting(html: Column) -> Column:

@@ -346,9 +346,13 @@ def normalise_source(name: str, payloads: DataFrame) -> DataFrame:
     return NORMALISERS[name](payloads)
 
 
+#: Bits of an ordinal below the source's number: 2 ** 21 partitions of 2 ** 33 rows.
+ORDINAL_BITS = 54
+
+
 def union_sources(frames: list[DataFrame]) -> DataFrame:
-    """All sources' ads, in the order given, as ``ordinal``'s high part."""
-    numbered = [f.withColumn("ordinal", F.lit(i).cast("bigint") * (1 << 40) + F.monotonically_increasing_id() % (1 << 40)) for i, f in enumerate(frames)]
+    """All sources' ads, in the order given, as ``ordinal``'s high part; up to 511 sources."""
+    numbered = [f.withColumn("ordinal", F.lit(i << ORDINAL_BITS).cast("bigint") + F.monotonically_increasing_id()) for i, f in enumerate(frames)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
 
 

@@ -31,25 +31,53 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the whole versions of a table that are in ``folder``."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
+    done = lambda n: files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))
+    return sorted(int(n) for n in names if n.isdigit() and done(n))
+
+
 def first_seen(feed: DataFrame, key: str, stamp: str, name: str) -> DataFrame:
     """The first time of each key, kept as a table that every batch merges into.
 
     Each batch writes the new version of the table beside the old one, under the
-    batch's number, so that a batch that runs again writes the same version.
+    batch's number, from the newest version with a smaller number: a batch that
+    runs again writes the same version, and a later run on the same folder goes
+    on from what is there.
     """
     spark, folder = feed.sparkSession, f"{shared_dir(feed.sparkSession)}/{name}"
     schema = feed.select(key, F.col(stamp).alias("first_seen")).schema
-    latest = {"version": None}
 
     def merge(batch: DataFrame, number: int) -> None:
         new = batch.select(key, F.col(stamp).alias("first_seen"))
-        if latest["version"] is not None:
-            new = new.unionByName(spark.read.schema(schema).parquet(f"{folder}/{latest['version']}"))
+        before = [v for v in _versions(spark, folder) if v < number]
+        if before:
+            new = new.unionByName(spark.read.schema(schema).parquet(f"{folder}/{before[-1]}"))
         new.groupBy(key).agg(F.min("first_seen").alias("first_seen")).write.mode("overwrite").parquet(f"{folder}/{number}")
-        latest["version"] = number
 
     query = feed.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    if latest["version"] is None:
+    versions = _versions(spark, folder)
+    if not versions:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/{latest['version']}")
+    return spark.read.schema(schema).parquet(f"{folder}/{versions[-1]}")
+
+
+def changed_since(feed: DataFrame, stamp: str, name: str) -> DataFrame:
+    """The rows of ``feed`` that are newer than all rows of the runs before.
+
+    The largest ``stamp`` seen is kept as a versioned table of one row in the shared
+    folder; the first run takes all rows, and rows without a stamp always come.
+    """
+    spark, folder = feed.sparkSession, f"{shared_dir(feed.sparkSession)}/{name}"
+    versions = _versions(spark, folder)
+    mark = spark.read.parquet(f"{folder}/{versions[-1]}").first()["mark"] if versions else None
+    top = feed.agg(F.max(stamp).alias("mark"))
+    if mark is not None:
+        top = top.select(F.greatest("mark", F.lit(mark)).alias("mark"))
+        feed = feed.where(F.col(stamp).isNull() | (F.col(stamp) > F.lit(mark)))
+    top.write.mode("overwrite").parquet(f"{folder}/{(versions[-1] if versions else 0) + 1}")
+    return feed
