@@ -33,7 +33,7 @@ DOWN, UP = 75, 100
 FREQUENT = 65535
 #: Shingles of a cluster that one task takes at most, and of an index bucket.
 CLUSTER_TOKENS = 4_000_000
-BUCKET_TOKENS = 4_000_000
+BUCKET_TOKENS = 1_500_000
 #: Documents whose sets a task holds at once.
 BLOCK_DOCUMENTS = 3_000
 

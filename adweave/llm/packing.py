@@ -15,6 +15,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -30,6 +31,8 @@ END_ID = 0
 REMEMBERED_BYTES = 64_000_000
 #: What a word takes besides its own bytes and those of its ids.
 ENTRY_BYTES = 170
+#: Words that stay remembered from one task to the next, some 20 MB.
+KEPT_WORDS = 100_000
 
 
 #: Marks that end a word of letters or digits are a token of their own.  Left out
@@ -64,6 +67,13 @@ class WordIds(dict):
         self.held += len(word) + len(ids) + ENTRY_BYTES
         return ids
 
+    def end_task(self) -> None:
+        """Keeps only the words met first, among which are the frequent ones."""
+        first = dict(islice({**self.older, **self}.items(), KEPT_WORDS))
+        self.clear()
+        self.update(first)
+        self.older, self.held = {}, sum(len(w) + len(ids) + ENTRY_BYTES for w, ids in first.items())
+
     def settle(self) -> None:
         if self.held > REMEMBERED_BYTES:
             self.older, self.held = dict(self), 0
@@ -116,6 +126,7 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capac
                 frame = pd.DataFrame(out, columns=["key", "row", "piece", "start", "length", "ids_crc32"])
                 frame["key"] = frame["key"].astype("Int64")
                 yield frame
+        word_ids(path).end_task()
         give_back()
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
