@@ -26,8 +26,8 @@ def anchor_towns(towns: DataFrame, conditions: DataFrame, countries: DataFrame,
     ``conditions``: condition_id, country, min_people, share, towns, regions,
     avoid (arrays of ids and codes; null or empty: none).
     """
-    base = conditions.join(F.broadcast(countries), "country").withColumn("least", smallest_town(F.col("min_people"), F.col("share"), F.col("country_people")))
-    rows = towns.join(F.broadcast(base), "country").join(parts, "town_id", "left")
+    base = conditions.join(countries, "country").withColumn("least", smallest_town(F.col("min_people"), F.col("share"), F.col("country_people")))
+    rows = towns.join(base, "country").join(parts, "town_id", "left")
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     named = F.array_contains("towns", F.col("town_id")) | F.arrays_overlap("regions", F.array("region", "district", "area"))
     fits_name = F.when(some("towns") | some("regions"), F.coalesce(named, F.lit(False))).otherwise(True)

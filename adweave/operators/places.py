@@ -52,16 +52,16 @@ def locate(texts: DataFrame, towns: DataFrame, regions: DataFrame, codes: DataFr
     wanted = texts.select("text", "country").where("text IS NOT NULL AND country IS NOT NULL").distinct()
     states = regions.where("level = 'region'").select(F.explode("names").alias("n")).select(normalise(F.col("n")).alias("name")).distinct()
     parts = wanted.select("text", "country", F.posexplode(F.split("text", "[,;|]")).alias("i", "part")).withColumn("name", normalise(F.col("part")))
-    parts = parts.join(F.broadcast(states), "name", "left_anti")
+    parts = parts.join(states, "name", "left_anti")
     district = F.lower("part").rlike("\\b(kreis|landkreis|county|district|co\\.)")
     runs = parts.select("text", "country", "i", district.alias("vague"), F.explode(name_runs(F.col("part"))).alias("r")).select("text", "country", "i", "vague", "r.*")
-    hits = runs.join(F.broadcast(town_names(towns)), ["name", "country"])
+    hits = runs.join(town_names(towns), ["name", "country"])
     best = F.struct((~F.col("vague")).alias("sure"), "n", "people", (-F.col("i")).alias("i"), (-F.col("at")).alias("at"))
     found = hits.groupBy("text", "country").agg(F.max_by("town_id", best).alias("town_id"))
     if codes is None:
         return found
     left = wanted.join(found, ["text", "country"], "left_anti").select("text", "country", F.posexplode(postcodes(F.col("text"))).alias("i", "code"))
-    points = left.join(F.broadcast(codes), ["code", "country"]).groupBy("text", "country").agg(F.min_by(F.struct("latitude", "longitude"), "i").alias("p"))
+    points = left.join(codes, ["code", "country"]).groupBy("text", "country").agg(F.min_by(F.struct("latitude", "longitude"), "i").alias("p"))
     points = points.select("text", "country", "p.*").withColumn("point_id", F.xxhash64("text", "country"))
     inside = town_at(points, towns).select("point_id", "town_id")
     return found.unionByName(points.join(inside, "point_id").select("text", "country", "town_id"))
@@ -100,7 +100,7 @@ def town_at(points: DataFrame, towns: DataFrame) -> DataFrame:
     near = within(rest, circles.withColumn("km", F.lit(100.0))).groupBy("point_id").agg(F.min_by("circle_id", F.struct("distance", "circle_id")).alias("town_id"))
     distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("q_lat"), F.col("q_lon"))
     centres = circles.select("circle_id", "country", F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"))
-    far = rest.join(near, "point_id", "left_anti").join(F.broadcast(centres), "country").select("point_id", "circle_id", distance.alias("distance"))
+    far = rest.join(near, "point_id", "left_anti").join(centres, "country").select("point_id", "circle_id", distance.alias("distance"))
     return inside.unionByName(near).unionByName(far.groupBy("point_id").agg(F.min_by("circle_id", F.struct("distance", "circle_id")).alias("town_id")))
 
 
@@ -118,7 +118,7 @@ def find_region(names: DataFrame, regions: DataFrame) -> DataFrame:
     keys = spelled.select("code", "level", "country", F.explode(F.array(F.struct(F.lit(0).alias("short"), normalise(F.col("n")).alias("key")), F.struct(F.lit(1).alias("short"), region_key(F.col("n")).alias("key")))).alias("k")).select("code", "level", "country", "k.*")
     asked = names.select("name", "country", F.explode(F.array(F.struct(F.lit(0).alias("cut"), normalise(F.col("name")).alias("key")), F.struct(F.lit(1).alias("cut"), region_key(F.col("name")).alias("key")))).alias("k")).select("name", "country", "k.*").where("key <> ''")
     rank = F.struct("cut", (F.col("level") != "region").alias("l"), "short", "code")
-    return asked.join(F.broadcast(keys), ["country", "key"]).groupBy("name", "country").agg(F.min_by("code", rank).alias("code"))
+    return asked.join(keys, ["country", "key"]).groupBy("name", "country").agg(F.min_by("code", rank).alias("code"))
 
 
 def countries_in(texts: DataFrame, place_names: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def countries_in(texts: DataFrame, place_names: DataFrame) -> DataFrame:
     wanted = texts.select("text").where("text IS NOT NULL").distinct()
     parts = wanted.select("text", F.posexplode(F.split("text", "\\s*(?:;|\\||\\n| / | or | oder | und )\\s*")).alias("i", "part"))
     runs = parts.select("text", "i", F.explode(name_runs(F.col("part"))).alias("r")).select("text", "i", "r.*")
-    hits = runs.join(F.broadcast(place_names.select(normalise(F.col("name")).alias("name"), "code").distinct()), "name")
+    hits = runs.join(place_names.select(normalise(F.col("name")).alias("name"), "code").distinct(), "name")
     group = hits.groupBy("text", "i").agg(F.array_sort(F.collect_list(F.struct((-F.length("name")).alias("o"), "at", (F.col("at") + F.col("n")).alias("to"), "code"))).alias("h"))
     zero = F.struct(F.array().cast("array<struct<at:int,to:int>>").alias("used"), F.array().cast("array<string>").alias("codes"))
 
@@ -150,7 +150,7 @@ def countries_in(texts: DataFrame, place_names: DataFrame) -> DataFrame:
 def build_gazetteer(cities: DataFrame, names: DataFrame, languages: DataFrame, most: int = 8) -> DataFrame:
     """``cities`` with ``names``: its own name, then up to ``most`` others in a
     language of its country that are neither colloquial nor historic, by name."""
-    others = names.where("NOT colloquial AND NOT historic").join(F.broadcast(languages), "language").alias("o")
+    others = names.where("NOT colloquial AND NOT historic").join(languages, "language").alias("o")
     own = others.join(cities.alias("c"), F.col("o.town_id") == F.col("c.town_id")).where("o.country = c.country AND o.name <> c.name").select("c.town_id", "o.name").distinct()
     listed = own.groupBy("town_id").agg(F.slice(F.array_sort(F.collect_set("name")), 1, most).alias("more"))
     return cities.join(listed, "town_id", "left").withColumn("names", F.concat(F.array("name"), F.coalesce("more", F.array().cast("array<string>")))).drop("more")

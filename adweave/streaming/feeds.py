@@ -66,10 +66,11 @@ def first_seen(feed: DataFrame, key: str, stamp: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{folder}/{versions[-1]}")
 
 
-def changed_since(feed: DataFrame, stamp: str, name: str) -> DataFrame:
-    """The rows of ``feed`` that are newer than all rows of the runs before.
+def changed_since(feed: DataFrame, stamp: str, name: str, overlap: str = "5 minutes") -> DataFrame:
+    """The rows of ``feed`` that are newer than all rows of the runs before, less ``overlap``.
 
-    The largest ``stamp`` seen is kept as a versioned table of one row in the shared
+    Sources list a change some time after its stamp, so each run takes the last
+    minutes again; ``first_of_each`` drops what comes twice.  The largest ``stamp`` seen is kept as a versioned table of one row in the shared
     folder; the first run takes all rows, and rows without a stamp always come.
     """
     spark, folder = feed.sparkSession, f"{shared_dir(feed.sparkSession)}/{name}"
@@ -78,6 +79,6 @@ def changed_since(feed: DataFrame, stamp: str, name: str) -> DataFrame:
     top = feed.agg(F.max(stamp).alias("mark"))
     if mark is not None:
         top = top.select(F.greatest("mark", F.lit(mark)).alias("mark"))
-        feed = feed.where(F.col(stamp).isNull() | (F.col(stamp) > F.lit(mark)))
+        feed = feed.where(F.col(stamp).isNull() | (F.col(stamp) > F.lit(mark) - F.expr(f"INTERVAL {overlap}")))
     top.write.mode("overwrite").parquet(f"{folder}/{(versions[-1] if versions else 0) + 1}")
     return feed

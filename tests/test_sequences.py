@@ -106,7 +106,7 @@ def test_streams_carry_state_over_batches_and_runs(spark, tmp_path):
 
 def test_changes_since_the_run_before(spark, tmp_path):
     rows = [("a", START, 1.0), ("b", START + timedelta(hours=1), 1.0), ("c", None, 1.0)]
-    since = lambda x: sorted(r["user"] for r in feeds.changed_since(spark.createDataFrame(x, SCHEMA), "ts", f"since-{tmp_path.name}").collect())
+    since = lambda x: sorted(r["user"] for r in feeds.changed_since(spark.createDataFrame(x, SCHEMA), "ts", f"since-{tmp_path.name}", "0 minutes").collect())
     assert since(rows) == ["a", "b", "c"]
     assert since([*rows, ("d", START + timedelta(hours=2), 1.0)]) == ["c", "d"]
     assert since(rows) == ["c"]
