@@ -65,7 +65,8 @@ def test_entities_are_read_once(spark):
     want[2] = "a & b &nosuch; � � \U0001f600"
     assert got == want
     page = "<p>A&eacute;&nbsp;b</p><ul><li>one<li>two &#169;</ul><script>x</script>&lt;b&gt;bold&lt;/b&gt;"
-    assert spark.createDataFrame([(page,)], "t string").select(html_to_text(F.col("t"))).first()[0] == "Aé b\n\n• one\n• two ©\n\nbold".replace("\n\n•", "\n\n•") or True
+    got = spark.createDataFrame([(page,)], "t string").select(html_to_text(F.col("t"))).first()[0]
+    assert [line for line in got.split("\n") if line] == ["Aé b", "• one", "• two ©", "bold"]
 
 
 def write_feed(spark, folder, rows):
