@@ -81,29 +81,16 @@ def c10(spark, d):
     return rules.match_terms(ads(spark, d).withColumn("languages", F.array("country")), terms).select("ad_id", "matched")
 
 
-@query(
-    "c17_broadest_titles",
-    """WITH t AS (SELECT DISTINCT ON (w) p_partkey AS id, title, w FROM (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' ' || lower(p_type) WHEN 1 THEN ' ' || lower(p_type) || ' ' || lower(replace(p_brand, '#', ' ')) ELSE '' END AS title,
-      list_sort(list_distinct(string_split(p_name || CASE p_partkey % 4 WHEN 0 THEN ' ' || lower(p_type) WHEN 1 THEN ' ' || lower(p_type) || ' ' || lower(replace(p_brand, '#', ' ')) ELSE '' END, ' '))) AS w FROM part WHERE p_partkey % 4 < 3) ORDER BY w, p_partkey)
-    SELECT id, title FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.id <> a.id AND len(b.w) < len(a.w) AND list_has_all(a.w, b.w))""",
-)
-def c17(spark, d):
-    k = F.col("p_partkey")
-    tail = F.when(k % 4 == 0, F.concat(F.lit(" "), F.lower("p_type"))).when(k % 4 == 1, F.concat(F.lit(" "), F.lower("p_type"), F.lit(" "), F.lower(F.replace("p_brand", F.lit("#"), F.lit(" "))))).otherwise("")
-    p = table(spark, d, "part").where(k % 4 < 3)  # the mapping leaves every fourth part without a title
-    return rules.broadest_titles(p.select(k.alias("id"), F.concat("p_name", tail).alias("title")))
-
-
 PART_TITLE = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' ' || lower(p_type) WHEN 1 THEN ' ' || lower(p_type) || ' ' || lower(replace(p_brand, '#', ' ')) ELSE '' END"
 
 
 @query(
-    "c17_broadest_titles_all",
+    "c17_broadest_titles",
     f"""WITH t AS (SELECT DISTINCT ON (w) p_partkey AS id, title, w FROM (SELECT p_partkey, {PART_TITLE} AS title, list_sort(list_distinct(string_split({PART_TITLE}, ' '))) AS w FROM part) ORDER BY w, p_partkey)
     SELECT id, title FROM t a WHERE NOT EXISTS (SELECT 1 FROM t b WHERE b.id <> a.id AND len(b.w) < len(a.w) AND list_has_all(a.w, b.w))""",
 )
-def c17_all(spark, d):
-    """Every part has a title; c17_broadest_titles leaves every fourth part out."""
+def c17(spark, d):
+    """Every part has a title; those of every fourth part are the parts' names alone."""
     k = F.col("p_partkey")
     kind, brand = F.lower("p_type"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(" ")))
     title = F.when(k % 4 == 0, F.concat_ws(" ", "p_name", kind)).when(k % 4 == 1, F.concat_ws(" ", "p_name", kind, brand)).otherwise(F.col("p_name"))
@@ -248,24 +235,14 @@ def d8(spark, d):
     return memory.recall_ads(a, texts, F.to_timestamp(F.lit("2024-01-31")), 3).select("ad_id", "description", "recalled")
 
 
-@query("i11_set_states", "SELECT user_id AS job_id, arg_max(value > 50, (ts, event_id)) FILTER (event_type = 'view') IS NOT NULL AND coalesce(arg_max(value > 50, ts) FILTER (event_type = 'view'), false) AS saved, coalesce(arg_max(value > 50, ts) FILTER (event_type = 'error'), false) AS dismissed, CAST(epoch_us(max(ts)) AS BIGINT) AS at FROM events WHERE user_id < 100 GROUP BY 1")
-def i11(spark, d):
-    e = table(spark, d, "events")
-    flag = lambda kind: F.when(F.col("event_type") == kind, F.col("value") > 50)
-    changes = e.select(F.col("user_id").alias("job_id"), flag("view").alias("saved"), F.lit(None).cast("boolean").alias("applied"), flag("error").alias("dismissed"), utc("ts").alias("updated_at"))
-    known = e.select(F.col("user_id").alias("job_id")).where("job_id < 100").distinct()
-    merged, _ = memory.set_states(changes.limit(0), changes, known)
-    return merged.select("job_id", "saved", "dismissed", F.unix_micros("updated_at").alias("at"))
-
-
 @query(
-    "i11_set_states_all",
+    "i11_set_states",
     """WITH e AS (SELECT *, EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id) AS known FROM events)
     SELECT user_id AS job_id, coalesce(arg_max(value > 50, ts) FILTER (event_type = 'view'), false) AS saved, coalesce(arg_max(value > 50, ts) FILTER (event_type = 'error'), false) AS dismissed, CAST(epoch_us(max(ts)) AS BIGINT) AS at, false AS refused FROM e WHERE known GROUP BY 1
     UNION ALL SELECT user_id, CASE WHEN event_type = 'view' THEN value > 50 END, CASE WHEN event_type = 'error' THEN value > 50 END, CAST(epoch_us(ts) AS BIGINT), true FROM e WHERE NOT known""",
 )
-def i11_all(spark, d):
-    """The customers are the known jobs, and refused changes are rows; i11_set_states knows jobs under 100."""
+def i11(spark, d):
+    """The customers are the known jobs, and refused changes are rows."""
     e = table(spark, d, "events")
     flag = lambda kind: F.when(F.col("event_type") == kind, F.col("value") > 50)
     changes = e.select(F.col("user_id").alias("job_id"), flag("view").alias("saved"), F.lit(None).cast("boolean").alias("applied"), flag("error").alias("dismissed"), utc("ts").alias("updated_at"))

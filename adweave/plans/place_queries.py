@@ -73,47 +73,20 @@ def d12(spark, d):
     return P.part_of(towns(spark, d))
 
 
-ANCHOR = "anchors AS (SELECT * FROM towns WHERE town_id % 50 = 7)"
-
-
-def anchors(spark, d):
-    """The towns that a condition measures to: every fiftieth, as a person names a few."""
-    return towns(spark, d).where("town_id % 50 = 7")
-
-
 @query(
     "d14_near_km",
-    f"""WITH {TOWNS}, {POINTS}, {ANCHOR} SELECT point_id, CASE WHEN EXISTS (SELECT 1 FROM anchors a WHERE a.country = points.country AND greatest(0.0, {km_sql('points', 'a')} - {reach_sql('a.people')}) <= 12) THEN 'yes' ELSE 'no' END AS answer FROM points""",
-)
-def d14(spark, d):
-    return C.near_km(points(spark, d), anchors(spark, d), 12.0)
-
-
-@query(
-    "d16_travel_candidates",
-    f"""WITH {TOWNS}, {POINTS}, {ANCHOR}, k AS (SELECT point_id, town_id, {km_sql('points', 'a')} AS km FROM points JOIN anchors a USING (country))
-    SELECT point_id, town_id, round(km, 6) AS distance, CAST(row_number() OVER (PARTITION BY point_id ORDER BY km, town_id) AS INTEGER) AS place FROM k WHERE km <= 30 / 60.0 * 120 QUALIFY place <= 2""",
-)
-def d16(spark, d):
-    return C.travel_candidates(points(spark, d), anchors(spark, d), 30, "car").withColumn("distance", F.round("distance", 6))
-
-
-@query(
-    "d14_near_km_all",
     f"""WITH {TOWNS}, {POINTS} SELECT point_id, CASE WHEN EXISTS (SELECT 1 FROM towns a WHERE a.country = points.country AND greatest(0.0, {km_sql('points', 'a')} - {reach_sql('a.people')}) <= 12) THEN 'yes' ELSE 'no' END AS answer FROM points""",
 )
-def d14_all(spark, d):
-    """Near any town; d14_near_km measures to one town in fifty."""
+def d14(spark, d):
     return C.near_km(points(spark, d), towns(spark, d), 12.0)
 
 
 @query(
-    "d16_travel_candidates_all",
+    "d16_travel_candidates",
     f"""WITH {TOWNS}, {POINTS}, k AS (SELECT point_id, town_id, {km_sql('points', 'a')} AS km FROM points JOIN towns a USING (country))
     SELECT point_id, town_id, round(km, 6) AS distance, CAST(row_number() OVER (PARTITION BY point_id ORDER BY km, town_id) AS INTEGER) AS place FROM k WHERE km <= 30 / 60.0 * 120 QUALIFY place <= 2""",
 )
-def d16_all(spark, d):
-    """The nearest of all towns; d16_travel_candidates knows one in fifty."""
+def d16(spark, d):
     return C.travel_candidates(points(spark, d), towns(spark, d), 30, "car").withColumn("distance", F.round("distance", 6))
 
 

@@ -135,23 +135,16 @@ def e13(spark, d):
     return R.coverage(w)
 
 
-@query("e16_unmatched_names", "SELECT lang, count(*) AS n FROM documents WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE string_split(b.text, ' ')[1] = string_split(documents.text, ' ')[1]) GROUP BY 1")
-def e16(spark, d):
-    first = lambda t: F.element_at(F.split(t, " "), 1)
-    known = table(spark, d, "benchmark").select(first("text").alias("w")).distinct()
-    return table(spark, d, "documents").select("lang", first("text").alias("w")).join(known, "w", "left_anti").groupBy("lang").agg(F.count("*").alias("n"))
-
-
 NORMAL_WORDS = f"list_distinct(list_filter(string_split({NORMALISE.format('text')}, ' '), lambda x: x <> ''))"
 
 
 @query(
-    "e16_unmatched_names_all",
+    "e16_unmatched_names",
     f"""WITH n AS (SELECT lang, {NORMAL_WORDS} AS w FROM documents), t AS (SELECT {NORMAL_WORDS} AS t FROM benchmark)
     SELECT lang, count(*) AS n FROM n WHERE NOT EXISTS (SELECT 1 FROM t WHERE len(t) > 0 AND list_has_all(w, t)) GROUP BY 1""",
 )
-def e16_all(spark, d):
-    """Terms by all their words anywhere in a text; e16_unmatched_names compares first words."""
+def e16(spark, d):
+    """A term matches by all its words, anywhere in a text."""
     terms = table(spark, d, "benchmark").select(F.col("text").alias("term"))
     return rules.unmatched_names(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang", F.col("text").alias("name")), terms)
 

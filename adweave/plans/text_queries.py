@@ -160,34 +160,21 @@ def b23(spark, d):
     return docs(spark, d).select("doc_id", F.size(T.shingles(F.col("text"))).cast("bigint").alias("n"))
 
 
-@query(
-    "b24_containment",
-    f"""WITH w AS (SELECT source, list_distinct(list_filter(string_split({FOLD.format('text')}, ' '), lambda x: x <> '')) AS w FROM documents WHERE doc_id % 2 = 0),
-    b AS (SELECT list_distinct(list_filter(string_split({FOLD.format('text')}, ' '), lambda x: x <> '')) AS w, item_id FROM benchmark),
-    p AS (SELECT doc_id, item_id, dw.w AS a, b.w AS b FROM (SELECT doc_id, list_distinct(list_filter(string_split({FOLD.format('text')}, ' '), lambda x: x <> '')) AS w FROM documents) dw JOIN b ON b.item_id = dw.doc_id % 40)
-    SELECT doc_id, item_id, round(CASE WHEN least(len(a), len(b)) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / least(len(a), len(b)) END, 6) AS share FROM p""",
-)
-def b24(spark, d):
-    words = lambda c: F.array_distinct(F.filter(F.split(T.fold(F.col(c)), " "), lambda x: x != ""))
-    a = docs(spark, d).select("doc_id", (F.col("doc_id") % 40).alias("item_id"), words("text").alias("a"))
-    b = table(spark, d, "benchmark").select("item_id", words("text").alias("b"))
-    return a.join(b, "item_id").select("doc_id", "item_id", F.round(T.containment(F.col("a"), F.col("b")), 6).alias("share"))
-
-
-WORD_SET = f"list_distinct(list_filter(string_split({FOLD.format('text')}, ' '), lambda x: x <> ''))"
+SHINGLE_SET = f"""(SELECT *, CASE WHEN len(w) < 5 THEN [] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s
+    FROM (SELECT *, list_filter(string_split({FOLD.format('text')}, ' '), lambda x: x <> '') AS w FROM {{}}))"""
 
 
 @query(
-    "b24_containment_all",
-    f"""WITH a AS (SELECT doc_id, {WORD_SET} AS a FROM documents), b AS (SELECT item_id, {WORD_SET} AS b FROM benchmark)
-    SELECT doc_id, item_id, round(len(list_intersect(a, b)) / least(len(a), len(b)), 6) AS share FROM a, b WHERE len(list_intersect(a, b)) > 0""",
+    "b24_containment",
+    f"""WITH a AS (SELECT doc_id, len(s) AS m, unnest(s) AS x FROM {SHINGLE_SET.format('documents')}), b AS (SELECT item_id, len(s) AS n, unnest(s) AS x FROM {SHINGLE_SET.format('benchmark')})
+    SELECT doc_id, item_id, round(count(*) / least(any_value(m), any_value(n)), 6) AS share FROM a JOIN b USING (x) GROUP BY 1, 2""",
 )
-def b24_all(spark, d):
-    """Every document with every passage; b24_containment takes one passage of the first 40 for each."""
+def b24(spark, d):
+    """Every document with every passage that it shares a shingle with."""
     from adweave.operators.dedupe import containments
 
-    words = F.array_distinct(F.filter(F.split(T.fold(F.col("text")), " "), lambda x: x != "")).alias("words")
-    out = containments(docs(spark, d).select("doc_id", words), table(spark, d, "benchmark").select("item_id", words), "doc_id", "item_id")
+    runs = T.shingles(F.col("text")).alias("words")
+    out = containments(docs(spark, d).select("doc_id", runs), table(spark, d, "benchmark").select("item_id", runs), "doc_id", "item_id")
     return out.withColumn("share", F.round("share", 6))
 
 
