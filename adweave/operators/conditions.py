@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adweave.functions.geo import edge_distance, haversine_km
-from adweave.operators.places import within
+from adweave.functions.text import normalise
+from adweave.operators.places import find_region, town_names, within
 
 #: The fastest that a mode of travel gets on, in km/h.
 FASTEST = {"train": 220, "car": 120, "bike": 25, "walk": 7}
@@ -116,6 +117,95 @@ def good_mark(side: str) -> Column:
     return states.isNotNull().alias("changed_by_you")
 
 
+#: Kinds of condition that name towns or regions, and those that name countries.
+TOWN_KINDS, COUNTRY_KINDS = ("towns_that_fit", "towns_to_avoid"), ("countries_that_fit", "countries_to_avoid")
+#: People from which on a place counts as a city, where a condition only rules some out.
+CITY_PEOPLE = 20_000
+
+
+def canonical_conditions(answers: DataFrame, towns: DataFrame, regions: DataFrame) -> DataFrame:
+    """What was looked up about conditions, in the terms of the gazetteer.
+
+    ``answers``: condition_id, text, understood_as, kind, confidence, searched,
+    countries (arrays of codes), towns, regions, exceptions (arrays of name, country),
+    min_people, share, note.  Only places in searched countries count.  A region is
+    known by ``find_region``; a town that no town's name is but a region's is that
+    region; other regions are ``unknown_regions``.  A condition that is left without
+    what its kind needs is ``could_not_check``; exceptions count beside regions only.
+    Null arrays are empty ones.
+    """
+    places = "array<struct<name:string,country:string>>"
+    given = lambda c: F.filter(F.coalesce(c, F.array().cast(places)), lambda x: F.array_contains("searched", x["country"]))
+    rows = answers.select("*", *(given(c).alias(f"_{c}") for c in ("towns", "regions", "exceptions")))
+    listed = F.concat(*(F.transform(F.col(f"_{c}"), lambda x, i: F.struct(F.lit(n).alias("from"), i.alias("at"), x["name"].alias("name"), x["country"].alias("country"))) for n, c in enumerate(("regions", "towns"))))  # noqa: B023
+    items = rows.select("condition_id", F.explode(listed).alias("x")).select("condition_id", "x.*")
+    is_town = town_names(towns).select(F.col("name").alias("_key"), F.col("country").alias("_in")).distinct()
+    code = find_region(items.select("name", "country").distinct(), regions).withColumnsRenamed({"name": "_name", "country": "_c"})
+    items = items.join(is_town, (normalise(F.col("name")) == F.col("_key")) & (F.col("country") == F.col("_in")), "left").join(code, (F.col("name") == F.col("_name")) & (F.col("country") == F.col("_c")), "left")
+    place = F.struct("from", "at", "name", "country", "code")
+    as_region = F.col("code").isNotNull() & ((F.col("from") == 0) | F.col("_key").isNull())
+    of = lambda c: F.array_sort(F.collect_list(F.when(c, place)))
+    found = items.groupBy("condition_id").agg(of((F.col("from") == 1) & ~as_region).alias("_t"), of(as_region).alias("_r"), of((F.col("from") == 0) & F.col("code").isNull()).alias("_u"))
+    out = rows.join(found, "condition_id", "left")
+    names = lambda c: F.transform(F.coalesce(c, F.array()), lambda x: F.struct(x["name"].alias("name"), x["country"].alias("country")))
+    codes = F.array_distinct(F.transform(F.coalesce("_r", F.array()), lambda x: x["code"]))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    lacking = (
+        (F.col("kind").isin(*TOWN_KINDS) & (size("_t") <= 0) & (size("_r") <= 0))
+        | (F.col("kind").isin(*COUNTRY_KINDS) & (size("countries") <= 0))
+        | ((F.col("kind") == "town_size") & (F.coalesce("min_people", F.lit(0)) == 0) & (F.coalesce("share", F.lit(0.0)) == 0))
+    )
+    kind = F.when(lacking, "could_not_check").otherwise(F.col("kind"))
+    status = F.when(kind == "could_not_check", "not_checked").when(F.col("confidence") == "checked", "applied").otherwise("estimate")
+    here = F.filter(F.coalesce("countries", F.array().cast("array<string>")), lambda x: F.array_contains("searched", x))
+    in_towns = kind.isin(*TOWN_KINDS)
+    none, no_codes = F.array().cast(places), F.array().cast("array<string>")
+    return out.select(
+        "condition_id", "text", F.coalesce(F.nullif("understood_as", F.lit("")), "text").alias("understood_as"), kind.alias("kind"), status.alias("status"), names(F.col("_t")).alias("towns"),
+        F.when(in_towns, codes).otherwise(no_codes).alias("regions"), F.when(in_towns & (F.size(codes) > 0), F.col("_exceptions")).otherwise(none).alias("exceptions"),
+        F.when(kind.isin(*COUNTRY_KINDS), here).otherwise(no_codes).alias("countries"), "min_people", "share", F.transform(F.coalesce("_u", F.array()), lambda x: x["name"]).alias("unknown_regions"), "note",
+    )
+
+
+def near_conditions(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """Limits to places (``near``), from what was asked and what was looked up about the places.
+
+    ``asked``: condition_id, text, understood_as, min_people, share, named (town ids),
+    look_up (null: nothing needs looking up), max_minutes, max_km, travel_mode.
+    ``found``: condition_id, kind, min_people, share, towns, regions, countries, as
+    ``canonical_conditions`` gives them with ids for towns.  Sizes that were found
+    replace those asked for; a fact that couldn't be checked is left out if there
+    is a size or a name (``fact_unused``).  Where a fact only rules places out, cities
+    of CITY_PEOPLE count.  What is then left without any place is ``could_not_check``.
+    """
+    f = found.select("condition_id", *(F.col(c).alias(f"_{c}") for c in ("kind", "min_people", "share", "towns", "regions", "countries")))
+    rows = asked.join(f, "condition_id", "left")
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    number = lambda c: F.coalesce(c, F.lit(0)) > 0
+    looked = F.col("look_up").isNotNull()
+    is_ = lambda k: looked & F.coalesce(F.col("_kind") == k, F.lit(False))
+    places = some("_towns") | some("_regions")
+    fit, avoid, size = is_("towns_that_fit") & places, is_("towns_to_avoid") & places, is_("town_size")
+    in_, out_ = is_("countries_that_fit"), is_("countries_to_avoid")
+    least = F.when(size & number(F.col("_min_people")), F.col("_min_people")).otherwise(F.col("min_people"))
+    share = F.when(size & number(F.col("_share")), F.col("_share")).otherwise(F.col("share"))
+    sized = number(least) | number(share) | some("named")
+    unused = looked & ~(fit | avoid | size | in_ | out_)
+    default = (avoid | in_ | out_) & ~sized
+    usable = sized | fit | default
+    kind = F.when(usable, "near").otherwise("could_not_check")
+    timed = number(F.col("max_minutes"))
+    only = lambda c, value, empty: F.when(usable & c, F.coalesce(value, F.array())).otherwise(F.array().cast(empty))
+    kinds = dict(found.dtypes)
+    return rows.select(
+        "condition_id", "text", F.coalesce(F.nullif("understood_as", F.lit("")), "text").alias("understood_as"), kind.alias("kind"), F.when(~usable, "not_checked").when(timed, "estimate").otherwise("applied").alias("status"),
+        F.when(usable, F.when(default, F.lit(CITY_PEOPLE)).otherwise(least)).cast("bigint").alias("min_people"), F.when(usable, share).alias("share"), F.when(usable, F.col("named")).alias("named"),
+        only(fit, F.col("_towns"), kinds["towns"]).alias("towns"), only(fit, F.col("_regions"), kinds["regions"]).alias("regions"), only(avoid, F.col("_towns"), kinds["towns"]).alias("avoided"), only(avoid, F.col("_regions"), kinds["regions"]).alias("avoided_regions"),
+        only(in_, F.col("_countries"), kinds["countries"]).alias("countries_fit"), only(out_, F.col("_countries"), kinds["countries"]).alias("countries_avoided"), (usable & unused).alias("fact_unused"),
+        F.when(usable & timed, F.col("max_minutes")).alias("max_minutes"), F.when(usable, F.coalesce("travel_mode", F.when(timed, "transit"))).alias("travel_mode"), F.when(usable & ~timed, F.col("max_km")).alias("max_km"),
+    )
+
+
 def narrow_countries(countries: Column, only: Column, never: Column) -> Column:
     """Countries that a condition leaves; an empty array voids it."""
     kept = F.when(F.coalesce(F.size(only), F.lit(0)) > 0, F.array_intersect(countries, only)).otherwise(countries)

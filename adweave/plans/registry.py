@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from adweave.plans import job_queries, place_queries, report_queries, result_queries, selection_queries, source_queries, text_queries
+from adweave.plans import card_queries, job_queries, place_queries, report_queries, result_queries, selection_queries, source_queries, text_queries
 
-MODULES = (text_queries, job_queries, place_queries, report_queries, result_queries, selection_queries, source_queries)
+MODULES = (text_queries, job_queries, place_queries, report_queries, result_queries, selection_queries, source_queries, card_queries)
 
 
 def queries() -> dict:

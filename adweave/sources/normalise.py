@@ -382,6 +382,14 @@ def read_wanted(lines: DataFrame) -> DataFrame:
     return rows.select(*(field(i).alias(n) for i, n in enumerate(("company", "title", "place", "url"))))
 
 
+def load_employers(lines: DataFrame) -> DataFrame:
+    """``name, system, board, countries, elsewhere, towns`` from an employer's JSON in
+    ``value``; what a line doesn't say is empty or false, and lines without a name go."""
+    e = lines.select(F.from_json("value", "name string, system string, board string, countries array<string>, elsewhere boolean, towns map<string,array<string>>").alias("e")).select("e.*")
+    empty = {"countries": F.array().cast("array<string>"), "elsewhere": F.lit(False), "towns": F.create_map().cast("map<string,array<string>>")}
+    return e.where("name IS NOT NULL").select("name", "system", "board", *(F.coalesce(c, v).alias(c) for c, v in empty.items()))
+
+
 def prune_sources(control: DataFrame, countries: list[str]) -> DataFrame:
     """``control`` with ``status``: searched, disabled, unavailable or not for these countries."""
     meets = F.arrays_overlap("countries", F.array(*(F.lit(c) for c in countries)))

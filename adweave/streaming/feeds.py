@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adweave.functions.sinks import versions
 from adweave.functions.storage import shared_dir
 
 
@@ -31,15 +32,6 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def _versions(spark: SparkSession, folder: str) -> list[int]:
-    """The numbers of the whole versions of a table that are in ``folder``."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [f.getPath().getName() for f in files.listStatus(path)] if files.exists(path) else []
-    done = lambda n: files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))
-    return sorted(int(n) for n in names if n.isdigit() and done(n))
-
-
 def first_seen(feed: DataFrame, key: str, stamp: str, name: str) -> DataFrame:
     """The first time of each key, kept as a table that every batch merges into.
 
@@ -53,17 +45,17 @@ def first_seen(feed: DataFrame, key: str, stamp: str, name: str) -> DataFrame:
 
     def merge(batch: DataFrame, number: int) -> None:
         new = batch.select(key, F.col(stamp).alias("first_seen"))
-        before = [v for v in _versions(spark, folder) if v < number]
+        before = [v for v in versions(spark, folder) if v < number]
         if before:
             new = new.unionByName(spark.read.schema(schema).parquet(f"{folder}/{before[-1]}"))
         new.groupBy(key).agg(F.min("first_seen").alias("first_seen")).write.mode("overwrite").parquet(f"{folder}/{number}")
 
     query = feed.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    versions = _versions(spark, folder)
-    if not versions:
+    done = versions(spark, folder)
+    if not done:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/{versions[-1]}")
+    return spark.read.schema(schema).parquet(f"{folder}/{done[-1]}")
 
 
 def changed_since(feed: DataFrame, stamp: str, name: str, overlap: str = "5 minutes") -> DataFrame:
@@ -74,11 +66,11 @@ def changed_since(feed: DataFrame, stamp: str, name: str, overlap: str = "5 minu
     folder; the first run takes all rows, and rows without a stamp always come.
     """
     spark, folder = feed.sparkSession, f"{shared_dir(feed.sparkSession)}/{name}"
-    versions = _versions(spark, folder)
-    mark = spark.read.parquet(f"{folder}/{versions[-1]}").first()["mark"] if versions else None
+    done = versions(spark, folder)
+    mark = spark.read.parquet(f"{folder}/{done[-1]}").first()["mark"] if done else None
     top = feed.agg(F.max(stamp).alias("mark"))
     if mark is not None:
         top = top.select(F.greatest("mark", F.lit(mark)).alias("mark"))
         feed = feed.where(F.col(stamp).isNull() | (F.col(stamp) > F.lit(mark) - F.expr(f"INTERVAL {overlap}")))
-    top.write.mode("overwrite").parquet(f"{folder}/{(versions[-1] if versions else 0) + 1}")
+    top.write.mode("overwrite").parquet(f"{folder}/{(done[-1] if done else 0) + 1}")
     return feed
