@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from adweave.plans.adapters import by_key, by_key_sql, table, utc
 from adweave.sources.html import fact, html_to_text, job_posting
+from adweave.sources.lists import euraxess_list, euro_salary, jobsacuk_list, jobsireland_list, types_from_hours
 from adweave.sources.normalise import NORMALISERS, admitted, merge_details, prune_sources, read_wanted, sitemap_changed_since, union_sources
 
 QUERIES: dict = {}
@@ -185,3 +186,53 @@ def c19(spark, d):
     net, com = F.col("host").endswith(".example.net"), F.col("host").endswith(".example.com")
     robots = hosts.select("host", F.explode(F.filter(F.array(rule(net, "/", False), rule(com, "/de/", False), rule(com, "/", True)), lambda x: x.isNotNull())).alias("r")).select("host", "r.*")
     return admitted(pages, robots, "adweave")
+
+
+def pages_of(rows, block, head=None):
+    """Result pages of ten orders each."""
+    listed = F.collect_list(F.struct("k", block.alias("b"), (F.lit("") if head is None else head).alias("h")))
+    page = rows.groupBy(F.floor(F.col("k") / 10).alias("page")).agg(F.array_sort(listed).alias("x"))
+    return page.select(F.concat(F.lit("<html><ul id='longlats'>"), F.array_join("x.h", ""), F.lit("</ul>"), F.array_join("x.b", "\n"), F.lit("</html>")).alias("payload"))
+
+
+def shape(rows):
+    return rows.withColumn("posted", F.unix_seconds("posted_at")).withColumn("types", F.array_join("job_types", ",")).select(*SHOWN)
+
+
+@query("a6_euraxess_list", expected(place="'Street 1, ' || town", country=psql("ES", "FR", None).replace("'None'", "NULL")))
+def a6(spark, d):
+    """Labels name one country, one country twice, or two."""
+    labels = F.when(F.col("k") % 3 == 0, "<span class='x ecl-label'>Spain</span><span class='ecl-label'>Permanent</span>").when(F.col("k") % 3 == 1, "<span class='ecl-label'>France</span><span class='ecl-label'>France</span>").otherwise("<span class='ecl-label'>France</span><span class='ecl-label'>Spain</span>")
+    block = F.concat(
+        F.lit("<div id='job-teaser-content'><ul><li class='ecl-content-block__primary-meta-item'><a href='/o'>"), "company", F.lit("</a></li><li class='ecl-content-block__primary-meta-item'>Posted on: "), F.date_format("at", "d MMMM yyyy"),
+        F.lit("</li></ul>"), labels, F.lit("<h3 class='ecl-content-block__title'><a href='/jobs/"), F.col("k").cast("string"), F.lit("'><b>"), "title", F.lit("</b></a></h3><div class='id-Work-Locations'>Work Locations: Number of offers: 2, Street 1, "), "town", F.lit("</div></div>"),
+    )
+    names = spark.createDataFrame([("Spain", "ES"), ("France", "FR")], "name string, code string")
+    return shape(euraxess_list(pages_of(base(spark, d), block), names))
+
+
+@query("a7_jobsacuk_list", expected(posted=f"CAST(epoch(CASE WHEN strftime(dt, '%m-%d') <= '07-01' THEN make_timestamp(2023, month(dt), day(dt), 12, 0, 0) ELSE make_timestamp(2022, month(dt), day(dt), 12, 0, 0) END) AS BIGINT)", salary="'£' || CAST(low AS VARCHAR) || ' · Grade 9'", where="strftime(dt, '%m-%d') <> '02-29'"))
+def a7(spark, d):
+    """Seen on 30 June 2023: a day up to 1 July is of that year, a later one of the year before."""
+    block = F.concat(
+        F.lit("<div class='j-search-result__result ' data-advert-id='"), F.col("k").cast("string"), F.lit("'><a href='/job/X1/'>"), "title", F.lit("</a><div class='j-search-result__employer'>"), "company", F.lit("</div><div>Location: "), "town",
+        F.lit("</div><div class='j-search-result__info'>Salary: £"), F.col("low").cast("string"), F.lit("<br>Grade 9</div><div><strong>Date Placed:</strong> "), F.date_format("at", "dd MMM"), F.lit("</div></div>"),
+    )
+    return shape(jobsacuk_list(pages_of(base(spark, d).where("date_format(at, 'MM-dd') <> '02-29'"), block).withColumn("seen_on", F.lit("2023-06-30"))))
+
+
+@query(
+    "a8_jobsireland_list",
+    f"""WITH {BASE} SELECT CAST(k AS VARCHAR) AS source_job_id, title, company, town AS location_text, CASE k % 3 WHEN 0 THEN 'part_time' WHEN 1 THEN 'freelance_or_contract' ELSE NULL END AS types, CASE WHEN k % 2 = 0 THEN k / 100.0 END AS latitude,
+    CAST(epoch(date_trunc('day', dt)) AS BIGINT) + 32400 AS posted, CAST(epoch(date_trunc('day', dt)) AS BIGINT) + 86340 AS closes, '€' || format('{{:,}}', low) || ' a year' AS salary, CASE WHEN k % 40 >= 30 THEN 'full_time_permanent,fixed_term' ELSE 'part_time' END AS hours FROM base WHERE month(dt) IN (1, 2, 12)""",
+)
+def a8(spark, d):
+    """Winter days, when Irish time is UTC; the coordinates of every second job are on the page."""
+    field = lambda n, v: F.concat(F.lit(f"<input type='hidden' id='{n}' value='"), v, F.lit("'>"))
+    k = F.col("k").cast("string")
+    block = F.concat(F.lit("<div class='job-heading' data-vacancyid='1'><img alt='Logo of "), "company", F.lit("'>"), field("JobId", k), field("JobTitle", F.col("title")), field("Location", F.concat("town", F.lit(", "))), field("StartDate", F.concat("day", F.lit("T09:00:00"))), field("EndDate", F.concat("day", F.lit("T00:00:00"))), field("VacancyTypeId", by_key(F.col("k"), ["3", "6", "0"])), F.lit("</div>"))
+    head = F.when(F.col("k") % 2 == 0, F.concat(F.lit("<li>"), (F.col("k") / 100.0).cast("string"), F.lit(";-6.5;x;"), k, F.lit(";y</li>"))).otherwise("")
+    winter = base(spark, d).where("month(at) IN (1, 2, 12)")
+    said = winter.select(k.alias("source_job_id"), euro_salary(F.concat(F.col("low").cast("string"), F.lit(".00 Euro Annually"))).alias("salary"), F.array_join(types_from_hours(F.concat((F.col("k") % 40).cast("string"), F.lit(" hours a week"))), ",").alias("hours"))
+    rows = jobsireland_list(pages_of(winter, block, head))
+    return rows.select("source_job_id", "title", "company", "location_text", F.array_join("job_types", ",").alias("types"), "latitude", F.unix_seconds("posted_at").alias("posted"), F.unix_seconds("closes_at").alias("closes")).join(said, "source_job_id")
