@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adweave.llm import chat_format, filter_audit, language_id, line_cleaning, mixing, ngram_join, packing, paragraph_sketch, secrets, sharding, toxicity
+from adweave.llm import chat_format, filter_audit, language_id, line_cleaning, mixing, ngram_join, packing, paragraph_sketch, secrets, sharding, spelling_groups, toxicity
 
 
 def _pipeline(spark, sf_dir: str):
@@ -24,9 +24,10 @@ def queries() -> dict:
         "op9_ngram_join": ngram_join.op9_ngram_join,
         "op10_secrets": secrets.op10_secrets,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_spelling_groups": spelling_groups.op12_spelling_groups,
         "pipeline": _pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat_format.ORACLE, "op11_filter_audit": filter_audit.ORACLE}
+    return {"op5_chat_format": chat_format.ORACLE, "op11_filter_audit": filter_audit.ORACLE, "op12_spelling_groups": spelling_groups.ORACLE}
