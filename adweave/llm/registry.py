@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from adweave.llm import chat_format, filter_audit, language_id, line_cleaning, mixing, ngram_join, packing, paragraph_sketch, secrets, sharding, spelling_groups, toxicity
+from adweave.llm import chat_format, filter_audit, language_id, line_cleaning, mixing, ngram_join, packing, paragraph_sketch, personal_data, secrets, sharding, spelling_groups, toxicity
 
 
 def _pipeline(spark, sf_dir: str):
@@ -25,6 +25,7 @@ def queries() -> dict:
         "op10_secrets": secrets.op10_secrets,
         "op11_filter_audit": filter_audit.op11_filter_audit,
         "op12_spelling_groups": spelling_groups.op12_spelling_groups,
+        "op13_personal_data": personal_data.op13_personal_data,
         "pipeline": _pipeline,
     }
 
