@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from adweave.operators import reports as R
+from adweave.functions.storage import shared_dir
 from adweave.operators import rules
 from adweave.plans.adapters import COPIES, EVENTS, copies, events, table, utc
 from adweave.plans.text_queries import NORMALISE
-from adweave.streaming import feeds
+from adweave.streaming import feeds, states
 
 QUERIES: dict = {}
 
@@ -163,7 +164,7 @@ def k1(spark, d):
 
 @query("k2_stream_first_seen", "SELECT user_id, CAST(epoch_us(min(ts)) AS BIGINT) AS first_seen FROM events GROUP BY 1")
 def k2(spark, d):
-    return feeds.first_seen(_feed(spark, d), "user_id", "ts", f"k2-{uuid.uuid4().hex}").select("user_id", F.unix_micros("first_seen").alias("first_seen"))
+    return states.first_seen(_feed(spark, d), "user_id", "ts", f"k2-{uuid.uuid4().hex}").select("user_id", F.unix_micros("first_seen").alias("first_seen"))
 
 
 @query("k3_stream_daily", "SELECT CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
@@ -188,3 +189,24 @@ def k5(spark, d):
     from adweave.operators.memory import expire
 
     return expire(table(spark, d, "events").withColumn("at", utc("ts")), "at", F.to_timestamp(F.lit("2024-01-31")), 3).select("event_id")
+
+
+@query(
+    "k5_recall_stream",
+    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS at, CASE WHEN event_type = 'purchase' THEN printf('%.2f', value) END AS text FROM events),
+    w AS (SELECT *, last_value(CASE WHEN text IS NOT NULL THEN at END IGNORE NULLS) OVER o AS since, last_value(text IGNORE NULLS) OVER o AS last
+          FROM e WINDOW o AS (PARTITION BY user_id ORDER BY at, event_id, text ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, at, CASE WHEN at - since <= 259200000000 THEN last END AS recalled FROM w
+    WHERE text IS NULL AND at < (SELECT epoch_us(date_trunc('day', max(ts) - INTERVAL 1 DAY)) FROM events)""",
+)
+def k5_recall(spark, d):
+    """The events as a feed that comes in three parts, each read by a run of its own: what a user bought last is recalled for three days."""
+    folder, name = f"{shared_dir(spark)}/k5-{uuid.uuid4().hex}", f"k5-{uuid.uuid4().hex}"
+    e = table(spark, d, "events").withColumn("ts", utc("ts")).withColumn("text", F.when(F.col("event_type") == "purchase", F.format_string("%.2f", "value")))
+    schema = "user_id bigint, event_id bigint, ts timestamp, text string"
+    parts = [e.where("ts < '2024-01-11'"), e.where("ts >= '2024-01-11' AND ts < '2024-01-21'"), e.where("ts >= '2024-01-21'")]
+    run = lambda: states.run_stateful(states.recall_stream(feeds.read_feed(spark, folder, schema, 1_000_000), "user_id", "ts", "text", "event_id"), name)
+    for part in parts:
+        part.select("user_id", "event_id", "ts", "text").write.mode("append").parquet(folder)
+        out = run()
+    return out.join(e.agg(F.unix_micros(F.date_trunc("day", F.max("ts") - F.expr("INTERVAL 1 DAY"))).alias("mark")), F.col("at") < F.col("mark")).drop("mark")

@@ -32,32 +32,6 @@ def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFra
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def first_seen(feed: DataFrame, key: str, stamp: str, name: str) -> DataFrame:
-    """The first time of each key, kept as a table that every batch merges into.
-
-    Each batch writes the new version of the table beside the old one, under the
-    batch's number, from the newest version with a smaller number: a batch that
-    runs again writes the same version, and a later run on the same folder goes
-    on from what is there.
-    """
-    spark, folder = feed.sparkSession, f"{shared_dir(feed.sparkSession)}/{name}"
-    schema = feed.select(key, F.col(stamp).alias("first_seen")).schema
-
-    def merge(batch: DataFrame, number: int) -> None:
-        new = batch.select(key, F.col(stamp).alias("first_seen"))
-        before = [v for v in versions(spark, folder) if v < number]
-        if before:
-            new = new.unionByName(spark.read.schema(schema).parquet(f"{folder}/{before[-1]}"))
-        new.groupBy(key).agg(F.min("first_seen").alias("first_seen")).write.mode("overwrite").parquet(f"{folder}/{number}")
-
-    query = feed.writeStream.foreachBatch(merge).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    done = versions(spark, folder)
-    if not done:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{folder}/{done[-1]}")
-
-
 def changed_since(feed: DataFrame, stamp: str, name: str, overlap: str = "5 minutes") -> DataFrame:
     """The rows of ``feed`` that are newer than all rows of the runs before, less ``overlap``.
 

@@ -10,7 +10,7 @@ from adweave.functions import storage
 from adweave.operators import memory, rules
 from adweave.sources.html import html_to_text, unescape
 from adweave.sources.normalise import union_sources
-from adweave.streaming import feeds
+from adweave.streaming import feeds, states
 
 
 def remember_brute(rows, known, first_new_id):
@@ -79,7 +79,7 @@ START = datetime(2024, 1, 1)
 
 def test_first_seen_goes_on_after_a_restart(spark, tmp_path):
     folder, at = str(tmp_path / "feed"), lambda s: START + timedelta(seconds=s)
-    run = lambda: {r["user"]: r["first_seen"] for r in feeds.first_seen(feeds.read_feed(spark, folder, SCHEMA), "user", "ts", f"first-{tmp_path.name}").collect()}
+    run = lambda: {r["user"]: r["first_seen"] for r in states.first_seen(feeds.read_feed(spark, folder, SCHEMA), "user", "ts", f"first-{tmp_path.name}").collect()}
     write_feed(spark, folder, [("u", at(1), 1.0), ("v", at(5), 1.0)])
     write_feed(spark, folder, [("v", at(2), 1.0)])
     assert run() == {"u": at(1), "v": at(2)}
@@ -105,6 +105,60 @@ def test_streams_carry_state_over_batches_and_runs(spark, tmp_path):
     assert closed[day(0), "a"] in ((2, 4.0), (3, 104.0))  # late rows count only while their batch's watermark hasn't moved
 
 
+def by_hand(rows, days, upto):
+    """What each row without a text recalls, going through all rows in order."""
+    out, last = {}, {}
+    for user, at, number, text in sorted(rows, key=lambda r: (r[1], r[2])):
+        if text:
+            last[user] = (at, text)
+        elif at <= upto:
+            known = last.get(user)
+            out[number] = known[1] if known and at - known[0] <= timedelta(days=days) else None
+    return out
+
+
+def state_rows(spark, folder, column):
+    with states.state_store(spark):
+        read = spark.read.format("statestore").option("path", f"{folder}/state").option("stateVarName", column)
+        return read.load().count()
+
+
+def test_recalled_texts_dont_depend_on_batches(spark, tmp_path):
+    """Several files, a restart, late rows, and a state that empties."""
+    rng, schema = random.Random(5), "user string, ts timestamp, number long, text string"
+    rows = [(rng.choice("ab"), START + timedelta(minutes=rng.randrange(60 * 24 * 12)), k, rng.choice([None, "", None, "one", "two"])) for k in range(300)]
+    rows.append((None, START + timedelta(days=1), 300, "null key"))
+    rows.append((None, START + timedelta(days=2), 301, None))
+    rows.sort(key=lambda r: r[1] + timedelta(hours=rng.randrange(20)))  # each at most 20 hours out of order
+    folder, name = str(tmp_path / "feed"), f"recall-{tmp_path.name}"
+    run = lambda: states.run_stateful(states.recall_stream(feeds.read_feed(spark, folder, schema), "user", "ts", "text", "number"), name)
+    write = lambda some: spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(folder)
+    for k in range(0, 150, 50):
+        write(rows[k : k + 50])
+    run()
+    for k in range(150, len(rows), 80):
+        write(rows[k : k + 80])
+    run()
+    late = ("a", START, 900, "much too late")
+    write([late, ("z", START + timedelta(days=30), 901, None)])
+    write([("z", START + timedelta(days=40), 902, None)])
+    got = {r["number"]: r["recalled"] for r in run().collect()}
+    assert got == by_hand([*rows, ("z", START + timedelta(days=30), 901, None)], 3, START + timedelta(days=39))
+    assert len(set(got.values())) == 4 and got[301] == "null key"
+    shared = states.shared_dir(spark)
+    assert state_rows(spark, f"{shared}/{name}", "known") == 0  # all texts have run out
+    assert state_rows(spark, f"{shared}/{name}", "waiting") == 1  # the newest row, which the watermark hasn't passed
+
+
+def test_first_seen_state_has_one_row_for_each_key(spark, tmp_path):
+    folder, name = str(tmp_path / "feed"), f"rows-{tmp_path.name}"
+    for day in range(3):
+        write_feed(spark, folder, [(f"u{k}", START + timedelta(days=3 - day, hours=k), 1.0) for k in range(40)])
+        found = states.first_seen(feeds.read_feed(spark, folder, SCHEMA), "user", "ts", name)
+    assert {r["user"]: r["first_seen"] for r in found.collect()} == {f"u{k}": START + timedelta(days=1, hours=k) for k in range(40)}
+    assert state_rows(spark, f"{states.shared_dir(spark)}/{name}", "least") == 40
+
+
 def test_changes_since_the_run_before(spark, tmp_path):
     rows = [("a", START, 1.0), ("b", START + timedelta(hours=1), 1.0), ("c", None, 1.0)]
     since = lambda x: sorted(r["user"] for r in feeds.changed_since(spark.createDataFrame(x, SCHEMA), "ts", f"since-{tmp_path.name}", "0 minutes").collect())
