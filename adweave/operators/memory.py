@@ -36,10 +36,16 @@ def remember(keyed: DataFrame, job_keys: DataFrame, first_new_id: int) -> DataFr
     A row is the job with the least id that any of its keys has, by ``job_keys`` or by
     an earlier row of the batch; a row whose keys are all new is a new job.  A key
     stays with the job of the first row that holds it.  So a row's job is the
-    least among the known ids and new jobs that lead to it over first holders;
-    these values are passed on until nothing changes.  This isn't a closure: a
-    row that joins two jobs doesn't merge them.  Ordinals are unique; a row
-    without keys is a new job.
+    least among the known ids and new jobs that lead to it over first holders,
+    which are its parents.  This isn't a closure: a row that joins two jobs
+    doesn't merge them.  Ordinals are unique; a row without keys is a new job.
+
+    By pointer jumping: after each round a row knows the least value of all
+    ancestors up to twice as far, and points at those exactly there, so a chain
+    of n rows takes log n rounds.  A row that is a first holder by one of two keys
+    has one parent at most, so its pointers don't grow in number; where more
+    keys let them grow beyond twice those at the start, rounds go on with the
+    distance reached until no value moves.
     """
     rows = materialise(find_job_ids(keyed, job_keys).join(keyed, "ordinal"), "memory-rows")
     fresh_keys = rows.select("ordinal", F.explode("keys").alias("key")).join(job_keys.select("key").distinct(), "key", "left_anti")
@@ -49,13 +55,22 @@ def remember(keyed: DataFrame, job_keys: DataFrame, first_new_id: int) -> DataFr
     linked = edges.select("ordinal").distinct().withColumn("linked", F.lit(True))
     start = F.when(F.col("job_id").isNotNull(), value(1, "job_id").withField("new", F.lit(0))).when(F.col("linked").isNull(), value(1, "ordinal"))
     values = materialise(rows.select("ordinal", "job_id").join(linked, "ordinal", "left").select("ordinal", start.alias("value")), "memory-values")
-    while True:
+    count = edges.count()
+    most, jumps = 2 * count, True
+    while count:
         above = values.where("value IS NOT NULL").select(F.col("ordinal").alias("parent"), F.col("value").alias("offer"))
         offers = edges.join(above, "parent").groupBy("ordinal").agg(F.min("offer").alias("offer"))
         moved = values.join(offers, "ordinal", "left").select("ordinal", F.least("value", "offer").alias("value"), (~F.least("value", "offer").eqNullSafe(F.col("value"))).alias("moved"))
         moved = materialise(moved, "memory-values")
         values = moved.drop("moved")
-        if moved.where("moved").isEmpty():
+        if jumps:
+            further = edges.join(edges.select(F.col("ordinal").alias("parent"), F.col("parent").alias("next")), "parent")
+            further = materialise(further.select("ordinal", F.col("next").alias("parent")).distinct(), "memory-edges")
+            grown = further.count()
+            jumps = grown <= most
+            if jumps:
+                edges, count = further, grown
+        elif moved.where("moved").isEmpty():
             break
     roots = values.where("value.new = 1 AND value.id = ordinal").select("ordinal")
     # numbers by order within range-dealt parts would do as well; roots are few next to the rows

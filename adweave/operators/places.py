@@ -7,11 +7,14 @@ names (array).  Both are dimension tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from adweave.functions.geo import cell, haversine_km, reach_km
+from adweave.functions.storage import materialise
 from adweave.functions.text import bound, normalise, postcodes, region_key
 
 MAX_NAME_WORDS = 4
@@ -68,11 +71,19 @@ def locate(texts: DataFrame, towns: DataFrame, regions: DataFrame, codes: DataFr
 
 
 def around(latitude: Column, longitude: Column, km: Column, degrees: float = CELL) -> Column:
-    """The grid cells that a circle can touch."""
+    """The grid cells that a circle can touch, also over a pole or the line where longitudes start again."""
     d_lat = km / 111.0
-    d_lon = km / (111.0 * F.greatest(F.cos(F.radians(F.least(F.abs(latitude) + d_lat, F.lit(89.0)))), F.lit(0.01)))
+    top = F.abs(latitude) + d_lat
+    d_lon = F.when(top >= 89.9, F.lit(180.0)).otherwise(d_lat / F.cos(F.radians(top)))
     line = lambda v, d: F.sequence(F.floor((v - d) / degrees).cast("int"), F.floor((v + d) / degrees).cast("int"))
-    return F.flatten(F.transform(line(latitude, d_lat), lambda a: F.transform(line(longitude, d_lon), lambda b: F.struct(a.alias("c_lat"), b.alias("c_lon")))))
+    turn = round(360 / degrees)
+    lons = F.when(d_lon >= 180, F.sequence(F.lit(0), F.lit(turn - 1))).otherwise(F.array_distinct(F.transform(line(longitude, F.least(d_lon, F.lit(180.0))), lambda b: F.pmod(b, F.lit(turn)))))
+    return F.flatten(F.transform(line(latitude, d_lat), lambda a: F.transform(lons, lambda b: F.struct(a.alias("c_lat"), b.alias("c_lon")))))
+
+
+def stands_in(latitude: Column, longitude: Column, degrees: float = CELL) -> tuple[Column, Column]:
+    """The grid cell of a point, as ``around`` counts them."""
+    return cell(latitude, degrees).alias("c_lat"), F.pmod(cell(longitude, degrees), F.lit(round(360 / degrees))).alias("c_lon")
 
 
 def within(points: DataFrame, circles: DataFrame, km: str = "km") -> DataFrame:
@@ -82,26 +93,56 @@ def within(points: DataFrame, circles: DataFrame, km: str = "km") -> DataFrame:
     A range join by grid cells: a circle is copied to each cell that it can
     touch, a point stands in one.
     """
-    p = points.withColumn("c_lat", cell(F.col("latitude"), CELL)).withColumn("c_lon", cell(F.col("longitude"), CELL)).withColumnsRenamed({"latitude": "p_lat", "longitude": "p_lon"})
+    p = points.select("*", *stands_in(F.col("latitude"), F.col("longitude"))).withColumnsRenamed({"latitude": "p_lat", "longitude": "p_lon"})
     c = circles.withColumn("c", F.explode(around(F.col("latitude"), F.col("longitude"), F.col(km)))).select("*", "c.*").drop("c").withColumnsRenamed({"latitude": "q_lat", "longitude": "q_lon"})
     both = p.join(c, ["country", "c_lat", "c_lon"]).withColumn("distance", haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("q_lat"), F.col("q_lon")))
     return both.where(F.col("distance") <= F.col(km)).drop("c_lat", "c_lon")
 
 
+#: Half the way round the earth: no ring is wider.
+WIDEST_KM = 20_038.0
+
+
+def nearest_by_rings(points: DataFrame, towns: DataFrame, first_km: float = 100.0) -> DataFrame:
+    """``point_id, town_id, distance``: the nearest town of each point's country, ties by town_id.
+
+    Places ask once, however many points they have.  Each round joins the places
+    that are still open with the towns in the cells around them, at cells as wide
+    as the ring, so that a place asks for some ten of them; a place with a town
+    in the ring is done, the others go on with twice the ring.  Points of
+    countries without towns, or without coordinates, have no row.
+    """
+    centres = towns.select("town_id", "country", F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"))
+    spot = ["country", "latitude", "longitude"]
+    spots = points.select(*spot).where("latitude IS NOT NULL AND longitude IS NOT NULL").distinct()
+    still = materialise(spots.join(centres.select("country").distinct(), "country", "left_semi"), "rings-open")
+    done, km = [], first_km
+    while not still.isEmpty():
+        degrees = 360 / max(1, int(360 * 111 / km))
+        asked = still.select(*spot, F.explode(around(F.col("latitude"), F.col("longitude"), F.lit(km), degrees)).alias("c")).select(*spot, "c.*")
+        met = asked.join(centres.select("*", *stands_in(F.col("q_lat"), F.col("q_lon"), degrees)), ["country", "c_lat", "c_lon"])
+        met = met.select(*spot, "town_id", haversine_km(F.col("latitude"), F.col("longitude"), F.col("q_lat"), F.col("q_lon")).alias("distance"))
+        hits = met.where(F.col("distance") <= km).groupBy(*spot).agg(F.min(F.struct("distance", "town_id")).alias("best"))
+        hits = materialise(hits.select(*spot, "best.town_id", "best.distance"), "rings-done")
+        done.append(hits)
+        if km >= WIDEST_KM:
+            break
+        still, km = materialise(still.join(hits, spot, "left_anti"), "rings-open"), min(2 * km, WIDEST_KM)
+    if not done:
+        return points.join(centres.select("country", "town_id", F.lit(0.0).alias("distance")).where("false"), "country").select("point_id", "town_id", "distance")
+    return points.join(reduce(DataFrame.unionByName, done), spot).select("point_id", "town_id", "distance")
+
+
 def town_at(points: DataFrame, towns: DataFrame) -> DataFrame:
     """``point_id, town_id``: the biggest town that reaches the point, else the nearest.
 
-    Points are (point_id, country, latitude, longitude).  The nearest is sought
-    within 100 km by grid cells, and beyond that among all towns of the country.
+    Points are (point_id, country, latitude, longitude); those without
+    coordinates, or in a country without towns, have no row.
     """
     circles = towns.select(F.col("town_id").alias("circle_id"), "country", "latitude", "longitude", "people", reach_km(F.col("people")).alias("km"))
     inside = within(points, circles).groupBy("point_id").agg(F.max_by("circle_id", F.struct("people", (-F.col("circle_id")).alias("o"))).alias("town_id"))
     rest = points.join(inside, "point_id", "left_anti")
-    near = within(rest, circles.withColumn("km", F.lit(100.0))).groupBy("point_id").agg(F.min_by("circle_id", F.struct("distance", "circle_id")).alias("town_id"))
-    distance = haversine_km(F.col("latitude"), F.col("longitude"), F.col("q_lat"), F.col("q_lon"))
-    centres = circles.select("circle_id", "country", F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"))
-    far = rest.join(near, "point_id", "left_anti").join(centres, "country").select("point_id", "circle_id", distance.alias("distance"))
-    return inside.unionByName(near).unionByName(far.groupBy("point_id").agg(F.min_by("circle_id", F.struct("distance", "circle_id")).alias("town_id")))
+    return inside.unionByName(nearest_by_rings(rest, towns).select("point_id", "town_id"))
 
 
 def part_of(towns: DataFrame, least: int = 50_000) -> DataFrame:

@@ -81,6 +81,28 @@ def c10(spark, d):
     return rules.match_terms(ads(spark, d).withColumn("languages", F.array("country")), terms).select("ad_id", "matched")
 
 
+def _hit(word: str, text: str) -> str:
+    return f"CASE WHEN length({word}) <= 3 THEN contains(' ' || {text} || ' ', ' ' || {word} || ' ') ELSE contains({text}, {word}) END"
+
+
+@query(
+    "d24_term_hits",
+    f"""WITH {ADS}, n AS (SELECT ad_id, country AS lang, {NORMALISE.format('title')} AS t, {NORMALISE.format('description')} AS b FROM ads),
+    terms AS (SELECT DISTINCT lang, list_distinct(string_split({NORMALISE.format("array_to_string(string_split(text, ' ')[4:5], ' ')")}, ' ')) AS w, array_to_string(string_split(text, ' ')[4:5], ' ') AS text,
+              CASE WHEN doc_id % 2 = 0 THEN 'job_title' ELSE 'field_or_skill' END AS kind FROM documents),
+    clean AS (SELECT lang, text, kind, list_filter(w, lambda x: x <> '') AS w FROM terms)
+    SELECT c.text, c.lang AS language, c.kind, count(*) AS ads FROM n JOIN clean c ON n.lang = c.lang AND len(c.w) > 0
+    WHERE len(list_filter(c.w, lambda x: NOT {_hit('x', 'n.t')})) = 0 OR (c.kind = 'field_or_skill' AND len(list_filter(c.w, lambda x: NOT {_hit('x', 'n.b')})) = 0)
+    GROUP BY ALL""",
+)
+def d24(spark, d):
+    """Each document's fourth and fifth word are a term, sought in all ads."""
+    text = F.array_join(F.slice(F.split("text", " "), 4, 2), " ")
+    terms = table(spark, d, "documents").select(text.alias("text"), F.col("lang").alias("language"), F.when(F.col("doc_id") % 2 == 0, "job_title").otherwise("field_or_skill").alias("kind"))
+    hits = rules.term_hits(ads(spark, d).withColumn("languages", F.array("country")), terms)
+    return hits.groupBy("text", "language", "kind").agg(F.count("*").alias("ads"))
+
+
 PART_TITLE = "p_name || CASE p_partkey % 4 WHEN 0 THEN ' ' || lower(p_type) WHEN 1 THEN ' ' || lower(p_type) || ' ' || lower(replace(p_brand, '#', ' ')) ELSE '' END"
 
 
@@ -251,7 +273,19 @@ def i11(spark, d):
     return rows(merged, False).unionByName(rows(refused, True))
 
 
-@query("i10_remember")
+@query(
+    "i10_remember",
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT event_id AS o, ['u' || user_id || '-' || event_id % 13, 'v' || round(value * 100)] AS keys FROM events),
+    known AS MATERIALIZED (SELECT keys[2] AS key, min(o) AS job_id FROM e WHERE o % 50 = 0 GROUP BY 1),
+    k AS MATERIALIZED (SELECT o, unnest(keys) AS key FROM e),
+    base AS MATERIALIZED (SELECT o, min(job_id) AS job_id FROM k LEFT JOIN known USING (key) GROUP BY 1),
+    first AS (SELECT key, min(o) AS p FROM k WHERE key NOT IN (SELECT key FROM known) GROUP BY 1),
+    up AS MATERIALIZED (SELECT DISTINCT k.o, f.p FROM k JOIN first f USING (key) WHERE f.p < k.o),
+    reach AS (SELECT o, o AS a FROM e UNION SELECT r.o, up.p FROM reach r JOIN up ON up.o = r.a),
+    v AS (SELECT r.o, min(b.job_id) AS old, min(CASE WHEN b.job_id IS NULL AND b.o NOT IN (SELECT o FROM up) THEN b.o END) AS root FROM reach r JOIN base b ON b.o = r.a GROUP BY 1),
+    fresh AS (SELECT o AS root, CAST(row_number() OVER (PARTITION BY o // 1000000 ORDER BY o) + o // 1000000 * 1000000 + 999999999 AS BIGINT) AS id FROM v WHERE old IS NULL AND root = o)
+    SELECT o AS ordinal, coalesce(old, id) AS job_id, old IS NULL AS is_new FROM v LEFT JOIN fresh ON v.old IS NULL AND fresh.root = v.root""",
+)
 def i10(spark, d):
     e = table(spark, d, "events")
     keyed = e.select(F.col("event_id").alias("ordinal"), F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), (F.col("event_id") % 13).cast("string")), F.concat(F.lit("v"), F.round(F.col("value") * 100).cast("string"))).alias("keys"))

@@ -193,11 +193,11 @@ def k5(spark, d):
 
 @query(
     "k5_recall_stream",
-    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS at, CASE WHEN event_type = 'purchase' THEN printf('%.2f', value) END AS text FROM events),
-    w AS (SELECT *, last_value(CASE WHEN text IS NOT NULL THEN at END IGNORE NULLS) OVER o AS since, last_value(text IGNORE NULLS) OVER o AS last
-          FROM e WINDOW o AS (PARTITION BY user_id ORDER BY at, event_id, text ROWS UNBOUNDED PRECEDING))
-    SELECT event_id, at, CASE WHEN at - since <= 259200000000 THEN last END AS recalled FROM w
-    WHERE text IS NULL AND at < (SELECT epoch_us(date_trunc('day', max(ts) - INTERVAL 1 DAY)) FROM events)""",
+    """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS moment, CASE WHEN event_type = 'purchase' THEN printf('%.2f', value) END AS text FROM events),
+    w AS (SELECT *, last_value(CASE WHEN text IS NOT NULL THEN moment END IGNORE NULLS) OVER o AS since, last_value(text IGNORE NULLS) OVER o AS last
+          FROM e WINDOW o AS (PARTITION BY user_id ORDER BY moment, event_id, text ROWS UNBOUNDED PRECEDING))
+    SELECT event_id, moment AS at, CASE WHEN moment - since <= 259200000000 THEN last END AS recalled FROM w
+    WHERE text IS NULL AND moment < (SELECT epoch_us(date_trunc('day', max(ts) - INTERVAL 1 DAY)) FROM events)""",
 )
 def k5_recall(spark, d):
     """The events as a feed that comes in three parts, each read by a run of its own: what a user bought last is recalled for three days."""
