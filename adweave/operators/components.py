@@ -8,13 +8,32 @@ from pyspark.sql import functions as F
 from adweave.functions.storage import materialise
 
 
+#: Edges of one node that a task takes; a node with more is split.
+HOT = 50_000
+
+
+def meet_least(edges: DataFrame, least: DataFrame, hot: int = HOT) -> DataFrame:
+    """``u, v, m``: edges (u, v) with the least neighbour of u (``least``: u, m and the count n of u's edges).
+
+    A node with over ``hot`` edges is a hot key: its edges are dealt by their
+    other end into parts of about ``hot``, and its row of ``least`` is copied to
+    each.  The split nodes, at most one for each ``hot`` edges, are broadcast.
+    """
+    parts = F.ceil(F.col("n") / hot)
+    split = F.broadcast(least.where(F.col("n") > hot).select("u", parts.alias("parts")))
+    dealt = edges.join(split, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1).cast("bigint"))).alias("part"))
+    each = least.select("u", "m", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part"))
+    return dealt.join(each, ["u", "part"]).select("u", "v", "m")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node, component`` for every node of ``edges``; the smallest node names it.
 
     Alternates two steps until nothing changes: each node ties its larger
     neighbours to its smallest one (large star), then its smaller ones (small
-    star).  Both only group and join by node; the rounds grow as the logarithm
-    of the longest path.  Every round is written to the shared folder.  Edges
+    star).  Both only group by node, which sums up in each task first, and join
+    by node, where one with very many edges, such as a star's centre, is split
+    (``meet_least``); the rounds grow as the logarithm of the longest path.  Every round is written to the shared folder.  Edges
     with a null end are ignored; loops and repeated edges are fine; an empty
     table gives an empty result.
     """
@@ -24,10 +43,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     seen = None
     for _ in range(max_rounds):
         both = current.union(current.select("v", "u").toDF("u", "v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = meet_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = meet_least(large, least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v")))
         current = materialise(small.where("u <> v").distinct(), "components")
         state = tuple(current.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())

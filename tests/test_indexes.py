@@ -5,7 +5,9 @@ import random
 
 import pytest
 
-from adweave.operators import memory, places, rules
+from pyspark.sql import functions as F
+
+from adweave.operators import components, memory, places, rules
 
 TERM_KINDS = ("job_title", "field_or_skill")
 
@@ -114,3 +116,50 @@ def test_remember_with_long_chains_and_many_keys(spark, seed):
     assert out == remember_brute(rows, known, 1000)[0]
     if seed == 0:
         assert written <= 3 + 2 * 10  # 2**9 > 400: a chain takes log n rounds
+
+
+def brute_components(edges):
+    parent = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            x, y = sorted((find(a), find(b)))
+            parent[y] = x
+    return {n: find(n) for n in parent}
+
+
+@pytest.mark.parametrize("hot", [2, 50_000])
+def test_components_with_split_centres(spark, monkeypatch, hot):
+    monkeypatch.setattr(components.meet_least, "__defaults__", (hot,))
+    rng = random.Random(4)
+    edges = [(500, k) for k in range(100, 200)] + [(k, 1) for k in range(150, 230)] + [(k, k + 1) for k in range(600, 660)] + [(7, 7), (None, 3), (9, None), (800, 801), (801, 800)]
+    edges += [(rng.randint(1000, 1200), rng.randint(1000, 1200)) for _ in range(90)]
+    rng.shuffle(edges)
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == brute_components(edges)
+
+
+def test_no_task_reads_a_whole_star(spark):
+    """A star with a million leaves: its centre's edges lie in many partitions."""
+    edges = spark.range(1, 1_000_001, 1, 8).selectExpr("0L AS u", "id AS v")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = components.meet_least(edges, least)
+        sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 1_000_000 and max(sizes) < 250_000
+    got = components.connected_components(edges.where("v <= 200000"), "u", "v")
+    assert got.where("component = 0").count() == 200_001
