@@ -178,6 +178,24 @@ def b24(spark, d):
     return out.withColumn("share", F.round("share", 6))
 
 
+@query(
+    "b24_containment_join",
+    f"""WITH a AS (SELECT min(doc_id) AS doc_id, count(*) AS documents, s FROM (SELECT doc_id, list_sort(s) AS s FROM {SHINGLE_SET.format('documents')}) GROUP BY s),
+    b AS (SELECT min(item_id) AS item_id, count(*) AS items, s FROM (SELECT item_id, list_sort(s) AS s FROM {SHINGLE_SET.format('benchmark')}) GROUP BY s),
+    p AS (SELECT doc_id, item_id, count(*) AS n FROM (SELECT doc_id, unnest(s) AS x FROM a) JOIN (SELECT item_id, unnest(s) AS x FROM b) USING (x) GROUP BY 1, 2)
+    SELECT doc_id, item_id, documents, items, round(n / least(len(a.s), len(b.s)), 6) AS share FROM p JOIN a USING (doc_id) JOIN b USING (item_id) WHERE 2 * n >= least(len(a.s), len(b.s))""",
+)
+def b24_join(spark, d):
+    """Documents and passages of which the shorter is half in the other, copies as one."""
+    from adweave.operators.containment import containment_join
+
+    runs = T.shingles(F.col("text")).alias("words")
+    pairs, docs_of, items_of = containment_join(docs(spark, d).select("doc_id", runs), table(spark, d, "benchmark").select("item_id", runs), "doc_id", "item_id", 50)
+    number = lambda members, key, name: members.groupBy(F.col("rep").alias(key)).agg(F.count("*").alias(name))
+    out = pairs.join(number(docs_of, "doc_id", "documents"), "doc_id").join(number(items_of, "item_id", "items"), "item_id")
+    return out.select("doc_id", "item_id", "documents", "items", F.round("share", 6).alias("share"))
+
+
 @query(
     "b27_identity_keys",
     f"""WITH s AS (SELECT s_suppkey, {by_key_sql('s_suppkey', COMPANIES)} AS company, {by_key_sql('s_suppkey', TITLES)} AS title, {by_key_sql('s_suppkey', CITIES)} AS place FROM supplier),

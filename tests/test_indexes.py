@@ -7,7 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from adweave.operators import components, memory, places, rules
+from adweave.operators import components, containment, dedupe, memory, places, rules
 
 TERM_KINDS = ("job_title", "field_or_skill")
 
@@ -163,3 +163,38 @@ def test_no_task_reads_a_whole_star(spark):
     assert sum(sizes) == 1_000_000 and max(sizes) < 250_000
     got = components.connected_components(edges.where("v <= 200000"), "u", "v")
     assert got.where("component = 0").count() == 200_001
+
+
+@pytest.mark.parametrize(("seed", "percent"), [(1, 50), (2, 80), (3, 100), (4, 1)])
+def test_containment_loses_no_pair(spark, seed, percent):
+    rng = random.Random(seed)
+    pool = [f"w{k}" for k in range(14)] + ["hot"] * 5
+
+    def sets(n):
+        return [(k, None if k == 3 else sorted({rng.choice(pool) for _ in range(rng.randint(0, 9))}, key=lambda w: rng.random()), rng.choice(["x", "x", "y", None])) for k in range(n)]
+
+    left, right = sets(90), sets(70)
+    frame = lambda rows, key: spark.createDataFrame(rows, f"{key} long, words array<string>, block string")
+    pairs, l_members, r_members = containment.containment_join(frame(left, "l"), frame(right, "r"), "l", "r", percent, block="block")
+    l_rep, r_rep = ({tuple(r)[0]: tuple(r)[1] for r in m.collect()} for m in (l_members, r_members))
+    got = {(r["l"], r["r"]): r["share"] for r in pairs.collect()}
+    want = {}
+    for a, x, u in left:
+        for b, y, v in right:
+            if x and y and (u or "") == (v or ""):
+                n = len(set(x) & set(y))
+                if 100 * n >= percent * min(len(x), len(y)):
+                    want[a, b] = n / min(len(x), len(y))
+    assert {(a, b): got[l_rep[a], r_rep[b]] for a, b in want} == want
+    assert len(got) == len({(l_rep[a], r_rep[b]) for a, b in want})
+
+
+def test_equal_agency_ads_cost_a_row_each(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    jobs = [(k, k, "Koch (m/w/d)", "Acme Recruiting" if k % 2 else "Acme", "de", text) for k in range(300)]
+    jobs += [(900, 900, "Bäcker", "Acme Recruiting", None, text), (901, 901, "Baecker", "Backhaus", "at", text), (902, 902, "Koch", "Best Recruiting", None, text + " more")]
+    frame = spark.createDataFrame(jobs, "job_key long, ordinal long, title string, company string, country string, description string")
+    got = {r["job_key"]: r["repeats"] for r in dedupe.tag_agency_repeats(frame).collect()}
+    assert got == {**{k: 0 for k in range(300) if k % 2}, 900: 901, 902: 0}
+    _, members, _ = containment.containment_join(frame.select("job_key", F.split("description", " ").alias("words")), frame.selectExpr("job_key AS b", "split(description, ' ') AS words"), "job_key", "b", 50)
+    assert members.select("rep").distinct().count() == 2
