@@ -9,16 +9,19 @@ from adweave.functions.storage import materialise
 
 
 #: Edges of one node that a task takes; a node with more is split.
-HOT = 50_000
+HOT = 200_000
 
 
-def meet_least(edges: DataFrame, least: DataFrame, hot: int = HOT) -> DataFrame:
+def meet_least(edges: DataFrame, least: DataFrame, most: int | None = None, hot: int = HOT) -> DataFrame:
     """``u, v, m``: edges (u, v) with the least neighbour of u (``least``: u, m and the count n of u's edges).
 
     A node with over ``hot`` edges is a hot key: its edges are dealt by their
     other end into parts of about ``hot``, and its row of ``least`` is copied to
     each.  The split nodes, at most one for each ``hot`` edges, are broadcast.
+    Among ``most`` edges, if that is known to be less, there is none to split.
     """
+    if most is not None and most <= hot:
+        return edges.join(least.select("u", "m"), "u")
     parts = F.ceil(F.col("n") / hot)
     split = F.broadcast(least.where(F.col("n") > hot).select("u", parts.alias("parts")))
     dealt = edges.join(split, "u", "left").select("u", "v", F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1).cast("bigint"))).alias("part"))
@@ -40,19 +43,19 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     current = materialise(pairs.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
-    seen = None
+    seen, most = None, 2 * current.count()
     for _ in range(max_rounds):
         both = current.union(current.select("v", "u").toDF("u", "v"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        large = meet_least(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = meet_least(both.where("v > u"), least, most).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = meet_least(large, least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = meet_least(large, least, most).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         small = small.union(least.select("u", F.col("m").alias("v")))
         current = materialise(small.where("u <> v").distinct(), "components")
         state = tuple(current.select(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == seen:
             break
-        seen = state
+        seen, most = state, 2 * state[0]
     else:
         raise RuntimeError(f"components didn't settle in {max_rounds} rounds")
     return nodes.join(current, nodes["node"] == current["u"], "left").select("node", F.coalesce("v", "node").alias("component"))
