@@ -85,6 +85,25 @@ def d13(spark, d):
     return K.home_towns(points(spark, d).withColumn("town", customer_name(F.col("point_id"))), towns(spark, d))
 
 
+@query("e13_loss_stages")
+def e13_stages(spark, d):
+    """Documents as jobs: what became of each one whose id has a letter less in its company's name on the list."""
+    from adweave.operators.coverage import loss_stages
+
+    k, w = F.col("doc_id"), F.split("text", " ")
+    words = lambda a, n: F.array_join(F.slice(w, a, n), " ")
+    jobs = table(spark, d, "documents").select(k.alias("id"), words(2, 3).alias("company"), words(6, 3).alias("title"), F.col("lang").alias("language"), F.concat(F.lit("N"), (k % 3).cast("string")).alias("country"))
+    near = jobs.withColumn("company", F.concat(F.substring("company", 1, 4), F.substring("company", 6, 200)))
+    wanted = near.select(F.col("id").alias("wanted_id"), "company", "title", F.when(F.col("id") % 7 == 0, F.lit("Elsewhere")).alias("place"), F.lit(None).cast("string").alias("url"), "country")
+    cards = jobs.select(F.col("id").alias("card_id"), "company", "title", F.lit(None).cast("string").alias("location"), "country", F.array().cast("array<string>").alias("urls"), (F.col("id") % 11 == 0).alias("unrelated"), F.when(F.col("id") % 2 == 0, F.lit(50)).alias("score"))
+    part = lambda n: cards.where(F.pmod(F.xxhash64("card_id"), F.lit(4)) == n)
+    terms = jobs.where("id % 3 > 0").select(F.element_at(F.split("title", " "), 1).alias("text"), "language", F.lit("job_title").alias("kind")).where("text <> ''")
+    places = spark.sql("SELECT 'N1' AS country, 'Northland' AS name, 'region' AS kind, CAST(NULL AS BIGINT) AS town_id, CAST(NULL AS DOUBLE) AS radius_km")
+    firms = jobs.where("id % 5 = 0").select("company").unionByName(near.where("id % 10 = 3").select("company"))
+    stages = loss_stages(wanted, part(0), part(1), part(2), terms, places, firms, towns(spark, d), regions(spark))
+    return stages.groupBy("stage").agg(F.count("*").alias("n"))
+
+
 @query("d22_coverage_match")
 def d22(spark, d):
     """Orders as cards, passages of two customers' names as wanted jobs."""
