@@ -215,12 +215,12 @@ class Plan:
     rounded: float
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = 0.002, tilts: tuple[float, ...] = (0.0, 0.03, 0.1, 0.3)) -> Plan:
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, tilts: tuple[float, ...] = (0.0, 0.03, 0.1, 0.3)) -> Plan:
     """The plan for a histogram of lengths from 1 to ``capacity``.
 
     The program is solved and rounded with one tilt of the weights after the
-    other until the sequences are within ``gap`` of the bound, or within one;
-    where none gets there, the plan with the fewest sequences is taken.  The plan's
+    other; the plan with the fewest sequences is taken, at once where it has as
+    few as the bound allows any packing.  The plan's
     size depends on the number of lengths, not on the pieces.
     """
     lengths = np.array(sorted(k for k, n in histogram.items() if n), dtype=np.int64)
@@ -241,7 +241,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, gap: flo
         sequences = sum(times for _, times in rounded)
         if best is None or sequences < best[0]:
             best = sequences, rounded, 1 - float(left.sum() / counts.sum())
-        if best[0] <= max(np.ceil(bound - 1e-9) + 1, (1 + gap) * bound):
+        if best[0] <= np.ceil(bound - 1e-9):
             break
     taken, moves, sequence = np.zeros(len(lengths), dtype=np.int64), [], 0
     for config, times in best[1]:

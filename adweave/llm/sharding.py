@@ -96,7 +96,28 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
 
 
 def pack_into(classes: list[tuple[int, int]], shards: int, tries: int = 8) -> list[list[tuple[int, int]]]:
-    """Bins 0 to ``shards`` - 1, the least capacity found that needs no more of them."""
+    """Bins 0 to ``shards`` - 1 with nearly equal loads, as (bin, number) for each class (size, count).
+
+    An item larger than an equal share of what is left has a bin to itself.  The
+    others are packed by best fit, with the least capacity found that needs no
+    more bins, and then levelled.
+    """
+    order = sorted(range(len(classes)), key=lambda i: (-classes[i][0], i))
+    out: list[list[tuple[int, int]]] = [[] for _ in classes]
+    total, free, left = sum(size * count for size, count in classes), shards, [count for _, count in classes]
+    for i in order:
+        while left[i] and free > 1 and classes[i][0] * free > total:
+            free -= 1
+            out[i].append((free, 1))
+            total, left[i] = total - classes[i][0], left[i] - 1
+    rest = [(classes[i][0], left[i]) for i in order if left[i]]
+    bins = level(rest, _least_capacity(rest, free, tries), free)
+    for i, own in zip((i for i in order if left[i]), bins, strict=True):
+        out[i] += own
+    return out
+
+
+def _least_capacity(classes: list[tuple[int, int]], shards: int, tries: int) -> list[list[tuple[int, int]]]:
     total = sum(size * count for size, count in classes)
     low = max(-(-total // shards), max((size for size, _ in classes), default=0))
     high, best = low, None
@@ -118,6 +139,37 @@ def pack_into(classes: list[tuple[int, int]], shards: int, tries: int = 8) -> li
     return best
 
 
+def level(classes: list[tuple[int, int]], bins: list[list[tuple[int, int]]], shards: int) -> list[list[tuple[int, int]]]:
+    """``bins`` with items moved from the fullest to the emptiest one as long as that brings them closer.
+
+    Best fit fills one bin after the other, so the last ones may be left empty.
+    Each step moves the items of one class that come closest to half the
+    difference; it ends where no item is smaller than the difference.
+    """
+    held: list[dict[int, int]] = [{} for _ in range(shards)]
+    for i, own in enumerate(bins):
+        for b, number in own:
+            held[b][i] = held[b].get(i, 0) + number
+    loads = [sum(classes[i][0] * n for i, n in own.items()) for own in held]
+    while shards > 1:
+        top, low = max(range(shards), key=lambda b: (loads[b], -b)), min(range(shards), key=lambda b: (loads[b], b))
+        gap = loads[top] - loads[low]
+        moves = [(i, max(1, min(n, gap // 2 // classes[i][0]))) for i, n in held[top].items() if 0 < classes[i][0] < gap]
+        if not moves:
+            break
+        i, number = min(moves, key=lambda m: (abs(gap - 2 * m[1] * classes[m[0]][0]), m[0]))
+        held[top][i] -= number
+        if not held[top][i]:
+            del held[top][i]
+        held[low][i] = held[low].get(i, 0) + number
+        loads[top], loads[low] = loads[top] - number * classes[i][0], loads[low] + number * classes[i][0]
+    out: list[list[tuple[int, int]]] = [[] for _ in classes]
+    for b, own in enumerate(held):
+        for i, number in sorted(own.items()):
+            out[i].append((b, number))
+    return out
+
+
 #: Leading bits of a group's bytes that its size class keeps: classes differ by 1 in 2,048 at most.
 CLASS_BITS = 12
 
@@ -128,32 +180,34 @@ def size_class(size: Column) -> Column:
     return (F.ceil(size / step) * step).cast("bigint")
 
 
-def rank_within(df: DataFrame, group: list[str], order: list[str], name: str, rows_per_part: int = 100_000) -> DataFrame:
-    """``df`` with the row's rank in its group, from 0, as ``name``.
+def rank_within(df: DataFrame, group: list[str], order: list[str], name: str, rows: int, rows_per_part: int = 100_000) -> DataFrame:
+    """``df`` with the row's rank in its group, from 0, as ``name``; ``rows`` is its number of rows.
 
-    A group of any size is split by a hash of ``order``: rows are numbered in
-    each split, and the splits before it are added.
+    A group of any size is split by a hash of ``order``, which tells all rows
+    apart: rows are numbered in each split, and the splits before it are added.
     """
-    salts = df.count() // rows_per_part + 1
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(rows // rows_per_part + 1)))
     sizes = salted.groupBy(*group, "_salt").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_before", F.sum("_n").over(Window.partitionBy(*group).orderBy("_salt")) - F.col("_n")).drop("_n")
     own = salted.withColumn("_own", F.row_number().over(Window.partitionBy(*group, "_salt").orderBy(*order)) - 1)
     return own.join(before, [*group, "_salt"]).withColumn(name, F.col("_before") + F.col("_own")).drop("_salt", "_own", "_before")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", overhead: int = 16, grain: int = 500) -> DataFrame:
+#: Groups with over this part of all rows, fewer than as many, find their shard without a shuffle.
+HOT_GROUPS = 1000
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str = "text", overhead: int = 16) -> DataFrame:
     """``key, size, text_crc32, law, shard, slot, grown_shard`` of every row.
 
     The law is ``bytes``: sizes (UTF-8 bytes of the text and ``overhead``) of the
-    shards come out nearly equal, and rows with equal texts share a shard.  A
-    group that alone is larger than an equal share can't do so; it is cut, by
-    rank, into pieces of at most a share.
+    shards come out nearly equal.  Rows with equal texts are a group and always
+    share a shard: a group that alone is larger than an equal share has a shard to
+    itself, and the other shards are equal among themselves.  The shards differ by the
+    largest group's size at most, and by its class's rounding.
 
     What is packed is the histogram of the groups' size classes, at most 2 ** 11
-    for each doubling of size, and each group over 1 / ``grain`` of a share or of its
-    rows (fewer than 2 * ``shards`` * ``grain``).  A group of a class finds its shard by
-    its rank in the class.
+    for each doubling of size.  A group finds its shard by its rank in the class.
 
     A null text is an empty one.  Null keys and repeated rows are placed like any
     others; other columns are left out; an empty table gives no rows.  ``slot``
@@ -161,46 +215,26 @@ def shard_documents(docs: DataFrame, shards: int = 40, key: str = "doc_id", text
     """
     spark = docs.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(key).alias("key"), (F.octet_length(body) + overhead).cast("long").alias("size"), F.crc32(body).alias("crc"), F.xxhash64(body).alias("h"))
+    rows = docs.select(F.col(key).alias("key"), (F.octet_length(body) + overhead).cast("long").alias("size"), F.crc32(body).alias("crc"), F.xxhash64(body).alias("h"), F.monotonically_increasing_id().alias("row"))
     rows = materialise(rows, "shard-rows")
     group = ["h", "crc", "size"]
-    groups = materialise(rows.groupBy(*group).agg(F.count("*").alias("n")).withColumn("bytes", F.col("n") * F.col("size")), "shard-groups")
-    total, count = (x or 0 for x in groups.agg(F.sum("bytes"), F.sum("n")).first())
-    if not total:
-        return rows.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("shard"), F.lit(None).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    share = -(-total // shards)
-    is_large = (F.col("bytes") > max(1, share // grain)) | (F.col("n") > max(1, count // (shards * grain)))
-    large = groups.where(is_large).select(*group, "n").orderBy(*group).collect()  # fewer than 2 * shards * grain
-    small = groups.where(~is_large).withColumn("class", size_class(F.col("bytes")))
-    histogram = small.groupBy("class").agg(F.count("*").alias("n")).orderBy("class").collect()
-    names, items = [], []
-    for g in large:
-        per_piece = max(1, share // g["size"])
-        for first in range(0, g["n"], per_piece):
-            names.append((g["h"], g["crc"], g["size"], first))
-            items.append((min(per_piece, g["n"] - first) * g["size"], 1))
-    bins = pack_into(items + [(r["class"], r["n"]) for r in histogram], shards)
-    pieces: dict[tuple, list[tuple[int, int]]] = {}
-    for name, own in zip(names, bins, strict=False):
-        pieces.setdefault(name[:3], []).append((name[3], own[0][0]))
+    groups = rows.groupBy(*group).agg(F.count("*").alias("n"))
+    groups = materialise(groups.withColumn("class", size_class(F.col("n") * F.col("size"))), "shard-groups")
+    histogram = groups.groupBy("class").agg(F.count("*").alias("n"), F.sum("n").alias("rows")).orderBy("class").collect()
+    count, many = sum(r["rows"] for r in histogram), sum(r["n"] for r in histogram)
     spans = []
-    for r, own in zip(histogram, bins[len(names) :], strict=True):
+    for r, own in zip(histogram, pack_into([(r["class"], r["n"]) for r in histogram], shards), strict=True):
         ends = [sum(n for _, n in own[:i]) for i in range(len(own))]
         spans.append((r["class"], [(first, b) for first, (b, _) in zip(ends, own, strict=True)]))
-    of_rank = lambda found: F.element_at(F.filter(found, lambda p: p["first"] <= F.col("rank")), -1)["shard"]
-    # both bounded as the docstring says
-    by_group = F.broadcast(small_frame(spark, [(*k, v) for k, v in pieces.items()], "h long, crc long, size long, pieces array<struct<first:long,shard:int>>"))
-    by_class = F.broadcast(small_frame(spark, spans, "class long, spans array<struct<first:long,shard:int>>"))
-    ranked = rank_within(small.select(*group, "class"), ["class"], group, "rank").join(by_class, "class").select(*group, of_rank("spans").alias("shard"))
-    whole = rows.join(by_group, group, "left")
-    cut = rank_within(whole.where(F.size("pieces") > 1), group, ["key"], "rank")
-    columns = ["key", "size", "crc", "h", "shard"]
-    placed = (
-        whole.where(F.col("pieces").isNull()).join(ranked, group).select(columns)
-        .unionByName(whole.where(F.size("pieces") == 1).withColumn("shard", F.col("pieces")[0]["shard"]).select(columns))
-        .unionByName(cut.withColumn("shard", of_rank("pieces")).select(columns))
-    )
-    out = rank_within(placed, ["shard"], ["key", "h"], "slot")
+    shard = F.element_at(F.filter("spans", lambda p: p["first"] <= F.col("rank")), -1)["shard"]
+    by_class = F.broadcast(small_frame(spark, spans, "class long, spans array<struct<first:long,shard:int>>"))  # as many as classes
+    placed = rank_within(groups, ["class"], group, "rank", many).join(by_class, "class").select(*group, "n", shard.alias("shard"))
+    placed = materialise(placed, "shard-places")
+    hot = F.broadcast(placed.where(F.col("n") * HOT_GROUPS > count).select(*group, F.col("shard").alias("hot_shard")))
+    met = rows.join(hot, group, "left")
+    own = met.where("hot_shard IS NULL").join(placed, group).select("key", "size", "crc", "row", "shard")
+    out = materialise(met.where("hot_shard IS NOT NULL").select("key", "size", "crc", "row", F.col("hot_shard").alias("shard")).unionByName(own), "shard-placed")
+    out = rank_within(out, ["shard"], ["row"], "slot", count)
     return out.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
