@@ -215,7 +215,7 @@ class Plan:
     rounded: float
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, tilts: tuple[float, ...] = (0.0, 0.03, 0.1, 0.3)) -> Plan:
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, tilts: tuple[float, ...] = (0.0, 0.03)) -> Plan:
     """The plan for a histogram of lengths from 1 to ``capacity``.
 
     The program is solved and rounded with one tilt of the weights after the
