@@ -211,28 +211,121 @@ def a6(spark, d):
     return shape(euraxess_list(pages_of(base(spark, d), block), names))
 
 
-@query("a7_jobsacuk_list", expected(posted=f"CAST(epoch(CASE WHEN strftime(dt, '%m-%d') <= '07-01' THEN make_timestamp(2023, month(dt), day(dt), 12, 0, 0) ELSE make_timestamp(2022, month(dt), day(dt), 12, 0, 0) END) AS BIGINT)", salary="'£' || CAST(low AS VARCHAR) || ' · Grade 9'", where="strftime(dt, '%m-%d') <> '02-29'"))
+LEAP_DAY = "strftime(dt, '%m-%d') = '02-29'"
+
+
+@query("a7_jobsacuk_list", expected(posted=f"CASE WHEN {LEAP_DAY} THEN NULL ELSE CAST(epoch(make_date(CASE WHEN strftime(dt, '%m-%d') <= '07-01' THEN 2023 ELSE 2022 END, month(dt), CASE WHEN {LEAP_DAY} THEN 28 ELSE day(dt) END)) AS BIGINT) + 43200 END", precision=f"CASE WHEN {LEAP_DAY} THEN 'unknown' ELSE 'day' END", salary="'£' || CAST(low AS VARCHAR) || ' · Grade 9'"))
 def a7(spark, d):
-    """Seen on 30 June 2023: a day up to 1 July is of that year, a later one of the year before."""
+    """Seen on 30 June 2023: a day up to 1 July is of that year, a later one of the year before, and
+    29 February is in neither."""
     block = F.concat(
         F.lit("<div class='j-search-result__result ' data-advert-id='"), F.col("k").cast("string"), F.lit("'><a href='/job/X1/'>"), "title", F.lit("</a><div class='j-search-result__employer'>"), "company", F.lit("</div><div>Location: "), "town",
         F.lit("</div><div class='j-search-result__info'>Salary: £"), F.col("low").cast("string"), F.lit("<br>Grade 9</div><div><strong>Date Placed:</strong> "), F.date_format("at", "dd MMM"), F.lit("</div></div>"),
     )
-    return shape(jobsacuk_list(pages_of(base(spark, d).where("date_format(at, 'MM-dd') <> '02-29'"), block).withColumn("seen_on", F.lit("2023-06-30"))))
+    return shape(jobsacuk_list(pages_of(base(spark, d), block).withColumn("seen_on", F.lit("2023-06-30"))))
+
+
+#: Irish summer time: from March's last Sunday to October's, which was October's fourth one until 1995.
+SUNDAY_FROM = "(make_date(year(dt), {0}, {1}) + CAST((7 - dayofweek(make_date(year(dt), {0}, {1}))) % 7 AS INTEGER))"
+SUMMER = f"dt >= {SUNDAY_FROM.format(3, 25)} AND dt < CASE WHEN year(dt) < 1996 THEN {SUNDAY_FROM.format(10, 22)} ELSE {SUNDAY_FROM.format(10, 25)} END"
 
 
 @query(
     "a8_jobsireland_list",
-    f"""WITH {BASE} SELECT CAST(k AS VARCHAR) AS source_job_id, title, company, town AS location_text, CASE k % 3 WHEN 0 THEN 'part_time' WHEN 1 THEN 'freelance_or_contract' ELSE NULL END AS types, CASE WHEN k % 2 = 0 THEN k / 100.0 END AS latitude,
-    CAST(epoch(date_trunc('day', dt)) AS BIGINT) + 32400 AS posted, CAST(epoch(date_trunc('day', dt)) AS BIGINT) + 86340 AS closes, '€' || format('{{:,}}', low) || ' a year' AS salary, CASE WHEN k % 40 >= 30 THEN 'full_time_permanent,fixed_term' ELSE 'part_time' END AS hours FROM base WHERE month(dt) IN (1, 2, 12)""",
+    f"""WITH {BASE}, s AS (SELECT *, CASE WHEN {SUMMER} THEN 3600 ELSE 0 END AS ahead FROM base)
+    SELECT CAST(k AS VARCHAR) AS source_job_id, title, company, town AS location_text, CASE k % 3 WHEN 0 THEN 'part_time' WHEN 1 THEN 'freelance_or_contract' ELSE NULL END AS types, CASE WHEN k % 2 = 0 THEN k / 100.0 END AS latitude,
+    CAST(epoch(date_trunc('day', dt)) AS BIGINT) + 32400 - ahead AS posted, CAST(epoch(date_trunc('day', dt)) AS BIGINT) + 86340 - ahead AS closes, '€' || format('{{:,}}', low) || ' a year' AS salary, CASE WHEN k % 40 >= 30 THEN 'full_time_permanent,fixed_term' ELSE 'part_time' END AS hours FROM s""",
 )
 def a8(spark, d):
-    """Winter days, when Irish time is UTC; the coordinates of every second job are on the page."""
+    """Days of all the year, in summer an hour ahead of UTC; the coordinates of every second job are on the page."""
     field = lambda n, v: F.concat(F.lit(f"<input type='hidden' id='{n}' value='"), v, F.lit("'>"))
     k = F.col("k").cast("string")
     block = F.concat(F.lit("<div class='job-heading' data-vacancyid='1'><img alt='Logo of "), "company", F.lit("'>"), field("JobId", k), field("JobTitle", F.col("title")), field("Location", F.concat("town", F.lit(", "))), field("StartDate", F.concat("day", F.lit("T09:00:00"))), field("EndDate", F.concat("day", F.lit("T00:00:00"))), field("VacancyTypeId", by_key(F.col("k"), ["3", "6", "0"])), F.lit("</div>"))
     head = F.when(F.col("k") % 2 == 0, F.concat(F.lit("<li>"), (F.col("k") / 100.0).cast("string"), F.lit(";-6.5;x;"), k, F.lit(";y</li>"))).otherwise("")
-    winter = base(spark, d).where("month(at) IN (1, 2, 12)")
-    said = winter.select(k.alias("source_job_id"), euro_salary(F.concat(F.col("low").cast("string"), F.lit(".00 Euro Annually"))).alias("salary"), F.array_join(types_from_hours(F.concat((F.col("k") % 40).cast("string"), F.lit(" hours a week"))), ",").alias("hours"))
-    rows = jobsireland_list(pages_of(winter, block, head))
-    return rows.select("source_job_id", "title", "company", "location_text", F.array_join("job_types", ",").alias("types"), "latitude", F.unix_seconds("posted_at").alias("posted"), F.unix_seconds("closes_at").alias("closes")).join(said, "source_job_id")
+    rows = base(spark, d)
+    said = rows.select(k.alias("source_job_id"), euro_salary(F.concat(F.col("low").cast("string"), F.lit(".00 Euro Annually"))).alias("salary"), F.array_join(types_from_hours(F.concat((F.col("k") % 40).cast("string"), F.lit(" hours a week"))), ",").alias("hours"))
+    listed = jobsireland_list(pages_of(rows, block, head))
+    return listed.select("source_job_id", "title", "company", "location_text", F.array_join("job_types", ",").alias("types"), "latitude", F.unix_seconds("posted_at").alias("posted"), F.unix_seconds("closes_at").alias("closes")).join(said, "source_job_id")
+
+
+@query(
+    "a25_f9_facets",
+    """WITH b AS (SELECT s_suppkey AS board, s_suppkey % 4 AS form, s_nationkey AS a, (s_nationkey + 7) % 25 AS b FROM supplier)
+    SELECT board, CASE form WHEN 0 THEN 'locationCountry' WHEN 1 THEN 'locations' WHEN 2 THEN 'locationHierarchy1' END AS parameter, country, CAST(jobs AS BIGINT) AS jobs
+    FROM (SELECT board, form, 'C' || a AS country, CASE form WHEN 1 THEN 5 ELSE 10 + board % 7 END AS jobs FROM b WHERE form < 3
+      UNION ALL SELECT board, form, 'C' || b, 3 FROM b WHERE form IN (0, 2)
+      UNION ALL SELECT board, form, 'C' || b, 4 FROM b WHERE form = 1
+      UNION ALL SELECT board, form, 'other', 2 FROM b WHERE form IN (1, 2))""",
+)
+def a25_facets(spark, d):
+    """Each supplier's site with nested filters of one of four kinds: which stands for countries, and jobs by country."""
+    from adweave.sources.facets import country_facets, facet_survey, facet_values
+
+    n = table(spark, d, "nation").select("n_nationkey", F.initcap("n_name").alias("name"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("board"), (F.col("s_suppkey") % 4).alias("form"), F.col("s_nationkey").alias("a"), ((F.col("s_nationkey") + 7) % 25).alias("b"))
+    name = lambda k, as_: n.select(F.col("n_nationkey").alias(k), F.col("name").alias(as_))
+    s = s.join(name("a", "a_name"), "a").join(name("b", "b_name"), "b")
+    value = lambda id_, text, count: st(id=F.lit(id_), descriptor=text, count=F.lit(count) if isinstance(count, int) else count)
+    facet = lambda parameter, *values: st(facetParameter=F.lit(parameter), values=F.array(*values))
+    # every list of one array has one shape in Spark, so the page's parts are written one by one
+    plain = lambda *x: F.concat(F.lit("["), *(p for k, v in enumerate(x) for p in ((F.lit(","),) if k else ()) + (F.to_json(v),)), F.lit("]"))
+    inside = lambda parameter, text: F.concat(F.lit('{"facetParameter":"%s","values":' % parameter), text, F.lit("}"))
+    many = F.lit(10) + F.col("board") % 7
+    family = facet("jobFamily", value("f1", F.col("a_name"), 3))
+    countries = facet("locationCountry", value("c1", F.col("a_name"), many), value("c2", F.col("b_name"), 3))
+    offices = facet("locations", value("o1", F.concat("a_name", F.lit(", Town")), 5), value("o2", F.concat("b_name", F.lit(", Other Town")), 4), value("o3", F.lit("Remote"), 2))
+    upper = facet("locationHierarchy1", value("h1", F.col("a_name"), many), value("h2", F.col("b_name"), 3), value("h3", F.lit("Atlantis"), 2))
+    vague = facet("locations", value("v1", F.lit("Campus"), 1), value("v2", F.col("a_name"), 1))
+    page = F.when(F.col("form") == 0, plain(family, offices, countries)).when(F.col("form") == 1, F.concat(F.lit("["), inside("locationMainGroup", F.concat(F.lit("["), inside("deeper", plain(offices)), F.lit("]"))), F.lit("]")))
+    page = page.when(F.col("form") == 2, F.concat(F.lit("["), F.to_json(vague), F.lit(","), inside("locationMainGroup", plain(upper)), F.lit("]"))).otherwise(plain(family, vague))
+    facets = facet_values(s.select("board", F.concat(F.lit('{"facets":'), page, F.lit("}")).alias("payload")))
+    places = n.select("name", F.concat(F.lit("C"), "n_nationkey").alias("code"))
+    chosen = country_facets(facets, places)
+    from adweave.plans.adapters import towns
+    from adweave.plans.place_queries import regions
+
+    jobs, _ = facet_survey(facets, chosen, places, towns(spark, d), regions(spark))
+    return jobs.join(chosen.select("board", "parameter").distinct(), "board").select("board", "parameter", "country", "jobs")
+
+
+@query(
+    "a8_jobsireland_details",
+    f"""WITH {BASE} SELECT CAST(k AS VARCHAR) AS source_job_id, CASE WHEN k % 5 = 0 THEN company ELSE company || ' Ltd' END AS company, CASE WHEN k % 5 = 0 THEN NULL ELSE 'Text of ' || title || chr(10) || chr(10) || 'and more' END AS description,
+    CASE WHEN k % 2 = 0 THEN 'part_time' WHEN k % 5 = 0 THEN NULL WHEN k % 40 >= 30 THEN 'full_time_permanent,fixed_term' ELSE 'part_time' END AS types, CASE WHEN k % 5 > 0 THEN '€' || {MONEY} || ' a year' END AS salary_text, k % 5 > 0 AS complete FROM base""",
+)
+def a8_details(spark, d):
+    """The list's jobs with their own pages, whose elements are nested; every fifth page has no text of the ad."""
+    from adweave.sources.lists import jobsireland_details, with_irish_details
+
+    k = F.col("k").cast("string")
+    item = lambda icon, text: F.concat(F.lit(f"<li><img src='x' alt='{icon}'><div class='name'>{icon}</div><div>"), text, F.lit("</div></li>"))
+    facts = F.concat(F.lit("<ul class='x job-detail_list'>"), item("Employer", F.concat(F.lit("<div></div>"), "company", F.lit(" Ltd"))), item("Hours a week", F.concat((F.col("k") % 40).cast("string"), F.lit(".0 hours"))), item("Euro", F.concat(F.col("low").cast("string"), F.lit(".00 Euro Annually"))), F.lit("</ul>"))
+    text = F.when(F.col("k") % 5 > 0, F.concat(F.lit("<pre ng-bind-html='job.Description'>Text of "), "title", F.lit("<pre></pre>\nand more</pre>"))).otherwise("<pre>other</pre>")
+    rows = base(spark, d)
+    details = jobsireland_details(rows.select(k.alias("source_job_id"), F.concat(F.lit("<html>"), text, facts, F.lit("</html>")).alias("payload")))
+    ads = rows.select(k.alias("source_job_id"), "company", F.lit(None).cast("string").alias("description"), F.when(F.col("k") % 2 == 0, F.array(F.lit("part_time"))).alias("job_types"), F.lit(None).cast("string").alias("salary_text"), F.lit(False).alias("description_is_complete"))
+    return with_irish_details(ads, details).select("source_job_id", "company", "description", F.array_join("job_types", ",").alias("types"), "salary_text", F.col("description_is_complete").alias("complete"))
+
+
+@query(
+    "a24_addresses",
+    f"""WITH {BASE} SELECT 'b' || k % 9 || '/' || k AS source_job_id, CASE k % 3 WHEN 0 THEN 'Clerk' ELSE c.name || ' Clerk' END AS title,
+    CASE k % 4 WHEN 0 THEN 'Walldorf, Germany' WHEN 1 THEN 'Leeds' ELSE CASE WHEN k % 3 > 0 THEN c.name END END AS location_text, CASE k % 4 WHEN 0 THEN 'DE' WHEN 1 THEN 'GB' ELSE CASE WHEN k % 3 > 0 THEN c.country ELSE 'other' END END AS country,
+    CASE WHEN k % 4 < 2 THEN 'Do this' ELSE '' END AS description, CASE WHEN k % 4 < 2 THEN {NOON} END AS posted
+    FROM base JOIN (SELECT c_custkey, 'Customer ' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS name, 'N' || CAST(c_nationkey % 3 AS VARCHAR) AS country FROM customer) c ON c.c_custkey = (SELECT o_custkey FROM orders WHERE o_orderkey = k)""",
+)
+def a24_addresses(spark, d):
+    """Orders as pages of nine sites, by their addresses; half of the pages mark their facts."""
+    from adweave.plans.adapters import towns
+    from adweave.sources.slugs import jobs_of_addresses, with_page_marks
+
+    k = F.col("k")
+    rows = base(spark, d).withColumn("slug", F.when(k % 3 == 0, F.lit("Clerk")).otherwise(F.concat(F.lit("Customer-"), F.substring("company", 10, 9), F.lit("-Clerk-69190"))))
+    rows = rows.withColumn("page", F.concat(F.lit("https://b"), (k % 9).cast("string"), F.lit(".example.org/job/"), "slug", F.lit("/"), k.cast("string"), F.lit("/")))
+    place = F.when(k % 4 == 0, "Walldorf, DE, 69190").otherwise("Leeds, UK")
+    marks = F.concat(F.lit("<div><meta itemprop='streetAddress' content='"), place, F.lit("'><div itemprop='description'><div>Do</div> this</div><meta itemprop=\"datePosted\" content=\""), "day", F.lit("\"></div>"))
+    pages = rows.select(F.col("page").alias("url"), F.when(k % 4 < 2, marks).otherwise("<p>nothing</p>").alias("payload"))
+    named = towns(spark, d).withColumn("names", F.transform("names", lambda n: F.replace(n, F.lit("#"), F.lit(" "))))
+    jobs = jobs_of_addresses(rows.select(F.concat(F.lit("b"), (k % 9).cast("string")).alias("board"), F.col("page").alias("url")), named)
+    out = with_page_marks(jobs, pages, F.create_map(F.lit("DE"), F.lit("Germany")))
+    return out.select("source_job_id", "title", "location_text", "country", F.regexp_replace("description", "\\s+", " ").alias("description"), F.unix_seconds("posted_at").alias("posted"))

@@ -58,6 +58,79 @@ def html_to_text(s: Column) -> Column:
     return tidy(bound(first, again))
 
 
+#: The attributes of a tag; a quoted value may hold any character.
+ATTRIBUTES = """(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+UNSEEN = "(?is)<(script|style)\\b.*?</\\1\\s*>|<!--.*?-->"
+
+
+def start_tag(tag: str, attribute: str = "", named: str = "") -> str:
+    """A pattern for the start tags of elements ``tag`` (a pattern) with ``named`` in an attribute.
+
+    All repetition over what may be long is possessive, which Java runs in a loop.
+    """
+    wanted = f"(?<![\\w-]){attribute}=(?:\"[^\"]*{named}[^\"]*\"|'[^']*{named}[^']*')"
+    with_it = f"(?=(?:(?!{wanted})(?:\"[^\"]*+\"|'[^']*+'|[^>\"']))*+{wanted})" if attribute else ""
+    return f"(?is)<(?:{tag})\\b{with_it}{ATTRIBUTES}>"
+
+
+def _seen(html: Column) -> Column:
+    """A page without comments and scripts; null is an empty page."""
+    whole = F.coalesce(html, F.lit(""))
+    return F.when(whole.rlike("(?i)<!--|<script|<style"), F.regexp_replace(whole, UNSEEN, " ")).otherwise(whole)
+
+
+def element(html: Column, start: str | Column) -> Column:
+    """The first element whose start tag matches ``start``: ``struct<tag, content>``, or null.
+
+    ``tag`` is its start tag.  The content ends at the element's own end: start
+    and end tags of its name are counted, so that elements of one name may be
+    nested.  One that isn't closed reaches to the end of ``html``.  Comments and
+    scripts are left out.
+    """
+    pattern = F.lit(start) if isinstance(start, str) else start
+
+    def within(whole: Column) -> Column:
+        return bound(F.call_function("regexp_extract", whole, pattern, F.lit(0)), lambda tag: F.when(tag != "", F.struct(tag.alias("tag"), after(whole, tag).alias("content"))))
+
+    def after(whole: Column, tag: Column) -> Column:
+        any_tag = F.concat(F.lit("(?is)</?"), F.regexp_extract(tag, "^<([A-Za-z][A-Za-z0-9-]*)", 1), F.lit("(?![A-Za-z0-9-])" + ATTRIBUTES + ">"))
+        rest = F.substr(whole, F.position(tag, whole) + F.length(tag))
+        return bound(F.struct(rest.alias("rest"), any_tag.alias("p")), lambda r: bound(F.struct(r["rest"].alias("rest"), F.split(r["rest"], r["p"]).alias("parts"), F.regexp_extract_all(r["rest"], r["p"], F.lit(0)).alias("tags")), up_to_end))
+
+    def up_to_end(x: Column) -> Column:
+        step = lambda t: F.when(t.startswith("</"), -1).when(t.endswith("/>"), 0).otherwise(1)
+        zero = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("seen"), F.lit(-1).alias("end"))
+        go = lambda a, t: F.when(a["end"] >= 0, a).otherwise(
+            F.struct((a["depth"] + step(t)).alias("depth"), (a["seen"] + 1).alias("seen"), F.when(a["depth"] + step(t) == 0, a["seen"]).otherwise(-1).alias("end"))
+        )
+        end = F.aggregate(x["tags"], zero, go, lambda a: a["end"])
+        inside = lambda n: F.concat(x["parts"][0], F.array_join(F.zip_with(F.slice(x["tags"], F.lit(1), n), F.slice(x["parts"], F.lit(2), n), lambda t, p: F.concat(t, p)), ""))
+        return bound(end, lambda n: F.when(n < 0, x["rest"]).otherwise(inside(n)))
+
+    return bound(_seen(html), within)
+
+
+def elements(html: Column, start: str) -> Column:
+    """The contents of all elements whose start tag matches, in order; of elements of that
+    kind inside one another, the outer one ends where the inner one begins."""
+    whole = _seen(html)
+    pieces = F.filter(F.split(whole, f"(?={start})"), lambda b: b.rlike(f"^(?:{start})"))
+    return F.transform(pieces, lambda b: element(b, start)["content"])
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute in a start tag, or null."""
+    quoted = f"(?is)\\s{name}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)')"
+    value = F.concat(F.regexp_extract(tag, quoted, 1), F.regexp_extract(tag, quoted, 2))
+    return bound(F.trim(unescape(value)), lambda v: F.nullif(v, F.lit("")))
+
+
+def marked(html: Column, name: str) -> Column:
+    """What a page marks with ``itemprop``: the ``content`` of its tag, else the text inside; null if neither."""
+    found = element(html, start_tag("[a-z][a-z0-9-]*", "itemprop", f"(?<=[\"'\\s]){name}(?=[\"'\\s])"))
+    return bound(found, lambda e: F.coalesce(attribute(e["tag"], "content"), bound(html_to_text(e["content"]), lambda t: F.nullif(t, F.lit("")))))
+
+
 def job_posting(html: Column) -> Column:
     """The first JobPosting among a page's linked-data blocks, as a variant, or null.
 

@@ -1,8 +1,8 @@
 """Result pages that hold many ads each, read by the elements of the page.
 
 A page is ``payload``, HTML as it came; each block that opens like an ad becomes a
-row of the common shape.  Elements are found by class, up to the first closing
-tag of their name.  Blocks without an id or a title are left out.
+row of the common shape.  Elements are found by class and end with their own end tag,
+also where others of their name are nested inside.  Blocks without an id or a title are left out.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adweave.functions import dates as D
+from adweave.functions.text import bound
 from adweave.operators.places import countries_in
-from adweave.sources.html import html_to_text, unescape
+from adweave.sources.html import attribute, element, elements, html_to_text, start_tag, unescape
 from adweave.sources.normalise import FREE, FULL, INTERN, FIXED, PART, SHAPE
 
 IRISH_ZONE = "Europe/Dublin"
@@ -29,13 +30,9 @@ def blocks(page: Column, opening: str) -> Column:
     return F.filter(F.split(page, f"(?={opening})"), lambda b: b.rlike(f"^(?:{opening})"))
 
 
-def _element(tag: str, named: str, attribute: str = "class") -> str:
-    return f"(?is)<({tag})\\b[^>]*\\b{attribute}=[\"'][^\"']*{named}[^\"']*[\"'][^>]*>(.*?)</\\1\\s*>"
-
-
 def inner(block: Column, tag: str, named: str) -> Column:
     """The text of the first such element; null if there is none or it is empty."""
-    return F.nullif(F.trim(html_to_text(F.regexp_extract(block, _element(tag, named), 2))), F.lit(""))
+    return bound(F.trim(html_to_text(element(block, start_tag(tag, "class", named))["content"])), lambda t: F.nullif(t, F.lit("")))
 
 
 def hidden(block: Column, name: str) -> Column:
@@ -56,11 +53,11 @@ def _day(at: Column) -> dict[str, Column]:
 def euraxess_list(pages: DataFrame, place_names: DataFrame, site: str = "") -> DataFrame:
     """Research jobs.  The country is set only where all labels together name exactly one."""
     rows = pages.select(F.explode(blocks(F.col("payload"), "<div\\b[^>]*\\bid=[\"']job-teaser-content[\"']")).alias("b"))
-    link = F.regexp_extract("b", _element("h3", "ecl-content-block__title"), 2)
-    metas = F.regexp_extract_all("b", F.lit(_element("li", "ecl-content-block__primary-meta-item")), F.lit(2))
+    link = F.coalesce(element(F.col("b"), start_tag("h3", "class", "ecl-content-block__title"))["content"], F.lit(""))
+    metas = elements(F.col("b"), start_tag("li", "class", "ecl-content-block__primary-meta-item"))
     rows = rows.select(
         "b", link.alias("link"), F.regexp_extract(link, "(?is)<a\\b[^>]*\\bhref=[\"']([^\"']+)[\"']", 1).alias("path"), F.array_join(metas, "\n").alias("metas"),
-        F.transform(F.regexp_extract_all("b", F.lit(_element("span", "ecl-label")), F.lit(2)), lambda x: F.trim(html_to_text(x))).alias("labels"),
+        F.transform(elements(F.col("b"), start_tag("span", "class", "ecl-label")), lambda x: F.trim(html_to_text(x))).alias("labels"),
     ).where("path <> ''")
     named = rows.select(F.explode("labels").alias("text"))
     by_label = countries_in(named, place_names).select("text", F.explode("countries").alias("code"))
@@ -132,3 +129,29 @@ def euro_salary(text: Column) -> Column:
     after = F.when(unit.isNull(), "").when(unit == "hour", " an hour").otherwise(F.concat(F.lit(" a "), unit))
     shown = F.array_join(F.transform(amounts, lambda x: F.concat(F.lit("€"), F.regexp_replace(F.format_number(x, 2), "\\.00$", ""))), " – ")
     return F.when(~text.rlike(form), F.nullif(text, F.lit(""))).when(F.size(amounts) > 0, F.concat(shown, after))
+
+
+def jobsireland_details(pages: DataFrame) -> DataFrame:
+    """``source_job_id, description, company, job_types, salary_text`` of Irish jobs' own pages.
+
+    ``pages`` has source_job_id and payload.  Facts are the items of a list, each
+    named by its picture: the employer, the hours (full time from FULL_TIME_HOURS
+    on) and the salary in Euro.  A page without a text of the ad has no row.
+    """
+    text = html_to_text(element(F.col("payload"), start_tag("pre", "ng-bind-html", "Description"))["content"])
+    listed = element(F.col("payload"), start_tag("ul", "class", "job-detail_list"))["content"]
+    items = elements(listed, start_tag("li"))
+    rows = pages.select("source_job_id", text.alias("description"), F.transform(items, lambda x: F.struct(F.lower(attribute(element(x, start_tag("img"))["tag"], "alt")).alias("icon"), F.nullif(F.trim(html_to_text(element(x, "(?is)<div\\b(?![^>]*\\bclass=)[^>]*>")["content"])), F.lit("")).alias("text"))).alias("facts"))
+    fact = lambda name: F.get(F.filter("facts", lambda x: x["icon"].contains(name) & x["text"].isNotNull()), F.lit(0))["text"]
+    return rows.where("description <> ''").select("source_job_id", "description", fact("employer").alias("company"), types_from_hours(fact("hours")).alias("job_types"), euro_salary(fact("euro")).alias("salary_text"))
+
+
+def with_irish_details(ads: DataFrame, details: DataFrame) -> DataFrame:
+    """``ads`` of the list with what their own pages say; a job without a page keeps its row.
+    Stated job types stay, other facts of the page win."""
+    named = details.dropDuplicates(["source_job_id"]).select("source_job_id", *(F.col(c).alias(f"_{c}") for c in ("description", "company", "job_types", "salary_text")))
+    out = ads.join(named, "source_job_id", "left")
+    types = F.when(F.coalesce(F.size("job_types"), F.lit(0)) <= 0, F.coalesce("_job_types", "job_types")).otherwise(F.col("job_types"))
+    complete = F.when(F.col("_description").isNotNull(), F.lit(True)).otherwise(F.col("description_is_complete"))
+    new = {"description": F.coalesce("_description", "description"), "company": F.coalesce("_company", "company"), "salary_text": F.coalesce("_salary_text", "salary_text"), "job_types": types, "description_is_complete": complete}
+    return out.withColumns(new).select(ads.columns)
