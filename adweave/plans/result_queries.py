@@ -113,5 +113,7 @@ def e17(spark, d):
 def k4(spark, d):
     """The second run's rows: the first one saw all up to a day in the middle."""
     e, name = table(spark, d, "events").withColumn("at", utc("ts")), f"k4-{uuid.uuid4().hex}"
-    feeds.changed_since(e.where(F.col("at") <= F.to_timestamp(F.lit("2024-01-20"))), "at", name)
-    return feeds.changed_since(e, "at", name).select("event_id")
+    first, commit = feeds.changed_since(e.where(F.col("at") <= F.to_timestamp(F.lit("2024-01-20"))), "at", name)
+    first.write.format("noop").mode("overwrite").save()
+    commit()
+    return feeds.changed_since(e, "at", name)[0].select("event_id")

@@ -2,11 +2,13 @@
 
 import html
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from adweave.functions import storage
+from adweave.functions import sinks, storage
 from adweave.operators import memory, rules
 from adweave.sources.html import html_to_text, unescape
 from adweave.sources.normalise import union_sources
@@ -161,12 +163,60 @@ def test_first_seen_state_has_one_row_for_each_key(spark, tmp_path):
 
 def test_changes_since_the_run_before(spark, tmp_path):
     rows = [("a", START, 1.0), ("b", START + timedelta(hours=1), 1.0), ("c", None, 1.0)]
-    since = lambda x: sorted(r["user"] for r in feeds.changed_since(spark.createDataFrame(x, SCHEMA), "ts", f"since-{tmp_path.name}", "0 minutes").collect())
+
+    def since(x, fails=False):
+        out, commit = feeds.changed_since(spark.createDataFrame(x, SCHEMA), "ts", f"since-{tmp_path.name}", "0 minutes")
+        if not fails:
+            found = sorted(r["user"] for r in out.collect())
+            commit()
+            return found
+
+    since(rows, fails=True)  # a run that failed before it wrote anything
     assert since(rows) == ["a", "b", "c"]
-    assert since([*rows, ("d", START + timedelta(hours=2), 1.0)]) == ["c", "d"]
+    more = [*rows, ("d", START + timedelta(hours=2), 1.0)]
+    since(more, fails=True)
+    assert since(more) == ["c", "d"]
     assert since(rows) == ["c"]
 
 
+def test_two_runs_from_one_mark(spark, tmp_path):
+    feed = spark.createDataFrame([("a", START, 1.0)], SCHEMA)
+    (_, one), (_, two) = (feeds.changed_since(feed, "ts", f"twice-{tmp_path.name}") for _ in range(2))
+    one()
+    with pytest.raises(sinks.VersionTaken):
+        two()
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    """Each writer's rows are in the table, also where both started from one version."""
+    folder = f"{storage.shared_dir(spark)}/writers-{tmp_path.name}"
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    sinks.replace_by_key(rows((1, "a"), (2, "b")), folder, ["k"])
+    calls = []
+
+    def slow(old):
+        calls.append(1)
+        if len(calls) == 1:  # another writer comes in between
+            sinks.replace_by_key(rows((2, "quick"), (3, "c")), folder, ["k"])
+        new = rows((1, "slow"))
+        return old.join(new.select("k"), "k", "left_anti").select("k", "v").unionByName(new)
+
+    sinks.change(spark, folder, "k long, v string", slow)
+    assert len(calls) == 2 and sinks.versions(spark, folder) == [1, 2, 3]
+    assert sorted(map(tuple, sinks.read_newest(spark, folder, "k long, v string").collect())) == [(1, "slow"), (2, "quick"), (3, "c")]
+    with pytest.raises(sinks.VersionTaken):
+        sinks.write_version(rows((9, "z")), folder, 2)
+    rows((7, "lost")).write.parquet(f"{folder}/rows-of-a-lost-writer")  # no claim: no version
+    assert sinks.versions(spark, folder) == [1, 2, 3]
+
+
+def test_writers_at_once(spark, tmp_path):
+    folder = f"{storage.shared_dir(spark)}/threads-{tmp_path.name}"
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: sinks.replace_by_key(spark.createDataFrame([(k, str(k))], "k long, v string"), folder, ["k"]), range(4)))
+    assert sorted(r["k"] for r in sinks.read_newest(spark, folder, "k long, v string").collect()) == [0, 1, 2, 3]
+
+
 def test_written_tables_can_be_released(spark):
     kept = storage.materialise(spark.range(3), "release-test")
     assert kept.count() == 3
