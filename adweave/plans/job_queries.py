@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from adweave.functions.storage import materialise
 from adweave.operators import dedupe, memory, rules, scoring
 from adweave.operators.components import connected_components
-from adweave.plans.adapters import ADS, COPIES, EVIDENCE, JOBS, ads, copies, evidence, jobs, table, utc
+from adweave.plans.adapters import ADS, COPIES, EVIDENCE, JOBS, TOWNS, ads, copies, evidence, jobs, km_sql, table, towns, utc
 from adweave.plans.text_queries import FOLD, NORMALISE
 
 QUERIES: dict = {}
@@ -175,6 +175,24 @@ def d1(spark, d):
     return dedupe.duplicate_edges(ads(spark, d))
 
 
+@query(
+    "d3_same_place",
+    f"""WITH {TOWNS}, a AS (SELECT c_custkey AS id, c_mktsegment AS company, c_custkey % 4 AS title, country, latitude, longitude FROM customer JOIN towns ON town_id = c_custkey)
+    SELECT a.id AS a, b.id AS b FROM a JOIN a b ON a.id < b.id AND a.company = b.company AND a.title = b.title AND a.country = b.country WHERE {km_sql('a', 'b')} <= 30""",
+)
+def d3(spark, d):
+    """Customers as ads that name only their town: towns of different names are one place within 30 km."""
+    from adweave.plans.place_queries import regions
+
+    k = F.col("c_custkey")
+    nothing = F.lit(None).cast("double")
+    rows = table(spark, d, "customer").select(
+        k.alias("ad_id"), k.alias("ordinal"), F.lit("s").alias("source"), k.cast("string").alias("source_job_id"), F.concat(F.lit("Clerk "), (k % 4 + 100).cast("string")).alias("title"), F.col("c_mktsegment").alias("company"),
+        F.concat(F.lit("N"), (F.col("c_nationkey") % 3).cast("string")).alias("country"), F.col("c_name").alias("town"), nothing.alias("latitude"), nothing.alias("longitude"), F.lit("text").alias("description"), F.lit(True).alias("complete"),
+    )
+    return dedupe.duplicate_edges(rows, (towns(spark, d), regions(spark), None))
+
+
 @query("d5_agency_repeats")
 def d5(spark, d):
     a = ads(spark, d)

@@ -68,6 +68,23 @@ def test_duplicate_edges(spark):
     assert got == {(1, 2), (1, 4), (2, 4), (4, 6), (8, 9), (10, 11)}
 
 
+def test_known_towns_are_compared_by_where_they_are(spark):
+    """Salford and Manchester are one place, two Neustadts far apart aren't; unknown names still go by their letters."""
+    towns = spark.createDataFrame(
+        [(1, ["Manchester"], "GB", 53.48, -2.24, 550_000, None, None, None), (2, ["Salford"], "GB", 53.49, -2.29, 100_000, None, None, None), (3, ["Neustadt"], "DE", 49.35, 8.14, 53_000, None, None, None), (4, ["Neustadt am Main"], "DE", 49.93, 9.57, 1_300, None, None, None)],
+        "town_id long, names array<string>, country string, latitude double, longitude double, people long, region string, district string, area string",
+    )
+    regions = spark.createDataFrame([], "code string, level string, country string, names array<string>")
+    at = lambda i, country, town, point=(None, None): (*ad(i, "Koch", country=country, town=town)[:8], *point, "", True, None)
+    rows = [at(1, "GB", "Salford"), at(2, "GB", "Manchester"), at(3, "DE", "Neustadt"), at(4, "DE", "Neustadt am Main"), at(5, "DE", "Neustadt am Fluss"), at(6, "GB", None, (53.5, -2.2)), at(7, "GB", "Leeds", (53.8, -1.55)), at(8, None, "Salford")]
+    frame = spark.createDataFrame(rows, AD)
+    edges = lambda *more: {tuple(sorted(r)) for r in dedupe.duplicate_edges(frame, *more).collect()}
+    with_towns, without = edges((towns, regions, None)), edges()
+    assert with_towns - without == {(1, 2)}
+    assert without - with_towns == {(3, 4), (3, 5), (4, 5)} & (without - with_towns) and (3, 4) in without - with_towns
+    assert (6, 7) not in with_towns and {(1, 6), (2, 6), (1, 8), (6, 8)} <= with_towns
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_duplicate_edges_lose_nothing(spark, seed):
     r = random.Random(seed)
