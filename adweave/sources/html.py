@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+import json
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,32 +11,52 @@ from pyspark.sql import functions as F
 from adweave.functions.text import bound, tidy
 
 #: The names of the HTML standard, and the characters that they stand for.
-ENTITIES = {name: chr(point) for name, point in sorted(name2codepoint.items())} | {"apos": "'"}
+ENTITIES = {name[:-1]: chars for name, chars in sorted(html5.items()) if name.endswith(";")}
+#: Names that the standard knows without a semicolon too, long ones first.
+BARE = sorted((name for name in html5 if not name.endswith(";")), key=lambda n: (-len(n), n))
+#: What numbers of the controls 128 to 159 stand for in pages: Windows' characters where it has one.
+CONTROLS = "".join(bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(128, 160))
 #: Elements that the HTML standard shows as blocks, and the line break.
 BLOCKS = "address|article|aside|blockquote|br|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|header|hgroup|hr|li|main|nav|ol|p|pre|section|table|tr|ul"
 
 
-def _character(point: Column) -> Column:
-    """The character of a code point; the replacement character where there is none."""
-    valid = ((point >= 1) & (point <= 0xD7FF)) | ((point >= 0xE000) & (point <= 0x10FFFF))
-    return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+def _character(digits: Column, base: int) -> Column:
+    """The character of a number as browsers read it: none for controls and other points that no text
+    may have, the replacement character for zero and for what is no code point."""
+    bare = F.regexp_replace(digits, "^0+", "")
+    point = F.when(F.length(bare) > 7, F.lit(0x110000)).otherwise(F.coalesce(F.conv(bare, base, 10).cast("int"), F.lit(0)))
+    no_text = point.between(1, 8) | (point == 11) | point.between(14, 31) | (point == 127) | point.between(0xFDD0, 0xFDEF) | (point.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    return (
+        F.when((point == 0) | point.between(0xD800, 0xDFFF) | (point > 0x10FFFF), F.lit("\ufffd"))
+        .when(point.between(128, 159), F.substring(F.lit(CONTROLS), point - 127, F.lit(1)))
+        .when(no_text, F.lit(""))
+        .otherwise(F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32"))
+    )
 
 
 def unescape(s: Column) -> Column:
-    """Entities as characters: numbers by rule, names by table; each is read once.
-
-    What isn't an entity of the standard stays as it is.
-    """
-    names = F.create_map(*(F.lit(x) for kv in ENTITIES.items() for x in kv))
+    """Entities as characters, as the HTML standard has browsers read them: numbers by rule, names by
+    table, some also without a semicolon; each is read once.  What isn't an entity stays as it is."""
+    names = F.from_json(F.lit(json.dumps(ENTITIES)), "map<string,string>")  # one literal, folded to a map
 
     def decoded(part: Column) -> Column:
-        body = F.regexp_extract(part, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});", 1)
-        number = F.when(body.rlike("^#[0-9]"), F.substring(body, 2, 9).cast("bigint")).when(body.rlike("^#[xX]"), F.conv(F.substring(body, 3, 8), 16, 10).cast("bigint"))
-        char = F.when(number.isNotNull(), _character(number)).otherwise(F.try_element_at(names, body))
-        return F.when(char.isNull(), F.concat(F.lit("&"), part)).otherwise(F.concat(char, F.substr(part, F.length(body) + 2)))
+        cut = lambda pattern: F.regexp_extract(part, pattern, 0)
+        inside = lambda pattern: F.regexp_extract(part, pattern, 1)
+        decimal, hexadecimal, named, bare = "^#([0-9]+);?", "^#[xX]([0-9a-fA-F]+);?", "^([A-Za-z][A-Za-z0-9]{1,31});", f"^({'|'.join(BARE)})"
+        after = lambda char, whole: F.concat(char, F.substr(part, F.length(whole) + 1))
+        by_name = F.try_element_at(names, inside(named))
+        return (
+            F.when(part.rlike("^#[0-9]"), after(_character(inside(decimal), 10), cut(decimal)))
+            .when(part.rlike("^#[xX][0-9a-fA-F]"), after(_character(inside(hexadecimal), 16), cut(hexadecimal)))
+            .when(part.startswith("amp;"), F.concat(F.lit("&"), F.substring(part, 5, 1 << 30)))
+            .when(part.startswith("nbsp;"), F.concat(F.lit("\u00a0"), F.substring(part, 6, 1 << 30)))
+            .when(by_name.isNotNull(), after(by_name, cut(named)))
+            .when(inside(bare) != "", after(F.try_element_at(names, inside(bare)), inside(bare)))
+            .otherwise(F.concat(F.lit("&"), part))
+        )
 
     def read(parts: Column) -> Column:
-        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded), ""))
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: decoded(x)), ""))
 
     return F.when(s.contains("&"), bound(F.split(s, "&"), read)).otherwise(s)
 
