@@ -215,12 +215,13 @@ class Plan:
     rounded: float
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, tilts: tuple[float, ...] = (0.0, 0.03)) -> Plan:
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, gap: float = 0.002, tilts: tuple[float, ...] = (0.0, 0.03, 0.1, 0.3)) -> Plan:
     """The plan for a histogram of lengths from 1 to ``capacity``.
 
     The program is solved and rounded with one tilt of the weights after the
     other; the plan with the fewest sequences is taken, at once where it has as
-    few as the bound allows any packing.  The plan's
+    few as the bound allows any packing.  The first two are always tried, the
+    costlier others only where the best plan is over ``gap`` above the bound.  The plan's
     size depends on the number of lengths, not on the pieces.
     """
     lengths = np.array(sorted(k for k, n in histogram.items() if n), dtype=np.int64)
@@ -228,7 +229,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, tilts: t
     if not len(lengths):
         return Plan([], 0, 0.0, 0.0, 1.0)
     best, bound, program = None, 0.0, float("inf")
-    for tilt in tilts:
+    for k, tilt in enumerate(tilts):
         used, low = cover(lengths, counts, capacity, False, tilt)
         bound, program = max(bound, low), min(program, float(sum(x for _, x in used)))
         rounded = [(config, int(amount + 1e-9)) for config, amount in used]
@@ -241,7 +242,7 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, tilts: t
         sequences = sum(times for _, times in rounded)
         if best is None or sequences < best[0]:
             best = sequences, rounded, 1 - float(left.sum() / counts.sum())
-        if best[0] <= np.ceil(bound - 1e-9):
+        if best[0] <= np.ceil(bound - 1e-9) or (k > 0 and best[0] <= (1 + gap) * bound):
             break
     taken, moves, sequence = np.zeros(len(lengths), dtype=np.int64), [], 0
     for config, times in best[1]:
