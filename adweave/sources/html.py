@@ -58,14 +58,17 @@ def unescape(s: Column) -> Column:
     def read(parts: Column) -> Column:
         return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: decoded(x)), ""))
 
-    return F.when(s.contains("&"), bound(F.split(s, "&"), read)).otherwise(s)
+    return bound(s, lambda x: F.when(x.contains("&"), bound(F.split(x, "&"), read)).otherwise(x))
 
 
 def _strip(s: Column) -> Column:
-    bare = F.regexp_replace(s, "(?is)<(script|style|noscript)\\b.*?</\\1\\s*>|<!--.*?-->|<![^>]*>", " ")
-    bare = F.regexp_replace(bare, "(?i)<li\\b[^>]*>", "\n• ")
-    bare = F.regexp_replace(bare, f"(?i)</?(?:{BLOCKS})\\b[^>]*>", "\n")
-    return F.when(s.contains("<"), F.regexp_replace(bare, "<[^<>]*>", "")).otherwise(s)
+    def without_tags(x: Column) -> Column:
+        bare = F.regexp_replace(x, "(?is)<(script|style|noscript)\\b.*?</\\1\\s*>|<!--.*?-->|<![^>]*>", " ")
+        bare = F.regexp_replace(bare, "(?i)<li\\b[^>]*>", "\n• ")
+        bare = F.regexp_replace(bare, f"(?i)</?(?:{BLOCKS})\\b[^>]*>", "\n")
+        return F.regexp_replace(bare, "<[^<>]*>", "")
+
+    return bound(s, lambda x: F.when(x.contains("<"), without_tags(x)).otherwise(x))
 
 
 def html_to_text(s: Column) -> Column:
@@ -96,8 +99,7 @@ def start_tag(tag: str, attribute: str = "", named: str = "") -> str:
 
 def _seen(html: Column) -> Column:
     """A page without comments and scripts; null is an empty page."""
-    whole = F.coalesce(html, F.lit(""))
-    return F.when(whole.rlike("(?i)<!--|<script|<style"), F.regexp_replace(whole, UNSEEN, " ")).otherwise(whole)
+    return bound(F.coalesce(html, F.lit("")), lambda x: F.when(x.rlike("(?i)<!--|<script|<style"), F.regexp_replace(x, UNSEEN, " ")).otherwise(x))
 
 
 def element(html: Column, start: str | Column) -> Column:
@@ -142,7 +144,7 @@ def elements(html: Column, start: str) -> Column:
 def attribute(tag: Column, name: str) -> Column:
     """The value of an attribute in a start tag, or null."""
     quoted = f"(?is)\\s{name}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)')"
-    value = F.concat(F.regexp_extract(tag, quoted, 1), F.regexp_extract(tag, quoted, 2))
+    value = bound(tag, lambda t: F.concat(F.regexp_extract(t, quoted, 1), F.regexp_extract(t, quoted, 2)))
     return bound(F.trim(unescape(value)), lambda v: F.nullif(v, F.lit("")))
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adweave.functions import dates as D
-from adweave.functions.text import bound
+from adweave.functions.storage import materialise
+from adweave.functions.text import bound, once
 from adweave.operators.places import countries_in
 from adweave.sources.html import attribute, element, elements, html_to_text, start_tag, unescape
 from adweave.sources.normalise import FREE, FULL, INTERN, FIXED, PART, SHAPE
@@ -38,11 +39,11 @@ def inner(block: Column, tag: str, named: str) -> Column:
 def hidden(block: Column, name: str) -> Column:
     """The value of a form's hidden field."""
     tag = F.regexp_extract(block, f"(?is)<input\\b[^>]*\\bid=[\"']{name}[\"'][^>]*>", 0)
-    return F.nullif(F.trim(unescape(F.regexp_extract(tag, "(?is)\\bvalue=[\"']([^\"']*)[\"']", 1))), F.lit(""))
+    return bound(F.trim(unescape(F.regexp_extract(tag, "(?is)\\bvalue=[\"']([^\"']*)[\"']", 1))), lambda v: F.nullif(v, F.lit("")))
 
 
 def _shaped(name: str, rows: DataFrame, **cols: Column) -> DataFrame:
-    out = rows.select(F.lit(name).alias("source"), *(cols.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in SHAPE.items()))
+    out = once(rows.select(F.lit(name).alias("source"), *(cols.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in SHAPE.items())))
     return out.where((F.coalesce("source_job_id", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != ""))
 
 
@@ -55,34 +56,37 @@ def euraxess_list(pages: DataFrame, place_names: DataFrame, site: str = "") -> D
     rows = pages.select(F.explode(blocks(F.col("payload"), "<div\\b[^>]*\\bid=[\"']job-teaser-content[\"']")).alias("b"))
     link = F.coalesce(element(F.col("b"), start_tag("h3", "class", "ecl-content-block__title"))["content"], F.lit(""))
     metas = elements(F.col("b"), start_tag("li", "class", "ecl-content-block__primary-meta-item"))
-    rows = rows.select(
-        "b", link.alias("link"), F.regexp_extract(link, "(?is)<a\\b[^>]*\\bhref=[\"']([^\"']+)[\"']", 1).alias("path"), F.array_join(metas, "\n").alias("metas"),
-        F.transform(elements(F.col("b"), start_tag("span", "class", "ecl-label")), lambda x: F.trim(html_to_text(x))).alias("labels"),
-    ).where("path <> ''")
-    named = rows.select(F.explode("labels").alias("text"))
-    by_label = countries_in(named, place_names).select("text", F.explode("countries").alias("code"))
-    of = rows.select("labels").distinct().withColumn("text", F.explode("labels")).join(by_label, "text").groupBy("labels").agg(F.collect_set("code").alias("codes"))
-    rows = rows.join(of, "labels", "left")
+    rows = once(rows.select("b", link.alias("link"), F.array_join(metas, "\n").alias("metas"), F.transform(elements(F.col("b"), start_tag("span", "class", "ecl-label")), lambda x: F.trim(html_to_text(x))).alias("labels")))
     posted = F.regexp_extract(html_to_text(F.col("metas")), "Posted on:\\s*(\\d{1,2}\\s+\\w+\\s+\\d{4})", 1)
+    day = F.to_date(F.try_to_timestamp(F.regexp_replace(posted, "\\s+", " "), F.lit("d MMMM yyyy")))
+    rows = once(rows.select("*", F.regexp_extract("link", "(?is)<a\\b[^>]*\\bhref=[\"']([^\"']+)[\"']", 1).alias("path"), day.alias("day"))).where("path <> ''")
+    # pages are read once; what follows reads the labels three times
+    rows = materialise(rows, "euraxess-blocks")
+    lists = materialise(rows.select("labels").distinct(), "euraxess-labels")
+    by_label = countries_in(lists.select(F.explode("labels").alias("text")), place_names).select("text", F.explode("countries").alias("code"))
+    of = lists.withColumn("text", F.explode("labels")).join(by_label, "text").groupBy("labels").agg(F.collect_set("code").alias("codes"))
+    rows = rows.join(of, "labels", "left")
     place = F.regexp_replace(F.regexp_replace(inner(F.col("b"), "div", "id-Work-Locations"), "\\s+", " "), "^Work Locations: ?|Number of offers: ?\\d+,? ?", "")
     return _shaped(
         "euraxess", rows, source_job_id=F.regexp_extract("path", "([^/]+)/*$", 1), url=F.when(F.startswith("path", F.lit("/")), F.concat(F.lit(site), "path")).otherwise(F.col("path")), title=F.trim(html_to_text(F.col("link"))),
         company=F.nullif(F.trim(html_to_text(F.regexp_extract("metas", "(?is)<a\\b[^>]*>(.*?)</a\\s*>", 1))), F.lit("")), location_text=F.coalesce(F.nullif(F.btrim(place, F.lit(" ,")), F.lit("")), F.try_element_at("labels", F.lit(-1))),
         country=F.when(F.size("codes") == 1, F.col("codes")[0]), description=inner(F.col("b"), "div", "ecl-content-block__description"), description_is_complete=F.lit(False),
-        **_day(F.to_date(F.try_to_timestamp(F.regexp_replace(posted, "\\s+", " "), F.lit("d MMMM yyyy")))),
+        **_day(F.col("day")),
     )
 
 
 def jobsacuk_list(pages: DataFrame, site: str = "") -> DataFrame:
     """University jobs.  Pages have ``seen_on`` too, from which the year of "27 Aug" follows."""
     rows = pages.select(F.to_date("seen_on").alias("seen"), F.explode(blocks(F.col("payload"), "<div\\b[^>]*\\bclass=[\"'][^\"']*j-search-result__result[^\"']*[\"']")).alias("b"))
-    rows = rows.select("*", F.regexp_extract("b", "(?is)<a\\b[^>]*\\bhref=[\"'](/job/[^\"']*)[\"'][^>]*>(.*?)</a\\s*>", 1).alias("path"), html_to_text(F.col("b")).alias("text")).where("path <> ''")
-    written = F.nullif(F.regexp_extract("text", "Date Placed:?\\s*(\\d{1,2}\\s+[A-Za-z]{3})", 1), F.lit(""))
+    rows = once(rows.select("*", F.regexp_extract("b", "(?is)<a\\b[^>]*\\bhref=[\"'](/job/[^\"']*)[\"'][^>]*>(.*?)</a\\s*>", 1).alias("path"), html_to_text(F.col("b")).alias("text"))).where("path <> ''")
+    written = F.regexp_replace(F.nullif(F.regexp_extract("text", "Date Placed:?\\s*(\\d{1,2}\\s+[A-Za-z]{3})", 1), F.lit("")), "\\s+", " ")
+    rows = rows.withColumn("written", written)
+    rows = once(rows.withColumn("day", D.day_without_year(F.col("written"), F.col("seen"))))
     salary = F.filter(F.transform(F.split(F.regexp_replace(inner(F.col("b"), "div", "j-search-result__info"), "^Salary:", ""), "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return _shaped(
         "jobsacuk", rows, source_job_id=F.coalesce(F.nullif(F.regexp_extract("b", "^<div\\b[^>]*\\bdata-advert-id=[\"']([^\"']+)[\"']", 1), F.lit("")), "path"), url=F.concat(F.lit(site), "path"),
         title=F.trim(html_to_text(F.regexp_extract("b", "(?is)<a\\b[^>]*\\bhref=[\"']/job/[^\"']*[\"'][^>]*>(.*?)</a\\s*>", 1))), company=inner(F.col("b"), "div", "j-search-result__employer"),
-        location_text=F.nullif(F.trim(F.regexp_extract("text", "(?m)^Location:[ \\t]*(.*)$", 1)), F.lit("")), salary_text=F.nullif(F.array_join(salary, " · "), F.lit("")), **_day(D.day_without_year(F.regexp_replace(written, "\\s+", " "), F.col("seen"))),
+        location_text=F.nullif(F.trim(F.regexp_extract("text", "(?m)^Location:[ \\t]*(.*)$", 1)), F.lit("")), salary_text=F.nullif(F.array_join(salary, " · "), F.lit("")), **_day(F.col("day")),
     )
 
 
@@ -97,12 +101,12 @@ def jobsireland_list(pages: DataFrame, site: str = "") -> DataFrame:
     and are joined by id, the first of an id; a job closes at the end of its Irish day."""
     spots = F.transform(F.regexp_extract_all(F.regexp_extract("payload", "(?is)<ul\\b[^>]*\\bid=[\"']longlats[\"'][^>]*>(.*?)</ul\\s*>", 1), F.lit("(?is)<li[^>]*>([^<]*)"), F.lit(1)), lambda x: F.split(x, ";"))
     rows = pages.select(F.filter(spots, lambda p: F.size(p) > 2).alias("spots"), F.explode(blocks(F.col("payload"), "<div\\b(?=[^>]*\\bdata-vacancyid)[^>]*\\bclass=[\"'][^\"']*job-heading[^\"']*[\"']")).alias("b"))
-    rows = rows.withColumn("id", hidden(F.col("b"), "JobId")).where(F.col("id").rlike("^\\d+$"))
-    rows = rows.withColumn("spot", F.get(F.filter("spots", lambda p: F.trim(F.element_at(p, -2)) == F.col("id")), F.lit(0)))
-    number = lambda i: F.trim(F.get("spot", F.lit(i))).try_cast("double")
-    posted, closing = _irish(hidden(F.col("b"), "StartDate")), _irish(hidden(F.col("b"), "EndDate"))
+    rows = once(rows.select("*", *(hidden(F.col("b"), field).alias(name) for name, field in (("id", "JobId"), ("starts", "StartDate"), ("ends", "EndDate"), ("kind", "VacancyTypeId"))))).where(F.col("id").rlike("^\\d+$"))
+    spot = F.get(F.filter("spots", lambda p: F.trim(F.element_at(p, -2)) == F.col("id")), F.lit(0))
     kinds = F.create_map(*(F.lit(x) for kv in IRISH_KINDS.items() for x in kv))
-    kind = F.try_element_at(kinds, hidden(F.col("b"), "VacancyTypeId"))
+    rows = once(rows.select("b", "id", spot.alias("spot"), _irish(F.col("starts")).alias("starts"), _irish(F.col("ends")).alias("ends"), F.try_element_at(kinds, F.col("kind")).alias("kind")))
+    number = lambda i: F.trim(F.get("spot", F.lit(i))).try_cast("double")
+    posted, closing, kind = F.col("starts"), F.col("ends"), F.col("kind")
     return _shaped(
         "jobsireland", rows, source_job_id=F.col("id"), url=F.concat(F.lit(f"{site}/en-US/job-Details?id="), "id"), title=hidden(F.col("b"), "JobTitle"), location_text=F.nullif(F.btrim(hidden(F.col("b"), "Location"), F.lit(" ,")), F.lit("")),
         company=F.nullif(F.trim(unescape(F.regexp_extract("b", "(?is)<img\\b[^>]*\\balt=[\"']Logo of ([^\"']*)[\"']", 1))), F.lit("")), country=F.lit("IE"), latitude=F.when(number(1).isNotNull(), number(0)), longitude=F.when(number(0).isNotNull(), number(1)),
@@ -140,10 +144,12 @@ def jobsireland_details(pages: DataFrame) -> DataFrame:
     """
     text = html_to_text(element(F.col("payload"), start_tag("pre", "ng-bind-html", "Description"))["content"])
     listed = element(F.col("payload"), start_tag("ul", "class", "job-detail_list"))["content"]
-    items = elements(listed, start_tag("li"))
-    rows = pages.select("source_job_id", text.alias("description"), F.transform(items, lambda x: F.struct(F.lower(attribute(element(x, start_tag("img"))["tag"], "alt")).alias("icon"), F.nullif(F.trim(html_to_text(element(x, "(?is)<div\\b(?![^>]*\\bclass=)[^>]*>")["content"])), F.lit("")).alias("text"))).alias("facts"))
+    items = elements(F.col("listed"), start_tag("li"))
+    rows = once(pages.select("source_job_id", text.alias("description"), listed.alias("listed"))).where("description <> ''")
+    rows = rows.select("source_job_id", "description", F.transform(items, lambda x: F.struct(F.lower(attribute(element(x, start_tag("img"))["tag"], "alt")).alias("icon"), F.nullif(F.trim(html_to_text(element(x, "(?is)<div\\b(?![^>]*\\bclass=)[^>]*>")["content"])), F.lit("")).alias("text"))).alias("facts"))
     fact = lambda name: F.get(F.filter("facts", lambda x: x["icon"].contains(name) & x["text"].isNotNull()), F.lit(0))["text"]
-    return rows.where("description <> ''").select("source_job_id", "description", fact("employer").alias("company"), types_from_hours(fact("hours")).alias("job_types"), euro_salary(fact("euro")).alias("salary_text"))
+    rows = once(once(rows).select("source_job_id", "description", fact("employer").alias("company"), fact("hours").alias("hours"), fact("euro").alias("euro")))
+    return rows.select("source_job_id", "description", "company", types_from_hours(F.col("hours")).alias("job_types"), euro_salary(F.col("euro")).alias("salary_text"))
 
 
 def with_irish_details(ads: DataFrame, details: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adweave.functions import dates as D
-from adweave.functions.text import normalise
+from adweave.functions.text import bound, normalise, once
 from adweave.operators.places import town_names
 from adweave.sources.html import fact, job_posting, marked
 
@@ -53,10 +53,9 @@ def jobs_of_addresses(urls: DataFrame, towns: DataFrame) -> DataFrame:
 
 def date_posted(page: Column) -> Column:
     """The posting time that a page marks, in either of the usual forms, else that of its linked data."""
-    said = marked(page, "datePosted")
     # "Wed Sep 09 02:00:00 UTC 2026": the weekday is cut, Spark doesn't read it
-    long = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(said, "^[A-Za-z]{3} ", ""), " [A-Z]{2,4} (?=\\d{4}$)", " "), F.lit("MMM dd HH:mm:ss yyyy"))
-    return F.coalesce(long, D.parse_iso(said), D.parse_iso(fact(job_posting(page), "$.datePosted")))
+    long = lambda said: F.try_to_timestamp(F.regexp_replace(F.regexp_replace(said, "^[A-Za-z]{3} ", ""), " [A-Z]{2,4} (?=\\d{4}$)", " "), F.lit("MMM dd HH:mm:ss yyyy"))
+    return F.coalesce(bound(marked(page, "datePosted"), lambda said: F.coalesce(long(said), D.parse_iso(said))), D.parse_iso(fact(job_posting(page), "$.datePosted")))
 
 
 def with_page_marks(jobs: DataFrame, pages: DataFrame, country_names: Column) -> DataFrame:
@@ -69,8 +68,9 @@ def with_page_marks(jobs: DataFrame, pages: DataFrame, country_names: Column) ->
     read = pages.dropDuplicates(["url"]).select(
         "url", marked(p, "title").alias("_title"), marked(p, "hiringOrganization").alias("_company"), F.coalesce(marked(p, "streetAddress"), marked(p, "addressLocality")).alias("_place"), marked(p, "description").alias("description"), date_posted(p).alias("_at")
     )
+    read = once(read)
     shown, code = stated_place(F.col("_place"), country_names)
-    out = jobs.join(read, "url").withColumns({"_shown": shown, "_code": code})
+    out = once(jobs.join(read, "url").withColumns({"_shown": shown, "_code": code}))
     return out.select(
         "board", "url", "source_job_id", F.coalesce(F.regexp_replace("_title", "\\s+", " "), "title").alias("title"), F.col("_company").alias("company"), F.coalesce("_shown", "location_text").alias("location_text"), F.coalesce("_code", "country").alias("country"),
         F.coalesce("description", F.lit("")).alias("description"), F.col("description").isNotNull().alias("description_is_complete"), D.day_at_utc(F.col("_at")).alias("posted_at"), F.when(F.col("_at").isNull(), "unknown").otherwise("day").alias("date_precision"),
