@@ -27,3 +27,39 @@ def test_elements_are_looked_for_once(spark, source):
     run, mark = made[source]
     # the pattern of a start tag names its attribute twice or three times, for both quotes and the lookahead
     assert 1 <= plan(run()).count(mark) <= 8
+
+
+def test_titles_are_compared_once_and_places_by_cells(spark):
+    """Pairs against all pairs, where each mix of coordinates, towns and names occurs; equal titles cost one row."""
+    import math
+    import random
+
+    from adweave.operators import dedupe
+
+    rng = random.Random(7)
+    rows = []
+    for i in range(240):
+        own, town = rng.random() < 0.4, rng.random() < 0.5
+        spot = lambda yes: (50 + rng.random(), 8 + rng.random()) if yes else (None, None)
+        rows.append((i, i, rng.random() < 0.2, "acme", "", "", rng.choice(["clerk of sales", "clerk for sales", "clerks of sales", "cook"]), rng.choice(["DE", "AT", None]), rng.choice(["", "bonn", "bonn beuel", "ulm"]), *spot(own), *spot(town)))
+    small = spark.createDataFrame(rows, "ad_id long, ordinal long, agency boolean, company_key string, levels string, numbers string, t string, country string, town string, latitude double, longitude double, t_lat double, t_lon double")
+    small = small.withColumn("words", F.array_distinct(F.split("t", " ")))
+
+    def km(a, b):
+        p, q = math.radians(a[0]), math.radians(b[0])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(math.sqrt(h))
+
+    def one_place(a, b):
+        if a[7] and b[7] and a[7] != b[7]:
+            return False
+        for k in (9, 11):
+            if a[k] is not None and b[k] is not None:
+                return km(a[k : k + 2], b[k : k + 2]) <= 30
+        return not a[8] or not b[8] or a[8] in b[8] or b[8] in a[8]
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and dedupe.title_ratio(a[6], b[6]) >= 85 and one_place(a, b)}
+    got = [(r["a"], r["b"]) for r in dedupe.candidate_pairs(small).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert dedupe.like_titles(small).count() <= 16
+
