@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from adweave.functions.geo import edge_distance, haversine_km
+from adweave.functions.geo import edge_distance, haversine_km, reach_km
 from adweave.functions.text import normalise
-from adweave.operators.places import find_region, town_names, within
+from adweave.operators.places import SPOT, by_spot, find_region, of_spots, to_points, town_names, within
 
 #: The fastest that a mode of travel gets on, in km/h.
 FASTEST = {"train": 220, "car": 120, "bike": 25, "walk": 7}
@@ -58,9 +58,10 @@ def fits(kind: Column, people: Column, least: Column, listed: Column, excepted:
 
 def near_km(points: DataFrame, anchors: DataFrame, max_km: float, to_centre: bool = False) -> DataFrame:
     """``point_id, answer``: yes if the edge of an anchor is near enough, else no."""
-    circles = anchors.select(F.col("town_id").alias("circle_id"), "country", "latitude", "longitude", "people", F.lit(max_km + 60.0).alias("km"))
-    close = within(points, circles).where(edge_distance(F.col("distance"), F.col("people"), to_centre) <= max_km)
-    hit = close.select("point_id").distinct().withColumn("hit", F.lit(True))
+    reach = F.lit(max_km + 0.001) if to_centre else max_km + reach_km(F.col("people")) + 0.001
+    circles = by_spot(anchors).select(F.col("town_id").alias("circle_id"), *SPOT, "people", reach.alias("km"))
+    close = within(of_spots(points), circles).where(edge_distance(F.col("distance"), F.col("people"), to_centre) <= max_km)
+    hit = to_points(points, close.select("point_id").distinct()).select("point_id").distinct().withColumn("hit", F.lit(True))
     return points.select("point_id").join(hit, "point_id", "left").select("point_id", F.when(F.col("hit"), "yes").otherwise("no").alias("answer"))
 
 
@@ -74,9 +75,10 @@ def near_minutes(asked: DataFrame, measured: DataFrame, limit: int) -> DataFrame
 def travel_candidates(points: DataFrame, anchors: DataFrame, minutes: int, mode: str, k: int = 2) -> DataFrame:
     """The ``k`` nearest anchors that ``mode`` could reach in time at its fastest."""
     reach = minutes / 60.0 * FASTEST[mode]
-    circles = anchors.select(F.col("town_id").alias("circle_id"), "country", "latitude", "longitude", F.lit(reach).alias("km"))
-    w = Window.partitionBy("point_id").orderBy("distance", "circle_id")
-    return within(points, circles).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("point_id", F.col("circle_id").alias("town_id"), "distance", "place")
+    circles = by_spot(anchors, k).select("ids", *SPOT, F.lit(reach).alias("km"))
+    w = Window.partitionBy("point_id").orderBy("distance", "town_id")
+    met = within(of_spots(points), circles).select("point_id", "distance", F.explode("ids").alias("town_id"))
+    return to_points(points, met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)).select("point_id", "town_id", "distance", "place")
 
 
 def recall_travel(candidates: DataFrame, memory: DataFrame, now: Column, days: int = 30) -> tuple[DataFrame, DataFrame]:

@@ -99,6 +99,38 @@ def within(points: DataFrame, circles: DataFrame, km: str = "km") -> DataFrame:
     return both.where(F.col("distance") <= F.col(km)).drop("c_lat", "c_lon")
 
 
+SPOT = ["country", "latitude", "longitude"]
+
+
+def by_spot(towns: DataFrame, least_ids: int = 1) -> DataFrame:
+    """The towns of each spot as one row: ``country, latitude, longitude, people, town_id, ids``.
+
+    ``town_id`` has most ``people`` (ties: the least id), and what that one
+    doesn't reach no other of the spot does; ``ids`` are the spot's least ones, in order.
+    """
+    best = F.struct("people", (-F.col("town_id")).alias("o"))
+    if least_ids == 1:
+        ids = F.array(F.min("town_id"))
+        return towns.groupBy(*SPOT).agg(F.max("people").alias("people"), F.max_by("town_id", best).alias("town_id"), ids.alias("ids"))
+    # least ids are found part by part, so a spot with very many towns is no large group
+    part = F.pmod(F.xxhash64("town_id"), F.lit(64))
+    few = lambda c: F.slice(F.array_sort(c), 1, least_ids)
+    w = Window.partitionBy(*SPOT, part).orderBy("town_id")
+    first = towns.withColumn("_n", F.row_number().over(w))
+    return first.groupBy(*SPOT).agg(F.max("people").alias("people"), F.max_by("town_id", best).alias("town_id"), few(F.collect_list(F.when(F.col("_n") <= least_ids, F.col("town_id")))).alias("ids"))
+
+
+def of_spots(points: DataFrame) -> DataFrame:
+    """Each different spot of points once, as ``point_id`` (its country and coordinates)."""
+    spots = points.select(*SPOT).where("latitude IS NOT NULL AND longitude IS NOT NULL").distinct()
+    return spots.select(F.struct(*SPOT).alias("point_id"), *SPOT)
+
+
+def to_points(points: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` of spots for the points that stand there."""
+    return points.select("point_id", *SPOT).join(found.select("*", "point_id.*").drop("point_id"), SPOT).drop(*SPOT)
+
+
 #: Half the way round the earth: no ring is wider.
 WIDEST_KM = 20_038.0
 
@@ -112,7 +144,8 @@ def nearest_by_rings(points: DataFrame, towns: DataFrame, first_km: float = 100.
     in the ring is done, the others go on with twice the ring.  Points of
     countries without towns, or without coordinates, have no row.
     """
-    centres = towns.select("town_id", "country", F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon"))
+    centres = towns.groupBy("country", F.col("latitude").alias("q_lat"), F.col("longitude").alias("q_lon")).agg(F.min("town_id").alias("town_id"))
+    centres = materialise(centres, "rings-centres")
     spot = ["country", "latitude", "longitude"]
     spots = points.select(*spot).where("latitude IS NOT NULL AND longitude IS NOT NULL").distinct()
     still = materialise(spots.join(centres.select("country").distinct(), "country", "left_semi"), "rings-open")
@@ -139,8 +172,9 @@ def town_at(points: DataFrame, towns: DataFrame) -> DataFrame:
     Points are (point_id, country, latitude, longitude); those without
     coordinates, or in a country without towns, have no row.
     """
-    circles = towns.select(F.col("town_id").alias("circle_id"), "country", "latitude", "longitude", "people", reach_km(F.col("people")).alias("km"))
-    inside = within(points, circles).groupBy("point_id").agg(F.max_by("circle_id", F.struct("people", (-F.col("circle_id")).alias("o"))).alias("town_id"))
+    circles = by_spot(towns).select(F.col("town_id").alias("circle_id"), *SPOT, "people", reach_km(F.col("people")).alias("km"))
+    inside = within(of_spots(points), circles).groupBy("point_id").agg(F.max_by("circle_id", F.struct("people", (-F.col("circle_id")).alias("o"))).alias("town_id"))
+    inside = materialise(to_points(points, inside), "towns-inside")
     rest = points.join(inside, "point_id", "left_anti")
     return inside.unionByName(nearest_by_rings(rest, towns).select("point_id", "town_id"))
 
@@ -148,7 +182,7 @@ def town_at(points: DataFrame, towns: DataFrame) -> DataFrame:
 def part_of(towns: DataFrame, least: int = 50_000) -> DataFrame:
     """``town_id, part_of``: the biggest larger town, of ``least`` people on, that reaches it."""
     points = towns.select(F.col("town_id").alias("point_id"), "country", "latitude", "longitude", F.col("people").alias("own"))
-    big = towns.where(F.col("people") >= least).select(F.col("town_id").alias("circle_id"), "country", "latitude", "longitude", "people", reach_km(F.col("people")).alias("km"))
+    big = by_spot(towns.where(F.col("people") >= least)).select(F.col("town_id").alias("circle_id"), *SPOT, "people", reach_km(F.col("people")).alias("km"))
     found = within(points, big).where(F.col("people") > F.col("own"))
     return found.groupBy(F.col("point_id").alias("town_id")).agg(F.max_by("circle_id", F.struct("people", (-F.col("circle_id")).alias("o"))).alias("part_of"))
 

@@ -63,3 +63,16 @@ def test_titles_are_compared_once_and_places_by_cells(spark):
     assert len(got) == len(set(got)) and set(got) == want and want
     assert dedupe.like_titles(small).count() <= 16
 
+
+def test_towns_of_one_spot_meet_a_point_as_one(spark):
+    """Many towns at a spot: the answers of all pairs, by joins that see the spot once."""
+    from adweave.operators import conditions, places
+
+    town = spark.range(400).select(F.col("id").alias("town_id"), F.lit("N").alias("country"), (50 + F.col("id") % 4 / 10).alias("latitude"), F.lit(8.0).alias("longitude"), (F.col("id") * 37 % 400 * 1000).alias("people"))
+    point = spark.range(100).select(F.col("id").alias("point_id"), F.lit("N").alias("country"), (50 + F.col("id") % 5 / 10).alias("latitude"), F.lit(8.01).alias("longitude"))
+    assert places.by_spot(town).count() == 4
+    got = conditions.travel_candidates(point, town, 30, "car")
+    assert {(r["point_id"], r["place"], r["town_id"]) for r in got.where("point_id IN (0, 1)").collect()} == {(0, 1, 0), (0, 2, 4), (1, 1, 1), (1, 2, 5)} and got.count() == 200
+    assert {r["answer"] for r in conditions.near_km(point, town, 12.0).collect()} == {"yes"}
+    best = {k: max((i * 37 % 400 * 1000, -i) for i in range(400) if i % 4 == k)[1] * -1 for k in range(4)}
+    assert {r["town_id"] for r in places.town_at(point.where("point_id % 5 < 4"), town).collect()} <= set(best.values())
