@@ -71,8 +71,11 @@ def languages_for(countries: DataFrame) -> DataFrame:
     """
     narrow = F.array_intersect("languages", F.coalesce("place_languages", F.array().cast("array<string>")))
     own = F.when((F.size("languages") > 1) & (F.size(narrow) > 0), narrow).otherwise(F.col("languages"))
-    rows = countries.select("search_id", F.struct("ordinal", own.alias("own")).alias("r")).groupBy("search_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    return rows.select("search_id", F.array_distinct(F.concat(F.array(F.lit("en")), F.flatten("rows.own"))).alias("languages"))
+    rows = countries.select("search_id", F.struct("ordinal", own.alias("own")).alias("r")).groupBy("search_id").agg(F.collect_list("r").alias("rows"))
+    # countries of one ordinal take turns: first their first languages, by name, then their second ones
+    spoken = F.flatten(F.transform("rows", lambda r: F.transform(F.coalesce(r["own"], F.array().cast("array<string>")), lambda x, i: F.struct(r["ordinal"].alias("ordinal"), i.alias("place"), x.alias("language")))))
+    ordered = F.transform(F.array_sort(spoken), lambda x: x["language"])
+    return rows.select("search_id", F.array_distinct(F.concat(F.array(F.lit("en")), ordered)).alias("languages"))
 
 
 def shown_counts(results: DataFrame) -> DataFrame:

@@ -63,3 +63,9 @@ def test_agency_repeats_equal_all_pairs(spark):
                 if s and t and len(s & t) >= 0.5 * min(len(s), len(t)):
                     want[a[0]] = min(b[1], want.get(a[0], 10**9))
     assert got == want and len(want) > 3
+
+
+def test_languages_of_countries_with_one_ordinal_take_turns(spark):
+    rows = [(1, 5, ["fr", "de", "it"], []), (1, 5, ["nl", "fr", "de"], []), (2, 7, ["es"], []), (2, 3, ["en", "ga"], ["ga"]), (3, 1, [], None)]
+    got = results.languages_for(spark.createDataFrame(rows, "search_id int, ordinal long, languages array<string>, place_languages array<string>"))
+    assert {r["search_id"]: r["languages"] for r in got.collect()} == {1: ["en", "fr", "nl", "de", "it"], 2: ["en", "ga", "es"], 3: ["en"]}
