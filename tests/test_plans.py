@@ -76,3 +76,14 @@ def test_towns_of_one_spot_meet_a_point_as_one(spark):
     assert {r["answer"] for r in conditions.near_km(point, town, 12.0).collect()} == {"yes"}
     best = {k: max((i * 37 % 400 * 1000, -i) for i in range(400) if i % 4 == k)[1] * -1 for k in range(4)}
     assert {r["town_id"] for r in places.town_at(point.where("point_id % 5 < 4"), town).collect()} <= set(best.values())
+
+
+def test_terms_of_several_words_carry_no_sets(spark):
+    """Each other word of a term is looked up, an ad's whole set of words isn't joined to each term."""
+    from adweave.operators import rules
+
+    ads = spark.createDataFrame([(1, "red blue cook", "green tea", ["en"]), (2, "red cook", "blue green", ["en"]), (3, None, "red blue green", ["en"])], "ad_id long, title string, description string, languages array<string>")
+    terms = spark.createDataFrame([("blue red", "en", "job_title"), ("blue green red", "en", "field_or_skill"), ("tea", "en", "field_or_skill"), ("cook red blue", "en", "job_title"), ("blue red", "de", "job_title")], "text string, language string, kind string")
+    hits = rules.term_hits(ads, terms)
+    assert {(r["ad_id"], r["text"]) for r in hits.collect()} == {(1, "blue red"), (3, "blue green red"), (1, "tea"), (1, "cook red blue")}
+    assert "collect_set(x" not in plan(hits)
