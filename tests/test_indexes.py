@@ -7,6 +7,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from adweave.functions.storage import materialise
 from adweave.operators import components, containment, dedupe, memory, places, rules
 
 TERM_KINDS = ("job_title", "field_or_skill")
@@ -198,3 +199,19 @@ def test_equal_agency_ads_cost_a_row_each(spark):
     assert got == {**{k: 0 for k in range(300) if k % 2}, 900: 901, 902: 0}
     _, members, _ = containment.containment_join(frame.select("job_key", F.split("description", " ").alias("words")), frame.selectExpr("job_key AS b", "split(description, ' ') AS words"), "job_key", "b", 50)
     assert members.select("rep").distinct().count() == 2
+
+
+def test_containment_stores_and_shuffles_no_words_that_only_one_side_has(spark, monkeypatch):
+    """Texts of their own are hashed, and neither written nor in the ranks: the disk follows what two sides share."""
+    alone = [(k, list(range(1000 * k, 1000 * k + 200))) for k in range(40)]
+    left = spark.createDataFrame([*alone, (90, [-1, -2, -3, -4])], "l long, words array<bigint>")
+    right = spark.createDataFrame([(k, [w + 500_000 for w in words]) for k, words in alone] + [(91, [-4, -3, -9])], "r long, words array<bigint>")
+    for few in (containment.FEW, 0):  # one side sent to every task, and both shuffled
+        monkeypatch.setattr(containment, "FEW", few)
+        written = {}
+        monkeypatch.setattr(containment, "materialise", lambda df, label: written.setdefault(label, materialise(df, label)))
+        pairs, _, _ = containment.containment_join(left, right, "l", "r", 50)
+        assert {tuple(x) for x in pairs.collect()} == {(90, 91, 2 / 3)}
+        ranks = written["containment-ranks"].collect()
+        assert {(x["side"], x["rep"], x["size"], frozenset(x["h"])) for x in ranks} == {(0, 90, 4, frozenset({-3, -4})), (1, 91, 3, frozenset({-3, -4}))}
+        assert not any(t.startswith("array") for label, df in written.items() if label != "containment-ranks" for _, t in df.dtypes)
