@@ -189,8 +189,7 @@ def b24_join(spark, d):
     """Documents and passages of which the shorter is half in the other, copies as one."""
     from adweave.operators.containment import containment_join
 
-    runs = T.shingles(F.col("text")).alias("words")
-    pairs, docs_of, items_of = containment_join(docs(spark, d).select("doc_id", runs), table(spark, d, "benchmark").select("item_id", runs), "doc_id", "item_id", 50)
+    pairs, docs_of, items_of = containment_join(docs(spark, d).select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"), "doc_id", "item_id", 50, T.shingles(F.col("text")))
     number = lambda members, key, name: members.groupBy(F.col("rep").alias(key)).agg(F.count("*").alias(name))
     out = pairs.join(number(docs_of, "doc_id", "documents"), "doc_id").join(number(items_of, "item_id", "items"), "item_id")
     return out.select("doc_id", "item_id", "documents", "items", F.round("share", 6).alias("share"))
