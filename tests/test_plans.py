@@ -87,3 +87,22 @@ def test_terms_of_several_words_carry_no_sets(spark):
     hits = rules.term_hits(ads, terms)
     assert {(r["ad_id"], r["text"]) for r in hits.collect()} == {(1, "blue red"), (3, "blue green red"), (1, "tea"), (1, "cook red blue")}
     assert "collect_set(x" not in plan(hits)
+
+
+def test_texts_are_cut_into_words_once(spark, monkeypatch):
+    """No filter on the list's size is moved below the columns, where it would work out each text again."""
+    from adweave.functions.text import shingles
+    from adweave.operators import containment, dedupe, rules
+
+    rows = spark.range(4).select("id", F.concat_ws(" ", *(F.lit(w) for w in "abcdef"), F.col("id").cast("string")).alias("text"))
+    runs = shingles(F.col("text"))
+    plans = [dedupe.containments(rows.select("id", runs.alias("words")), rows.select(F.col("id").alias("k"), runs.alias("words")), "id", "k")]
+    plans.append(containment.shared_words(*(containment.hashed_sets(rows, "id", runs, None) for _ in range(2)), False))
+    seen = []
+    monkeypatch.setattr(rules, "materialise", lambda df, label: seen.append(df) or df)
+    out = rules.unmatched_names(rows.selectExpr("id", "'x' AS lang", "text AS name"), rows.where("id = 2").selectExpr("text AS term"))
+    assert {tuple(r) for r in out.collect()} == {("x", 3)} and len(seen) == 2
+    for df in [*plans, seen[1]]:
+        lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert any("regexp_replace" in line for line in lines)
+        assert not any("Filter" in line and "regexp_replace" in line for line in lines)
