@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -44,6 +45,27 @@ def test_term_index_equals_all_pairs(spark, seed):
     assert matched == {a[0]: any(h[0] == a[0] for h in got) for a in ads}
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_term_counts_equal_all_pairs(spark, monkeypatch, small):
+    """Hits are counted by bitmaps, in parts and slices of any size, and never made as rows."""
+    if small:
+        monkeypatch.setattr(rules, "PART_ADS", 16)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abc", k=rng.choice([1, 2, 3, 4, 5, 6, 8])))
+    text = lambda n: " ".join(word() for _ in range(rng.randint(0, n)))
+    ads = [(k, text(4) or None, rng.choice([None, text(40), text(12)]), rng.choice([["en"], ["en", "de", "en", None], [], None, ["fr"]])) for k in range(200)]
+    ads += [(1000 + k, "hot word", "hot word here", ["en"]) for k in range(3000)]
+    terms = [(text(3), rng.choice(["en", "de", "fr", None]), rng.choice(TERM_KINDS)) for _ in range(150)] + [("hot word", "en", "job_title"), ("hot here", "en", "field_or_skill"), ("hot", "en", None), (None, "en", "job_title"), ("", "en", "job_title")]
+    terms += terms[:20]
+    frame = spark.createDataFrame(ads, "ad_id long, title string, description string, languages array<string>")
+    out = rules.term_counts(frame, spark.createDataFrame(terms, "text string, language string, kind string"))
+    got = [tuple(r) for r in out.collect()]
+    hits = brute_hits(ads, {t for t in terms if t[1]})
+    assert sorted(got, key=str) == sorted(((*t, n) for t, n in Counter(h[1:] for h in hits).items()), key=str) and max(r[3] for r in got) >= 3000
+    none = frame.where("ad_id < 0")
+    assert rules.term_counts(none, out.select("text", "language", "kind")).count() == 0
+
+
 def test_a_hundred_thousand_terms(spark):
     """Each ad meets the terms of its rarest words, not all of them."""
     ads = spark.range(2000).selectExpr("id AS ad_id", "concat('title of number', id) AS title", "'text' AS description", "array('en') AS languages")
