@@ -100,6 +100,27 @@ def test_duplicate_edges_lose_nothing(spark, seed):
     assert want <= got
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_links_make_the_groups_of_all_pairs(spark, seed):
+    """Equal ads are linked to one of them; agencies, unknown places, near titles and ads of one ordinal as in all pairs."""
+    r = random.Random(seed)
+    texts = ["", "short text of an ad", " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(8, 64)), " ".join(f"v{i}" for i in range(60))]
+    # one letter less is alike by 90, one word more or less by 85 only
+    titles = ["warehouse driver night", "warehouse driver nights", "warehous driver night", "maschinenbau elektroniker assistentt", "maschinenbau elektronikr assistent", "maschinenbu elektronikr assistnt", "koch"]
+    firms = ["Acme GmbH", "Acme GmbH", "Top Recruiting", "Acme (Recruiting)", None]
+    rows = []
+    for i in range(120):
+        spot = r.choice([(None, None)] * 4 + [(50.0, 8.0), (50.1, 8.1), (53.0, 9.0)])
+        rows.append((*ad(i, r.choice(titles), r.choice(firms), "s", str(i if i % 30 else 0), r.choice(["DE", "DE", "FR", None]), r.choice(["Berlin", "Bonn", None]))[:8], *spot, r.choice(texts), r.random() < 0.6, None))
+        rows[-1] = (i, r.choice([i, i // 10]), *rows[-1][2:])
+    frame = spark.createDataFrame(rows, AD)
+    groups = lambda edges: dict(connected_components(edges).collect())
+    want = groups(dedupe.duplicate_edges(frame))
+    assert groups(dedupe.duplicate_links(frame)) == want and len(set(want.values())) > 3
+    same = spark.createDataFrame([ad(i, "Koch", description=str(i)) for i in range(200)], AD)
+    assert dedupe.duplicate_links(same).count() == 199
+
+
 def test_components(spark):
     r = random.Random(4)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1100)] + [(7, 7), (None, 3)]
