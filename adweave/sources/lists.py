@@ -18,6 +18,8 @@ from adweave.sources.html import attribute, element, elements, html_to_text, sta
 from adweave.sources.normalise import FREE, FULL, INTERN, FIXED, PART, SHAPE
 
 IRISH_ZONE = "Europe/Dublin"
+#: In how many parts ads with the same labels are dealt.
+LABEL_PARTS = 32
 #: Hours a week from which on a job is full time.
 FULL_TIME_HOURS = 30
 #: Fixed values of the Irish site: the kinds of a vacancy.
@@ -42,8 +44,8 @@ def hidden(block: Column, name: str) -> Column:
     return bound(F.trim(unescape(F.regexp_extract(tag, "(?is)\\bvalue=[\"']([^\"']*)[\"']", 1))), lambda v: F.nullif(v, F.lit("")))
 
 
-def _shaped(name: str, rows: DataFrame, **cols: Column) -> DataFrame:
-    out = once(rows.select(F.lit(name).alias("source"), *(cols.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in SHAPE.items())))
+def _shaped(name: str, rows: DataFrame, *more: str, **cols: Column) -> DataFrame:
+    out = once(rows.select(F.lit(name).alias("source"), *(cols.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in SHAPE.items()), *more))
     return out.where((F.coalesce("source_job_id", F.lit("")) != "") & (F.coalesce("title", F.lit("")) != ""))
 
 
@@ -60,19 +62,21 @@ def euraxess_list(pages: DataFrame, place_names: DataFrame, site: str = "") -> D
     posted = F.regexp_extract(html_to_text(F.col("metas")), "Posted on:\\s*(\\d{1,2}\\s+\\w+\\s+\\d{4})", 1)
     day = F.to_date(F.try_to_timestamp(F.regexp_replace(posted, "\\s+", " "), F.lit("d MMMM yyyy")))
     rows = once(rows.select("*", F.regexp_extract("link", "(?is)<a\\b[^>]*\\bhref=[\"']([^\"']+)[\"']", 1).alias("path"), day.alias("day"))).where("path <> ''")
-    # pages are read once; what follows reads the labels three times
-    rows = materialise(rows, "euraxess-blocks")
-    lists = materialise(rows.select("labels").distinct(), "euraxess-labels")
-    by_label = countries_in(lists.select(F.explode("labels").alias("text")), place_names).select("text", F.explode("countries").alias("code"))
-    of = lists.withColumn("text", F.explode("labels")).join(by_label, "text").groupBy("labels").agg(F.collect_set("code").alias("codes"))
-    rows = rows.join(of, "labels", "left")
+    # pages are read once
+    found = materialise(rows, "euraxess-blocks")
     place = F.regexp_replace(F.regexp_replace(inner(F.col("b"), "div", "id-Work-Locations"), "\\s+", " "), "^Work Locations: ?|Number of offers: ?\\d+,? ?", "")
-    return _shaped(
-        "euraxess", rows, source_job_id=F.regexp_extract("path", "([^/]+)/*$", 1), url=F.when(F.startswith("path", F.lit("/")), F.concat(F.lit(site), "path")).otherwise(F.col("path")), title=F.trim(html_to_text(F.col("link"))),
+    # all is read from the blocks before the labels are looked up: many ads have the same few labels, so after that few tasks have them
+    rows = _shaped(
+        "euraxess", found, "labels", source_job_id=F.regexp_extract("path", "([^/]+)/*$", 1), url=F.when(F.startswith("path", F.lit("/")), F.concat(F.lit(site), "path")).otherwise(F.col("path")), title=F.trim(html_to_text(F.col("link"))),
         company=F.nullif(F.trim(html_to_text(F.regexp_extract("metas", "(?is)<a\\b[^>]*>(.*?)</a\\s*>", 1))), F.lit("")), location_text=F.coalesce(F.nullif(F.btrim(place, F.lit(" ,")), F.lit("")), F.try_element_at("labels", F.lit(-1))),
-        country=F.when(F.size("codes") == 1, F.col("codes")[0]), description=inner(F.col("b"), "div", "ecl-content-block__description"), description_is_complete=F.lit(False),
-        **_day(F.col("day")),
+        description=inner(F.col("b"), "div", "ecl-content-block__description"), description_is_complete=F.lit(False), **_day(F.col("day")),
     )
+    lists = materialise(found.select("labels").distinct(), "euraxess-labels")
+    by_label = countries_in(lists.select(F.explode("labels").alias("text")), place_names).select("text", F.explode("countries").alias("code"))
+    of = lists.withColumn("text", F.explode("labels")).join(by_label, "text").groupBy("labels").agg(F.collect_set("code").alias("codes"))
+    of = of.select("labels", F.when(F.size("codes") == 1, F.col("codes")[0]).alias("code"), F.explode(F.sequence(F.lit(0), F.lit(LABEL_PARTS - 1))).alias("part"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("url"), F.lit(LABEL_PARTS)).cast("int")).join(of, ["labels", "part"], "left")
+    return rows.withColumn("country", F.col("code").cast(SHAPE["country"])).select("source", *SHAPE)
 
 
 def jobsacuk_list(pages: DataFrame, site: str = "") -> DataFrame:

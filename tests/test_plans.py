@@ -29,6 +29,17 @@ def test_elements_are_looked_for_once(spark, source):
     assert 1 <= plan(run()).count(mark) <= 8
 
 
+def test_ads_of_few_labels_are_read_before_they_are_dealt_by_them(spark):
+    """Else all ads of a list of labels are one task's, with all that is read from their blocks."""
+    block = "<div id='job-teaser-content'><h3 class='ecl-content-block__title'><a href='/jobs/7'>Chemist</a></h3><span class='ecl-label'>Spain</span><div class='id-Work-Locations'>Work Locations: Bilbao</div></div>"
+    out = lists.euraxess_list(spark.createDataFrame([(block,)], "payload string"), spark.createDataFrame([("Spain", "ES")], NAMES))
+    lines = plan(out).splitlines()
+    join, read = (next(i for i, line in enumerate(lines) if mark in line) for mark in ("Join LeftOuter", "id-Work-Locations"))
+    assert join < read and "part" in lines[join]
+    row = out.first()
+    assert (row["source_job_id"], row["title"], row["location_text"], row["country"]) == ("7", "Chemist", "Bilbao", "ES")
+
+
 def test_titles_are_compared_once_and_places_by_cells(spark):
     """Pairs against all pairs, where each mix of coordinates, towns and names occurs; equal titles cost one row."""
     import math
